@@ -257,38 +257,51 @@ def dataset_report(df: DataFrame, label: str = "label",
 
 
 def table_usage(df: DataFrame, default_max: int = 2000,
-                warning: float = 0.80, critical: float = 0.95) -> DataFrame:
+                warning: float = 0.80, critical: float = 0.95,
+                keep: list[str] | None = None) -> DataFrame:
     """Flow-table 0 usage per switch; max <= 0 means the default size."""
     mx = F.when(F.col("max_entries") <= 0, F.lit(default_max)).otherwise(F.col("max_entries"))
     u = F.col("active_count") / mx
     return (df.filter(F.col("table_id") == 0)
-              .select("dpid", F.col("active_count"), mx.cast("bigint").alias("max_entries"),
+              .select(*(keep or []), "dpid", F.col("active_count"), mx.cast("bigint").alias("max_entries"),
                       u.alias("usage"),
                       F.when(u >= critical, F.lit("critical"))
                        .when(u >= warning, F.lit("warning")).otherwise(F.lit("ok")).alias("level")))
 
 
-def eviction_candidates(entries: DataFrame, usage: DataFrame) -> DataFrame:
+def eviction_candidates(entries: DataFrame, usage: DataFrame,
+                        keys: list[str] | None = None) -> DataFrame:
     """Forwarding entries (0 < priority <= 10) on critical switches; block
     rules (higher priority) are never candidates. Semi join on the switch."""
-    crit = usage.filter(F.col("level") == "critical").select("dpid")
+    keys = keys or ["dpid"]
+    crit = usage.filter(F.col("level") == "critical").select(*keys)
     return (entries.filter((F.col("priority") > 0) & (F.col("priority") <= 10))
-                   .join(crit, "dpid", "left_semi"))
+                   .join(crit, keys, "left_semi"))
 
 
-def health(polls: DataFrame, blocks: DataFrame, bucket: str = "1 day",
+def health(polls: DataFrame, blocks: DataFrame, bucket_sec: int = 86400,
            poll_ts: str = "ts", model_ok: bool = True) -> DataFrame:
     """Per cycle bucket: switches that answered, blocks in force at the
-    bucket end, and the model flag."""
-    p = (polls.groupBy(F.window(F.col(poll_ts).cast("timestamp"), bucket).alias("w"))
-              .agg(F.countDistinct("dpid").alias("switches_seen")))
-    b = blocks.select(F.col("start_ts").cast("timestamp").alias("bs"),
-                      F.col("expiry_ts").cast("timestamp").alias("be"))
-    # range join on a bounded per-day bucket key keeps it an equi-join
-    j = p.join(b, (F.col("bs") < F.col("w.end")) & (F.col("be") > F.col("w.end")), "left")
-    return (j.groupBy("w").agg(F.count("bs").alias("active_blocks"),
-                               F.first("switches_seen").alias("switches_seen"))
-             .select(F.col("w.start").alias("bucket_start"), "switches_seen", "active_blocks",
+    bucket's end, and the model flag.
+
+    A block is in force at boundary E when start < E < expiry. Each block is
+    expanded to the boundaries it spans (bounded by its timeout / bucket),
+    so the count is an aggregate and the fill an equi-join on the bucket."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    b_us = bucket_sec * 1_000_000
+    p = (polls.select(F.floor(us(poll_ts) / b_us).cast("bigint").alias("bucket"), "dpid")
+              .groupBy("bucket").agg(F.countDistinct("dpid").alias("switches_seen")))
+    first_b = F.floor(us("start_ts") / b_us).cast("bigint") + 1
+    last_b = F.floor((us("expiry_ts") - 1) / b_us).cast("bigint")
+    spans = (blocks.select(first_b.alias("f"), last_b.alias("l"), us("expiry_ts").alias("e"))
+                   .filter(F.col("l") >= F.col("f"))
+                   .select(F.explode(F.sequence("f", "l")).alias("boundary"), "e")
+                   .filter(F.col("e") > F.col("boundary") * b_us)
+                   .groupBy((F.col("boundary") - 1).alias("bucket"))
+                   .agg(F.count(F.lit(1)).alias("active_blocks")))
+    return (p.join(spans, "bucket", "left")
+             .select(F.timestamp_micros(F.col("bucket") * b_us).alias("bucket_start"),
+                     "switches_seen", F.coalesce("active_blocks", F.lit(0)).cast("bigint").alias("active_blocks"),
                      F.lit(model_ok).alias("model_loaded")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsieve.functions.network import ip_to_long, valid_ipv4
+from netsieve.operators._split import _null_safe_join
 
 # Block rule constants of the reference topology.
 PRIORITY_BLOCK = 100
@@ -129,7 +130,7 @@ def asof_lookup(probes: DataFrame, facts: DataFrame, keys: list[str], ts: str,
                .rowsBetween(Window.unboundedPreceding, 0))
     scanned = (u.withColumn("__in", F.last("__fact", ignorenulls=True).over(w))
                 .filter(F.col("__kind") == 1))
-    j = scanned.join(carry, [*keys, "__b"], "left")
+    j = _null_safe_join(scanned, carry, keys)
     fact = F.coalesce(F.col("__in"), F.col("__carry"))
     out = j.select(F.col("__probe.*"), fact.alias("__f"))
     age = (F.unix_micros(F.col(ts).cast("timestamp")) -
@@ -180,13 +181,14 @@ def antispoof(events: DataFrame, allow: DataFrame, src: str = "src_ip",
 
 def suppressed_by(det: DataFrame, blocks: DataFrame, keys: list[str], ts: str = "ts",
                   start: str = "start_ts", expiry: str = "expiry_ts") -> DataFrame:
-    """Detections that fall inside an open block episode of their key
-    (``start <= ts < expiry``). Equi-join on the key, then the interval test;
-    per key episodes are disjoint so each detection matches at most one."""
-    b = blocks.select(*keys, F.col(start).alias("__bs"), F.col(expiry).alias("__be"))
-    cond = [det[k].eqNullSafe(b[k]) for k in keys] + \
-           [F.col(ts) >= F.col("__bs"), F.col(ts) < F.col("__be")]
-    return det.join(b, cond, "left_semi")
+    """Rows that fall inside an open block episode of their key
+    (``start <= ts < expiry``). Episodes of a key are disjoint, so the only
+    candidate is the newest episode started at or before ``ts``: an as-of
+    lookup, then the expiry test — no (row x episode) pairs are formed."""
+    b = blocks.select(*keys, F.col(start).alias(ts), F.col(expiry).alias("__exp"))
+    x = asof_lookup(det, b, keys, ts, ["__exp"])
+    return x.filter(F.col("__exp").isNotNull() & (F.col(ts) < F.col("__exp"))) \
+            .drop("__exp", "fact_ts", "age_sec")
 
 
 def unblock(rules: DataFrame, ips: DataFrame, ip_col: str = "ip") -> DataFrame:

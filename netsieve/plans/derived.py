@@ -67,7 +67,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- switch arrival events (D11) --------------------------------------------
 # One packet-in per event: switch and port from the user, source MAC from the
-# user, destination MAC from k (broadcast for sign-ups), ethertype from the
+# user, destination MAC = the host MAC of user k (broadcast for sign-ups), ethertype from the
 # event type (error -> link discovery 0x88cc, signup -> ARP, else IPv4).
 
 ARRIVALS_SQL = """
@@ -77,7 +77,7 @@ SELECT event_id, ts,
   concat('02:00:00:00:', lpad(cast(cast(floor(user_id / 100) AS int) AS string), 2, '0'), ':',
          lpad(cast(user_id % 100 AS string), 2, '0')) AS eth_src,
   CASE WHEN event_type = 'signup' THEN 'ff:ff:ff:ff:ff:ff'
-       ELSE concat('02:00:00:01:00:', lpad(cast(k % 10 AS string), 2, '0')) END AS eth_dst,
+       ELSE concat('02:00:00:00:00:', lpad(cast(k AS string), 2, '0')) END AS eth_dst,
   CASE event_type WHEN 'error' THEN 35020 WHEN 'signup' THEN 2054 ELSE 2048 END AS ethertype,
   concat('10.1.', cast(cast(floor(user_id / 50) AS int) AS string), '.', cast(user_id % 50 + 1 AS string)) AS src_ip
 FROM (SELECT *, cast(regexp_extract(props, '([0-9]+)', 1) AS int) AS k FROM events) e
@@ -96,7 +96,7 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lpad(F.floor(uid / 100).cast("int").cast("string"), 2, "0"), F.lit(":"),
                  F.lpad((uid % 100).cast("string"), 2, "0")).alias("eth_src"),
         F.when(et == "signup", F.lit("ff:ff:ff:ff:ff:ff")).otherwise(
-            F.concat(F.lit("02:00:00:01:00:"), F.lpad((k % 10).cast("string"), 2, "0"))).alias("eth_dst"),
+            F.concat(F.lit("02:00:00:00:00:"), F.lpad(k.cast("string"), 2, "0"))).alias("eth_dst"),
         F.when(et == "error", 35020).when(et == "signup", 2054).otherwise(2048).cast("int").alias("ethertype"),
         F.concat(F.lit("10.1."), F.floor(uid / 50).cast("int").cast("string"),
                  F.lit("."), (uid % 50 + 1).cast("string")).alias("src_ip"),
