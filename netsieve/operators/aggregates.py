@@ -241,15 +241,18 @@ def dataset_report(df: DataFrame, label: str = "label",
     st = lambda ok: F.when(ok, F.lit("PASS")).otherwise(F.lit("FAIL"))
     lab_ok = F.array_except(F.col("labels"), F.array(F.lit(0), F.lit(1))) == F.array().cast("array<int>")
     share_ok = F.abs(F.col("normal_pct") - F.lit(expected[0])) <= tolerance
+    def chk(name, status, value):
+        return F.struct(F.lit(name).alias("check"), status.alias("status"),
+                        value.cast("string").alias("value"))
+
     checks = F.array(
-        F.struct(F.lit("columns").alias("check"), st(F.lit(cols_ok)).alias("status"),
-                 F.lit(str(len(df.columns))).alias("value")),
-        F.struct(F.lit("nulls"), st(F.col("nulls") == 0), F.col("nulls").cast("string")),
-        F.struct(F.lit("infs"), st(F.col("infs") == 0), F.col("infs").cast("string")),
-        F.struct(F.lit("labels"), st(lab_ok), F.array_join(F.col("labels").cast("array<string>"), ",")),
-        F.struct(F.lit("class_balance"), F.when(share_ok, F.lit("PASS")).otherwise(F.lit("WARN")),
-                 F.format_number(F.col("normal_pct"), 1)),
-        F.struct(F.lit("negatives"), st(F.col("negatives") == 0), F.col("negatives").cast("string")),
+        chk("columns", st(F.lit(cols_ok)), F.lit(str(len(df.columns)))),
+        chk("nulls", st(F.col("nulls") == 0), F.col("nulls")),
+        chk("infs", st(F.col("infs") == 0), F.col("infs")),
+        chk("labels", st(lab_ok), F.array_join(F.col("labels").cast("array<string>"), ",")),
+        chk("class_balance", F.when(share_ok, F.lit("PASS")).otherwise(F.lit("WARN")),
+            F.format_number(F.col("normal_pct"), 1)),
+        chk("negatives", st(F.col("negatives") == 0), F.col("negatives")),
     )
     return one.select(F.explode(checks).alias("c")).select(
         F.col("c.check").alias("check"), F.col("c.status").alias("status"),
