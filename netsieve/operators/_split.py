@@ -39,16 +39,17 @@ def split_lag(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
               bucket_sec: float = DEFAULT_BUCKET_SEC, prefix: str = "prev") -> DataFrame:
     """Add ``{prefix}{k}`` (k = 1..n): struct of ``cols`` of the k-th previous
     row of the same key in ``order`` (first order column is the timestamp),
-    NULL when there is none."""
+    NULL when there is none. Rows with a NULL timestamp must be filtered out
+    (or given their own key) by the caller."""
     d = df.withColumn("__b", time_bucket(order[0], bucket_sec))
     w = Window.partitionBy(*keys, "__b").orderBy(*order)
+    wp = Window.partitionBy(*keys, "__b")
     rec = F.struct(*[F.col(c) for c in cols])
-    d = d.withColumn("__p", F.row_number().over(w))
-    for k in range(1, n + 1):
-        d = d.withColumn(f"__l{k}", F.lag(rec, k).over(w))
-    # the last n rows of every (key, bucket)
-    wd = Window.partitionBy(*keys, "__b").orderBy(*[F.col(o).desc() for o in order])
-    tail = (d.withColumn("__r", F.row_number().over(wd)).filter(F.col("__r") <= n)
+    # one sort, one pass: position, bucket size and the n lags together
+    d = d.select("*", F.row_number().over(w).alias("__p"), F.count(F.lit(1)).over(wp).alias("__cnt"),
+                 *[F.lag(rec, k).over(w).alias(f"__l{k}") for k in range(1, n + 1)])
+    # the last n rows of every (key, bucket): same partitioning, no new shuffle
+    tail = (d.filter(F.col("__p") > F.col("__cnt") - n)
               .groupBy(*keys, "__b")
               .agg(F.sort_array(F.collect_list(F.struct(F.col("__p"), rec.alias("v")))).alias("__t")))
     # rows carried into a bucket: last n rows of the previous n non-empty buckets
@@ -58,12 +59,13 @@ def split_lag(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
     carry = carry.select(*keys, "__b", F.slice("__c", F.greatest(F.size("__c") - n + 1, F.lit(1)), n)
                          .alias("__c"))
     j = _null_safe_join(d, carry, keys)
+    outs = {}
     for k in range(1, n + 1):
         back = F.greatest(F.lit(k) - F.col("__p") + 1, F.lit(1))
         from_carry = F.try_element_at(F.col("__c"), -back)["v"]
-        j = j.withColumn(f"{prefix}{k}", F.when(F.col("__p") > k, F.col(f"__l{k}"))
-                         .otherwise(from_carry))
-    return j.drop("__b", "__p", "__c", *[f"__l{k}" for k in range(1, n + 1)])
+        outs[f"{prefix}{k}"] = F.when(F.col("__p") > k, F.col(f"__l{k}")).otherwise(from_carry)
+    j = j.withColumns(outs)
+    return j.drop("__b", "__p", "__cnt", "__c", *[f"__l{k}" for k in range(1, n + 1)])
 
 
 def split_running(df: DataFrame, keys: list[str], order: list[str],
@@ -72,13 +74,10 @@ def split_running(df: DataFrame, keys: list[str], order: list[str],
     """Add inclusive running sums and maxima per key in ``order``."""
     sums, maxes = sums or {}, maxes or {}
     d = df.withColumn("__b", time_bucket(order[0], bucket_sec))
-    for n, e in {**sums, **maxes}.items():
-        d = d.withColumn(f"__v_{n}", e)
+    d = d.withColumns({f"__v_{n}": e for n, e in {**sums, **maxes}.items()})
     w = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    for n in sums:
-        d = d.withColumn(f"__in_{n}", F.sum(f"__v_{n}").over(w))
-    for n in maxes:
-        d = d.withColumn(f"__in_{n}", F.max(f"__v_{n}").over(w))
+    d = d.select("*", *[F.sum(f"__v_{n}").over(w).alias(f"__in_{n}") for n in sums],
+                 *[F.max(f"__v_{n}").over(w).alias(f"__in_{n}") for n in maxes])
     tot = d.groupBy(*keys, "__b").agg(*[F.sum(f"__v_{n}").alias(f"__bt_{n}") for n in sums],
                                        *[F.max(f"__v_{n}").alias(f"__bt_{n}") for n in maxes])
     wb = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,9 +85,7 @@ def split_running(df: DataFrame, keys: list[str], order: list[str],
                        *[F.sum(f"__bt_{n}").over(wb).alias(f"__c_{n}") for n in sums],
                        *[F.max(f"__bt_{n}").over(wb).alias(f"__c_{n}") for n in maxes])
     j = _null_safe_join(d, carry, keys)
-    for n in sums:
-        j = j.withColumn(n, F.coalesce(F.col(f"__c_{n}"), F.lit(0)) + F.col(f"__in_{n}"))
-    for n in maxes:
-        j = j.withColumn(n, F.greatest(F.col(f"__c_{n}"), F.col(f"__in_{n}")))
+    j = j.withColumns({**{n: F.coalesce(F.col(f"__c_{n}"), F.lit(0)) + F.col(f"__in_{n}") for n in sums},
+                       **{n: F.greatest(F.col(f"__c_{n}"), F.col(f"__in_{n}")) for n in maxes}})
     drop = ["__b"] + [f"__{p}_{n}" for n in {**sums, **maxes} for p in ("v", "in", "c")]
     return j.drop(*drop)

@@ -98,11 +98,14 @@ def _finish(df: DataFrame, dst: str | None, src: str | None, ts: str | None, tie
     if ts is not None and dst is not None:
         is_ts = x.schema[ts].dataType.typeName().startswith("timestamp")
         x = x.withColumn("__ts", F.col(ts) if is_ts else parse_ts(F.col(ts).cast("string")))
-        with_ts = arrival_rate(x.filter(F.col("__ts").isNotNull()), dst, "__ts", tie)
-        # a timestamp that does not parse gives that row rate 0 (Q24: per row)
-        x = with_ts.unionByName(x.filter(F.col("__ts").isNull())
-                                 .withColumn("flow_creation_rate", F.lit(0.0)))
-        x = x.drop("__ts")
+        # rows whose timestamp does not parse get rate 0 (Q24: per row, not the
+        # whole column); a stand-in instant keeps them in a scan group of their own
+        x = x.withColumn("__bad_ts", F.col("__ts").isNull()) \
+             .withColumn("__ts", F.coalesce(F.col("__ts"), F.lit("1970-01-01 00:00:00").cast("timestamp")))
+        x = arrival_rate(x, dst, "__ts", tie, extra_key=["__bad_ts"])
+        x = x.withColumn("flow_creation_rate",
+                         F.when(F.col("__bad_ts"), F.lit(0.0)).otherwise(F.col("flow_creation_rate")))
+        x = x.drop("__ts", "__bad_ts")
     else:
         x = x.withColumn("flow_creation_rate", F.lit(0.0))
     cols = []
@@ -115,6 +118,15 @@ def _finish(df: DataFrame, dst: str | None, src: str | None, ts: str | None, tie
     return out.na.drop(subset=FEATURE_NAMES + [LABEL])
 
 
+def _materialise_pruned(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Parse the raw text once: keep only the columns the mapping reads and
+    checkpoint them (columnar) to the shared checkpoint folder; the
+    aggregate, join and scan passes that follow read that copy."""
+    from netsieve.operators._prefix import _materialise
+    keep = [c for c in dict.fromkeys(cols) if c and c in df.columns]
+    return _materialise(df.select(*keep))
+
+
 def _base(df, dur_s: Column, pkts: Column, byts: Column, proto: Column) -> DataFrame:
     safe_d = F.greatest(dur_s, F.lit(0.001))
     return df.withColumns({
@@ -136,6 +148,9 @@ def map_cic2017(df: DataFrame, tie: str | None = "Flow ID", keep: list[str] | No
     rates (P4), ICMP heuristic (P15), destination aggregates (A2),
     arrival rate (W2), labels (P16)."""
     x = coerce_numeric(df, CIC2017_NUMERIC)
+    lab = pick(df, LABEL_CANDIDATES)
+    x = _materialise_pruned(x, CIC2017_NUMERIC + [lab, "Destination IP", "Source IP", "Timestamp", tie]
+                            + (keep or []))
     num = [c for c in CIC2017_NUMERIC if c in x.columns]
     x = clean_inf_max(x, num)
     x = drop_critical_nulls(x, CIC2017_CRITICAL)
@@ -144,7 +159,7 @@ def map_cic2017(df: DataFrame, tie: str | None = "Flow ID", keep: list[str] | No
     by = F.coalesce(F.col("Total Length of Fwd Packets"), z) + F.coalesce(F.col("Total Length of Bwd Packets"), z)
     x = _base(x, F.coalesce(F.col("Flow Duration"), z) / 1e6, pk, by,
               F.coalesce(F.col("Protocol"), z).cast("int"))
-    binary, _ = cic_labels(df)
+    binary, _ = cic_labels(x)
     x = x.withColumn(LABEL, binary)
     tie = tie if tie in df.columns else None
     return _finish(x, pick(x, ["Destination IP"]), pick(x, ["Source IP"]), pick(x, ["Timestamp"]),
@@ -156,6 +171,8 @@ def map_cic2019(df: DataFrame, tie: str | None = "Flow ID", keep: list[str] | No
     coerced; aliases resolved (P12); otherwise as CIC-2017 (no critical drop)."""
     text = [c for c, t in df.dtypes if t == "string" and c.lower() not in CIC2019_TEXT and c != tie]
     x = coerce_numeric(df, text)
+    used = [c for v in CIC2019_ALIASES.values() for c in v] + LABEL_CANDIDATES + [tie] + (keep or [])
+    x = _materialise_pruned(x, used)
     num = [c for c, t in x.dtypes if t in ("double", "float", "int", "bigint") and c != tie]
     x = clean_inf_max(x, num) if num else x
     col = {k: pick(x, v) for k, v in CIC2019_ALIASES.items()}
@@ -163,7 +180,7 @@ def map_cic2019(df: DataFrame, tie: str | None = "Flow ID", keep: list[str] | No
     get = lambda k: F.coalesce(F.col(col[k]).cast("double"), z) if col[k] else z
     x = _base(x, get("duration") / 1e6, get("fwd_pkts") + get("bwd_pkts"),
               get("fwd_len") + get("bwd_len"), get("proto").cast("int"))
-    binary, _ = cic_labels(df)
+    binary, _ = cic_labels(x)
     x = x.withColumn(LABEL, binary)
     tie = tie if tie in df.columns else None
     return _finish(x, col["dst"], col["src"], col["ts"], tie or col["duration"], keep or [])
@@ -174,6 +191,9 @@ def map_unsw(df: DataFrame, tie: str | None = "id", keep: list[str] | None = Non
     number (P14), packet/byte sums, aggregates on srcip/dstip, arrival rate
     from ``stime`` (epoch seconds), labels from label/attack_cat."""
     x = normalise_header(df, lower=True)
+    keep_l = [k.lower() for k in (keep or [])]
+    x = _materialise_pruned(x, ["dur", "spkts", "dpkts", "sbytes", "dbytes", "proto", "label", "attack_cat",
+                                "attack_category", "stime", tie] + UNSW_DST + UNSW_SRC + keep_l)
     z = F.lit(0.0)
     get = lambda c: F.coalesce(F.col(c).cast("string").try_cast("double"), z) if c in x.columns else z
     proto = proto_number("proto") if "proto" in x.columns else F.lit(0)

@@ -37,12 +37,13 @@ def rate_of_change(df: DataFrame, key: list[str] | None = None, ts: str = "ts",
 
 
 def arrival_rate(df: DataFrame, key: str = "dst_ip", ts: str = "ts", tie: str = "event_id",
-                 n: int = 5, bucket_sec: float = DEFAULT_BUCKET_SEC) -> DataFrame:
+                 n: int = 5, bucket_sec: float = DEFAULT_BUCKET_SEC,
+                 extra_key: list[str] | None = None) -> DataFrame:
     """Flow-creation rate per destination: 1 / max(gap, 0.001) to the
     previous arrival, averaged over the last ``n`` rows (the first arrival has
     no gap and is skipped), NULL -> 0. Rows with a null key drop out."""
     x = df.filter(F.col(key).isNotNull())
-    x = split_lag(x, [key], [ts, tie], [ts], n, bucket_sec)
+    x = split_lag(x, [key] + (extra_key or []), [ts, tie], [ts], n, bucket_sec)
     t = [_us(ts)] + [F.unix_micros(F.col(f"prev{k}")[ts].cast("timestamp")) for k in range(1, n + 1)]
     # r_j for j = current and the n-1 before it; each needs the row before j
     rs = []

@@ -335,3 +335,11 @@ def p5_validate_features(spark, sf):
     f = f.withColumn("avg_packet_size", F.when(F.col("event_type") == "purchase", F.lit(float("inf")))
                      .otherwise(F.col("avg_packet_size")))
     return validate_features(f).select("event_id", "error")
+
+
+def canonical_flows(spark, sf):
+    """The canonical labelled table straight from the derived raw CIC frame
+    (no file round trip): what the learning queries train on."""
+    from netsieve.operators.adapters import map_cic2017, normalise_header
+    raw = normalise_header(_raw_cic2017(spark, sf))
+    return map_cic2017(raw, keep=["Flow ID"]).withColumnRenamed("Flow ID", "flow_id")
