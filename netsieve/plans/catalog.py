@@ -31,7 +31,7 @@ def _load_all():
     # importing the modules registers their queries
     from netsieve.plans import q_core  # noqa: F401
     for mod in ("q_windows", "q_logs", "q_adapters", "q_joins", "q_stateful", "q_ml",
-                "q_stream"):
+                "q_models", "q_stream"):
         try:
             __import__(f"netsieve.plans.{mod}")
         except ModuleNotFoundError as e:
