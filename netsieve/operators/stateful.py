@@ -278,3 +278,119 @@ def breaker_states(df: DataFrame, model_key: str = "model", ts: str = "ts", tie:
                                T.StructField("total_failures", T.LongType()),
                                T.StructField("total_fallbacks", T.LongType())])
     return keyed_scan(df, [model_key], ts, tie, dict, step, schema)
+
+
+# --- ST5: adaptive-window drift (ADWIN) -------------------------------------
+
+class _Adwin:
+    """ADWIN2 (Bifet & Gavalda 2007): the window is an exponential histogram
+    of buckets (at most ``max_buckets`` per size 2^i, each holding count,
+    sum and variance); after each insert every boundary between buckets is a
+    cut candidate W = W0 . W1 and the oldest bucket is dropped while
+    |mean0 - mean1| > eps_cut, with
+    eps_cut = sqrt(2/m * var_W * ln(2/d')) + 2/(3m) * ln(2/d'),
+    m = 1 / (1/n0 + 1/n1), d' = delta / ln(n). Lower delta needs more
+    evidence, i.e. it is *less* sensitive (Q15)."""
+
+    def __init__(self, delta: float = 0.002, max_buckets: int = 5, min_sub: int = 5):
+        self.delta, self.M, self.min_sub = delta, max_buckets, min_sub
+        self.rows: list[list[list[float]]] = []  # rows[i] = [[n, total, var], ...] oldest first
+        self.n, self.total, self.var = 0, 0.0, 0.0
+
+    def _insert(self, x: float) -> None:
+        if self.n > 0:
+            mean = self.total / self.n
+            self.var += self.n * (x - mean) ** 2 / (self.n + 1)
+        self.n += 1
+        self.total += x
+        if not self.rows:
+            self.rows.append([])
+        self.rows[0].append([1, x, 0.0])
+        i = 0
+        while i < len(self.rows) and len(self.rows[i]) > self.M:
+            a, b = self.rows[i].pop(0), self.rows[i].pop(0)
+            n = a[0] + b[0]
+            merged = [n, a[1] + b[1],
+                      a[2] + b[2] + a[0] * b[0] / n * (a[1] / a[0] - b[1] / b[0]) ** 2]
+            if i + 1 == len(self.rows):
+                self.rows.append([])
+            self.rows[i + 1].append(merged)
+            i += 1
+
+    def _drop_oldest(self) -> None:
+        for i in range(len(self.rows) - 1, -1, -1):
+            if self.rows[i]:
+                b = self.rows[i].pop(0)
+                n0, n1 = b[0], self.n - b[0]
+                if n1 > 0:
+                    m0, m1 = b[1] / b[0], (self.total - b[1]) / n1
+                    self.var -= b[2] + n0 * n1 / self.n * (m0 - m1) ** 2
+                else:
+                    self.var = 0.0
+                self.n -= b[0]
+                self.total -= b[1]
+                while self.rows and not self.rows[-1]:
+                    self.rows.pop()
+                return
+
+    def update(self, x: float) -> bool:
+        import math
+        self._insert(x)
+        changed, again = False, True
+        while again and self.n > 2 * self.min_sub:
+            again = False
+            dprime = self.delta / max(math.log(self.n), 1.0)
+            ln = math.log(2.0 / dprime)
+            var_w = max(self.var / self.n, 0.0)
+            n0, s0 = 0, 0.0
+            # boundaries from oldest to newest
+            for i in range(len(self.rows) - 1, -1, -1):
+                for b in self.rows[i]:
+                    n0 += b[0]
+                    s0 += b[1]
+                    n1 = self.n - n0
+                    if n0 < self.min_sub or n1 < self.min_sub:
+                        continue
+                    m = 1.0 / (1.0 / n0 + 1.0 / n1)
+                    eps = math.sqrt(2.0 / m * var_w * ln) + 2.0 / (3.0 * m) * ln
+                    if abs(s0 / n0 - (self.total - s0) / n1) > eps:
+                        self._drop_oldest()
+                        changed = again = True
+                        break
+                if again:
+                    break
+        return changed
+
+
+def adwin(df: DataFrame, key: list[str], value: str = "value", ts: str = "ts", tie: str = "event_id",
+          delta: float = 0.002) -> DataFrame:
+    """ST5: per key, feed values in time order to ADWIN; adds ``drift``
+    (change detected at this value), ``window_size`` and ``drift_count``.
+    State per key: the bucket lists, O(M log W)."""
+    cols = df.columns
+
+    def step(st, rows):
+        a = st.get("a")
+        if a is None:
+            a = st["a"] = _Adwin(delta)
+            st["c"] = 0
+        vals = rows[value].to_numpy(dtype=float)
+        drift = np.zeros(len(vals), dtype=bool)
+        size = np.zeros(len(vals), dtype=np.int64)
+        cnt = np.zeros(len(vals), dtype=np.int64)
+        for i, v in enumerate(vals):
+            if v == v:  # NaN values are skipped
+                drift[i] = a.update(float(v))
+            if drift[i]:
+                st["c"] += 1
+            size[i], cnt[i] = a.n, st["c"]
+        out = rows[cols].copy()
+        out["drift"] = drift
+        out["window_size"] = size
+        out["drift_count"] = cnt
+        return out
+
+    schema = _schema_with(df, [T.StructField("drift", T.BooleanType()),
+                               T.StructField("window_size", T.LongType()),
+                               T.StructField("drift_count", T.LongType())])
+    return keyed_scan(df, key, ts, tie, dict, step, schema)

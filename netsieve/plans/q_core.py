@@ -199,3 +199,12 @@ def j2_spoof_verdict_joined(spark, sf):
     det = threshold_detect(clamped_features(e, keep=["event_id", "poll_ts", "src_ip", "dst_ip"]))
     det = det.filter(F.col("is_attack") & F.col("src_ip").isNotNull())
     return spoof_verdict(det, agg, "poll_ts").select("event_id", "is_spoofed")
+
+
+@register("p6_features_to_map")
+def p6_features_to_map(spark, sf):
+    """The 12 live features of each eligible flow as a name -> value map
+    and as the model's dense vector (rows-only: map/vector columns)."""
+    from netsieve.operators.features import assemble, features_to_map
+    f = live_features(_elig(spark, sf), keep=["event_id"])
+    return assemble(features_to_map(f)).select("event_id", "features", "features_vec")

@@ -195,3 +195,29 @@ def m22_baselines(spark, sf):
     b = te.agg(F.avg((F.col("label") == pred).cast("double")).alias("accuracy")) \
           .select(F.lit("pps_threshold").alias("baseline"), "accuracy")
     return a.unionByName(b)
+
+
+@register("s13_write_results", __import__("netsieve.plans.catalog", fromlist=["x"]).ORACLES["a16_binary_metrics"])
+def s13_write_results(spark, sf):
+    """The metric table written with the result sink and read back."""
+    from netsieve.plans.q_logs import _scratch
+    from netsieve.sources.datasets import write_results
+    path = _scratch(spark, "results")
+    write_results(binary_metrics(predicted(spark, sf)), path, fmt="parquet")
+    return spark.read.parquet(path)
+
+
+@register("s15_verify_files")
+def s15_verify_files(spark, sf):
+    """Manifest of the derived raw dataset folder against an expected
+    list in which one hash is wrong and one file is missing."""
+    from netsieve.plans.q_adapters import cic2017_dir
+    from netsieve.sources.datasets import verify_files
+    path = cic2017_dir(spark, sf)
+    seen = verify_files(spark, path, spark.createDataFrame([], "name STRING, sha256 STRING"))
+    first = seen.agg(F.min("name").alias("n"))
+    expected = (seen.crossJoin(first)
+                .select("name", F.when(F.col("name") == F.col("n"), F.lit("0" * 64)).otherwise(F.col("sha256"))
+                        .alias("sha256"))
+                .unionByName(spark.createDataFrame([("UNSW-NB15_missing.csv", "f" * 64)], "name STRING, sha256 STRING")))
+    return verify_files(spark, path, expected).select("name", "size", "status")

@@ -152,3 +152,84 @@ def st4_learn_macs(spark, sf):
     the state is a map per switch)."""
     return learn_macs(D.arrivals(spark, sf), max_macs=5, age_sec=300.0).select(
         "event_id", "dpid", "in_port", "eth_src", "learned", "evicted_before")
+
+
+@register("st5_adwin")
+def st5_adwin(spark, sf):
+    """ADWIN over each event type's values in time order (rows-only: the
+    algorithm is checked against a brute-force windowed test in tests/)."""
+    from netsieve.operators.stateful import adwin
+    e = D.read_table(spark, sf, "events").select("event_id", "ts", "event_type", "value")
+    return adwin(e, ["event_type"], "value").select("event_id", "drift", "window_size", "drift_count")
+
+
+def _st6_sql():
+    from netsieve.plans.catalog import ORACLES
+    return ORACLES["st6_breaker_states"]
+
+
+@register("m12_score_guarded", None)
+def m12_score_guarded(spark, sf):
+    """Per flow, the model score unless the breaker of its model (the
+    event type) is open at that time (newest breaker state at or before the
+    flow, as-of), in which case the threshold verdict's probability is used.
+    The model score here is a stand-in scorer min(1, pps / 20000)."""
+    from netsieve.operators.detect import threshold_detect
+    from netsieve.operators.features import clamped_features
+    from netsieve.operators.filters import eligible_flows
+    from netsieve.operators.ml import score_guarded
+    e = D.read_table(spark, sf, "events").select("event_id", F.col("event_type").alias("model"))
+    f = clamped_features(eligible_flows(D.flows(spark, sf)), keep=["event_id", "ts"]).join(e, "event_id")
+    f = threshold_detect(f).withColumnRenamed("attack_prob", "fallback_prob") \
+        .withColumn("model_prob", F.least(F.lit(1.0), F.col("packet_count_per_second") / 20000.0))
+    states = breaker_states(outcomes(spark, sf)).select("model", "ts", "state")
+    g = score_guarded(f.select("event_id", "ts", "model", "model_prob", "fallback_prob"), states, "model", "ts")
+    return g.select("event_id", "used_fallback", "final_prob")
+
+
+def _m12_sql():
+    st6 = _st6_sql()
+    head, _ = st6.rsplit("\nSELECT event_id, s AS state", 1)
+    return head + """,
+states AS (SELECT o.ts, o.model, b.s AS state FROM b JOIN o ON b.event_id = o.event_id WHERE b.rn >= 1),
+""" + """flows AS (""" + D.FLOWS_SQL + """),
+eligible AS (SELECT * FROM flows WHERE priority <> 0 AND (src_ip IS NOT NULL OR dst_ip IS NOT NULL)
+  AND duration_sec >= 0 AND packet_count >= 0 AND byte_count >= 0),
+f AS (SELECT x.event_id, x.ts, ev.event_type AS model,
+        least(1.0, (packet_count / greatest(cast(duration_sec AS double), 0.001)) / 20000.0) AS model_prob,
+        CASE WHEN packet_count / greatest(cast(duration_sec AS double), 0.001) > 10000
+               OR byte_count / greatest(cast(duration_sec AS double), 0.001) > 50000000 THEN 0.5 ELSE 0.1 END AS fallback_prob
+      FROM eligible x JOIN events ev ON x.event_id = ev.event_id)
+SELECT f.event_id, coalesce(s.state = 'open', false) AS used_fallback,
+  CASE WHEN coalesce(s.state = 'open', false) THEN f.fallback_prob ELSE f.model_prob END AS final_prob
+FROM f ASOF LEFT JOIN states s ON f.model = s.model AND f.ts >= s.ts"""
+
+
+def _register_m12_oracle():
+    from netsieve.plans.catalog import ORACLES
+    ORACLES["m12_score_guarded"] = _m12_sql()
+
+
+_register_m12_oracle()
+
+
+@register("a18_drift_signal", None)
+def a18_drift_signal(spark, sf):
+    """Mean attack probability per poll (the drift monitor's input)."""
+    from netsieve.operators.aggregates import drift_signal
+    from netsieve.operators.detect import threshold_detect
+    from netsieve.plans.detection import featurize
+    s = threshold_detect(featurize(D.flows(spark, sf), "poll_ts"), pps="pps", bps="bps")
+    d = drift_signal(s, "poll_ts")
+    return d.select("poll_ts", F.round("mean_attack_prob", 9).alias("mean_attack_prob"), "n")
+
+
+def _register_a18_oracle():
+    from netsieve.plans.catalog import ORACLES
+    from netsieve.plans.q_core import _views
+    ORACLES["a18_drift_signal"] = D.with_views(
+        "SELECT poll_ts, round(avg(attack_prob), 9) AS mean_attack_prob, count(*) AS n FROM scored GROUP BY poll_ts",
+        "flows", extra=_views())
+
+
+_register_a18_oracle()
