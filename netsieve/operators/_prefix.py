@@ -41,17 +41,22 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
              .drop("__mid", "__pid", "__loc", "__off"))
 
 
-def global_running_sum(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
-    """Inclusive running sum of ``value`` in ``order`` (a total order)."""
+def global_running_sum(df: DataFrame, order: list[Column], value, name) -> DataFrame:
+    """Inclusive running sums in ``order`` (a total order). ``value`` and
+    ``name`` may be lists to compute several running sums in one pass."""
+    values = [value] if isinstance(value, str) else list(value)
+    names = [name] if isinstance(name, str) else list(name)
     s = (df.orderBy(*order)
            .withColumn("__mid", F.monotonically_increasing_id()))
     s = s.withColumn("__pid", F.shiftright("__mid", _PART_SHIFT))
     s = _materialise(s)
-    tot = s.groupBy("__pid").agg(F.sum(value).alias("__t"))
-    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("__pid", F.coalesce(F.sum("__t").over(w), F.lit(0)).alias("__off"))
+    tot = s.groupBy("__pid").agg(*[F.sum(v).alias(f"__t{i}") for i, v in enumerate(values)])
+    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offs = tot.select("__pid", *[F.coalesce(F.sum(f"__t{i}").over(w), F.lit(0)).alias(f"__off{i}")
+                                 for i in range(len(values))])
     wl = Window.partitionBy("__pid").orderBy("__mid").rowsBetween(Window.unboundedPreceding, 0)
-    return (s.withColumn("__in", F.sum(value).over(wl))
-             .join(F.broadcast(offs), "__pid")
-             .withColumn(name, F.col("__off") + F.col("__in"))
-             .drop("__mid", "__pid", "__in", "__off"))
+    x = s.select("*", *[F.sum(v).over(wl).alias(f"__in{i}") for i, v in enumerate(values)])
+    x = x.join(F.broadcast(offs), "__pid")
+    x = x.withColumns({n: F.col(f"__off{i}") + F.col(f"__in{i}") for i, n in enumerate(names)})
+    return x.drop("__mid", "__pid", *[f"__in{i}" for i in range(len(values))],
+                  *[f"__off{i}" for i in range(len(values))])

@@ -24,39 +24,69 @@ def _epoch(df: DataFrame, ts: str) -> F.Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+def _key_changes(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Boolean array: row i starts a new key run (vectorised, NULL == NULL)."""
+    n = len(pdf)
+    ch = np.zeros(n, dtype=bool)
+    if n == 0:
+        return ch
+    ch[0] = True
+    for k in keys:
+        col = pdf[k]
+        na = col.isna().to_numpy()
+        a = col.to_numpy()
+        with np.errstate(invalid="ignore"):
+            diff = np.asarray(a[1:] != a[:-1], dtype=bool)
+        diff &= ~(na[1:] & na[:-1])
+        diff |= na[1:] != na[:-1]
+        ch[1:] |= diff
+    return ch
+
+
 def keyed_scan(df: DataFrame, keys: list[str], ts: str, tie: str, make_state: Callable[[], dict],
-               step: Callable[[dict, pd.DataFrame], pd.DataFrame], out_schema: T.StructType,
+               step: Callable, out_fields: list[tuple[str, T.DataType, str]],
                num_partitions: int | None = None) -> DataFrame:
-    """Sorted per-key walk. ``step(state, rows)`` gets consecutive rows of ONE
-    key (in time order, with ``__us`` = epoch microseconds) and returns the
-    output rows; ``state`` persists across batches of the same key."""
+    """Sorted per-key walk.
+
+    ``step(state, cols, s, e, out)`` handles rows ``s:e`` of ONE key (time
+    order): ``cols`` maps column name -> numpy array for the whole batch
+    (``__us`` = epoch microseconds), ``out`` maps output name -> preallocated
+    array to fill. ``state`` persists across batches of the same key.
+    ``out_fields``: (name, Spark type, numpy dtype); timestamp outputs are
+    written as epoch microseconds."""
     x = df.withColumn("__us", _epoch(df, ts))
     x = x.repartition(num_partitions, *keys) if num_partitions else x.repartition(*keys)
     x = x.sortWithinPartitions(*keys, "__us", tie)
-    kcols = list(keys)
+    cols = list(df.columns)
+    schema = T.StructType([f for f in df.schema.fields] +
+                          [T.StructField(n, t) for n, t, _ in out_fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur_key, state = None, None
         for pdf in batches:
-            if pdf.empty:
+            n = len(pdf)
+            if n == 0:
                 continue
-            kv = pdf[kcols].astype(object).where(pdf[kcols].notna(), None)
-            kt = list(map(tuple, kv.to_numpy()))
-            # boundaries of runs of equal keys inside the batch
-            starts = [0] + [i for i in range(1, len(kt)) if kt[i] != kt[i - 1]]
-            ends = starts[1:] + [len(kt)]
-            outs = []
-            for s, e in zip(starts, ends):
-                if kt[s] != cur_key:
-                    cur_key, state = kt[s], make_state()
-                outs.append(step(state, pdf.iloc[s:e]))
-            yield pd.concat(outs, ignore_index=True)
-
-    return x.mapInPandas(run, out_schema)
-
-
-def _schema_with(df: DataFrame, extra: list[T.StructField], drop: tuple = ()) -> T.StructType:
-    return T.StructType([f for f in df.schema.fields if f.name not in drop] + extra)
+            arrs = {c: pdf[c].to_numpy() for c in pdf.columns}
+            out = {name: np.empty(n, dtype=dt) for name, _, dt in out_fields}
+            starts = np.flatnonzero(_key_changes(pdf, keys))
+            ends = np.append(starts[1:], n)
+            kvals = [pdf[k].to_numpy() for k in keys]
+            kna = [pdf[k].isna().to_numpy() for k in keys]
+            for s, e in zip(starts.tolist(), ends.tolist()):
+                kt = tuple(None if kna[j][s] else kvals[j][s] for j in range(len(keys)))
+                if kt != cur_key:
+                    cur_key, state = kt, make_state()
+                step(state, arrs, s, e, out)
+            res = pdf[cols].copy()
+            for name, t, _ in out_fields:
+                v = out[name]
+                if isinstance(t, (T.TimestampNTZType, T.TimestampType)):
+                    v = pd.to_datetime(v.astype("int64"), unit="us")
+                res[name] = v
+            yield res
+
+    return x.mapInPandas(run, schema)
 
 
 # --- ST1: resetting-window admission ---------------------------------------
@@ -68,29 +98,24 @@ def admit(df: DataFrame, key: list[str], ts: str = "ts", tie: str = "event_id",
     Events are admitted while fewer than ``limit`` were admitted in the
     window. Adds ``admitted`` and ``window_start``."""
     w_us = int(round(window_sec * 1e6))
-    cols = df.columns
 
-    def step(st, rows):
-        us = rows["__us"].to_numpy()
-        adm = np.zeros(len(us), dtype=bool)
-        wst = np.zeros(len(us), dtype=np.int64)
+    def step(st, c, s, e, out):
+        us, adm, wst = c["__us"], out["admitted"], out["window_start"]
         start, cnt = st.get("start"), st.get("cnt", 0)
-        for i, t in enumerate(us):
+        for i in range(s, e):
+            t = us[i]
             if start is None or t - start >= w_us:
                 start, cnt = t, 0
             if cnt < limit:
                 cnt += 1
                 adm[i] = True
+            else:
+                adm[i] = False
             wst[i] = start
         st["start"], st["cnt"] = start, cnt
-        out = rows[cols].copy()
-        out["admitted"] = adm
-        out["window_start"] = pd.to_datetime(wst, unit="us")
-        return out
 
-    schema = _schema_with(df, [T.StructField("admitted", T.BooleanType()),
-                               T.StructField("window_start", T.TimestampNTZType())])
-    return keyed_scan(df, key, ts, tie, dict, step, schema)
+    return keyed_scan(df, key, ts, tie, dict, step,
+                      [("admitted", T.BooleanType(), "bool"), ("window_start", T.TimestampNTZType(), "int64")])
 
 
 # --- ST2: flood suppression --------------------------------------------------
@@ -106,27 +131,20 @@ def suppress_floods(df: DataFrame, ts: str = "ts", tie: str = "event_id",
     fk = flow_key or ["dpid", "eth_src", "eth_dst", "ethertype"]
     a = admit(df, sk, ts, tie, limit, window_sec).drop("window_start")
     d_us = int(round(dedup_sec * 1e6))
-    cols = a.columns
 
-    def step(st, rows):
-        us = rows["__us"].to_numpy()
-        ok = rows["admitted"].to_numpy()
-        sup = np.zeros(len(us), dtype=bool)
+    def step(st, c, s, e, out):
+        us, ok, sup = c["__us"], c["admitted"], out["suppressed"]
         last = st.get("last")
-        for i, t in enumerate(us):
-            if not ok[i]:
-                sup[i] = True
-            elif last is not None and t - last < d_us:
+        for i in range(s, e):
+            t = us[i]
+            if not ok[i] or (last is not None and t - last < d_us):
                 sup[i] = True
             else:
+                sup[i] = False
                 last = t
         st["last"] = last
-        out = rows[cols].copy()
-        out["suppressed"] = sup
-        return out
 
-    schema = _schema_with(a, [T.StructField("suppressed", T.BooleanType())])
-    return keyed_scan(a, fk, ts, tie, dict, step, schema)
+    return keyed_scan(a, fk, ts, tie, dict, step, [("suppressed", T.BooleanType(), "bool")])
 
 
 # --- ST3: block episodes -----------------------------------------------------
@@ -139,32 +157,25 @@ def block_episodes(det: DataFrame, key: list[str], ts: str = "ts", tie: str = "e
     at start + timeout (or start + min(timeout, cap) with ``cap_sec``, the
     reference's 300 s cache re-arm). Adds ``opens``, ``start_ts``,
     ``expiry_ts`` (of the block the detection belongs to)."""
-    cols = det.columns
-
-    def step(st, rows):
-        us = rows["__us"].to_numpy()
-        to = rows[timeout_col].to_numpy()
-        opens = np.zeros(len(us), dtype=bool)
-        s_arr = np.zeros(len(us), dtype=np.int64)
-        e_arr = np.zeros(len(us), dtype=np.int64)
+
+    def step(st, c, s, e, out):
+        us, to = c["__us"], c[timeout_col]
+        opens, s_arr, e_arr = out["opens"], out["start_ts"], out["expiry_ts"]
         start, exp = st.get("start"), st.get("exp")
-        for i, t in enumerate(us):
+        for i in range(s, e):
+            t = us[i]
             if exp is None or t >= exp:
                 dur = float(to[i]) if cap_sec is None else min(float(to[i]), cap_sec)
                 start, exp = t, t + int(round(dur * 1e6))
                 opens[i] = True
+            else:
+                opens[i] = False
             s_arr[i], e_arr[i] = start, exp
         st["start"], st["exp"] = start, exp
-        out = rows[cols].copy()
-        out["opens"] = opens
-        out["start_ts"] = pd.to_datetime(s_arr, unit="us")
-        out["expiry_ts"] = pd.to_datetime(e_arr, unit="us")
-        return out
 
-    schema = _schema_with(det, [T.StructField("opens", T.BooleanType()),
-                                T.StructField("start_ts", T.TimestampNTZType()),
-                                T.StructField("expiry_ts", T.TimestampNTZType())])
-    return keyed_scan(det, key, ts, tie, dict, step, schema)
+    return keyed_scan(det, key, ts, tie, dict, step,
+                      [("opens", T.BooleanType(), "bool"), ("start_ts", T.TimestampNTZType(), "int64"),
+                       ("expiry_ts", T.TimestampNTZType(), "int64")])
 
 
 # --- ST4: address learning with ageing and a port limit ---------------------
@@ -175,43 +186,41 @@ def learn_macs(df: DataFrame, ts: str = "ts", tie: str = "event_id", max_macs: i
     ``max_macs`` MACs; an entry older than ``age_sec`` at lookup time is
     aged out and frees its port slot. Adds ``learned`` (False = port
     security violation) and ``evicted_before`` (entries aged out by this
-    event's lookup). State: the switch's table, bounded by ports x max_macs."""
+    event's lookup). State: the switch's table, bounded by ports x max_macs.
+    Entries are kept in learn-time order, so ageing pops from the front."""
     a_us = int(round(age_sec * 1e6))
-    cols = df.columns
-
-    def step(st, rows):
-        table = st.setdefault("table", {})  # mac -> (port, ts)
-        ports = st.setdefault("ports", {})  # port -> set(mac)
-        us = rows["__us"].to_numpy()
-        macs = rows[mac].to_numpy()
-        prt = rows[port].to_numpy()
-        learned = np.zeros(len(us), dtype=bool)
-        evicted = np.zeros(len(us), dtype=np.int64)
-        for i, t in enumerate(us):
-            # age out entries (the reference's periodic sweep, applied at event time)
-            old = [m for m, (p, lt) in table.items() if t - lt > a_us]
-            for m in old:
-                p, _ = table.pop(m)
-                ports.get(p, set()).discard(m)
-            evicted[i] = len(old)
+
+    def step(st, c, s, e, out):
+        from collections import OrderedDict
+        table = st.setdefault("table", OrderedDict())  # mac -> (port, ts), oldest first
+        ports = st.setdefault("ports", {})             # port -> set(mac)
+        us, macs, prt = c["__us"], c[mac], c[port]
+        learned, evicted = out["learned"], out["evicted_before"]
+        for i in range(s, e):
+            t = us[i]
+            ev = 0
+            while table:
+                m0, (p0, lt) = next(iter(table.items()))
+                if t - lt <= a_us:
+                    break
+                table.popitem(last=False)
+                ports.get(p0, set()).discard(m0)
+                ev += 1
+            evicted[i] = ev
             m, p = macs[i], int(prt[i])
-            s = ports.setdefault(p, set())
-            if m not in s and len(s) >= max_macs:
+            sset = ports.setdefault(p, set())
+            if m not in sset and len(sset) >= max_macs:
+                learned[i] = False
                 continue
-            s.add(m)
-            prev = table.get(m)
+            sset.add(m)
+            prev = table.pop(m, None)
             if prev is not None and prev[0] != p:
                 ports.get(prev[0], set()).discard(m)
             table[m] = (p, t)
             learned[i] = True
-        out = rows[cols].copy()
-        out["learned"] = learned
-        out["evicted_before"] = evicted
-        return out
 
-    schema = _schema_with(df, [T.StructField("learned", T.BooleanType()),
-                               T.StructField("evicted_before", T.LongType())])
-    return keyed_scan(df, ["dpid"], ts, tie, dict, step, schema)
+    return keyed_scan(df, ["dpid"], ts, tie, dict, step,
+                      [("learned", T.BooleanType(), "bool"), ("evicted_before", T.LongType(), "int64")])
 
 
 # --- ST6: circuit-breaker replay --------------------------------------------
@@ -230,54 +239,42 @@ def breaker_states(df: DataFrame, model_key: str = "model", ts: str = "ts", tie:
     ``state`` (after the call), ``use_fallback``, ``total_failures``,
     ``total_fallbacks``."""
     r_us = int(round(reset_sec * 1e6))
-    cols = df.columns
-
-    def step(st, rows):
-        us = rows["__us"].to_numpy()
-        oks = rows[ok].to_numpy()
-        n = len(us)
-        states = np.empty(n, dtype=object)
-        fb = np.zeros(n, dtype=bool)
-        tf = np.zeros(n, dtype=np.int64)
-        tfb = np.zeros(n, dtype=np.int64)
-        s = st.get("s", CLOSED)
+
+    def step(st, c, s, e, out):
+        us, oks = c["__us"], c[ok]
+        states, fb, tf, tfb = out["state"], out["use_fallback"], out["total_failures"], out["total_fallbacks"]
+        state = st.get("s", CLOSED)
         fails, succ, last = st.get("f", 0), st.get("c", 0), st.get("l")
         tot_f, tot_fb = st.get("tf", 0), st.get("tfb", 0)
-        for i, t in enumerate(us):
-            if s == OPEN and last is not None and t - last >= r_us:
-                s, succ = HALF_OPEN, 0
-            if s == OPEN:
+        for i in range(s, e):
+            t = us[i]
+            used = False
+            if state == OPEN and last is not None and t - last >= r_us:
+                state, succ = HALF_OPEN, 0
+            if state == OPEN:
                 tot_fb += 1
-                fb[i] = True
+                used = True
             elif bool(oks[i]):
-                if s == HALF_OPEN:
+                if state == HALF_OPEN:
                     succ += 1
                     if succ >= success_threshold:
-                        s, fails, succ = CLOSED, 0, 0
+                        state, fails, succ = CLOSED, 0, 0
                 else:
                     fails = 0
             else:
                 fails += 1
                 tot_f += 1
                 last = t
-                if s == HALF_OPEN or fails >= fail_max:
-                    s = OPEN
+                if state == HALF_OPEN or fails >= fail_max:
+                    state = OPEN
                 tot_fb += 1
-                fb[i] = True
-            states[i], tf[i], tfb[i] = s, tot_f, tot_fb
-        st.update(s=s, f=fails, c=succ, l=last, tf=tot_f, tfb=tot_fb)
-        out = rows[cols].copy()
-        out["state"] = states
-        out["use_fallback"] = fb
-        out["total_failures"] = tf
-        out["total_fallbacks"] = tfb
-        return out
-
-    schema = _schema_with(df, [T.StructField("state", T.StringType()),
-                               T.StructField("use_fallback", T.BooleanType()),
-                               T.StructField("total_failures", T.LongType()),
-                               T.StructField("total_fallbacks", T.LongType())])
-    return keyed_scan(df, [model_key], ts, tie, dict, step, schema)
+                used = True
+            states[i], fb[i], tf[i], tfb[i] = state, used, tot_f, tot_fb
+        st.update(s=state, f=fails, c=succ, l=last, tf=tot_f, tfb=tot_fb)
+
+    return keyed_scan(df, [model_key], ts, tie, dict, step,
+                      [("state", T.StringType(), "object"), ("use_fallback", T.BooleanType(), "bool"),
+                       ("total_failures", T.LongType(), "int64"), ("total_fallbacks", T.LongType(), "int64")])
 
 
 # --- ST5: adaptive-window drift (ADWIN) -------------------------------------
@@ -367,30 +364,22 @@ def adwin(df: DataFrame, key: list[str], value: str = "value", ts: str = "ts", t
     """ST5: per key, feed values in time order to ADWIN; adds ``drift``
     (change detected at this value), ``window_size`` and ``drift_count``.
     State per key: the bucket lists, O(M log W)."""
-    cols = df.columns
 
-    def step(st, rows):
+    def step(st, c, s, e, out):
         a = st.get("a")
         if a is None:
             a = st["a"] = _Adwin(delta)
             st["c"] = 0
-        vals = rows[value].to_numpy(dtype=float)
-        drift = np.zeros(len(vals), dtype=bool)
-        size = np.zeros(len(vals), dtype=np.int64)
-        cnt = np.zeros(len(vals), dtype=np.int64)
-        for i, v in enumerate(vals):
-            if v == v:  # NaN values are skipped
-                drift[i] = a.update(float(v))
-            if drift[i]:
+        vals = c[value]
+        for i in range(s, e):
+            v = vals[i]
+            d = False
+            if v is not None and v == v:  # NULL / NaN values are skipped
+                d = a.update(float(v))
+            if d:
                 st["c"] += 1
-            size[i], cnt[i] = a.n, st["c"]
-        out = rows[cols].copy()
-        out["drift"] = drift
-        out["window_size"] = size
-        out["drift_count"] = cnt
-        return out
-
-    schema = _schema_with(df, [T.StructField("drift", T.BooleanType()),
-                               T.StructField("window_size", T.LongType()),
-                               T.StructField("drift_count", T.LongType())])
-    return keyed_scan(df, key, ts, tie, dict, step, schema)
+            out["drift"][i], out["window_size"][i], out["drift_count"][i] = d, a.n, st["c"]
+
+    return keyed_scan(df, key, ts, tie, dict, step,
+                      [("drift", T.BooleanType(), "bool"), ("window_size", T.LongType(), "int64"),
+                       ("drift_count", T.LongType(), "int64")])
