@@ -17,8 +17,8 @@ def threshold_detect(df: DataFrame, pps_threshold: float = PPS_THRESHOLD,
     (unscaled) rates. ``attack_prob`` is 0.5 for attacks and 0.1 otherwise."""
     hit = (F.col(pps) > pps_threshold) | (F.col(bps) > bps_threshold)
     hit = F.coalesce(hit, F.lit(False))
-    return (df.withColumn("is_attack", hit)
-              .withColumn("attack_prob", F.when(hit, F.lit(0.5)).otherwise(F.lit(0.1))))
+    return df.withColumns({"is_attack": hit,
+                           "attack_prob": F.when(hit, F.lit(0.5)).otherwise(F.lit(0.1))})
 
 
 def fast_path(df: DataFrame, pps_threshold: float = PPS_THRESHOLD,

@@ -41,11 +41,11 @@ def with_dst_aggregates(flows: DataFrame, agg: DataFrame, poll: str = "poll_ts")
     ftd = F.coalesce(F.col("flows_to_dst"), F.lit(0)).cast("bigint")
     usd = F.coalesce(F.col("unique_sources_to_dst"), F.lit(0)).cast("bigint")
     dur = F.col("duration_sec")
-    return (j.withColumn("flows_to_dst", ftd)
-             .withColumn("unique_sources_to_dst", usd)
-             .withColumn("flow_creation_rate",
-                         F.when(dur > 0, F.col("flows_to_dst") / dur)
-                          .otherwise(F.col("flows_to_dst").cast("double"))))
+    return j.withColumns({
+        "flows_to_dst": ftd,
+        "unique_sources_to_dst": usd,
+        "flow_creation_rate": F.when(dur > 0, ftd / dur).otherwise(ftd.cast("double")),
+    })
 
 
 def spoof_verdict(det: DataFrame, agg: DataFrame | None = None, poll: str = "poll_ts",
@@ -60,9 +60,11 @@ def spoof_verdict(det: DataFrame, agg: DataFrame | None = None, poll: str = "pol
                   .withColumn("unique_sources_to_dst",
                               F.coalesce("unique_sources_to_dst", F.lit(0)).cast("bigint")))
     spoof = (F.col("unique_sources_to_dst") >= min_sources) & (F.col("flows_to_dst") >= min_flows)
-    return (det.withColumn("is_spoofed", spoof)
-               .withColumn("block_scope", F.when(spoof, F.lit("dst")).otherwise(F.lit("src")))
-               .withColumn("block_src", F.when(spoof, F.lit("*")).otherwise(F.col("src_ip"))))
+    return det.withColumns({
+        "is_spoofed": spoof,
+        "block_scope": F.when(spoof, F.lit("dst")).otherwise(F.lit("src")),
+        "block_src": F.when(spoof, F.lit("*")).otherwise(F.col("src_ip")),
+    })
 
 
 def drop_rules(blocks: DataFrame, switches: DataFrame) -> DataFrame:

@@ -23,17 +23,16 @@ def rate_of_change(df: DataFrame, key: list[str] | None = None, ts: str = "ts",
     the duration floored at 1 ms."""
     key = key or FLOW_KEY
     d = F.greatest(F.col("duration_sec").cast("double"), F.lit(0.001))
-    x = df.withColumn("pps_now", F.col("packet_count") / d).withColumn("bps_now", F.col("byte_count") / d)
+    x = df.withColumns({"pps_now": F.col("packet_count") / d, "bps_now": F.col("byte_count") / d})
     x = split_lag(x, key, [ts, tie], [ts, "pps_now", "bps_now"], 1, bucket_sec)
     dt = (_us(ts) - F.unix_micros(F.col("prev1")[ts].cast("timestamp"))) / 1e6
     live = F.col("prev1").isNotNull() & (dt < ttl_sec)
     dpps = F.col("pps_now") - F.col("prev1")["pps_now"]
-    return (x.withColumn("pps_delta", F.when(live, dpps).otherwise(F.lit(0.0)))
-             .withColumn("bps_delta", F.when(live, F.col("bps_now") - F.col("prev1")["bps_now"])
-                         .otherwise(F.lit(0.0)))
-             .withColumn("pps_acceleration",
-                         F.when(live, dpps / F.greatest(F.lit(0.001), dt)).otherwise(F.lit(0.0)))
-             .drop("prev1"))
+    return x.withColumns({
+        "pps_delta": F.when(live, dpps).otherwise(F.lit(0.0)),
+        "bps_delta": F.when(live, F.col("bps_now") - F.col("prev1")["bps_now"]).otherwise(F.lit(0.0)),
+        "pps_acceleration": F.when(live, dpps / F.greatest(F.lit(0.001), dt)).otherwise(F.lit(0.0)),
+    }).drop("prev1")
 
 
 def arrival_rate(df: DataFrame, key: str = "dst_ip", ts: str = "ts", tie: str = "event_id",

@@ -26,7 +26,7 @@ def featurize(flows: DataFrame, poll: str = "poll_ts",
     j = with_dst_aggregates(elig, agg, poll)
     keep = [c for c in META if c in j.columns] + [poll]
     d = F.greatest(F.col("duration_sec").cast("double"), F.lit(0.001))
-    j = j.withColumn("pps", F.col("packet_count") / d).withColumn("bps", F.col("byte_count") / d)
+    j = j.withColumns({"pps": F.col("packet_count") / d, "bps": F.col("byte_count") / d})
     return live_features(j, keep=keep + ["pps", "bps"])
 
 
