@@ -112,19 +112,35 @@ def port_security(df: DataFrame, max_macs: int = 5, ts: str = "ts", tie: str = "
 
 
 def zscore_drift(df: DataFrame, key: str, value: str = "value", ts: str = "ts",
-                 tie: str = "event_id", n: int = 1000, min_n: int = 100) -> DataFrame:
+                 tie: str = "event_id", n: int = 1000, min_n: int = 100,
+                 bucket_sec: float = DEFAULT_BUCKET_SEC) -> DataFrame:
     """Over the last ``n`` values of the key (current included), once at
     least ``min_n`` were seen and the population std is > 0, flag when
-    ``x > mean + 3 std``; with the running drift count per key.
-
-    Bounded frame (n rows), streamed per key; the key is a model or series id."""
-    w = Window.partitionBy(key).orderBy(ts, tie).rowsBetween(-(n - 1), 0)
-    mean, std, cnt = F.avg(value).over(w), F.stddev_pop(value).over(w), F.count(value).over(w)
+    ``x > mean + 3 std``; with the running drift count and last drift time.
+
+    A drift series is usually ONE key (a model's error stream), so no step
+    may need the key in one task. The frame sums are differences of running
+    sums (``split_running``: parallel inside a key) taken in DECIMAL, so the
+    difference is exact; the sums of the row ``n`` positions back come from
+    an equi-join on (key, position)."""
+    v = F.col(value).cast("decimal(20,6)")
+    x = split_running(df, [key], [ts, tie],
+                      sums={"__pos": F.lit(1).cast("long"), "__s1": v, "__s2": v * v},
+                      bucket_sec=bucket_sec)
+    old = x.select(F.col(key).alias("__k_old"), (F.col("__pos") + n).alias("__pos_old"),
+                   F.col("__s1").alias("__s1o"), F.col("__s2").alias("__s2o"))
+    j = x.join(old, x[key].eqNullSafe(old["__k_old"]) & (x["__pos"] == old["__pos_old"]), "left")
+    s1 = F.col("__s1") - F.coalesce(F.col("__s1o"), F.lit(0))
+    s2 = F.col("__s2") - F.coalesce(F.col("__s2o"), F.lit(0))
+    cnt = F.least(F.col("__pos"), F.lit(n))
+    mean = (s1 / cnt).cast("double")
+    var = ((s2 - s1 * s1 / cnt) / cnt).cast("double")
+    std = F.sqrt(F.greatest(var, F.lit(0.0)))
     flag = F.coalesce((cnt >= min_n) & (std > 0) & (F.col(value) > mean + 3 * std), F.lit(False))
-    x = df.withColumn("drift", flag)
-    wr = Window.partitionBy(key).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
-    return (x.withColumn("drift_count", F.sum(F.col("drift").cast("int")).over(wr))
-             .withColumn("last_drift_ts", F.max(F.when(F.col("drift"), F.col(ts))).over(wr)))
+    y = j.withColumn("drift", flag).drop("__k_old", "__pos_old", "__s1o", "__s2o", "__s1", "__s2", "__pos")
+    return split_running(y, [key], [ts, tie], sums={"drift_count": F.col("drift").cast("long")},
+                         maxes={"last_drift_ts": F.when(F.col("drift"), F.col(ts))},
+                         bucket_sec=bucket_sec)
 
 
 def previous_snapshot(df: DataFrame, key: list[str], ts: str = "ts", tie: str = "event_id",
