@@ -54,6 +54,8 @@ def keyed_scan(df: DataFrame, keys: list[str], ts: str, tie: str, make_state: Ca
     array to fill. ``state`` persists across batches of the same key.
     ``out_fields``: (name, Spark type, numpy dtype); timestamp outputs are
     written as epoch microseconds."""
+    from netsieve.session import ship_package
+    ship_package(df.sparkSession)
     x = df.withColumn("__us", _epoch(df, ts))
     x = x.repartition(num_partitions, *keys) if num_partitions else x.repartition(*keys)
     x = x.sortWithinPartitions(*keys, "__us", tie)

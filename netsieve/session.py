@@ -51,3 +51,42 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="netsieve-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return d
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``netsieve`` importable in Python workers (what ``--py-files``
+    does for spark-submit): zip the package once per application and
+    ``addPyFile`` it. Needed by the operators that run Python in tasks
+    (``mapInPandas`` / ``applyInPandasWithState``)."""
+    import io
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    target = checkpoint_dir(spark)
+    if target.startswith("file:"):
+        target = target[len("file:"):]
+    if "://" in target:
+        # the checkpoint folder is remote: stage the archive on the driver,
+        # Spark's file server ships it to the executors
+        target = tempfile.mkdtemp(prefix="netsieve-pyfiles-")
+    os.makedirs(target, exist_ok=True)
+    path = os.path.join(target, f"netsieve-{app}.zip".replace("/", "_"))
+    with open(path, "wb") as fh:
+        fh.write(buf.getvalue())
+    sc.addPyFile(path)
+    _SHIPPED.add(app)

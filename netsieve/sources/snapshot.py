@@ -29,6 +29,8 @@ def _epoch_s(c) -> F.Column:
 def write_block_snapshot(blocks: DataFrame, path: str, now, saved_at: str | None = None) -> None:
     """Keep blocks unexpired at ``now`` (expiry > now) and write them as
     version-2 snapshot documents keyed ``src|dst|proto``."""
+    from netsieve.session import ship_package
+    ship_package(blocks.sparkSession)
     live = blocks.filter(F.col("expiry_ts") > F.lit(now))
     key = F.concat_ws("|", F.col("block_src"), F.coalesce(F.col("dst_ip"), F.lit("*")),
                       F.col("ip_proto").cast("string"))

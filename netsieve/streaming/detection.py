@@ -112,6 +112,8 @@ def block_stream(detections: DataFrame) -> DataFrame:
     ``timeout_sec``) -> one row per detection with its episode. Keys are the
     groups of ``applyInPandasWithState``; state survives restarts through the
     query checkpoint."""
+    from netsieve.session import ship_package
+    ship_package(detections.sparkSession)
     d = detections.withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp"))) \
                   .withColumn("__wts", F.col("ts").cast("timestamp")) \
                   .withWatermark("__wts", "2 seconds")
