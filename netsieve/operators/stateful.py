@@ -91,15 +91,49 @@ def keyed_scan(df: DataFrame, keys: list[str], ts: str, tie: str, make_state: Ca
     return x.mapInPandas(run, schema)
 
 
+# A key with more rows than this takes the bucketed (parallel) chain; below it
+# one sorted walk per key is cheaper. Sized so a walk stays well within one
+# task's time budget.
+HOT_KEY_ROWS = 2_000_000
+
+
+def _largest_key(df: DataFrame, key: list[str]) -> int:
+    """Rows of the largest key (one aggregate: partial counts per task)."""
+    r = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return int(r or 0)
+
+
 # --- ST1: resetting-window admission ---------------------------------------
 
 def admit(df: DataFrame, key: list[str], ts: str = "ts", tie: str = "event_id",
-          limit: int = 100, window_sec: float = 1.0) -> DataFrame:
+          limit: int = 100, window_sec: float = 1.0, method: str = "auto",
+          bucket_sec: float | None = None) -> DataFrame:
     """ST1: a key's window opens at its first event and closes when the
     elapsed time reaches ``window_sec``; the next event opens a new one.
     Events are admitted while fewer than ``limit`` were admitted in the
-    window. Adds ``admitted`` and ``window_start``."""
+    window. Adds ``admitted`` and ``window_start``.
+
+    ``method="split"``: window openers from the bucketed episode chain
+    (parallel inside a key, e.g. one switch), then the position inside the
+    window from split running sums. ``method="walk"``: one sorted walk per
+    key. ``"auto"`` (default): split when the largest key exceeds
+    ``HOT_KEY_ROWS``."""
     w_us = int(round(window_sec * 1e6))
+    if method == "auto":
+        method = "split" if _largest_key(df, key) > HOT_KEY_ROWS else "walk"
+    if method == "split":
+        from netsieve.operators._chain import episode_openers
+        from netsieve.operators._split import split_running
+        b = bucket_sec or max(60.0 * window_sec, window_sec)
+        o = episode_openers(df.withColumn("__dur", F.lit(w_us).cast("long")), key, ts, tie, "__dur",
+                            b, window_sec).drop("__dur")
+        us = F.unix_micros(F.col(ts).cast("timestamp"))
+        r = split_running(o, key, [ts, tie], sums={"__pos": F.lit(1).cast("long")}, bucket_sec=b)
+        r = split_running(r, key, [ts, tie], maxes={"__start_pos": F.when(F.col("opens"), F.col("__pos")),
+                                                    "__start_us": F.when(F.col("opens"), us)}, bucket_sec=b)
+        return r.select(*df.columns,
+                        (F.col("__pos") - F.col("__start_pos") + 1 <= limit).alias("admitted"),
+                        F.timestamp_micros("__start_us").cast("timestamp_ntz").alias("window_start"))
 
     def step(st, c, s, e, out):
         us, adm, wst = c["__us"], out["admitted"], out["window_start"]
@@ -152,13 +186,39 @@ def suppress_floods(df: DataFrame, ts: str = "ts", tie: str = "event_id",
 # --- ST3: block episodes -----------------------------------------------------
 
 def block_episodes(det: DataFrame, key: list[str], ts: str = "ts", tie: str = "event_id",
-                   timeout_col: str = "timeout_sec", cap_sec: float | None = None) -> DataFrame:
+                   timeout_col: str = "timeout_sec", cap_sec: float | None = None,
+                   method: str = "auto", bucket_sec: float = 3600.0) -> DataFrame:
     """ST3: a detection opens a block for its key unless one is open; hits
     inside an open block are absorbed. ``timeout_col`` holds the (jittered)
     timeout a detection would give if it opened the block; the block closes
     at start + timeout (or start + min(timeout, cap) with ``cap_sec``, the
     reference's 300 s cache re-arm). Adds ``opens``, ``start_ts``,
-    ``expiry_ts`` (of the block the detection belongs to)."""
+    ``expiry_ts`` (of the block the detection belongs to).
+
+    ``method="split"``: openers from the bucketed episode chain (buckets at
+    least as wide as the longest timeout; parallel inside a hot key),
+    start/expiry as split running maxima. ``method="walk"``: one sorted walk
+    per key. ``"auto"`` (default): split when the largest key exceeds
+    ``HOT_KEY_ROWS``."""
+    if method == "auto":
+        method = "split" if _largest_key(det, key) > HOT_KEY_ROWS else "walk"
+    if method == "split":
+        from netsieve.operators._chain import episode_openers
+        from netsieve.operators._split import split_running
+        dur = F.col(timeout_col).cast("double")
+        if cap_sec is not None:
+            dur = F.least(dur, F.lit(float(cap_sec)))
+        x = det.withColumn("__dur", F.round(dur * 1e6).cast("long"))
+        max_d = x.agg(F.max("__dur")).first()[0] or 0  # one number
+        b = max(bucket_sec, max_d / 1e6)
+        o = episode_openers(x, key, ts, tie, "__dur", b, max_d / 1e6)
+        us = F.unix_micros(F.col(ts).cast("timestamp"))
+        r = split_running(o, key, [ts, tie], maxes={"__s": F.when(F.col("opens"), us),
+                                                    "__e": F.when(F.col("opens"), us + F.col("__dur"))},
+                          bucket_sec=b)
+        return r.select(*det.columns, "opens",
+                        F.timestamp_micros("__s").cast("timestamp_ntz").alias("start_ts"),
+                        F.timestamp_micros("__e").cast("timestamp_ntz").alias("expiry_ts"))
 
     def step(st, c, s, e, out):
         us, to = c["__us"], c[timeout_col]

@@ -81,3 +81,24 @@ def test_flood_suppression(spark):
     r = {x["event_id"]: x["suppressed"] for x in suppress_floods(df, dedup_sec=1.0).collect()}
     # 0 admitted; 1 within 1 s of 0; 2 admitted (1.2 s after 0); 3 within 1 s of 2; 4 admitted
     assert r == {0: False, 1: True, 2: False, 3: True, 4: False}
+
+
+def test_split_chains_equal_walk(spark):
+    """The bucketed episode chain equals the sorted walk (ST1 and ST3), also
+    with one hot key and bucket widths close to the episode length."""
+    rnd = random.Random(13)
+    rows = [(i, _ts(rnd.uniform(0, 4000)), rnd.choice(["hot"] * 8 + ["a", "b", None]), rnd.randint(30, 90))
+            for i in range(1500)]
+    df = spark.createDataFrame(rows, "event_id LONG, ts TIMESTAMP, k STRING, timeout_sec INT")
+    for b in (90.0, 400.0):
+        walk = {r["event_id"]: (r["opens"], r["start_ts"], r["expiry_ts"])
+                for r in block_episodes(df, ["k"], method="walk").collect()}
+        split = {r["event_id"]: (r["opens"], r["start_ts"], r["expiry_ts"])
+                 for r in block_episodes(df, ["k"], method="split", bucket_sec=b).collect()}
+        assert split == walk
+    for lim, w in ((3, 20.0), (1, 7.5)):
+        walk = {r["event_id"]: (r["admitted"], r["window_start"])
+                for r in admit(df, ["k"], limit=lim, window_sec=w, method="walk").collect()}
+        split = {r["event_id"]: (r["admitted"], r["window_start"])
+                 for r in admit(df, ["k"], limit=lim, window_sec=w, method="split", bucket_sec=3 * w).collect()}
+        assert split == walk
