@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netsieve.schema import FEATURE_NAMES
@@ -74,12 +74,14 @@ def delta_rate_features(df: DataFrame, key: list[str], order: list[str],
     """With a previous snapshot of the same flow and ``window_sec > 0``, rates are
     ``max(0, cur - prev) / window_sec``; otherwise the live rule (P2) applies.
 
-    The previous snapshot is the prior row of the flow key by ``order``; the
-    window is partitioned by the key, so no row leaves its key's task.
+    The previous snapshot is the prior row of the flow key by ``order``
+    (first order column: the timestamp), found by the split keyed scan so a
+    hot flow key stays parallel.
     """
-    w = Window.partitionBy(*key).orderBy(*order)
-    prev_p = F.lag("packet_count").over(w)
-    prev_b = F.lag("byte_count").over(w)
+    from netsieve.operators._split import split_lag
+    df = split_lag(df, key, order, ["packet_count", "byte_count"], 1)
+    prev_p = F.col("prev1")["packet_count"]
+    prev_b = F.col("prev1")["byte_count"]
     dur, pkts, byts = _base(df)
     has_prev = prev_p.isNotNull() & F.lit(window_sec > 0)
     pps = F.when(has_prev, F.greatest(F.lit(0), pkts - prev_p) / F.lit(float(window_sec))) \
@@ -136,12 +138,14 @@ def icmp_fields(df: DataFrame, proto: str = "ip_proto") -> DataFrame:
 def estimate_latency(df: DataFrame, key: str, order: list[str],
                      attacks: str = "attacks_detected") -> DataFrame:
     """2650 ms when the attack counter rose since the key's previous sample,
-    else 5000 ms."""
-    w = Window.partitionBy(key).orderBy(*order)
-    prev = F.lag(attacks).over(w)
-    return df.withColumn("est_latency_ms",
-                         F.when(prev.isNotNull() & (F.col(attacks) > prev), F.lit(2650.0))
-                          .otherwise(F.lit(5000.0)))
+    else 5000 ms. The previous sample comes from the split keyed scan (a
+    monitor's samples are one key)."""
+    from netsieve.operators._split import split_lag
+    x = split_lag(df, [key], order, [attacks], 1)
+    prev = F.col("prev1")[attacks]
+    return x.withColumn("est_latency_ms",
+                        F.when(prev.isNotNull() & (F.col(attacks) > prev), F.lit(2650.0))
+                         .otherwise(F.lit(5000.0))).drop("prev1")
 
 
 def validate_features(df: DataFrame) -> DataFrame:
