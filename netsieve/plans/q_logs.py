@@ -123,8 +123,8 @@ PERF_OUT = ["timestamp", "cpu_percent", "memory_mb", "active_flows", "attacks_de
 
 @register("s7_read_perf_log", D.with_views("""
 SELECT timestamp, cpu_percent, memory_mb, active_flows, attacks_detected, avg_latency_ms,
-  cast(ts AS timestamp) AS ts FROM (SELECT *, date_trunc('second', ts) AS ts2 FROM perf) p
-""".replace("cast(ts AS timestamp) AS ts", "ts2 AS ts"), "perf"))
+  date_trunc('second', ts) AS ts FROM perf
+""", "perf"))
 def s7_read_perf_log(spark, sf):
     """Write the monitor samples as the monitor's CSV, read them back."""
     path = _scratch(spark, "perf-log")
@@ -202,8 +202,8 @@ def a19_history_summary(spark, sf):
 
 
 @register("s17_active_flow_counts", D.with_views("""
-SELECT cast(dpid AS varchar) AS switch, count(*) AS flows, sum(count(*)) OVER () AS total_flows
-FROM eligible GROUP BY dpid""".replace("sum(count(*)) OVER ()", "cast(sum(count(*)) OVER () AS bigint)"),
+SELECT cast(dpid AS varchar) AS switch, count(*) AS flows, cast(sum(count(*)) OVER () AS bigint) AS total_flows
+FROM eligible GROUP BY dpid""",
     "flows", extra={"eligible": __import__("netsieve.plans.q_core", fromlist=["x"]).ELIGIBLE_SQL}))
 def s17_active_flow_counts(spark, sf):
     """Switch dumps derived from the eligible flows: one text file per switch,

@@ -132,6 +132,12 @@ def append_labelled(df: DataFrame, path: str, quarantine: str | None = None) ->
     """Append valid rows to the canonical CSV dataset (header in every
     part); invalid rows go to ``quarantine`` when given, else are rejected."""
     valid, invalid = split_labelled(df)
+    if path_exists(df.sparkSession, path):
+        # an existing dataset with another header is appended to anyway, with a warning
+        head = df.sparkSession.read.option("header", True).csv(path).columns
+        want = [f.name for f in CANONICAL.fields]
+        if head and head != want:
+            warnings.warn(f"Header mismatch in {path}: {head} != {want}")
     valid.select(*[F.col(f.name).cast(f.dataType) for f in CANONICAL.fields]) \
         .write.mode("append").option("header", True).csv(path)
     if quarantine:
