@@ -11,6 +11,9 @@
   writes one file set per poll and the trigger cap is counted in files.
 * ``block_stream``: block episodes over the detection stream with
   ``applyInPandasWithState``; state per block key is (start, expiry).
+  Episodes follow arrival order, as the live controller does: the source
+  must deliver detections in time order (the detection stream writes them
+  epoch by epoch); rows later than the 2 s watermark are dropped.
 """
 
 from __future__ import annotations
