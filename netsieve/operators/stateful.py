@@ -158,15 +158,30 @@ def admit(df: DataFrame, key: list[str], ts: str = "ts", tie: str = "event_id",
 
 def suppress_floods(df: DataFrame, ts: str = "ts", tie: str = "event_id",
                     switch_key: list[str] | None = None, flow_key: list[str] | None = None,
-                    limit: int = 100, window_sec: float = 1.0, dedup_sec: float = 1.0) -> DataFrame:
+                    limit: int = 100, window_sec: float = 1.0, dedup_sec: float = 1.0,
+                    method: str = "auto", bucket_sec: float | None = None) -> DataFrame:
     """ST2: per switch the ST1 limiter first; then an event is suppressed when
     the last *admitted* event of the same (switch, src, dst, ethertype) is
     less than ``dedup_sec`` old; suppressed events do not refresh it.
-    Adds ``suppressed``."""
+    Adds ``suppressed``.
+
+    The dedup is itself an episode chain: a passing event opens a
+    suppression episode of ``dedup_sec`` that absorbs later events, so for
+    hot flow keys it takes the bucketed parallel form (``method="auto"``)."""
     sk = switch_key or ["dpid"]
     fk = flow_key or ["dpid", "eth_src", "eth_dst", "ethertype"]
-    a = admit(df, sk, ts, tie, limit, window_sec).drop("window_start")
+    a = admit(df, sk, ts, tie, limit, window_sec, method=method).drop("window_start")
     d_us = int(round(dedup_sec * 1e6))
+    if method == "auto":
+        method = "split" if _largest_key(a, fk) > HOT_KEY_ROWS else "walk"
+    if method == "split":
+        from netsieve.operators._chain import episode_openers
+        ok = a.filter(F.col("admitted")).withColumn("__dur", F.lit(d_us).cast("long"))
+        b = bucket_sec or max(60.0 * dedup_sec, dedup_sec)
+        o = episode_openers(ok, fk, ts, tie, "__dur", b, dedup_sec)
+        passed = o.select(*a.columns, (~F.col("opens")).alias("suppressed"))
+        refused = a.filter(~F.col("admitted")).withColumn("suppressed", F.lit(True))
+        return passed.unionByName(refused)
 
     def step(st, c, s, e, out):
         us, ok, sup = c["__us"], c["admitted"], out["suppressed"]

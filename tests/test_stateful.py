@@ -102,3 +102,16 @@ def test_split_chains_equal_walk(spark):
         split = {r["event_id"]: (r["admitted"], r["window_start"])
                  for r in admit(df, ["k"], limit=lim, window_sec=w, method="split", bucket_sec=3 * w).collect()}
         assert split == walk
+
+
+def test_split_flood_suppression_equals_walk(spark):
+    rnd = random.Random(17)
+    rows = [(i, _ts(rnd.uniform(0, 600)), rnd.choice([1, 2]), rnd.choice(["m1", "m2", "m3"]), "ff", 2048)
+            for i in range(1200)]
+    df = spark.createDataFrame(rows, "event_id LONG, ts TIMESTAMP, dpid INT, eth_src STRING, eth_dst STRING, "
+                                     "ethertype INT")
+    kw = dict(limit=4, window_sec=2.0, dedup_sec=3.0)
+    walk = {r["event_id"]: r["suppressed"] for r in suppress_floods(df, method="walk", **kw).collect()}
+    split = {r["event_id"]: r["suppressed"] for r in suppress_floods(df, method="split", bucket_sec=9.0,
+                                                                    **kw).collect()}
+    assert split == walk and 0 < sum(walk.values()) < len(walk)
