@@ -127,3 +127,153 @@ def episode_openers(df: DataFrame, keys: list[str], ts: str, tie: str, dur_us_co
 
     return j.groupBy(*keys, "__b").applyInPandas(mark, out_schema) \
             .drop("__us", "__d", "__b", "__tie", "__o_us", "__o_tie")
+
+
+# --- circuit breaker split across buckets ----------------------------------------
+
+def _breaker_step(state, t, ok, fail_max, r_us, succ_thr):
+    """One call through the breaker. States: ("C", fails), ("H", successes),
+    ("O", last_failure_us). Returns (state, used_fallback, counted_failure)."""
+    mode, v = state
+    if mode == "O" and t - v >= r_us:
+        mode, v = "H", 0
+    if mode == "O":
+        return (mode, v), True, False
+    if ok:
+        if mode == "H":
+            v += 1
+            return (("C", 0) if v >= succ_thr else ("H", v)), False, False
+        return ("C", 0), False, False
+    if mode == "H":
+        return ("O", t), True, True
+    v += 1
+    return (("O", t) if v >= fail_max else ("C", v)), True, True
+
+
+def breaker_split(df: DataFrame, key: str, ts: str, tie: str, ok: str, fail_max: int, reset_sec: float,
+                  success_threshold: int, bucket_sec: float) -> DataFrame:
+    """ST6 replay, parallel inside one model's series. Adds ``state``,
+    ``use_fallback``, ``total_failures``, ``total_fallbacks``."""
+    from netsieve.session import ship_package
+    from netsieve.operators.stateful import keyed_scan
+    from netsieve.operators._split import split_running
+
+    if bucket_sec < reset_sec:
+        raise ValueError("bucket width must be at least the reset time")
+    ship_package(df.sparkSession)
+    w_us, r_us = int(round(bucket_sec * 1e6)), int(round(reset_sec * 1e6))
+    x = (df.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
+           .withColumn("__b", F.floor(F.col("__us") / w_us).cast("long"))
+           .withColumn("__tie", F.col(tie).cast("long")))
+    kf = x.schema[key]
+    discrete = [("C", f) for f in range(fail_max)] + [("H", s) for s in range(success_threshold)]
+
+    # 1. exit state of each bucket for every possible entry state
+    exit_schema = T.StructType([kf, T.StructField("__b", T.LongType()),
+                                T.StructField("__kind", T.StringType()), T.StructField("__param", T.LongType()),
+                                T.StructField("__cand_us", T.LongType()), T.StructField("__x_mode", T.StringType()),
+                                T.StructField("__x_val", T.LongType())])
+
+    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["__us", "__tie"], kind="mergesort")
+        t = pdf["__us"].to_numpy(np.int64)
+        okv = pdf[ok].to_numpy(bool)
+        n = len(t)
+        bs = int(pdf["__b"].iloc[0]) * w_us
+        m = int(np.searchsorted(t, bs + r_us, side="left"))
+        entries = [(k, v, None) for k, v in discrete] + [("O", k, int(t[k])) for k in range(min(m + 1, n))]
+        starts: dict[int, list[int]] = {}
+        groups: dict = {}
+        for eid, (kind, param, _) in enumerate(entries):
+            if kind == "O":
+                starts.setdefault(param, []).append(eid)
+            else:
+                groups.setdefault((kind, param), []).append(eid)
+        for i in range(n):
+            for eid in starts.get(i, []):
+                groups.setdefault(("H", 0), []).append(eid)
+            nxt: dict = {}
+            for st, eids in groups.items():
+                ns, _, _ = _breaker_step(st, int(t[i]), bool(okv[i]), fail_max, r_us, success_threshold)
+                nxt.setdefault(ns, []).extend(eids)
+            groups = nxt
+        out = [None] * len(entries)
+        for st, eids in groups.items():
+            for eid in eids:
+                out[eid] = st
+        kv = pdf[key].iloc[0]
+        return pd.DataFrame({key: [kv] * len(entries), "__b": pdf["__b"].iloc[0],
+                             "__kind": [e[0] for e in entries], "__param": [e[1] for e in entries],
+                             "__cand_us": [e[2] for e in entries], "__x_mode": [s[0] for s in out],
+                             "__x_val": [int(s[1]) for s in out]})
+
+    base = x.select(key, "__b", "__us", "__tie", ok)
+    ex = base.groupBy(key, "__b").applyInPandas(exits, exit_schema)
+
+    # 2. the true entry of each bucket: walk the exit table of each model
+    order_key = (F.when(F.col("__kind") == "C", 0).when(F.col("__kind") == "H", 1).otherwise(2) * (1 << 40)
+                 + F.coalesce(F.col("__cand_us") - F.col("__b") * w_us, F.col("__param")))
+    ex = ex.withColumn("__ts", F.timestamp_micros(F.col("__b") * w_us)).withColumn("__ord", order_key)
+
+    def choose(st, c, s, e, out):
+        cur_b = st.get("b")
+        entry = st.get("entry", ("C", 0))
+        nxt = st.get("next")
+        done = st.get("done", False)
+        for i in range(s, e):
+            b = c["__b"][i]
+            if b != cur_b:
+                if cur_b is not None and done:
+                    entry = nxt
+                cur_b, done, nxt = b, False, None
+            kind, param, cand = c["__kind"][i], int(c["__param"][i]), c["__cand_us"][i]
+            hit = False
+            if not done:
+                if entry[0] == "O":
+                    hit = kind == "O" and cand is not None and cand == cand and int(cand) - entry[1] >= r_us
+                else:
+                    hit = kind == entry[0] and param == entry[1]
+            if hit:
+                done, nxt = True, (c["__x_mode"][i], int(c["__x_val"][i]))
+            out["__chosen"][i] = hit
+        st.update(b=cur_b, entry=entry, next=nxt, done=done)
+
+    chosen = keyed_scan(ex, [key], "__ts", "__ord", dict, choose, [("__chosen", T.BooleanType(), "bool")])
+    first = chosen.filter("__chosen").select(key, "__b", "__kind", "__param")
+
+    # 3. replay each bucket from its true entry
+    j = _null_safe_join(x.withColumnRenamed("__b", "__b"), first, [key])
+    out_fields = [T.StructField("state", T.StringType()), T.StructField("use_fallback", T.BooleanType()),
+                  T.StructField("__fail", T.LongType())]
+    schema = T.StructType(j.schema.fields + out_fields)
+    names = {"C": "closed", "H": "half_open", "O": "open"}
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["__us", "__tie"], kind="mergesort").reset_index(drop=True)
+        n = len(pdf)
+        t = pdf["__us"].to_numpy(np.int64)
+        okv = pdf[ok].to_numpy(bool)
+        kind, param = pdf["__kind"].iloc[0], pdf["__param"].iloc[0]
+        states = np.empty(n, dtype=object)
+        fb = np.ones(n, dtype=bool)
+        fail = np.zeros(n, dtype=np.int64)
+        if kind is None or (isinstance(kind, float) and kind != kind):
+            start, st = n, None               # still open for the whole bucket
+        elif kind == "O":
+            start, st = int(param), ("H", 0)
+        else:
+            start, st = 0, (kind, int(param))
+        states[:start] = "open"
+        for i in range(start, n):
+            st, used, counted = _breaker_step(st, int(t[i]), bool(okv[i]), fail_max, r_us, success_threshold)
+            states[i], fb[i], fail[i] = names[st[0]], used, int(counted)
+        pdf["state"], pdf["use_fallback"], pdf["__fail"] = states, fb, fail
+        return pdf
+
+    r = j.groupBy(key, "__b").applyInPandas(replay, schema)
+    r = split_running(r, [key], [ts, tie], sums={"total_failures": F.col("__fail"),
+                                                 "total_fallbacks": F.col("use_fallback").cast("long")},
+                      bucket_sec=bucket_sec)
+    return r.select(*df.columns, "state", "use_fallback",
+                    F.col("total_failures").cast("long").alias("total_failures"),
+                    F.col("total_fallbacks").cast("long").alias("total_fallbacks"))

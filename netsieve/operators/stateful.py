@@ -307,14 +307,28 @@ CLOSED, OPEN, HALF_OPEN = "closed", "open", "half_open"
 
 def breaker_states(df: DataFrame, model_key: str = "model", ts: str = "ts", tie: str = "event_id",
                    ok: str = "ok", fail_max: int = 5, reset_sec: float = 30.0,
-                   success_threshold: int = 2) -> DataFrame:
+                   success_threshold: int = 2, method: str = "auto",
+                   bucket_sec: float = 3600.0) -> DataFrame:
     """ST6: replay a per-model log of call outcomes through the breaker:
     closed -> open after ``fail_max`` consecutive failures; open -> half-open
     once ``reset_sec`` passed since the last failure; half-open -> closed
     after ``success_threshold`` successes, -> open on any failure. Calls that
     arrive while open use the fallback and change no counter. Adds
     ``state`` (after the call), ``use_fallback``, ``total_failures``,
-    ``total_fallbacks``."""
+    ``total_fallbacks``.
+
+    ``method="split"``: each bucket (>= the reset time wide) is simulated
+    from every possible entry state at once (identical states merge), a walk
+    over the small exit table fixes each bucket's true entry, and a second
+    per-bucket replay emits the rows (``operators/_chain.py``);
+    ``"walk"``: one sorted walk per model; ``"auto"`` picks split for a
+    model with more than ``HOT_KEY_ROWS`` calls."""
+    if method == "auto":
+        method = "split" if _largest_key(df, [model_key]) > HOT_KEY_ROWS else "walk"
+    if method == "split":
+        from netsieve.operators._chain import breaker_split
+        return breaker_split(df, model_key, ts, tie, ok, fail_max, reset_sec, success_threshold,
+                             max(bucket_sec, reset_sec))
     r_us = int(round(reset_sec * 1e6))
 
     def step(st, c, s, e, out):

@@ -115,3 +115,19 @@ def test_split_flood_suppression_equals_walk(spark):
     split = {r["event_id"]: r["suppressed"] for r in suppress_floods(df, method="split", bucket_sec=9.0,
                                                                     **kw).collect()}
     assert split == walk and 0 < sum(walk.values()) < len(walk)
+
+
+def test_split_breaker_equals_walk(spark):
+    rnd = random.Random(23)
+    t, rows = 0.0, []
+    for i in range(1500):
+        t += rnd.expovariate(1 / 4.0)           # ~4 s apart: open -> half-open happens inside buckets
+        rows.append((i, _ts(t), rnd.choice(["m", "m", "n"]), rnd.random() > 0.35))
+    df = spark.createDataFrame(rows, "event_id LONG, ts TIMESTAMP, model STRING, ok BOOLEAN")
+    cols = ("state", "use_fallback", "total_failures", "total_fallbacks")
+    walk = {r["event_id"]: tuple(r[c] for c in cols) for r in breaker_states(df, method="walk").collect()}
+    for b in (30.0, 95.0):
+        split = {r["event_id"]: tuple(r[c] for c in cols)
+                 for r in breaker_states(df, method="split", bucket_sec=b).collect()}
+        assert split == walk
+    assert {v[0] for v in walk.values()} == {"closed", "open", "half_open"}
