@@ -171,13 +171,18 @@ def ttl_counter(df: DataFrame, key: list[str], ts: str = "ts", tie: str = "event
 
 def timeline(df: DataFrame, unit: str = "hour", ts: str = "ts") -> DataFrame:
     """Events per hour (or minute) from the first to the last bin, empty
-    bins 0. The bin list is generated from the one-row (min, max) aggregate;
-    the counts are an aggregate; the fill is an equi-join on the bin."""
-    step = {"hour": "INTERVAL 1 HOUR", "minute": "INTERVAL 1 MINUTE"}[unit]
+    bins 0. The first/last bin are two scalars of a one-row aggregate; the
+    bin list is ``spark.range`` over the bin count (generated in parallel,
+    not exploded from one row); the counts are an aggregate; the fill is an
+    equi-join on the bin."""
+    step_us = {"hour": 3_600_000_000, "minute": 60_000_000}[unit]
     b = F.date_trunc(unit, F.col(ts).cast("timestamp"))
     counts = df.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("events"))
-    rng = df.agg(F.min(b).alias("lo"), F.max(b).alias("hi"))
-    bins = rng.select(F.explode(F.sequence("lo", "hi", F.expr(step))).alias("bin"))
+    lo, hi = df.agg(F.unix_micros(F.min(b)), F.unix_micros(F.max(b))).first()
+    if lo is None:
+        return counts.limit(0)
+    n = (hi - lo) // step_us + 1
+    bins = df.sparkSession.range(n).select(F.timestamp_micros(F.lit(lo) + F.col("id") * step_us).alias("bin"))
     return (bins.join(counts, "bin", "left")
                 .select("bin", F.coalesce("events", F.lit(0)).cast("bigint").alias("events")))
 
