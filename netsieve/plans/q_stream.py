@@ -82,3 +82,59 @@ def a1_dst_aggregates_stream(spark, sf):
          .option("checkpointLocation", res + "_ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(res)
+
+
+def _write_time_ordered(spark, df, name: str, slice_sec: int = 3 * 86400) -> str:
+    """Files as a live source leaves them: one folder per time slice, written
+    in time order (a stream takes files in arrival order)."""
+    path = _scratch(spark, name)
+    sl = df.withColumn("__slice", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (slice_sec * 1e6)))
+    for i, v in enumerate(sorted(r[0] for r in sl.select("__slice").distinct().collect())):  # slice ids only
+        sl.filter(F.col("__slice") == v).drop("__slice").write.parquet(os.path.join(path, f"slice={i:05d}"))
+    return path
+
+
+def _stream_to_table(spark, sdf, name: str):
+    res = _scratch(spark, name)
+    q = (sdf.writeStream.format("parquet").option("path", res).option("checkpointLocation", res + "_ckpt")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(res)
+
+
+def _oracle(name: str) -> str:
+    from netsieve.plans.catalog import ORACLES
+    return ORACLES[name]
+
+
+@register("st1_admit_stream", None)
+def st1_admit_stream(spark, sf):
+    """ST1 on the stream of switch arrivals (same limits as ``st1_admit``)."""
+    from netsieve.plans.q_stateful import ST1_LIMIT, ST1_WINDOW
+    from netsieve.streaming.detection import admit_stream
+    a = D.arrivals(spark, sf).select("event_id", "ts", "dpid")
+    path = _write_time_ordered(spark, a, "arrivals-stream")
+    s = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    r = _stream_to_table(spark, admit_stream(s, "dpid", ST1_LIMIT, ST1_WINDOW), "admit-stream")
+    return r.select("event_id", "admitted", "window_start")
+
+
+@register("st6_breaker_stream", None)
+def st6_breaker_stream(spark, sf):
+    """ST6 on the stream of call outcomes (same rules as ``st6_breaker_states``)."""
+    from netsieve.plans.q_stateful import outcomes
+    from netsieve.streaming.detection import breaker_stream
+    o = outcomes(spark, sf)
+    path = _write_time_ordered(spark, o, "outcomes-stream")
+    s = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    r = _stream_to_table(spark, breaker_stream(s), "breaker-stream")
+    return r.select("event_id", "state", "use_fallback", "total_failures", "total_fallbacks")
+
+
+def _register_stream_oracles():
+    from netsieve.plans.catalog import ORACLES
+    ORACLES["st1_admit_stream"] = _oracle("st1_admit")
+    ORACLES["st6_breaker_stream"] = _oracle("st6_breaker_states")
+
+
+_register_stream_oracles()

@@ -122,3 +122,80 @@ def block_stream(detections: DataFrame) -> DataFrame:
                   .withWatermark("__wts", "2 seconds")
     return (d.groupBy("block_src", "dst_ip", "ip_proto")
              .applyInPandasWithState(_episode_step, BLOCK_OUT, BLOCK_STATE, "append", "NoTimeout"))
+
+
+# --- streaming forms of the keyed chains (ST1, ST6) --------------------------
+
+ADMIT_STATE = "start_us LONG, cnt LONG"
+
+
+def admit_stream(events: DataFrame, key: str, limit: int = 100, window_sec: float = 1.0,
+                 ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """Streaming ST1: per key (a switch) the resetting-window limiter with
+    (window start, count) kept in streaming state. Emits ``event_id``,
+    ``admitted`` and ``window_start``. Arrival order is event order."""
+    from netsieve.session import ship_package
+    ship_package(events.sparkSession)
+    w_us = int(round(window_sec * 1e6))
+    out = T.StructType([T.StructField(key, events.schema[key].dataType), T.StructField(tie, T.LongType()),
+                        T.StructField("admitted", T.BooleanType()),
+                        T.StructField("window_start", T.TimestampNTZType())])
+
+    def step(k, batches, state):
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["__us", tie], kind="mergesort")
+        start, cnt = state.get if state.exists else (None, 0)
+        adm, wst = [], []
+        for t in pdf["__us"]:
+            t = int(t)
+            if start is None or t - start >= w_us:
+                start, cnt = t, 0
+            ok = cnt < limit
+            cnt += int(ok)
+            adm.append(ok)
+            wst.append(start)
+        state.update((start, cnt))
+        yield pd.DataFrame({key: k[0], tie: pdf[tie].astype("int64").to_numpy(), "admitted": adm,
+                            "window_start": pd.to_datetime(wst, unit="us")})
+
+    d = (events.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
+               .withColumn("__wts", F.col(ts).cast("timestamp")).withWatermark("__wts", "2 seconds"))
+    return d.groupBy(key).applyInPandasWithState(step, out, ADMIT_STATE, "append", "NoTimeout")
+
+
+BREAKER_STATE = "mode STRING, val LONG, tot_f LONG, tot_fb LONG"
+
+
+def breaker_stream(outcomes: DataFrame, model_key: str = "model", ok: str = "ok", ts: str = "ts",
+                   tie: str = "event_id", fail_max: int = 5, reset_sec: float = 30.0,
+                   success_threshold: int = 2) -> DataFrame:
+    """Streaming ST6: the breaker replay per model with its state machine and
+    totals in streaming state (same transition function as the batch forms)."""
+    from netsieve.operators._chain import _breaker_step
+    from netsieve.session import ship_package
+    ship_package(outcomes.sparkSession)
+    r_us = int(round(reset_sec * 1e6))
+    names = {"C": "closed", "H": "half_open", "O": "open"}
+    out = T.StructType([T.StructField(model_key, outcomes.schema[model_key].dataType),
+                        T.StructField(tie, T.LongType()), T.StructField("state", T.StringType()),
+                        T.StructField("use_fallback", T.BooleanType()),
+                        T.StructField("total_failures", T.LongType()),
+                        T.StructField("total_fallbacks", T.LongType())])
+
+    def step(k, batches, state):
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["__us", tie], kind="mergesort")
+        mode, val, tf, tfb = state.get if state.exists else ("C", 0, 0, 0)
+        st = (mode, int(val))
+        rows = []
+        for t, okv in zip(pdf["__us"], pdf[ok]):
+            st, used, counted = _breaker_step(st, int(t), bool(okv), fail_max, r_us, success_threshold)
+            tf += int(counted)
+            tfb += int(used)
+            rows.append((names[st[0]], used, tf, tfb))
+        state.update((st[0], int(st[1]), int(tf), int(tfb)))
+        yield pd.DataFrame({model_key: k[0], tie: pdf[tie].astype("int64").to_numpy(),
+                            "state": [r[0] for r in rows], "use_fallback": [r[1] for r in rows],
+                            "total_failures": [r[2] for r in rows], "total_fallbacks": [r[3] for r in rows]})
+
+    d = (outcomes.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
+                 .withColumn("__wts", F.col(ts).cast("timestamp")).withWatermark("__wts", "2 seconds"))
+    return d.groupBy(model_key).applyInPandasWithState(step, out, BREAKER_STATE, "append", "NoTimeout")

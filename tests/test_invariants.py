@@ -67,3 +67,41 @@ def test_sample_contains_top_n_and_aggregate_bounds(spark):
     assert set(top["event_id"]) <= ps
     a = dst_aggregates(f, "poll_ts")
     assert a.filter(F.col("flows_to_dst") < F.col("unique_sources_to_dst")).count() == 0
+
+
+def _sequential_source(spark, df, slice_sec=600):
+    src = tempfile.mkdtemp(prefix="netsieve-test-src-")
+    sl = df.withColumn("slice", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (slice_sec * 1e6)))
+    for i, v in enumerate(sorted(r[0] for r in sl.select("slice").distinct().collect())):
+        sl.filter(F.col("slice") == v).drop("slice").coalesce(1).write.parquet(os.path.join(src, f"part{i:04d}"))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "part*"))
+
+
+def _run_to_table(spark, stream_df):
+    out = tempfile.mkdtemp(prefix="netsieve-test-out-")
+    q = (stream_df.writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", os.path.join(out, "_ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+def test_admit_and_breaker_streams_equal_batch(spark):
+    from netsieve.operators.stateful import admit, breaker_states
+    from netsieve.streaming.detection import admit_stream, breaker_stream
+    rnd = random.Random(31)
+    t, rows = 0.0, []
+    for i in range(600):
+        t += rnd.expovariate(1 / 5.0)
+        rows.append((i, T0 + dt.timedelta(seconds=t), rnd.choice([1, 2]), rnd.choice(["m", "n"]), rnd.random() > 0.4))
+    df = spark.createDataFrame(rows, "event_id LONG, ts TIMESTAMP_NTZ, dpid INT, model STRING, ok BOOLEAN")
+    s = _sequential_source(spark, df)
+    got = {r["event_id"]: (r["admitted"], r["window_start"])
+           for r in _run_to_table(spark, admit_stream(s, "dpid", limit=3, window_sec=20.0)).collect()}
+    exp = {r["event_id"]: (r["admitted"], r["window_start"])
+           for r in admit(df, ["dpid"], limit=3, window_sec=20.0, method="walk").collect()}
+    assert got == exp
+    s2 = _sequential_source(spark, df)
+    cols = ("state", "use_fallback", "total_failures", "total_fallbacks")
+    got = {r["event_id"]: tuple(r[c] for c in cols) for r in _run_to_table(spark, breaker_stream(s2)).collect()}
+    exp = {r["event_id"]: tuple(r[c] for c in cols) for r in breaker_states(df, method="walk").collect()}
+    assert got == exp
