@@ -26,6 +26,14 @@ def time_bucket(ts: str, bucket_sec: float) -> Column:
     return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (bucket_sec * 1e6)).cast("bigint")
 
 
+def key_struct(keys: list[str]) -> Column:
+    """One non-null surrogate for a composite key. Struct equality treats NULL
+    fields as equal, so windows, aggregates and equi-joins on it keep the
+    NULL-key group (as the reference's 'unknown' value does) and share one
+    hash partitioning — no null-safe join expression that forces a reshuffle."""
+    return F.struct(*[F.col(k) for k in keys])
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     r = right
     for k in keys + ["__b"]:
@@ -41,31 +49,31 @@ def split_lag(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
     row of the same key in ``order`` (first order column is the timestamp),
     NULL when there is none. Rows with a NULL timestamp must be filtered out
     (or given their own key) by the caller."""
-    d = df.withColumn("__b", time_bucket(order[0], bucket_sec))
-    w = Window.partitionBy(*keys, "__b").orderBy(*order)
-    wp = Window.partitionBy(*keys, "__b")
+    d = df.withColumn("__kk", key_struct(keys)).withColumn("__b", time_bucket(order[0], bucket_sec))
+    w = Window.partitionBy("__kk", "__b").orderBy(*order)
+    wp = Window.partitionBy("__kk", "__b")
     rec = F.struct(*[F.col(c) for c in cols])
     # one sort, one pass: position, bucket size and the n lags together
     d = d.select("*", F.row_number().over(w).alias("__p"), F.count(F.lit(1)).over(wp).alias("__cnt"),
                  *[F.lag(rec, k).over(w).alias(f"__l{k}") for k in range(1, n + 1)])
     # the last n rows of every (key, bucket): same partitioning, no new shuffle
     tail = (d.filter(F.col("__p") > F.col("__cnt") - n)
-              .groupBy(*keys, "__b")
+              .groupBy("__kk", "__b")
               .agg(F.sort_array(F.collect_list(F.struct(F.col("__p"), rec.alias("v")))).alias("__t")))
     # rows carried into a bucket: last n rows of the previous n non-empty buckets
-    wb = Window.partitionBy(*keys).orderBy("__b").rowsBetween(-n, -1)
+    wb = Window.partitionBy("__kk").orderBy("__b").rowsBetween(-n, -1)
     flat = F.flatten(F.collect_list("__t").over(wb))
-    carry = tail.select(*keys, "__b", flat.alias("__c"))
-    carry = carry.select(*keys, "__b", F.slice("__c", F.greatest(F.size("__c") - n + 1, F.lit(1)), n)
+    carry = tail.select("__kk", "__b", flat.alias("__c"))
+    carry = carry.select("__kk", "__b", F.slice("__c", F.greatest(F.size("__c") - n + 1, F.lit(1)), n)
                          .alias("__c"))
-    j = _null_safe_join(d, carry, keys)
+    j = d.join(carry, ["__kk", "__b"], "left")
     outs = {}
     for k in range(1, n + 1):
         back = F.greatest(F.lit(k) - F.col("__p") + 1, F.lit(1))
         from_carry = F.try_element_at(F.col("__c"), -back)["v"]
         outs[f"{prefix}{k}"] = F.when(F.col("__p") > k, F.col(f"__l{k}")).otherwise(from_carry)
     j = j.withColumns(outs)
-    return j.drop("__b", "__p", "__cnt", "__c", *[f"__l{k}" for k in range(1, n + 1)])
+    return j.drop("__kk", "__b", "__p", "__cnt", "__c", *[f"__l{k}" for k in range(1, n + 1)])
 
 
 def split_running(df: DataFrame, keys: list[str], order: list[str],
@@ -73,19 +81,19 @@ def split_running(df: DataFrame, keys: list[str], order: list[str],
                   bucket_sec: float = DEFAULT_BUCKET_SEC) -> DataFrame:
     """Add inclusive running sums and maxima per key in ``order``."""
     sums, maxes = sums or {}, maxes or {}
-    d = df.withColumn("__b", time_bucket(order[0], bucket_sec))
+    d = df.withColumn("__kk", key_struct(keys)).withColumn("__b", time_bucket(order[0], bucket_sec))
     d = d.withColumns({f"__v_{n}": e for n, e in {**sums, **maxes}.items()})
-    w = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("__kk", "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.select("*", *[F.sum(f"__v_{n}").over(w).alias(f"__in_{n}") for n in sums],
                  *[F.max(f"__v_{n}").over(w).alias(f"__in_{n}") for n in maxes])
-    tot = d.groupBy(*keys, "__b").agg(*[F.sum(f"__v_{n}").alias(f"__bt_{n}") for n in sums],
-                                       *[F.max(f"__v_{n}").alias(f"__bt_{n}") for n in maxes])
-    wb = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = tot.select(*keys, "__b",
+    tot = d.groupBy("__kk", "__b").agg(*[F.sum(f"__v_{n}").alias(f"__bt_{n}") for n in sums],
+                                        *[F.max(f"__v_{n}").alias(f"__bt_{n}") for n in maxes])
+    wb = Window.partitionBy("__kk").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tot.select("__kk", "__b",
                        *[F.sum(f"__bt_{n}").over(wb).alias(f"__c_{n}") for n in sums],
                        *[F.max(f"__bt_{n}").over(wb).alias(f"__c_{n}") for n in maxes])
-    j = _null_safe_join(d, carry, keys)
+    j = d.join(carry, ["__kk", "__b"], "left")
     j = j.withColumns({**{n: F.coalesce(F.col(f"__c_{n}"), F.lit(0)) + F.col(f"__in_{n}") for n in sums},
                        **{n: F.greatest(F.col(f"__c_{n}"), F.col(f"__in_{n}")) for n in maxes}})
-    drop = ["__b"] + [f"__{p}_{n}" for n in {**sums, **maxes} for p in ("v", "in", "c")]
+    drop = ["__kk", "__b"] + [f"__{p}_{n}" for n in {**sums, **maxes} for p in ("v", "in", "c")]
     return j.drop(*drop)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsieve.functions.network import ip_to_long, valid_ipv4
-from netsieve.operators._split import _null_safe_join
+from netsieve.operators._split import key_struct
 
 # Block rule constants of the reference topology.
 PRIORITY_BLOCK = 100
@@ -113,26 +113,26 @@ def asof_lookup(probes: DataFrame, facts: DataFrame, keys: list[str], ts: str,
     epoch = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     bucket = F.floor(epoch(ts) / (bsec * 1e6)).cast("bigint")
     fact_struct = F.struct(F.col(ts).alias("fact_ts"), *[F.col(c) for c in value_cols])
-    f = facts.select(*keys, F.col(ts).alias("__t"), bucket.alias("__b"),
+    f = facts.select(key_struct(keys).alias("__kk"), F.col(ts).alias("__t"), bucket.alias("__b"),
                      F.lit(0).alias("__kind"), fact_struct.alias("__fact"))
-    p = probes.select(*keys, F.col(ts).alias("__t"), bucket.alias("__b"),
+    p = probes.select(key_struct(keys).alias("__kk"), F.col(ts).alias("__t"), bucket.alias("__b"),
                       F.lit(1).alias("__kind"), F.struct(*[F.col(c) for c in probes.columns]).alias("__probe"))
     u = f.unionByName(p, allowMissingColumns=True)
 
     # newest fact per (key, bucket), carried to later buckets of the key
-    per_b = (f.groupBy(*keys, "__b").agg(F.max_by("__fact", "__t").alias("__bl"))
-               .unionByName(p.select(*keys, "__b").distinct()
+    per_b = (f.groupBy("__kk", "__b").agg(F.max_by("__fact", "__t").alias("__bl"))
+               .unionByName(p.select("__kk", "__b").distinct()
                              .withColumn("__bl", F.lit(None).cast(f.schema["__fact"].dataType))))
-    wb = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (per_b.groupBy(*keys, "__b").agg(F.max("__bl").alias("__bl"))
+    wb = Window.partitionBy("__kk").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (per_b.groupBy("__kk", "__b").agg(F.max("__bl").alias("__bl"))
                   .withColumn("__carry", F.last("__bl", ignorenulls=True).over(wb))
-                  .select(*keys, "__b", "__carry"))
+                  .select("__kk", "__b", "__carry"))
 
-    w = (Window.partitionBy(*keys, "__b").orderBy("__t", "__kind")
+    w = (Window.partitionBy("__kk", "__b").orderBy("__t", "__kind")
                .rowsBetween(Window.unboundedPreceding, 0))
     scanned = (u.withColumn("__in", F.last("__fact", ignorenulls=True).over(w))
                 .filter(F.col("__kind") == 1))
-    j = _null_safe_join(scanned, carry, keys)
+    j = scanned.join(carry, ["__kk", "__b"], "left")
     fact = F.coalesce(F.col("__in"), F.col("__carry"))
     out = j.select(F.col("__probe.*"), fact.alias("__f"))
     age = (F.unix_micros(F.col(ts).cast("timestamp")) -
