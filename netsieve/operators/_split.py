@@ -49,17 +49,24 @@ def split_lag(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
     row of the same key in ``order`` (first order column is the timestamp),
     NULL when there is none. Rows with a NULL timestamp must be filtered out
     (or given their own key) by the caller."""
-    d = df.withColumn("__kk", key_struct(keys)).withColumn("__b", time_bucket(order[0], bucket_sec))
+    d0 = df.withColumn("__kk", key_struct(keys)).withColumn("__b", time_bucket(order[0], bucket_sec))
     w = Window.partitionBy("__kk", "__b").orderBy(*order)
     wp = Window.partitionBy("__kk", "__b")
     rec = F.struct(*[F.col(c) for c in cols])
     # one sort, one pass: position, bucket size and the n lags together
-    d = d.select("*", F.row_number().over(w).alias("__p"), F.count(F.lit(1)).over(wp).alias("__cnt"),
-                 *[F.lag(rec, k).over(w).alias(f"__l{k}") for k in range(1, n + 1)])
-    # the last n rows of every (key, bucket): same partitioning, no new shuffle
-    tail = (d.filter(F.col("__p") > F.col("__cnt") - n)
-              .groupBy("__kk", "__b")
-              .agg(F.sort_array(F.collect_list(F.struct(F.col("__p"), rec.alias("v")))).alias("__t")))
+    d = d0.select("*", F.row_number().over(w).alias("__p"), F.count(F.lit(1)).over(wp).alias("__cnt"),
+                  *[F.lag(rec, k).over(w).alias(f"__l{k}") for k in range(1, n + 1)])
+    if n == 1:
+        # the last row of every (key, bucket) is an aggregate with a map-side
+        # partial step: this branch shuffles one row per bucket per task
+        last = F.max_by(rec, F.struct(*[F.col(o) for o in order]))
+        tail = d0.groupBy("__kk", "__b").agg(F.array(F.struct(F.lit(1).alias("__p"), last.alias("v")))
+                                             .alias("__t"))
+    else:
+        # the last n rows of every (key, bucket), from the windowed rows
+        tail = (d.filter(F.col("__p") > F.col("__cnt") - n)
+                  .groupBy("__kk", "__b")
+                  .agg(F.sort_array(F.collect_list(F.struct(F.col("__p"), rec.alias("v")))).alias("__t")))
     # rows carried into a bucket: last n rows of the previous n non-empty buckets
     wb = Window.partitionBy("__kk").orderBy("__b").rowsBetween(-n, -1)
     flat = F.flatten(F.collect_list("__t").over(wb))
@@ -82,11 +89,12 @@ def split_running(df: DataFrame, keys: list[str], order: list[str],
     """Add inclusive running sums and maxima per key in ``order``."""
     sums, maxes = sums or {}, maxes or {}
     d = df.withColumn("__kk", key_struct(keys)).withColumn("__b", time_bucket(order[0], bucket_sec))
-    d = d.withColumns({f"__v_{n}": e for n, e in {**sums, **maxes}.items()})
+    d0 = d.withColumns({f"__v_{n}": e for n, e in {**sums, **maxes}.items()})
     w = Window.partitionBy("__kk", "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.select("*", *[F.sum(f"__v_{n}").over(w).alias(f"__in_{n}") for n in sums],
-                 *[F.max(f"__v_{n}").over(w).alias(f"__in_{n}") for n in maxes])
-    tot = d.groupBy("__kk", "__b").agg(*[F.sum(f"__v_{n}").alias(f"__bt_{n}") for n in sums],
+    d = d0.select("*", *[F.sum(f"__v_{n}").over(w).alias(f"__in_{n}") for n in sums],
+                  *[F.max(f"__v_{n}").over(w).alias(f"__in_{n}") for n in maxes])
+    # bucket totals: an aggregate with a map-side partial step on the input
+    tot = d0.groupBy("__kk", "__b").agg(*[F.sum(f"__v_{n}").alias(f"__bt_{n}") for n in sums],
                                         *[F.max(f"__v_{n}").alias(f"__bt_{n}") for n in maxes])
     wb = Window.partitionBy("__kk").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     carry = tot.select("__kk", "__b",
