@@ -34,13 +34,26 @@ blocks AS (SELECT ep.block_src, ep.dst_ip, ep.ip_proto, make_timestamp(start_us)
   FROM ep WHERE opens)"""
 
 
+_BLOCK_TABLES: dict = {}
+
+
 def blocks(spark, sf):
-    """Opened blocks (one row per episode) from the detection slice."""
-    e = block_episodes(block_detections(spark, sf), ["block_src", "dst_ip", "ip_proto"])
-    return (e.filter("opens")
-             .select("block_src", "dst_ip", "ip_proto", "start_ts", "expiry_ts", "timeout_sec",
-                     F.when(F.col("block_src") == "*", "dst").otherwise("src").alias("block_scope"),
-                     F.when(F.col("block_src") != "*", F.col("block_src")).alias("src_ip")))
+    """The block table (one row per opened episode) from the detection slice.
+    Like the detector's own block table it is built once — written to the
+    shared checkpoint folder per application and source version — and read
+    by the rule, suppression, snapshot and health queries."""
+    from netsieve.plans.q_adapters import _source_version
+    key = (spark.sparkContext.applicationId, _source_version(spark, sf))
+    if key not in _BLOCK_TABLES:
+        e = block_episodes(block_detections(spark, sf), ["block_src", "dst_ip", "ip_proto"])
+        t = (e.filter("opens")
+              .select("block_src", "dst_ip", "ip_proto", "start_ts", "expiry_ts", "timeout_sec",
+                      F.when(F.col("block_src") == "*", "dst").otherwise("src").alias("block_scope"),
+                      F.when(F.col("block_src") != "*", F.col("block_src")).alias("src_ip")))
+        path = _scratch(spark, "block-table")
+        t.write.parquet(path)
+        _BLOCK_TABLES[key] = path
+    return spark.read.parquet(_BLOCK_TABLES[key])
 
 
 _OCT = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[0-9])"
