@@ -131,3 +131,33 @@ def test_split_breaker_equals_walk(spark):
                  for r in breaker_states(df, method="split", bucket_sec=b).collect()}
         assert split == walk
     assert {v[0] for v in walk.values()} == {"closed", "open", "half_open"}
+
+
+def _replay_learn(events, max_macs=5, age_us=300_000_000):
+    """Plain replay of the address-table rules for one switch."""
+    table, ports, out = {}, {}, {}
+    for eid, t, mac, port in sorted(events, key=lambda e: (e[1], e[0])):
+        for m in [m for m, (p, lt) in table.items() if t - lt > age_us]:
+            p, _ = table.pop(m)
+            ports[p].discard(m)
+        s = ports.setdefault(port, set())
+        if mac not in s and len(s) >= max_macs:
+            out[eid] = False
+            continue
+        s.add(mac)
+        if mac in table and table[mac][0] != port:
+            ports[table[mac][0]].discard(mac)
+        table[mac] = (port, t)
+        out[eid] = True
+    return out
+
+
+def test_learn_macs_matches_replay(spark):
+    from netsieve.operators.stateful import learn_macs
+    rnd = random.Random(41)
+    ev = [(i, rnd.uniform(0, 1500), f"m{rnd.randint(0, 14)}", rnd.randint(1, 2)) for i in range(700)]
+    df = spark.createDataFrame([(e, _ts(t), 3, m, p) for e, t, m, p in ev],
+                               "event_id LONG, ts TIMESTAMP, dpid INT, eth_src STRING, in_port INT")
+    got = {r["event_id"]: r["learned"] for r in learn_macs(df).collect()}
+    exp = _replay_learn([(e, round(t * 1e6), m, p) for e, t, m, p in ev])
+    assert got == exp and not all(exp.values())
