@@ -221,3 +221,10 @@ def s15_verify_files(spark, sf):
                         .alias("sha256"))
                 .unionByName(spark.createDataFrame([("UNSW-NB15_missing.csv", "f" * 64)], "name STRING, sha256 STRING")))
     return verify_files(spark, path, expected).select("name", "size", "status")
+
+
+@register("s15_manifest_summary")
+def s15_manifest_summary(spark, sf):
+    """S15 totals: files, total size, missing files, overall ok."""
+    from netsieve.sources.datasets import manifest_summary
+    return manifest_summary(s15_verify_files(spark, sf))
