@@ -42,3 +42,19 @@ def test_unsw_protocols(spark):
     r = {x["id"]: x for x in map_unsw(df, keep=["id"]).collect()}
     assert r["1"]["ip_proto"] == 6 and r["1"]["packet_count"] == 9 and r["1"]["label"] == 0
     assert r["2"]["ip_proto"] == 17 and r["2"]["label"] == 1
+
+
+def test_creation_rate_per_row_bad_timestamp(spark):
+    cols = CIC17 + ["Destination IP", "Source IP", "Timestamp"]
+    base = ("1000000", "10", "8", "5000", "4000", "6", "9000", "18", "BENIGN")
+    rows = [("1",) + base + ("10.0.0.7", "10.0.0.1", "01/07/2017 08:00:00"),
+            ("2",) + base + ("10.0.0.7", "10.0.0.2", "01/07/2017 08:00:02"),
+            ("3",) + base + ("10.0.0.7", "10.0.0.3", "not a time"),
+            ("4",) + base + ("10.0.0.7", "10.0.0.4", "01/07/2017 08:00:06")]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` STRING" for c in cols))
+    r = {x["Flow ID"]: x for x in map_cic2017(df, keep=["Flow ID"]).collect()}
+    assert r["1"]["flow_creation_rate"] == 0.0            # first arrival: no gap
+    assert r["2"]["flow_creation_rate"] == 0.5            # 1 / 2 s
+    assert r["3"]["flow_creation_rate"] == 0.0            # unparseable: this row only (Q24)
+    assert abs(r["4"]["flow_creation_rate"] - (0.5 + 0.25) / 2) < 1e-12   # mean of 1/2 and 1/4
+    assert r["1"]["flows_to_dst"] == 4 and r["1"]["unique_sources_to_dst"] == 4
