@@ -36,6 +36,53 @@ from pyspark.sql import types as T
 from netsieve.operators._split import _null_safe_join
 
 
+def group_runs(df: DataFrame, group_cols: list[str], order_cols: list[str], fn, out_schema: T.StructType,
+               inputs: list[str]) -> DataFrame:
+    """Apply ``fn`` to every complete group of ``group_cols``, rows in
+    ``order_cols`` order, over a sorted partition walk (``mapInPandas``).
+
+    ``fn(arrays) -> dict`` gets numpy arrays of ``inputs`` for one group and
+    returns equal-length output arrays (any length) named as ``out_schema``.
+    Group boundaries are found vectorised per Arrow batch; only the group
+    that straddles a batch boundary is buffered. Unlike ``applyInPandas`` no
+    pandas frame is built per group, so many small groups stay cheap; one
+    group (one key's bucket) is the memory bound either way."""
+    from netsieve.operators.stateful import _key_changes
+    x = df.repartition(*group_cols).sortWithinPartitions(*group_cols, *order_cols)
+    names = [f.name for f in out_schema.fields]
+
+    def run(batches):
+        carry = None
+        for pdf in batches:
+            if carry is not None:
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+                carry = None
+            if pdf.empty:
+                continue
+            starts = np.flatnonzero(_key_changes(pdf, group_cols))
+            # the last group may continue in the next batch
+            last = int(starts[-1])
+            carry = pdf.iloc[last:].reset_index(drop=True)
+            yield from _emit(pdf.iloc[:last], starts[starts < last])
+        if carry is not None and not carry.empty:
+            yield from _emit(carry, np.array([0]))
+
+    def _emit(pdf, starts):
+        if pdf.empty:
+            return
+        arrs = {c: pdf[c].to_numpy() for c in inputs}
+        ends = np.append(starts[1:], len(pdf))
+        parts = {n: [] for n in names}
+        for s, e in zip(starts.tolist(), ends.tolist()):
+            res = fn({c: a[s:e] for c, a in arrs.items()})
+            for n in names:
+                parts[n].append(np.asarray(res[n], dtype=object) if not isinstance(res[n], np.ndarray)
+                                else res[n])
+        yield pd.DataFrame({n: np.concatenate(parts[n]) if parts[n] else [] for n in names})
+
+    return x.mapInPandas(run, out_schema)
+
+
 def _next_index(us: np.ndarray, end: np.ndarray) -> np.ndarray:
     """For each i, the first index j with us[j] >= end[i] (len(us) if none).
     ``us`` is sorted ascending."""
@@ -65,24 +112,24 @@ def episode_openers(df: DataFrame, keys: list[str], ts: str, tie: str, dur_us_co
         T.StructField("__b", T.LongType()), T.StructField("__us", T.LongType()),
         T.StructField("__tie", T.LongType()), T.StructField("__exit", T.LongType())])
 
-    def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__us", "__tie"], kind="mergesort")
-        us = pdf["__us"].to_numpy(np.int64)
-        end = us + pdf["__d"].to_numpy(np.int64)
+    def candidates(c: dict) -> dict:
+        us, tie_a, d = c["__us"].astype(np.int64), c["__tie"].astype(np.int64), c["__d"].astype(np.int64)
+        end = us + d
         nxt = _next_index(us, end)
         n = len(us)
         exit_ = np.empty(n, dtype=np.int64)
         for i in range(n - 1, -1, -1):
             exit_[i] = exit_[nxt[i]] if nxt[i] < n else end[i]
-        bstart = int(pdf["__b"].iloc[0]) * w_us
-        limit = np.searchsorted(us, bstart + dmax_us, side="left")  # first event at/after bs + max d
-        keep = slice(0, min(limit + 1, n))
-        out = pdf.iloc[keep][keys + ["__b", "__us", "__tie"]].copy()
-        out["__exit"] = exit_[keep]
+        bstart = int(c["__b"][0]) * w_us
+        limit = int(np.searchsorted(us, bstart + dmax_us, side="left"))  # first event at/after bs + max d
+        k = min(limit + 1, n)
+        out = {kk: c[kk][:k] for kk in keys}
+        out.update({"__b": c["__b"][:k], "__us": us[:k], "__tie": tie_a[:k], "__exit": exit_[:k]})
         return out
 
     base = x.select(*keys, "__b", "__us", F.col(tie).cast("long").alias("__tie"), "__d")
-    cand = base.groupBy(*keys, "__b").applyInPandas(candidates, cand_schema)
+    cand = group_runs(base, [*keys, "__b"], ["__us", "__tie"], candidates, cand_schema,
+                      [*keys, "__b", "__us", "__tie", "__d"])
 
     # 2. true first opener per bucket: a walk over the candidates of each key
     def choose(st, c, s, e, out):
@@ -106,27 +153,26 @@ def episode_openers(df: DataFrame, keys: list[str], ts: str, tie: str, dur_us_co
 
     # 3. mark the openers inside each bucket from its true first opener
     j = _null_safe_join(x.withColumn("__tie", F.col(tie).cast("long")), first, keys)
-    out_schema = T.StructType(j.schema.fields + [T.StructField("opens", T.BooleanType())])
+    keep = [c for c in j.columns if c not in ("__d", "__o_us", "__o_tie")]
+    out_schema = T.StructType([j.schema[c] for c in keep] + [T.StructField("opens", T.BooleanType())])
 
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__us", "__tie"], kind="mergesort").reset_index(drop=True)
-        n = len(pdf)
+    def mark(c: dict) -> dict:
+        us, tie_a = c["__us"].astype(np.int64), c["__tie"].astype(np.int64)
+        n = len(us)
         opens = np.zeros(n, dtype=bool)
-        o_us = pdf["__o_us"].iloc[0]
-        if pd.notna(o_us):
-            us = pdf["__us"].to_numpy(np.int64)
-            tie_a = pdf["__tie"].to_numpy(np.int64)
-            end = us + pdf["__d"].to_numpy(np.int64)
-            nxt = _next_index(us, end)
-            i = int(np.flatnonzero((us == int(o_us)) & (tie_a == int(pdf["__o_tie"].iloc[0])))[0])
+        o_us = c["__o_us"][0]
+        if o_us is not None and o_us == o_us:
+            nxt = _next_index(us, us + c["__d"].astype(np.int64))
+            i = int(np.flatnonzero((us == int(o_us)) & (tie_a == int(c["__o_tie"][0])))[0])
             while i < n:
                 opens[i] = True
                 i = int(nxt[i])
-        pdf["opens"] = opens
-        return pdf
+        out = {k: c[k] for k in keep}
+        out["opens"] = opens
+        return out
 
-    return j.groupBy(*keys, "__b").applyInPandas(mark, out_schema) \
-            .drop("__us", "__d", "__b", "__tie", "__o_us", "__o_tie")
+    r = group_runs(j, [*keys, "__b"], ["__us", "__tie"], mark, out_schema, list(j.columns))
+    return r.drop("__us", "__b", "__tie")
 
 
 # --- circuit breaker split across buckets ----------------------------------------
@@ -174,12 +220,11 @@ def breaker_split(df: DataFrame, key: str, ts: str, tie: str, ok: str, fail_max:
                                 T.StructField("__cand_us", T.LongType()), T.StructField("__x_mode", T.StringType()),
                                 T.StructField("__x_val", T.LongType())])
 
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__us", "__tie"], kind="mergesort")
-        t = pdf["__us"].to_numpy(np.int64)
-        okv = pdf[ok].to_numpy(bool)
+    def exits(c: dict) -> dict:
+        t = c["__us"].astype(np.int64)
+        okv = c[ok].astype(bool)
         n = len(t)
-        bs = int(pdf["__b"].iloc[0]) * w_us
+        bs = int(c["__b"][0]) * w_us
         m = int(np.searchsorted(t, bs + r_us, side="left"))
         entries = [(k, v, None) for k, v in discrete] + [("O", k, int(t[k])) for k in range(min(m + 1, n))]
         starts: dict[int, list[int]] = {}
@@ -201,14 +246,16 @@ def breaker_split(df: DataFrame, key: str, ts: str, tie: str, ok: str, fail_max:
         for st, eids in groups.items():
             for eid in eids:
                 out[eid] = st
-        kv = pdf[key].iloc[0]
-        return pd.DataFrame({key: [kv] * len(entries), "__b": pdf["__b"].iloc[0],
-                             "__kind": [e[0] for e in entries], "__param": [e[1] for e in entries],
-                             "__cand_us": [e[2] for e in entries], "__x_mode": [s[0] for s in out],
-                             "__x_val": [int(s[1]) for s in out]})
+        ne = len(entries)
+        return {key: np.repeat(c[key][:1], ne), "__b": np.repeat(c["__b"][:1], ne),
+                "__kind": np.array([e[0] for e in entries], dtype=object),
+                "__param": np.array([e[1] for e in entries], dtype=np.int64),
+                "__cand_us": np.array([e[2] for e in entries], dtype=object),
+                "__x_mode": np.array([st[0] for st in out], dtype=object),
+                "__x_val": np.array([int(st[1]) for st in out], dtype=np.int64)}
 
     base = x.select(key, "__b", "__us", "__tie", ok)
-    ex = base.groupBy(key, "__b").applyInPandas(exits, exit_schema)
+    ex = group_runs(base, [key, "__b"], ["__us", "__tie"], exits, exit_schema, [key, "__b", "__us", "__tie", ok])
 
     # 2. the true entry of each bucket: walk the exit table of each model
     order_key = (F.when(F.col("__kind") == "C", 0).when(F.col("__kind") == "H", 1).otherwise(2) * (1 << 40)
@@ -248,12 +295,13 @@ def breaker_split(df: DataFrame, key: str, ts: str, tie: str, ok: str, fail_max:
     schema = T.StructType(j.schema.fields + out_fields)
     names = {"C": "closed", "H": "half_open", "O": "open"}
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__us", "__tie"], kind="mergesort").reset_index(drop=True)
-        n = len(pdf)
-        t = pdf["__us"].to_numpy(np.int64)
-        okv = pdf[ok].to_numpy(bool)
-        kind, param = pdf["__kind"].iloc[0], pdf["__param"].iloc[0]
+    jcols = list(j.columns)
+
+    def replay(c: dict) -> dict:
+        t = c["__us"].astype(np.int64)
+        okv = c[ok].astype(bool)
+        n = len(t)
+        kind, param = c["__kind"][0], c["__param"][0]
         states = np.empty(n, dtype=object)
         fb = np.ones(n, dtype=bool)
         fail = np.zeros(n, dtype=np.int64)
@@ -267,10 +315,11 @@ def breaker_split(df: DataFrame, key: str, ts: str, tie: str, ok: str, fail_max:
         for i in range(start, n):
             st, used, counted = _breaker_step(st, int(t[i]), bool(okv[i]), fail_max, r_us, success_threshold)
             states[i], fb[i], fail[i] = names[st[0]], used, int(counted)
-        pdf["state"], pdf["use_fallback"], pdf["__fail"] = states, fb, fail
-        return pdf
+        out = {name: c[name] for name in jcols}
+        out.update({"state": states, "use_fallback": fb, "__fail": fail})
+        return out
 
-    r = j.groupBy(key, "__b").applyInPandas(replay, schema)
+    r = group_runs(j, [key, "__b"], ["__us", "__tie"], replay, schema, jcols)
     r = split_running(r, [key], [ts, tie], sums={"total_failures": F.col("__fail"),
                                                  "total_fallbacks": F.col("use_fallback").cast("long")},
                       bucket_sec=bucket_sec)
