@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netsieve.llm.common import cut, read, with_workers
-from netsieve.llm.tokens import Encoder
+from netsieve.llm.tokens import encoder
 
 SEQUENCE = 2048  # tokens in a sequence
 END_ID = 0
@@ -97,7 +97,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, spaced: bool =
                      capacity: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and ids)."""
     def encode(batches):
-        enc = Encoder(tokenizer, spaced)
+        enc = encoder(tokenizer, spaced)
         end = np.array([end_id], "<u4")
         for batch in batches:
             texts, doc_ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from netsieve.llm.common import cut, read, with_workers
-from netsieve.llm.tokens import Encoder
+from netsieve.llm.tokens import encoder
 from netsieve.session import checkpoint_dir
 
 MAGIC = b"NSIDS001"
@@ -83,9 +83,13 @@ def encoded(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, dictiona
     def run(batches):
         import zstandard
 
-        enc = Encoder(tokenizer, spaced)
+        enc = encoder(tokenizer, spaced)
         width = f"<u{id_width(enc.tok.get_vocab_size())}"
-        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True) if dictionary else None
+        packer = None
+        if dictionary:
+            shared = zstandard.ZstdCompressionDict(dictionary)
+            shared.precompute_compress(level=LEVEL)  # digested once, not for each document
+            packer = zstandard.ZstdCompressor(dict_data=shared, write_content_size=True)
         end = np.array([end_id], "<u4")
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()

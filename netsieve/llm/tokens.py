@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -143,3 +144,9 @@ class Encoder:
                 out += self._part(part)
                 part, chars = [], 0
         return out + (self._part(part) if part else [])
+
+
+@lru_cache(maxsize=2)
+def encoder(name: str, spaced: bool) -> Encoder:
+    """The worker's encoder: its chunks serve all tasks the worker runs."""
+    return Encoder(name, spaced)
