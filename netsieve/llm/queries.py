@@ -5,12 +5,14 @@ from __future__ import annotations
 from netsieve.llm.mixing import OP10_SQL, op10_mix_sources
 from netsieve.llm.near_dedup import op1_minhash_near_dedup
 from netsieve.llm.packing import op5_best_fit_packing
+from netsieve.llm.quality import op4_quality
 from netsieve.llm.token_store import op7_token_store
 from netsieve.llm.url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_url_filter": op3_url_filter,
+    "op4_quality": op4_quality,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_token_store": op7_token_store,
     "op10_mix_sources": op10_mix_sources,
