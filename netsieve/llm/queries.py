@@ -7,6 +7,7 @@ from netsieve.llm.near_dedup import op1_minhash_near_dedup
 from netsieve.llm.packing import op5_best_fit_packing
 from netsieve.llm.quality import op4_quality
 from netsieve.llm.token_store import op7_token_store
+from netsieve.llm.toxicity import op6_toxicity
 from netsieve.llm.url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_quality": op4_quality,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_token_store": op7_token_store,
     "op10_mix_sources": op10_mix_sources,
 }
