@@ -9,9 +9,11 @@ from netsieve.llm.quality import op4_quality
 from netsieve.llm.token_store import op7_token_store
 from netsieve.llm.toxicity import op6_toxicity
 from netsieve.llm.url_filter import OP3_SQL, op3_url_filter
+from netsieve.llm.vector_dedup import op2_vector_dedup
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_vector_dedup": op2_vector_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_quality": op4_quality,
     "op5_best_fit_packing": op5_best_fit_packing,
