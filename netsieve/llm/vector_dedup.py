@@ -80,7 +80,8 @@ def bucketed(nodes: DataFrame, planes: int, bands: int) -> DataFrame:
                     keys = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), bands).cast(pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), keys], names=["node", "copies", "v", "keys"])
 
-    keyed = with_workers(nodes.select("node", "copies", "v")).mapInArrow(run, "node long, copies long, v array<double>, keys array<long>")
+    kind = dict(nodes.dtypes)["v"]
+    keyed = with_workers(nodes.select("node", "copies", "v")).mapInArrow(run, f"node long, copies long, v {kind}, keys array<long>")
     return keyed.select("node", "copies", F.size("v").alias("dim"), "v", F.explode("keys").alias("key"))
 
 

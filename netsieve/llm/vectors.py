@@ -13,10 +13,11 @@ MAX = 1e300
 
 
 def usable(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """vec_id, v (array<double>) of the vectors that have an id and only finite
-    components, one of them not 0."""
-    v = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= MAX))
+    """vec_id, v (array of float as given, else of double) of the vectors that have
+    an id and only finite components, one of them not 0."""
+    kind = dict(embeddings.dtypes)[vec_col]
+    v = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind if kind == "array<float>" else "array<double>").alias("v"))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) <= MAX))
     return v.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0))
 
 
@@ -24,7 +25,7 @@ def matrix(column) -> np.ndarray:
     """Rows of an Arrow list column whose lists are of one length."""
     a = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
     n = len(a)
-    return a.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
+    return a.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
 
 
 def gaussian(rows: int, cols: int, salt: int) -> np.ndarray:
