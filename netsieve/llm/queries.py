@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from netsieve.llm.ann import op9_hilbert_ann
+from netsieve.llm.extraction import op8_html_text
 from netsieve.llm.mixing import OP10_SQL, op10_mix_sources
 from netsieve.llm.near_dedup import op1_minhash_near_dedup
 from netsieve.llm.packing import op5_best_fit_packing
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_toxicity": op6_toxicity,
     "op7_token_store": op7_token_store,
+    "op8_html_text": op8_html_text,
     "op9_hilbert_ann": op9_hilbert_ann,
     "op10_mix_sources": op10_mix_sources,
 }
