@@ -120,6 +120,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
             .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")))
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as the mix takes
+    it. Rows alike in doc_id, source and size are taken alike."""
+    plan = (mix(docs, **options).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
+            .select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), F.col("copies").alias("p_copies")))
+    same = F.col("doc_id").eqNullSafe(F.col("p_id")) & F.col("source").eqNullSafe(F.col("p_source")) & (word_count(F.col("text")) == F.col("p_size"))
+    taken = docs.join(plan, same)
+    return taken.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("p_copies"))).alias("p_copy")).select(*docs.columns)
+
+
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

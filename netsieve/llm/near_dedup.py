@@ -27,7 +27,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from netsieve.llm.common import cut, read, with_workers
@@ -185,5 +185,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
                         F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` with all their columns, one document of each group.
+    Of rows that share a doc_id the one with the least hash stays; rows without
+    doc_id stay."""
+    kept = near_duplicates(docs, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    one = docs.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*[c for c in docs.columns if c != "text"])))
+    name = "_first"
+    while name in docs.columns:
+        name += "_"
+    one = one.withColumn(name, first).where(F.col(name) == 1).drop(name)
+    return one.unionAll(docs.where("doc_id is null"))
+
+
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=3, threshold=85)

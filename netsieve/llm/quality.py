@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsieve.llm.common import cut, held_out, read, with_workers
-from netsieve.llm.random_indexing import FEATURES, document_vectors, word_vectors
+from netsieve.llm.common import held_out, read, with_workers
+from netsieve.llm.random_indexing import FEATURES, document_vectors, parts, pooled, word_vectors
 
 SAMPLE_ROWS = 20_000
 HIDDEN = 32
@@ -91,29 +91,53 @@ class Network:
         return _sigmoid(self.logits(x) / self.temperature)
 
 
-def training_rows(features: DataFrame, labels: DataFrame, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``sample_rows`` labelled rows outside the held-out part."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
+    """doc_id, text and label y of at most ``sample_rows`` labelled documents
+    outside the held-out part."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    t = features.join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("features", "y").toArrow()
-    x = pa.concat_arrays(t["features"].chunks).flatten().to_numpy().reshape(-1, FEATURES).astype(np.float64) if len(t) else np.zeros((0, FEATURES))
-    return x, np.asarray(t["y"].to_numpy(), np.float64)
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # a bounded number of ids
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+
+
+class Scorer:
+    """Word vectors of a corpus and the network learned on them."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
+        self.vectors = word_vectors(docs)
+        sample = labelled_sample(docs, labels, sample_rows)
+        t = document_vectors(sample, self.vectors, ["doc_id", "y"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("features", "y").toArrow()
+        x = pa.concat_arrays(t["features"].chunks).flatten().to_numpy().reshape(-1, FEATURES).astype(np.float64) if len(t) else np.zeros((0, FEATURES))
+        self.network = Network(x, np.asarray(t["y"].to_numpy(), np.float64))
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        x = [pooled(part, *self.vectors) for part in parts(texts)]
+        return self.network.scores(np.concatenate(x).astype(np.float64)) if x else np.empty(0)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    features = cut(document_vectors(docs, word_vectors(docs)))
-    network = Network(*training_rows(features, labels, sample_rows))
+    scorer = Scorer(docs, labels, sample_rows)
 
     def run(batches):
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(-1, FEATURES).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(network.scores(x))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer(batch.column(1)))], names=["doc_id", "score"])
 
-    scored = with_workers(features).mapInArrow(run, "doc_id long, score double")
+    scored = with_workers(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` with all their columns whose score reaches the threshold."""
+    scorer = Scorer(docs, labels, sample_rows)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(scorer(batch.column(at)) >= threshold, pa.bool_()))
+
+    return with_workers(docs).mapInArrow(run, docs.schema)
+
+
 def op4_quality(spark, sf_dir: str) -> DataFrame:
     return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

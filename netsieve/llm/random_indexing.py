@@ -166,16 +166,13 @@ def pooled(texts: list[bytes], core_vectors: np.ndarray, shape_vectors: np.ndarr
     return out
 
 
-def document_vectors(docs: DataFrame, vectors: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id and its pooled features."""
+def document_vectors(docs: DataFrame, vectors: tuple[np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
+    """The columns ``keep`` and the pooled features of each document."""
     def run(batches):
         for batch in batches:
-            lo = 0
-            for part in parts(batch.column(1)):
-                x = pooled(part, *vectors)
-                values = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), FEATURES).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)), values], names=["doc_id", "features"])
-                lo += len(part)
-
-    src = with_workers(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return src.mapInArrow(run, "doc_id long, features array<float>")
+            x = np.concatenate([pooled(part, *vectors) for part in parts(batch.column(0))] or [np.zeros((0, FEATURES), np.float32)])
+            values = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), FEATURES).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], values], names=[*keep, "features"])
+
+    kinds = dict(docs.dtypes)
+    return with_workers(docs.select("text", *keep)).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", features array<float>")

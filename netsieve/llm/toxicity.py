@@ -241,19 +241,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
     return lexicon, weight, Chain(_damped(x), targets, fold)
 
 
+def _probabilities(texts: pa.Array, lexicon: np.ndarray, weight: np.ndarray, chain: Chain) -> np.ndarray:
+    p = [chain.predict(_damped(signs(part, lexicon, weight))) for part in parts(texts)]
+    return np.concatenate(p) if p else np.zeros((0, len(CATEGORIES)))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document: doc_id, held_out, p_insult, p_severe, p_saturated,
     score (of ``toxic``), predicted (1: toxic), kept."""
-    lexicon, weight, chain = fit(docs, labels, sample_rows)
+    model = fit(docs, labels, sample_rows)
 
     def run(batches):
         for batch in batches:
-            lo = 0
-            for part in parts(batch.column(1)):
-                p = chain.predict(_damped(signs(part, lexicon, weight)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)), *(pa.array(p[:, k]) for k in range(len(CATEGORIES)))],
-                                                 names=["doc_id", *CATEGORIES])
-                lo += len(part)
+            p = _probabilities(batch.column(1), *model)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(len(CATEGORIES)))], names=["doc_id", *CATEGORIES])
 
     src = with_workers(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     p = src.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} double" for c in CATEGORIES))
@@ -262,5 +263,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
                     F.col("toxic").alias("score"), toxic.cast("int").alias("predicted"), (~toxic).alias("kept"))
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` with all their columns that are not toxic."""
+    model = fit(docs, labels, sample_rows)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_probabilities(batch.column(at), *model)[:, -1] < threshold, pa.bool_()))
+
+    return with_workers(docs).mapInArrow(run, docs.schema)
+
+
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
