@@ -34,13 +34,17 @@ RARE = 1e-3  # words more frequent than this weigh less in the mean
 FEATURES = 2 * DIM + 1
 
 
-def index_vectors(buckets: int, salt: int) -> np.ndarray:
-    out = np.zeros((buckets, DIM), np.int8)
-    rows = np.arange(buckets, dtype=_U)
+def index_entries(buckets: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the entries of every bucket's index vector."""
     with np.errstate(over="ignore"):
-        for k in range(NONZERO):
-            h = mix(rows * _U(NONZERO) + _U(k + (salt << 20)) + _U(1))
-            out[np.arange(buckets), (h % _U(DIM)).astype(int)] = np.where((h >> _U(32)) & _U(1), 1, -1)
+        h = mix(np.arange(buckets * NONZERO, dtype=_U) + _U((salt << 20) + 1)).reshape(buckets, NONZERO)
+    return (h % _U(DIM)).astype(np.int64), np.where((h >> _U(32)) & _U(1), 1.0, -1.0)
+
+
+def index_vectors(buckets: int, salt: int) -> np.ndarray:
+    out = np.zeros((buckets, DIM))
+    place, sign = index_entries(buckets, salt)
+    np.add.at(out, (np.arange(buckets)[:, None], place), sign)
     return out
 
 
@@ -64,29 +68,27 @@ def units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, stops = edge[0::2], edge[1::2]
     if not len(starts):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    first = np.zeros(len(buf), np.int64)
+    first = np.zeros(len(buf), np.int32)
     first[starts] = starts
-    place = np.arange(len(buf)) - np.maximum.accumulate(first)
-    run = np.empty(len(buf), bool)
-    run[0], run[1:] = True, kind[1:] != kind[:-1]
-    run &= kind > 0
-    runs = np.cumsum(run)
-    nth = runs - np.repeat(runs[starts], np.diff(np.append(starts, len(buf)))) if starts[0] == 0 else \
-        runs - np.concatenate((np.zeros(starts[0], runs.dtype), np.repeat(runs[starts], np.diff(np.append(starts, len(buf))))))
+    place = np.arange(len(buf), dtype=np.int32) - np.maximum.accumulate(first)
+    # starts of runs of one class; all of a word's runs lie between its ends
+    run = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])) & (kind > 0))
+    from_, to = np.searchsorted(run, starts), np.searchsorted(run, stops)
+    nth = np.arange(len(run)) - np.repeat(from_, to - from_)
     with np.errstate(over="ignore"):
-        def summed(values):
-            total = np.concatenate((np.zeros(1, _U), np.cumsum(values, dtype=_U)))
-            return total[stops] - total[starts]
-        core = mix(summed(_LETTER[buf] * _FACTOR[place & 63]))
-        shape = summed(_SHAPE[kind] * _FACTOR[nth & 63] * run)
+        letters = np.concatenate((np.zeros(1, _U), np.cumsum(_LETTER[buf] * _FACTOR[place & 63], dtype=_U)))
+        core = mix(letters[stops] - letters[starts])
+        runs = np.concatenate((np.zeros(1, _U), np.cumsum(_SHAPE[kind[run]] * _FACTOR[nth & 63], dtype=_U)))
+        shape = runs[to] - runs[from_]
         ends = np.cumsum([len(t) + 1 for t in texts])
-        text = np.searchsorted(ends, starts, side="right")
+        text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, ends), prepend=0))
         same = np.zeros(len(core), bool)
         same[1:] = (core[1:] == core[:-1]) & (text[1:] == text[:-1])
         pair = core.copy()
         pair[1:] += core[:-1] * _FACTOR[1] + text[1:].astype(_U) * _FACTOR[2]
         again = np.ones(len(core), bool)
-        again[np.unique(pair, return_index=True)[1]] = False
+        order = np.argsort(pair, kind="stable")
+        again[order[np.concatenate(([True], pair[order[1:]] != pair[order[:-1]]))]] = False
         shape = mix(shape + _SHAPE[298] * same + _SHAPE[299] * (again & ~same))
     return (core % _U(CORE_BUCKETS)).astype(np.int64), (shape % _U(SHAPE_BUCKETS)).astype(np.int64), text
 
@@ -104,19 +106,32 @@ def parts(column: pa.Array):
         yield part
 
 
-def _add_contexts(table: np.ndarray, bucket: np.ndarray, text: np.ndarray, index: np.ndarray) -> None:
-    """Add to each bucket's row its units' neighbours; the last column counts."""
-    near = np.zeros((len(bucket), DIM), np.int32)
-    for k in range(1, WINDOW + 1):
-        if len(bucket) > k:
-            same = (text[k:] == text[:-k])[:, None]
-            near[:-k] += index[bucket[k:]] * same
-            near[k:] += index[bucket[:-k]] * same
-    order = np.argsort(bucket, kind="stable")
-    ranked = bucket[order]
-    at = np.flatnonzero(np.diff(ranked, prepend=-1))
-    table[ranked[at], :DIM] += np.add.reduceat(near[order], at, axis=0)
-    table[ranked[at], DIM] += np.diff(np.append(at, len(ranked)))
+class Contexts:
+    """What one task has seen: sums of neighbours' index vectors per core bucket,
+    and how often each two shape buckets were neighbours (few enough to count)."""
+
+    def __init__(self):
+        self.place, self.sign = index_entries(CORE_BUCKETS, 1)
+        self.core = np.zeros(CORE_BUCKETS * DIM)
+        self.shape = np.zeros(SHAPE_BUCKETS * SHAPE_BUCKETS, np.int64)
+        self.count = np.zeros(CORE_BUCKETS + SHAPE_BUCKETS, np.int64)
+
+    def add(self, core: np.ndarray, shape: np.ndarray, text: np.ndarray) -> None:
+        self.count[:CORE_BUCKETS] += np.bincount(core, minlength=CORE_BUCKETS)
+        self.count[CORE_BUCKETS:] += np.bincount(shape, minlength=SHAPE_BUCKETS)
+        for k in range(1, WINDOW + 1):
+            same = text[k:] == text[:-k]
+            a, b = core[k:][same], core[:-k][same]
+            for unit, near in ((a, b), (b, a)):
+                for j in range(NONZERO):
+                    self.core += np.bincount(unit * DIM + self.place[near, j], weights=self.sign[near, j], minlength=len(self.core))
+            self.shape += np.bincount((shape[k:] * SHAPE_BUCKETS + shape[:-k])[same], minlength=len(self.shape))
+
+    def table(self) -> np.ndarray:
+        """(buckets, DIM + 1): context sums and counts, core before shape."""
+        pairs = self.shape.reshape(SHAPE_BUCKETS, SHAPE_BUCKETS)
+        shape = (pairs + pairs.T) @ index_vectors(SHAPE_BUCKETS, 2)
+        return np.rint(np.column_stack([np.concatenate([self.core.reshape(CORE_BUCKETS, DIM), shape]), self.count])).astype(np.int64)
 
 
 def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -125,17 +140,15 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     names = [f"v{i}" for i in range(DIM + 1)]
 
     def run(batches):
-        index = index_vectors(CORE_BUCKETS, 1), index_vectors(SHAPE_BUCKETS, 2)
-        tables = np.zeros((CORE_BUCKETS, DIM + 1), np.int64), np.zeros((SHAPE_BUCKETS, DIM + 1), np.int64)
+        seen = Contexts()
         for batch in batches:
             for part in parts(batch.column(0)):
                 core, shape, text = units(part)
                 if len(core):
-                    _add_contexts(tables[0], core, text, index[0])
-                    _add_contexts(tables[1], shape, text, index[1])
-        both = np.concatenate(tables)
-        seen = np.flatnonzero(both[:, DIM])
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), *(pa.array(both[seen, i]) for i in range(DIM + 1))], names=["bucket", *names])
+                    seen.add(core, shape, text)
+        table = seen.table()
+        some = np.flatnonzero(table[:, DIM])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(table[some, i]) for i in range(DIM + 1))], names=["bucket", *names])
 
     own = with_workers(docs.select("text")).mapInArrow(run, "bucket int, " + ", ".join(f"{n} long" for n in names))
     rows = own.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).collect()
