@@ -28,61 +28,14 @@ set by ``W``, not by how hot the key is.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from netsieve.operators._runs import group_runs, keyed_scan
 from netsieve.operators._split import _null_safe_join
 
 
-def group_runs(df: DataFrame, group_cols: list[str], order_cols: list[str], fn, out_schema: T.StructType,
-               inputs: list[str]) -> DataFrame:
-    """Apply ``fn`` to every complete group of ``group_cols``, rows in
-    ``order_cols`` order, over a sorted partition walk (``mapInPandas``).
-
-    ``fn(arrays) -> dict`` gets numpy arrays of ``inputs`` for one group and
-    returns equal-length output arrays (any length) named as ``out_schema``.
-    Group boundaries are found vectorised per Arrow batch; only the group
-    that straddles a batch boundary is buffered. Unlike ``applyInPandas`` no
-    pandas frame is built per group, so many small groups stay cheap; one
-    group (one key's bucket) is the memory bound either way."""
-    from netsieve.operators.stateful import _key_changes
-    x = df.repartition(*group_cols).sortWithinPartitions(*group_cols, *order_cols)
-    names = [f.name for f in out_schema.fields]
-
-    def run(batches):
-        carry = None
-        for pdf in batches:
-            if carry is not None:
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-                carry = None
-            if pdf.empty:
-                continue
-            starts = np.flatnonzero(_key_changes(pdf, group_cols))
-            # the last group may continue in the next batch
-            last = int(starts[-1])
-            carry = pdf.iloc[last:].reset_index(drop=True)
-            yield from _emit(pdf.iloc[:last], starts[starts < last])
-        if carry is not None and not carry.empty:
-            yield from _emit(carry, np.array([0]))
-
-    def _emit(pdf, starts):
-        if pdf.empty:
-            return
-        arrs = {c: pdf[c].to_numpy() for c in inputs}
-        ends = np.append(starts[1:], len(pdf))
-        parts = {n: [] for n in names}
-        for s, e in zip(starts.tolist(), ends.tolist()):
-            res = fn({c: a[s:e] for c, a in arrs.items()})
-            for n in names:
-                parts[n].append(np.asarray(res[n], dtype=object) if not isinstance(res[n], np.ndarray)
-                                else res[n])
-        yield pd.DataFrame({n: np.concatenate(parts[n]) if parts[n] else [] for n in names})
-
-    return x.mapInPandas(run, out_schema)
-
-
 def _next_index(us: np.ndarray, end: np.ndarray) -> np.ndarray:
     """For each i, the first index j with us[j] >= end[i] (len(us) if none).
     ``us`` is sorted ascending."""
@@ -95,7 +48,6 @@ def episode_openers(df: DataFrame, keys: list[str], ts: str, tie: str, dur_us_co
     (microseconds) an event gives when it opens. Requires
     ``bucket_sec >= max_dur_sec`` (checked)."""
     from netsieve.session import ship_package
-    from netsieve.operators.stateful import keyed_scan
 
     if bucket_sec < max_dur_sec:
         raise ValueError("bucket width must be at least the longest episode")
@@ -105,16 +57,11 @@ def episode_openers(df: DataFrame, keys: list[str], ts: str, tie: str, dur_us_co
     x = (df.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
            .withColumn("__d", F.col(dur_us_col).cast("long")))
     x = x.withColumn("__b", F.floor(F.col("__us") / w_us).cast("long"))
-    kfields = [x.schema[k] for k in keys]
-
-    # 1. candidates with their exit, per (key, bucket)
-    cand_schema = T.StructType(kfields + [
-        T.StructField("__b", T.LongType()), T.StructField("__us", T.LongType()),
-        T.StructField("__tie", T.LongType()), T.StructField("__exit", T.LongType())])
 
-    def candidates(c: dict) -> dict:
-        us, tie_a, d = c["__us"].astype(np.int64), c["__tie"].astype(np.int64), c["__d"].astype(np.int64)
-        end = us + d
+    # 1. candidates with their place in the bucket and their exit, per (key, bucket)
+    def candidates(c: dict):
+        us = c["__us"]
+        end = us + c["__d"]
         nxt = _next_index(us, end)
         n = len(us)
         exit_ = np.empty(n, dtype=np.int64)
@@ -123,13 +70,12 @@ def episode_openers(df: DataFrame, keys: list[str], ts: str, tie: str, dur_us_co
         bstart = int(c["__b"][0]) * w_us
         limit = int(np.searchsorted(us, bstart + dmax_us, side="left"))  # first event at/after bs + max d
         k = min(limit + 1, n)
-        out = {kk: c[kk][:k] for kk in keys}
-        out.update({"__b": c["__b"][:k], "__us": us[:k], "__tie": tie_a[:k], "__exit": exit_[:k]})
-        return out
+        return np.arange(k), {"__pos": np.arange(k), "__exit": exit_[:k]}
 
-    base = x.select(*keys, "__b", "__us", F.col(tie).cast("long").alias("__tie"), "__d")
-    cand = group_runs(base, [*keys, "__b"], ["__us", "__tie"], candidates, cand_schema,
-                      [*keys, "__b", "__us", "__tie", "__d"])
+    # only keys, time, tie and duration travel; the tie may be of any type that sorts
+    base = x.select(*keys, "__b", "__us", F.col(tie).alias("__tie"), "__d")
+    cand = group_runs(base, [*keys, "__b"], ["__us", "__tie"], candidates, ["__b", "__us", "__d"], [*keys, "__b", "__us"],
+                      [("__pos", T.LongType()), ("__exit", T.LongType())])
 
     # 2. true first opener per bucket: a walk over the candidates of each key
     def choose(st, c, s, e, out):
@@ -146,33 +92,25 @@ def episode_openers(df: DataFrame, keys: list[str], ts: str, tie: str, dur_us_co
                 out["__chosen"][i] = False
         st.update(end=end_prev, b=cur_b, done=done)
 
-    chosen = keyed_scan(cand.withColumn("__ts", F.timestamp_micros("__us")), keys, "__ts", "__tie", dict,
-                        choose, [("__chosen", T.BooleanType(), "bool")])
-    first = chosen.filter("__chosen").select(*keys, "__b", F.col("__us").alias("__o_us"),
-                                             F.col("__tie").alias("__o_tie"))
+    chosen = keyed_scan(cand, keys, ["__b", "__pos"], dict, choose, [("__chosen", T.BooleanType(), "bool")])
+    first = chosen.filter("__chosen").select(*keys, "__b", F.col("__pos").alias("__o_pos"))
 
     # 3. mark the openers inside each bucket from its true first opener
-    j = _null_safe_join(x.withColumn("__tie", F.col(tie).cast("long")), first, keys)
-    keep = [c for c in j.columns if c not in ("__d", "__o_us", "__o_tie")]
-    out_schema = T.StructType([j.schema[c] for c in keep] + [T.StructField("opens", T.BooleanType())])
+    j = _null_safe_join(x, first, keys)
 
-    def mark(c: dict) -> dict:
-        us, tie_a = c["__us"].astype(np.int64), c["__tie"].astype(np.int64)
+    def mark(c: dict):
+        us = c["__us"]
         n = len(us)
         opens = np.zeros(n, dtype=bool)
-        o_us = c["__o_us"][0]
-        if o_us is not None and o_us == o_us:
-            nxt = _next_index(us, us + c["__d"].astype(np.int64))
-            i = int(np.flatnonzero((us == int(o_us)) & (tie_a == int(c["__o_tie"][0])))[0])
+        if c["__o_pos"][0] == c["__o_pos"][0]:  # not NULL
+            nxt = _next_index(us, us + c["__d"])
+            i = int(c["__o_pos"][0])
             while i < n:
                 opens[i] = True
                 i = int(nxt[i])
-        out = {k: c[k] for k in keep}
-        out["opens"] = opens
-        return out
+        return None, {"opens": opens}
 
-    r = group_runs(j, [*keys, "__b"], ["__us", "__tie"], mark, out_schema, list(j.columns))
-    return r.drop("__us", "__b", "__tie")
+    return group_runs(j, [*keys, "__b"], ["__us", tie], mark, ["__us", "__d", "__o_pos"], list(df.columns), [("opens", T.BooleanType())])
 
 
 # --- circuit breaker split across buckets ----------------------------------------
@@ -201,7 +139,6 @@ def breaker_split(df: DataFrame, key: str, ts: str, tie: str, ok: str, fail_max:
     """ST6 replay, parallel inside one model's series. Adds ``state``,
     ``use_fallback``, ``total_failures``, ``total_fallbacks``."""
     from netsieve.session import ship_package
-    from netsieve.operators.stateful import keyed_scan
     from netsieve.operators._split import split_running
 
     if bucket_sec < reset_sec:
@@ -209,19 +146,12 @@ def breaker_split(df: DataFrame, key: str, ts: str, tie: str, ok: str, fail_max:
     ship_package(df.sparkSession)
     w_us, r_us = int(round(bucket_sec * 1e6)), int(round(reset_sec * 1e6))
     x = (df.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
-           .withColumn("__b", F.floor(F.col("__us") / w_us).cast("long"))
-           .withColumn("__tie", F.col(tie).cast("long")))
-    kf = x.schema[key]
+           .withColumn("__b", F.floor(F.col("__us") / w_us).cast("long")))
     discrete = [("C", f) for f in range(fail_max)] + [("H", s) for s in range(success_threshold)]
 
     # 1. exit state of each bucket for every possible entry state
-    exit_schema = T.StructType([kf, T.StructField("__b", T.LongType()),
-                                T.StructField("__kind", T.StringType()), T.StructField("__param", T.LongType()),
-                                T.StructField("__cand_us", T.LongType()), T.StructField("__x_mode", T.StringType()),
-                                T.StructField("__x_val", T.LongType())])
-
-    def exits(c: dict) -> dict:
-        t = c["__us"].astype(np.int64)
+    def exits(c: dict):
+        t = c["__us"]
         okv = c[ok].astype(bool)
         n = len(t)
         bs = int(c["__b"][0]) * w_us
@@ -247,20 +177,22 @@ def breaker_split(df: DataFrame, key: str, ts: str, tie: str, ok: str, fail_max:
             for eid in eids:
                 out[eid] = st
         ne = len(entries)
-        return {key: np.repeat(c[key][:1], ne), "__b": np.repeat(c["__b"][:1], ne),
+        return np.zeros(ne, np.int64), {
                 "__kind": np.array([e[0] for e in entries], dtype=object),
                 "__param": np.array([e[1] for e in entries], dtype=np.int64),
                 "__cand_us": np.array([e[2] for e in entries], dtype=object),
                 "__x_mode": np.array([st[0] for st in out], dtype=object),
                 "__x_val": np.array([int(st[1]) for st in out], dtype=np.int64)}
 
-    base = x.select(key, "__b", "__us", "__tie", ok)
-    ex = group_runs(base, [key, "__b"], ["__us", "__tie"], exits, exit_schema, [key, "__b", "__us", "__tie", ok])
+    base = x.select(key, "__b", "__us", F.col(tie).alias("__tie"), ok)
+    long, text = T.LongType(), T.StringType()
+    ex = group_runs(base, [key, "__b"], ["__us", "__tie"], exits, ["__b", "__us", ok], [key, "__b"],
+                    [("__kind", text), ("__param", long), ("__cand_us", long), ("__x_mode", text), ("__x_val", long)])
 
     # 2. the true entry of each bucket: walk the exit table of each model
     order_key = (F.when(F.col("__kind") == "C", 0).when(F.col("__kind") == "H", 1).otherwise(2) * (1 << 40)
                  + F.coalesce(F.col("__cand_us") - F.col("__b") * w_us, F.col("__param")))
-    ex = ex.withColumn("__ts", F.timestamp_micros(F.col("__b") * w_us)).withColumn("__ord", order_key)
+    ex = ex.withColumn("__ord", order_key)
 
     def choose(st, c, s, e, out):
         cur_b = st.get("b")
@@ -285,20 +217,15 @@ def breaker_split(df: DataFrame, key: str, ts: str, tie: str, ok: str, fail_max:
             out["__chosen"][i] = hit
         st.update(b=cur_b, entry=entry, next=nxt, done=done)
 
-    chosen = keyed_scan(ex, [key], "__ts", "__ord", dict, choose, [("__chosen", T.BooleanType(), "bool")])
+    chosen = keyed_scan(ex, [key], ["__b", "__ord"], dict, choose, [("__chosen", T.BooleanType(), "bool")])
     first = chosen.filter("__chosen").select(key, "__b", "__kind", "__param")
 
     # 3. replay each bucket from its true entry
-    j = _null_safe_join(x.withColumnRenamed("__b", "__b"), first, [key])
-    out_fields = [T.StructField("state", T.StringType()), T.StructField("use_fallback", T.BooleanType()),
-                  T.StructField("__fail", T.LongType())]
-    schema = T.StructType(j.schema.fields + out_fields)
+    j = _null_safe_join(x, first, [key])
     names = {"C": "closed", "H": "half_open", "O": "open"}
 
-    jcols = list(j.columns)
-
-    def replay(c: dict) -> dict:
-        t = c["__us"].astype(np.int64)
+    def replay(c: dict):
+        t = c["__us"]
         okv = c[ok].astype(bool)
         n = len(t)
         kind, param = c["__kind"][0], c["__param"][0]
@@ -315,11 +242,10 @@ def breaker_split(df: DataFrame, key: str, ts: str, tie: str, ok: str, fail_max:
         for i in range(start, n):
             st, used, counted = _breaker_step(st, int(t[i]), bool(okv[i]), fail_max, r_us, success_threshold)
             states[i], fb[i], fail[i] = names[st[0]], used, int(counted)
-        out = {name: c[name] for name in jcols}
-        out.update({"state": states, "use_fallback": fb, "__fail": fail})
-        return out
+        return None, {"state": states, "use_fallback": fb, "__fail": fail}
 
-    r = group_runs(j, [key, "__b"], ["__us", "__tie"], replay, schema, jcols)
+    r = group_runs(j, [key, "__b"], ["__us", tie], replay, ["__us", ok, "__kind", "__param"], list(df.columns),
+                   [("state", text), ("use_fallback", T.BooleanType()), ("__fail", long)])
     r = split_running(r, [key], [ts, tie], sums={"total_failures": F.col("__fail"),
                                                  "total_fallbacks": F.col("use_fallback").cast("long")},
                       bucket_sec=bucket_sec)

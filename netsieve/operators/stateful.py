@@ -11,117 +11,49 @@ batches stream through the iterator and no group is ever materialised.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from netsieve.operators import _runs
 
-def _epoch(df: DataFrame, ts: str) -> F.Column:
-    return F.unix_micros(F.col(ts).cast("timestamp"))
-
-
-def _key_changes(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
-    """Boolean array: row i starts a new key run (vectorised, NULL == NULL)."""
-    n = len(pdf)
-    ch = np.zeros(n, dtype=bool)
-    if n == 0:
-        return ch
-    ch[0] = True
-    for k in keys:
-        col = pdf[k]
-        na = col.isna().to_numpy()
-        a = col.to_numpy()
-        with np.errstate(invalid="ignore"):
-            diff = np.asarray(a[1:] != a[:-1], dtype=bool)
-        diff &= ~(na[1:] & na[:-1])
-        diff |= na[1:] != na[:-1]
-        ch[1:] |= diff
-    return ch
-
-
-def keyed_scan(df: DataFrame, keys: list[str], ts: str, tie: str, make_state: Callable[[], dict],
-               step: Callable, out_fields: list[tuple[str, T.DataType, str]],
-               num_partitions: int | None = None) -> DataFrame:
-    """Sorted per-key walk.
-
-    ``step(state, cols, s, e, out)`` handles rows ``s:e`` of ONE key (time
-    order): ``cols`` maps column name -> numpy array for the whole batch
-    (``__us`` = epoch microseconds), ``out`` maps output name -> preallocated
-    array to fill. ``state`` persists across batches of the same key.
-    ``out_fields``: (name, Spark type, numpy dtype); timestamp outputs are
-    written as epoch microseconds."""
+
+def keyed_scan(df: DataFrame, keys: list[str], ts: str, tie: str, make_state: Callable[[], dict], step: Callable,
+               out_fields: list[tuple[str, T.DataType, str]], num_partitions: int | None = None) -> DataFrame:
+    """Sorted per-key walk by (``ts``, ``tie``); ``cols["__us"]`` has epoch
+    microseconds, and timestamp outputs are written as such."""
     from netsieve.session import ship_package
     ship_package(df.sparkSession)
-    x = df.withColumn("__us", _epoch(df, ts))
-    x = x.repartition(num_partitions, *keys) if num_partitions else x.repartition(*keys)
-    x = x.sortWithinPartitions(*keys, "__us", tie)
-    cols = list(df.columns)
-    schema = T.StructType([f for f in df.schema.fields] +
-                          [T.StructField(n, t) for n, t, _ in out_fields])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur_key, state = None, None
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            arrs = {c: pdf[c].to_numpy() for c in pdf.columns}
-            out = {name: np.empty(n, dtype=dt) for name, _, dt in out_fields}
-            starts = np.flatnonzero(_key_changes(pdf, keys))
-            ends = np.append(starts[1:], n)
-            kvals = [pdf[k].to_numpy() for k in keys]
-            kna = [pdf[k].isna().to_numpy() for k in keys]
-            for s, e in zip(starts.tolist(), ends.tolist()):
-                kt = tuple(None if kna[j][s] else kvals[j][s] for j in range(len(keys)))
-                if kt != cur_key:
-                    cur_key, state = kt, make_state()
-                step(state, arrs, s, e, out)
-            res = pdf[cols].copy()
-            for name, t, _ in out_fields:
-                v = out[name]
-                if isinstance(t, (T.TimestampNTZType, T.TimestampType)):
-                    v = pd.to_datetime(v.astype("int64"), unit="us")
-                res[name] = v
-            yield res
-
-    return x.mapInPandas(run, schema)
-
-
-# A key with more rows than this takes the bucketed (parallel) chain; below it
-# one sorted walk per key is cheaper. Sized so a walk stays well within one
-# task's time budget.
-HOT_KEY_ROWS = 2_000_000
-
-
-def _largest_key(df: DataFrame, key: list[str]) -> int:
-    """Rows of the largest key (one aggregate: partial counts per task)."""
-    r = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return int(r or 0)
+    x = df.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
+    return _runs.keyed_scan(x, keys, ["__us", tie], make_state, step, out_fields, num_partitions).drop("__us")
+
+
+def _method(method: str) -> bool:
+    """True for the parallel path. ``walk``, one sorted walk per key, is the plain
+    statement of the same rule, for tests."""
+    if method not in ("split", "walk"):
+        raise ValueError(f"unknown method {method!r}")
+    return method == "split"
 
 
 # --- ST1: resetting-window admission ---------------------------------------
 
 def admit(df: DataFrame, key: list[str], ts: str = "ts", tie: str = "event_id",
-          limit: int = 100, window_sec: float = 1.0, method: str = "auto",
+          limit: int = 100, window_sec: float = 1.0, method: str = "split",
           bucket_sec: float | None = None) -> DataFrame:
     """ST1: a key's window opens at its first event and closes when the
     elapsed time reaches ``window_sec``; the next event opens a new one.
     Events are admitted while fewer than ``limit`` were admitted in the
     window. Adds ``admitted`` and ``window_start``.
 
-    ``method="split"``: window openers from the bucketed episode chain
+    Window openers come from the bucketed episode chain
     (parallel inside a key, e.g. one switch), then the position inside the
     window from split running sums. ``method="walk"``: one sorted walk per
-    key. ``"auto"`` (default): split when the largest key exceeds
-    ``HOT_KEY_ROWS``."""
+    key."""
     w_us = int(round(window_sec * 1e6))
-    if method == "auto":
-        method = "split" if _largest_key(df, key) > HOT_KEY_ROWS else "walk"
-    if method == "split":
+    if _method(method):
         from netsieve.operators._chain import episode_openers
         from netsieve.operators._split import split_running
         b = bucket_sec or max(60.0 * window_sec, window_sec)
@@ -159,22 +91,20 @@ def admit(df: DataFrame, key: list[str], ts: str = "ts", tie: str = "event_id",
 def suppress_floods(df: DataFrame, ts: str = "ts", tie: str = "event_id",
                     switch_key: list[str] | None = None, flow_key: list[str] | None = None,
                     limit: int = 100, window_sec: float = 1.0, dedup_sec: float = 1.0,
-                    method: str = "auto", bucket_sec: float | None = None) -> DataFrame:
+                    method: str = "split", bucket_sec: float | None = None) -> DataFrame:
     """ST2: per switch the ST1 limiter first; then an event is suppressed when
     the last *admitted* event of the same (switch, src, dst, ethertype) is
     less than ``dedup_sec`` old; suppressed events do not refresh it.
     Adds ``suppressed``.
 
     The dedup is itself an episode chain: a passing event opens a
-    suppression episode of ``dedup_sec`` that absorbs later events, so for
-    hot flow keys it takes the bucketed parallel form (``method="auto"``)."""
+    suppression episode of ``dedup_sec`` that absorbs later events, and takes
+    the bucketed parallel form too."""
     sk = switch_key or ["dpid"]
     fk = flow_key or ["dpid", "eth_src", "eth_dst", "ethertype"]
     a = admit(df, sk, ts, tie, limit, window_sec, method=method).drop("window_start")
     d_us = int(round(dedup_sec * 1e6))
-    if method == "auto":
-        method = "split" if _largest_key(a, fk) > HOT_KEY_ROWS else "walk"
-    if method == "split":
+    if _method(method):
         from netsieve.operators._chain import episode_openers
         ok = a.filter(F.col("admitted")).withColumn("__dur", F.lit(d_us).cast("long"))
         b = bucket_sec or max(60.0 * dedup_sec, dedup_sec)
@@ -202,7 +132,7 @@ def suppress_floods(df: DataFrame, ts: str = "ts", tie: str = "event_id",
 
 def block_episodes(det: DataFrame, key: list[str], ts: str = "ts", tie: str = "event_id",
                    timeout_col: str = "timeout_sec", cap_sec: float | None = None,
-                   method: str = "auto", bucket_sec: float = 3600.0) -> DataFrame:
+                   method: str = "split", bucket_sec: float = 3600.0) -> DataFrame:
     """ST3: a detection opens a block for its key unless one is open; hits
     inside an open block are absorbed. ``timeout_col`` holds the (jittered)
     timeout a detection would give if it opened the block; the block closes
@@ -213,11 +143,8 @@ def block_episodes(det: DataFrame, key: list[str], ts: str = "ts", tie: str = "e
     ``method="split"``: openers from the bucketed episode chain (buckets at
     least as wide as the longest timeout; parallel inside a hot key),
     start/expiry as split running maxima. ``method="walk"``: one sorted walk
-    per key. ``"auto"`` (default): split when the largest key exceeds
-    ``HOT_KEY_ROWS``."""
-    if method == "auto":
-        method = "split" if _largest_key(det, key) > HOT_KEY_ROWS else "walk"
-    if method == "split":
+    per key."""
+    if _method(method):
         from netsieve.operators._chain import episode_openers
         from netsieve.operators._split import split_running
         dur = F.col(timeout_col).cast("double")
@@ -307,7 +234,7 @@ CLOSED, OPEN, HALF_OPEN = "closed", "open", "half_open"
 
 def breaker_states(df: DataFrame, model_key: str = "model", ts: str = "ts", tie: str = "event_id",
                    ok: str = "ok", fail_max: int = 5, reset_sec: float = 30.0,
-                   success_threshold: int = 2, method: str = "auto",
+                   success_threshold: int = 2, method: str = "split",
                    bucket_sec: float = 3600.0) -> DataFrame:
     """ST6: replay a per-model log of call outcomes through the breaker:
     closed -> open after ``fail_max`` consecutive failures; open -> half-open
@@ -321,11 +248,8 @@ def breaker_states(df: DataFrame, model_key: str = "model", ts: str = "ts", tie:
     from every possible entry state at once (identical states merge), a walk
     over the small exit table fixes each bucket's true entry, and a second
     per-bucket replay emits the rows (``operators/_chain.py``);
-    ``"walk"``: one sorted walk per model; ``"auto"`` picks split for a
-    model with more than ``HOT_KEY_ROWS`` calls."""
-    if method == "auto":
-        method = "split" if _largest_key(df, [model_key]) > HOT_KEY_ROWS else "walk"
-    if method == "split":
+    ``"walk"``: one sorted walk per model."""
+    if _method(method):
         from netsieve.operators._chain import breaker_split
         return breaker_split(df, model_key, ts, tie, ok, fail_max, reset_sec, success_threshold,
                              max(bucket_sec, reset_sec))

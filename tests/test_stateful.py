@@ -3,6 +3,8 @@ flood suppression) and the reference's literal cases."""
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from netsieve.operators.stateful import admit, block_episodes, breaker_states, suppress_floods
 
 T0 = dt.datetime(2024, 1, 1)
@@ -161,3 +163,36 @@ def test_learn_macs_matches_replay(spark):
     got = {r["event_id"]: r["learned"] for r in learn_macs(df).collect()}
     exp = _replay_learn([(e, round(t * 1e6), m, p) for e, t, m, p in ev])
     assert got == exp and not all(exp.values())
+
+
+def test_chains_take_any_tie_and_keep_nullable_longs(spark):
+    """A text tie, a key and a carried BIGINT with NULLs beyond 2**53."""
+    big = 2 ** 53 + 1
+    rows = [(f"e{i:03d}", big if i % 3 else None, big + i if i % 4 else None, float(i // 2), 5.0, i % 5 != 0, [i]) for i in range(60)]
+    df = spark.createDataFrame(rows, "event_id string, k long, n long, sec double, timeout_sec double, ok boolean, extra array<long>") \
+        .withColumn("ts", F.timestamp_seconds("sec")).repartition(3)
+    carried = {r[0]: (r[1], r[2], r[6]) for r in rows}
+    for fn, cols in ((lambda m: admit(df, ["k"], limit=2, window_sec=4.0, method=m), ["admitted", "window_start"]),
+                     (lambda m: block_episodes(df, ["k"], method=m), ["opens", "start_ts", "expiry_ts"]),
+                     (lambda m: breaker_states(df, "k", reset_sec=3.0, fail_max=2, method=m), ["state", "use_fallback", "total_failures"])):
+        split, walk = ({r["event_id"]: r for r in fn(m).collect()} for m in ("split", "walk"))
+        assert split.keys() == walk.keys() == carried.keys()
+        for e, r in split.items():
+            assert (r["k"], r["n"], r["extra"]) == carried[e]
+            assert [r[c] for c in cols] == [walk[e][c] for c in cols]
+
+
+def test_group_runs_over_many_batches(spark):
+    """One group far larger than an Arrow batch, many small ones around it."""
+    from pyspark.sql import types as T
+
+    from netsieve.operators._runs import group_runs
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(400).select(F.when(F.col("id") < 200, 5).otherwise(F.col("id") % 9).alias("k"), "id")
+        got = group_runs(df, ["k"], ["id"], lambda c: (None, {"n": [len(c["id"])] * len(c["id"])}), ["id"], ["k", "id"], [("n", T.LongType())]).collect()
+        want = {r["k"]: r["count"] for r in df.groupBy("k").count().collect()}
+        assert len(got) == 400 and all(r["n"] == want[r["k"]] for r in got)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
