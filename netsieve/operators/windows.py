@@ -118,26 +118,36 @@ def zscore_drift(df: DataFrame, key: str, value: str = "value", ts: str = "ts",
     least ``min_n`` were seen and the population std is > 0, flag when
     ``x > mean + 3 std``; with the running drift count and last drift time.
 
-    A drift series is usually ONE key (a model's error stream), so no step
-    may need the key in one task. The frame sums are differences of running
-    sums (``split_running``: parallel inside a key) taken in DECIMAL, so the
-    difference is exact; the sums of the row ``n`` positions back come from
-    an equi-join on (key, position)."""
-    v = F.col(value).cast("decimal(20,6)")
-    x = split_running(df, [key], [ts, tie],
-                      sums={"__pos": F.lit(1).cast("long"), "__s1": v, "__s2": v * v},
-                      bucket_sec=bucket_sec)
-    old = x.select(F.col(key).alias("__k_old"), (F.col("__pos") + n).alias("__pos_old"),
-                   F.col("__s1").alias("__s1o"), F.col("__s2").alias("__s2o"))
-    j = x.join(old, x[key].eqNullSafe(old["__k_old"]) & (x["__pos"] == old["__pos_old"]), "left")
-    s1 = F.col("__s1") - F.coalesce(F.col("__s1o"), F.lit(0))
-    s2 = F.col("__s2") - F.coalesce(F.col("__s2o"), F.lit(0))
-    cnt = F.least(F.col("__pos"), F.lit(n))
-    mean = (s1 / cnt).cast("double")
-    var = ((s2 - s1 * s1 / cnt) / cnt).cast("double")
-    std = F.sqrt(F.greatest(var, F.lit(0.0)))
-    flag = F.coalesce((cnt >= min_n) & (std > 0) & (F.col(value) > mean + 3 * std), F.lit(False))
-    y = j.withColumn("drift", flag).drop("__k_old", "__pos_old", "__s1o", "__s2o", "__s1", "__s2", "__pos")
+    A drift series is usually ONE key (a model's error stream), so no step may
+    need the key in one task: rows are numbered per key (``split_running``) and
+    cut into blocks of ``n``. A row's frame is the end of the block before its
+    own plus the start of its own, so its moments are those of a suffix and a
+    prefix, put together; nothing is ever subtracted, and values of any size
+    keep their digits. Blocks hold ``n`` rows whatever the key's size."""
+    kk, at = F.struct(F.col(key)).alias("__k"), F.col("__pos") - 1
+    x = split_running(df, [key], [ts, tie], sums={"__pos": F.lit(1).cast("long")}, bucket_sec=bucket_sec)
+    x = x.select("*", kk, F.floor(at / n).alias("__block"))
+    v = F.col(value).cast("double")
+
+    def moments(order, name):
+        w = Window.partitionBy("__k", "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return F.struct(F.count(v).over(w).alias("n"), F.avg(v).over(w).alias("m"), F.var_pop(v).over(w).alias("v"),
+                        F.min(v).over(w).alias("lo"), F.max(v).over(w).alias("hi")).alias(name)
+
+    x = x.select("*", moments(F.col("__pos").asc(), "__a"), moments(F.col("__pos").desc(), "__b"))
+    # the suffix that starts n - 1 rows back lies in the block before, but for
+    # the last row of a block, whose own prefix is the frame
+    old = x.where(at % n != 0).select(F.col("__k").alias("__ko"), (F.col("__pos") + n - 1).alias("__po"), F.col("__b").alias("__o"))
+    j = x.drop("__b").join(old, (F.col("__k") == F.col("__ko")) & (F.col("__pos") == F.col("__po")), "left")
+    na, nb = F.col("__a.n"), F.coalesce("__o.n", F.lit(0))
+    ma, mb = F.coalesce("__a.m", F.lit(0.0)), F.coalesce("__o.m", F.lit(0.0))
+    cnt = na + nb
+    mean = (na * ma + nb * mb) / cnt
+    var = (na * F.coalesce("__a.v", F.lit(0.0)) + nb * F.coalesce("__o.v", F.lit(0.0)) + (mb - ma) * (mb - ma) * (na * nb / cnt)) / cnt
+    # equal values have no spread, whatever rounding their mean has seen
+    std = F.when(F.least("__a.lo", "__o.lo") == F.greatest("__a.hi", "__o.hi"), 0.0).otherwise(F.sqrt(var))
+    flag = F.coalesce((cnt >= min_n) & (std > 0) & (v > mean + 3 * std), F.lit(False))
+    y = j.withColumn("drift", flag).drop("__ko", "__po", "__o", "__a", "__k", "__block", "__pos")
     return split_running(y, [key], [ts, tie], sums={"drift_count": F.col("drift").cast("long")},
                          maxes={"last_drift_ts": F.when(F.col("drift"), F.col(ts))},
                          bucket_sec=bucket_sec)

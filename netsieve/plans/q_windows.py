@@ -88,6 +88,26 @@ def w5_zscore_drift(spark, sf):
         "event_id", "drift", F.col("drift_count").cast("bigint").alias("drift_count"))
 
 
+def _drift_scaled_sql(scale: str) -> str:
+    return f"""
+SELECT event_id, coalesce(count(x) OVER w >= 100 AND max(x) OVER w > min(x) OVER w
+           AND x > avg(x) OVER w + 3 * stddev_pop(x) OVER w, false) AS drift
+FROM (SELECT event_id, ts, event_type, cast(value AS double) * {scale} AS x FROM events)
+WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)"""
+
+
+def _register_drift_scaled(name: str, scale: str):
+    @register(f"w5_zscore_drift_{name}", D.with_views(_drift_scaled_sql(scale)))
+    def q(spark, sf):
+        """W5 on values of another size: probabilities, errors, large counts."""
+        e = D.read_table(spark, sf, "events").withColumn("x", F.col("value").cast("double") * float(scale))
+        return zscore_drift(e, "event_type", "x").select("event_id", "drift")
+
+
+for _name, _scale in (("milli", "1e-3"), ("micro", "1e-6"), ("peta", "1e15")):
+    _register_drift_scaled(_name, _scale)
+
+
 @register("w6_previous_snapshot", D.with_views(f"""
 SELECT event_id, lag(event_id) OVER w AS prev_event_id, lag(packet_count) OVER w AS prev_packet_count
 FROM eligible WINDOW w AS ({FLOW_W})

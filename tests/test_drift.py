@@ -63,3 +63,31 @@ def test_adwin_operator_per_key(spark):
     r = {x["k"]: x["c"] for x in adwin(df, ["k"], "value").groupBy("k").agg({"drift_count": "max"})
          .withColumnRenamed("max(drift_count)", "c").collect()}
     assert r["x"] >= 1 and r["y"] == 0
+
+
+def test_zscore_drift_of_any_scale(spark):
+    """Against a plain window in numpy, from tiny to huge values, outliers and
+    constant stretches among them."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from netsieve.operators.windows import zscore_drift
+    rng = np.random.default_rng(0)
+    x = rng.normal(5, 1, 2600)
+    x[rng.integers(0, 2600, 40)] += 30
+    x[1200:2300] = 7.0
+    x[2290] = 9.0
+    for scale, n in ((1.0, 50), (1e-6, 1000), (1e15, 130)):
+        v = x * scale
+        rows = [(i, "m" if i % 50 else None, float(a)) for i, a in enumerate(v)]
+        df = spark.createDataFrame(rows, "event_id long, k string, value double").withColumn("ts", F.timestamp_seconds(F.floor(F.col("event_id") / 3)))
+        got = {r["event_id"]: r for r in zscore_drift(df.repartition(5), "k", n=n, min_n=20, bucket_sec=97).collect()}
+        for key in ("m", None):
+            ids = [r[0] for r in rows if r[1] == key]
+            count = 0
+            for p, i in enumerate(ids):
+                f = v[ids[max(0, p - n + 1):p + 1]]
+                want = len(f) >= 20 and f.max() > f.min() and v[i] > f.mean() + 3 * f.std()
+                count += want
+                assert got[i]["drift"] == want and got[i]["drift_count"] == count, (scale, key, i)
+        assert sum(r["drift"] for r in got.values()) > 10
