@@ -30,16 +30,26 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_canonical(spark: SparkSession, path: str) -> DataFrame:
-    """Canonical CSV: exactly the 13 columns else an error; rows with any
-    null dropped; +-Inf in the features -> 0."""
-    head = spark.read.option("header", True).csv(path).columns
-    if len(head) != len(CANONICAL.fields):
-        raise ValueError(f"Expected {len(CANONICAL.fields)} columns, got {len(head)}")
-    df = spark.read.option("header", True).schema(CANONICAL).option("mode", "PERMISSIVE").csv(path)
-    df = df.na.drop(how="any")
-    dbl = [f.name for f in CANONICAL.fields if f.dataType.typeName() == "double"]
-    return df.withColumns({c: F.when(F.abs(F.col(c)) == float("inf"), F.lit(0.0)).otherwise(F.col(c))
-                           for c in dbl})
+    """Canonical CSV: exactly the 13 columns, in any order, else an error;
+    rows with any null dropped; +-Inf in the features -> 0. Fields are read as
+    text and selected by name; whole numbers may be written as ``100.0``."""
+    raw = spark.read.option("header", True).csv(path)
+    want = [f.name for f in CANONICAL.fields]
+    if sorted(raw.columns) != sorted(want):
+        raise ValueError(f"A canonical file has the columns {want}, this one {raw.columns}")
+
+    def number(f):
+        # as the CSV reader spells them: NaN counts as missing, Inf as a value
+        t = F.trim(f.name)
+        d = (F.when(F.lower(t).isin("inf", "+inf", "infinity", "+infinity"), F.lit(float("inf")))
+              .when(F.lower(t).isin("-inf", "-infinity"), F.lit(float("-inf"))).otherwise(t.try_cast("double")))
+        d = F.when(~F.isnan(d), d)
+        if f.dataType.typeName() == "double":
+            return F.when(F.abs(d) == float("inf"), F.lit(0.0)).otherwise(d).alias(f.name)
+        whole = t.try_cast(f.dataType)  # keeps every digit of a plain whole number
+        return F.coalesce(whole, F.when(F.abs(d) == float("inf"), F.lit(0).cast(f.dataType)).otherwise(d.try_cast(f.dataType))).alias(f.name)
+
+    return raw.select(*[number(f) for f in CANONICAL.fields]).na.drop(how="any")
 
 
 def _read_csv_dir(spark: SparkSession, path: str, lower: bool = False,
@@ -151,10 +161,10 @@ def write_results(df: DataFrame, path: str, fmt: str = "csv") -> None:
 
 
 def verify_files(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
-    """Per file size, SHA-256 and status against ``expected``
+    """Per CSV file size, SHA-256 and status against ``expected``
     (name, sha256): ok / mismatch / unexpected; plus rows for expected files
     that are missing (J9, U3). One file must fit a row (binaryFile limit)."""
-    files = (spark.read.format("binaryFile").load(path)
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
                   .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"),
                           F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")))
     e = expected.select("name", F.col("sha256").alias("expected_sha256"))
@@ -169,8 +179,9 @@ def verify_files(spark: SparkSession, path: str, expected: DataFrame) -> DataFra
 
 
 def manifest_summary(report: DataFrame) -> DataFrame:
-    """S15 totals: files, total size, missing count, overall ok."""
+    """S15 totals: files, total size, missing count, overall ok (a folder
+    without files is not)."""
     return report.agg(F.count(F.lit(1)).alias("files"),
                       F.coalesce(F.sum("size"), F.lit(0)).alias("total_size"),
                       F.sum(F.when(F.col("status") == "missing", 1).otherwise(0)).alias("missing"),
-                      F.min(F.col("status").isin("ok", "unexpected")).alias("all_ok"))
+                      F.coalesce(F.min(F.col("status").isin("ok", "unexpected")), F.lit(False)).alias("all_ok"))

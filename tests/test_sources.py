@@ -92,3 +92,20 @@ def test_manifest(spark):
     exp = spark.createDataFrame([("a.csv", good), ("b.csv", "0" * 64), ("c.csv", "1" * 64)], "name STRING, sha256 STRING")
     r = {x["name"]: x["status"] for x in verify_files(spark, d, exp).collect()}
     assert r == {"a.csv": "ok", "b.csv": "mismatch", "c.csv": "missing"}
+
+
+def test_canonical_reads_by_name(spark, tmp_path):
+    """Columns in another order, whole numbers written as floats."""
+    from netsieve.schema import CANONICAL
+    names = [f.name for f in CANONICAL.fields][::-1]
+    value = {f.name: ("7.25" if f.dataType.typeName() == "double" else "100.0") for f in CANONICAL.fields}
+    value.update(label="1", packet_count="9007199254740993", byte_count="100.0")
+    inf = next(f.name for f in CANONICAL.fields if f.dataType.typeName() == "double")
+    rows = [value, {**value, inf: "inf"}, {**value, inf: ""}, {**value, inf: "nan"}]
+    (tmp_path / "a.csv").write_text("\n".join([",".join(names), *(",".join(r[n] for n in names) for r in rows)]) + "\n")
+    got = read_canonical(spark, str(tmp_path / "a.csv")).collect()
+    assert len(got) == 2 and {r[inf] for r in got} == {7.25, 0.0}
+    assert all(r["packet_count"] == 9007199254740993 and r["byte_count"] == 100 and r["label"] == 1 for r in got)
+    (tmp_path / "b.csv").write_text(",".join(["other", *names[1:]]) + "\n")
+    with pytest.raises(ValueError):
+        read_canonical(spark, str(tmp_path / "b.csv"))
