@@ -230,7 +230,7 @@ def dataset_report(df: DataFrame, label: str = "label",
                        .otherwise(0)) for c in df.columns], F.lit(0))
     infs = sum([F.sum(F.when(F.abs(F.col(c)) == float("inf"), 1).otherwise(0))
                 for c in feats if c in dbl], F.lit(0))
-    negs = sum([F.sum(F.when(F.col(c) < 0, 1).otherwise(0)) for c in feats], F.lit(0))
+    negs = sum([F.sum(F.when(F.col(c) < 0, 1).otherwise(0)) for c in ("packet_count", "byte_count") if c in feats], F.lit(0))
     one = df.agg(
         F.count(F.lit(1)).alias("rows"),
         nulls.cast("bigint").alias("nulls"), infs.cast("bigint").alias("infs"),
@@ -240,7 +240,7 @@ def dataset_report(df: DataFrame, label: str = "label",
         (F.sum(F.when(F.col(label) == 0, 1).otherwise(0)) * 100.0 / F.count(F.lit(1))).alias("normal_pct"),
     )
     st = lambda ok: F.when(ok, F.lit("PASS")).otherwise(F.lit("FAIL"))
-    lab_ok = F.col("bad_labels") == 0
+    lab_ok = (F.col("bad_labels") == 0) & (F.col("n_labels") == 2)  # exactly 0 and 1
     share_ok = F.abs(F.col("normal_pct") - F.lit(expected[0])) <= tolerance
     def chk(name, status, value):
         return F.struct(F.lit(name).alias("check"), status.alias("status"),

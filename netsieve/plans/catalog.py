@@ -29,14 +29,8 @@ def register(name: str, sql: str | None = None):
 
 def _load_all():
     # importing the modules registers their queries
-    from netsieve.plans import q_core  # noqa: F401
-    for mod in ("q_windows", "q_logs", "q_adapters", "q_joins", "q_stateful", "q_ml",
-                "q_models", "q_stream"):
-        try:
-            __import__(f"netsieve.plans.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"netsieve.plans.{mod}":
-                raise
+    from netsieve.plans import (  # noqa: F401
+        q_adapters, q_core, q_joins, q_logs, q_ml, q_models, q_stateful, q_stream, q_windows)
 
 
 def all_queries():

@@ -140,8 +140,7 @@ def m14_auc(spark, sf):
     return auc(c)
 
 
-KS_FEATS = ["packet_count_per_second", "byte_count_per_second", "avg_packet_size", "flow_duration_sec",
-            "flows_to_dst", "unique_sources_to_dst"]
+KS_FEATS = FEATURE_NAMES
 
 
 def _ks_sql() -> str:

@@ -64,3 +64,26 @@ def test_binary_metrics_zero_division(spark):
     df = spark.createDataFrame([(0, 0), (0, 0)], "label INT, prediction INT")
     r = binary_metrics(df).first()
     assert (r["precision"], r["recall"], r["f1"], r["accuracy"]) == (0.0, 0.0, 0.0, 1.0)
+
+
+def test_auc_of_large_counts(spark):
+    """Rank sums beyond 64 bits: 3e9 rows a class."""
+    from netsieve.operators import metrics
+    counts = spark.createDataFrame([(0.1, 1_000_000_000, 2_000_000_000), (0.2, 0, 1_000_000_000), (0.9, 2_000_000_000, 0)], "score double, pos long, neg long")
+    old = metrics._score_counts
+    metrics._score_counts = lambda *a: counts
+    try:
+        r = metrics.auc(counts).first()
+    finally:
+        metrics._score_counts = old
+    assert r["auc"] == (1e9 * 1e9 + 2e9 * 3e9) / (3e9 * 3e9)
+    assert (r["positives"], r["negatives"]) == (3_000_000_000, 3_000_000_000)
+
+
+def test_dataset_report_wants_both_labels(spark):
+    from netsieve.operators.aggregates import dataset_report
+    from netsieve.schema import FEATURE_NAMES
+    from pyspark.sql import functions as F
+    df = spark.range(4).select(*[F.lit(-1.0 if n not in ("packet_count", "byte_count") else 1.0).alias(n) for n in FEATURE_NAMES], F.lit(0).alias("label"))
+    got = {r["check"]: r["status"] for r in dataset_report(df).collect()}
+    assert got["labels"] == "FAIL" and got["negatives"] == "PASS"
