@@ -46,10 +46,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        # Unset only in local tests: a scratch folder stands in for the
-        # shared one a cluster provides.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
+        # a local session, as in tests: a scratch folder stands in for it
         d = tempfile.mkdtemp(prefix="netsieve-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(d)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)  # makes a new folder below d each time
     return d
 
 
