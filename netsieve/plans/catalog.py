@@ -30,7 +30,7 @@ def register(name: str, sql: str | None = None):
 def _load_all():
     # importing the modules registers their queries
     from netsieve.plans import (  # noqa: F401
-        q_adapters, q_core, q_joins, q_logs, q_ml, q_models, q_stateful, q_stream, q_windows)
+        q_adapters, q_branches, q_core, q_joins, q_logs, q_ml, q_models, q_stateful, q_stream, q_windows)
 
 
 def all_queries():
