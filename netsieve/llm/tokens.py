@@ -16,8 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_ENTRIES = 500_000  # chunks kept per worker, those met first: about 100 MB
-CHUNK_CHARS = 48  # longer chunks are not kept
+CACHE_ENTRIES = 1_000_000  # chunks kept per worker, those met first: about 200 MB
 PART_CHARS = 6_000_000  # characters handled at once, whatever an Arrow batch holds
 JOINED = 1_000  # chunks encoded in one call
 
@@ -50,90 +49,127 @@ def vocabulary(name: str, own_specials: bool = True):
 _CLOSE = ",."
 
 
-class _Chunks(dict):
-    """Ids of chunks: kept ones, and those of the current part in ``once``."""
+class _Codes(dict):
+    """Numbers chunks in the order they are met; ``new`` has those without ids."""
 
     def __init__(self):
-        self.once: dict[str, bytes] = {}
+        self.new: list[str] = []
 
-    def __missing__(self, chunk: str) -> bytes:
-        return self.once[chunk]
+    def __missing__(self, chunk: str) -> int:
+        code = self[chunk] = len(self)
+        self.new.append(chunk)
+        return code
 
 
 class Encoder:
     """``encode(texts)`` gives one uint32 array of ids per text.
 
     ``spaced``: a space belongs to the token that follows it (byte-level BPE);
-    otherwise white space only separates tokens."""
+    otherwise white space only separates tokens.
+
+    A chunk's first character says where it stood: a line end, a carriage return
+    for the start of the text (no text that is cut contains one), else a space,
+    which is left out."""
 
     def __init__(self, name: str, spaced: bool):
         self.tok, self.marked, self.spaced = vocabulary(name), vocabulary(name, False), spaced
         special = {i: t.content for i, t in self.tok.get_added_tokens_decoder().items() if t.special}
         self.mark_id, self.mark = max(special.items())
         self.specials = tuple(special.values())
-        self.first = _Chunks()  # chunks at the start of a text
-        self.rest = _Chunks() if spaced else self.first  # chunks after a space
         self.close = dict(zip(_CLOSE, self._single(list(_CLOSE))))
-        self.line_end = next(self._single(["\n"]))
         # byte-level BPE writes a leading space as U+0120
         self.opens = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
         self.opens[[i for t, i in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True
+        self.codes = _Codes()
+        # ids of all numbered chunks one after the other, and where each begins
+        self.ids, self.starts, self.lengths = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _single(self, chunks: list[str]):
-        for e in self.tok.encode_batch(chunks, add_special_tokens=False):
-            yield np.asarray(e.ids, "<u4").tobytes()
+    def _single(self, chunks: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(chunks, add_special_tokens=False)]
 
-    def _joined(self, chunks: list[str]):
+    def _joined(self, chunks: list[str]) -> list[bytes]:
         """Ids of many chunks from one call."""
         if self.spaced:
-            got = self.tok.encode_batch_fast([chunks], is_pretokenized=True, add_special_tokens=False)[0].ids
+            got = self.tok.encode_batch_fast([[" " + c for c in chunks]], is_pretokenized=True, add_special_tokens=False)[0].ids
             ids = np.asarray(got, "<u4")
             starts = np.flatnonzero(self.opens[ids])
             ends = np.append(starts[1:], len(ids))
         else:
-            text = self.mark.join(chunks)
-            ids = np.asarray(self.marked.encode(text, add_special_tokens=False).ids, "<u4")
+            if any(s[:2] in c for s in self.specials for c in chunks if s[:2] in c):
+                return self._single(chunks)
+            ids = np.asarray(self.marked.encode(self.mark.join(chunks), add_special_tokens=False).ids, "<u4")
             marks = np.flatnonzero(ids == self.mark_id)
             starts, ends = np.concatenate(([0], marks + 1)), np.append(marks, len(ids))
-            if text.count("<|") != len(chunks) - 1 and any(s in c for c in chunks for s in self.specials):
-                return self._single(chunks)
         if len(starts) != len(chunks):  # a chunk that looks like two: one by one
-            return self._single(chunks)
+            return self._single([" " + c for c in chunks] if self.spaced else chunks)
         raw = ids.tobytes()
         return [raw[4 * a:4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
 
-    def _learn(self, cache: _Chunks, chunks: set, lead: str) -> None:
-        cache.once = {}
-        new, closed = [], []
-        for c in chunks.difference(cache):
-            # a comma or full stop after a letter is a token of its own
-            (closed if c[-1:] in _CLOSE and "A" <= c[-2:-1] < "\u0130" and c[-2].isalpha() else new).append(c)
-        if closed:
-            new = list({*new, *(c[:-1] for c in closed)}.difference(cache))
-        for i in range(0, len(new), JOINED):
-            part = new[i:i + JOINED]
-            form = [lead + c for c in part] if lead else part
-            cache.once.update(zip(part, self._joined(form) if lead or not self.spaced else self._single(form)))
+    def _learn(self) -> None:
+        """Ids of the chunks numbered last, in their order."""
+        codes, new = self.codes, self.codes.new
+        closed, lines, plain, k = [], [], [], 0
+        while k < len(new):
+            c = new[k]
+            if c[-1:] in _CLOSE and "A" <= c[-2:-1] < "\u0130" and c[-2].isalpha():
+                # a comma or full stop after a letter is a token of its own
+                closed.append(c)
+                codes[c[:-1]]  # numbered and appended to ``new`` if need be
+            elif self.spaced and c[:1] in ("\n", "\r"):
+                lines.append(c)
+            else:
+                plain.append(c)
+            k += 1
+        got: dict[str, bytes] = dict(zip(lines, self._single([c.lstrip("\r") for c in lines])))
+        for lo in range(0, len(plain), JOINED):
+            part = plain[lo:lo + JOINED]
+            got.update(zip(part, self._joined(part)))
         for c in closed:
-            cache.once[c] = cache[c[:-1]] + self.close[c[-1]]
-        if len(cache) < CACHE_ENTRIES:
-            cache.update((c, b) for c, b in cache.once.items() if len(c) <= CHUNK_CHARS)
+            stem = got.get(c[:-1])
+            if stem is None:
+                at = codes[c[:-1]]
+                stem = self.ids[self.starts[at]:self.starts[at] + self.lengths[at]].tobytes()
+            got[c] = stem + self.close[c[-1]]
+        found = [got[c] for c in new]
+        lengths = np.array([len(f) // 4 for f in found], np.int64)
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
+        self.lengths = np.concatenate((self.lengths, lengths))
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(found), "<u4")))
+
+    def _forget(self) -> None:
+        """Keep the chunks that were met first."""
+        if len(self.codes) > CACHE_ENTRIES:
+            over = len(self.codes) - CACHE_ENTRIES
+            for c in self.codes.new[-over:] if over <= len(self.codes.new) else list(self.codes)[CACHE_ENTRIES:]:
+                del self.codes[c]
+            self.starts, self.lengths = self.starts[:CACHE_ENTRIES], self.lengths[:CACHE_ENTRIES]
+            self.ids = self.ids[:int(self.starts[-1] + self.lengths[-1])]
+        self.codes.new.clear()
 
     def _part(self, texts: list[str]) -> list[np.ndarray]:
-        """One list of lines per text, each a list of chunks; None: encode whole."""
-        if self.spaced:
-            split = [[x.split(" ") for x in t.split("\n")] if _plain(t) else None for t in texts]
-            lines = [x for s in split if s for x in s]
-            self._learn(self.first, {x[0] for x in lines}, "")
-            self._learn(self.rest, set().union(*[x[1:] for x in lines]), " ")
-        else:
-            texts = [t if _EXOTIC.search(t) else t.lower() for t in texts]
-            split = [[t.replace("\n", " ").split(" ")] for t in texts]
-            self._learn(self.rest, set().union(*[s[0] for s in split]), "")
-        first, rest = self.first.__getitem__, self.rest.__getitem__
-        return [np.asarray(self.tok.encode(t, add_special_tokens=False).ids, "<u4") if s is None
-                else np.frombuffer(self.line_end.join([b"".join([first(x[0]), *map(rest, x[1:])]) for x in s]), "<u4")
-                for t, s in zip(texts, split)]
+        number = self.codes.__getitem__
+        whole, codes = [], []
+        for t in texts:
+            if not self.spaced:
+                chunks = (t if _EXOTIC.search(t) else t.lower()).replace("\n", " ").split(" ")
+            elif _plain(t):
+                chunks = ("\r" + t).replace("\n", " \n").split(" ")
+            else:
+                chunks = []
+            whole.append(not chunks)
+            codes.append(np.fromiter(map(number, chunks), np.int64, len(chunks)))
+        if self.codes.new:
+            self._learn()
+        ends = np.cumsum([len(c) for c in codes])
+        flat = np.concatenate(codes)
+        lengths = self.lengths[flat]
+        upto = np.concatenate(([0], np.cumsum(lengths)))
+        ids = self.ids[np.repeat(self.starts[flat] - upto[:-1], lengths) + np.arange(upto[-1])]
+        bounds = upto[np.concatenate(([0], ends))].tolist()
+        out = [np.asarray(self.tok.encode(t, add_special_tokens=False).ids, "<u4") if w else ids[a:b]
+               for t, w, a, b in zip(texts, whole, bounds[:-1], bounds[1:])]
+        self._forget()
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out, part, chars = [], [], 0
