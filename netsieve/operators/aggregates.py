@@ -29,17 +29,6 @@ def dst_aggregates(df: DataFrame, poll: str = "poll_ts",
                    F.countDistinct("src_ip").alias("unique_sources_to_dst")))
 
 
-def dst_aggregates_stream(df: DataFrame, poll: str = "poll_ts",
-                          leaf_dpids: list[int] | None = None) -> DataFrame:
-    """A1 for streams: exact distinct is refused on streaming aggregates, so the
-    distinct source count is the HyperLogLog++ estimate (rsd 1 %)."""
-    leaf = leaf_dpids or LEAF_DPIDS
-    return (df.filter(F.col("dpid").isin(leaf) & F.col("dst_ip").isNotNull())
-              .groupBy(poll, "dst_ip")
-              .agg(F.count(F.lit(1)).alias("flows_to_dst"),
-                   F.approx_count_distinct("src_ip", 0.01).alias("unique_sources_to_dst")))
-
-
 def dst_aggregates_global(df: DataFrame, dst: str | None = "dst_ip",
                           src: str | None = "src_ip") -> DataFrame:
     """A2: dataset-wide count and distinct sources per destination attached to

@@ -10,7 +10,7 @@ from netsieve.functions.network import attack_type
 from netsieve.operators.aggregates import dst_aggregates
 from netsieve.operators.detect import threshold_detect
 from netsieve.operators.features import live_features
-from netsieve.operators.filters import eligible_flows
+from netsieve.operators.filters import detections, eligible_flows
 from netsieve.operators.joins import spoof_verdict, with_dst_aggregates
 from netsieve.schema import LEAF_DPIDS
 
@@ -32,11 +32,21 @@ def featurize(flows: DataFrame, poll: str = "poll_ts",
 
 def detect_floods(flows: DataFrame, poll: str = "poll_ts",
                   leaf_dpids: list[int] | None = None,
-                  min_sources: int = 10, min_flows: int = 15) -> DataFrame:
+                  min_sources: int = 10, min_flows: int = 15, scorer=None, threshold: float = 0.7) -> DataFrame:
     """featurize -> M10/M11 fast path on the raw counter rates (duration
-    floored at 1 ms, as the sampler computes them) -> F3 (known source) -> J2 -> P17."""
+    floored at 1 ms, as the sampler computes them) -> known source -> J2 -> P17.
+    With a ``scorer`` (rows -> rows with ``attack_prob``) the flows that the fast
+    path leaves are scored, and F3 takes those at or above ``threshold``."""
     f = threshold_detect(featurize(flows, poll, leaf_dpids), pps="pps", bps="bps")
-    det = f.filter(F.col("is_attack") & F.col("src_ip").isNotNull())
+    caught = F.col("is_attack") & F.col("src_ip").isNotNull()
+    if scorer is None:
+        det = f.filter(caught)
+    else:
+        # one pass over the features: the scorer's probability counts where the
+        # fast path has not decided
+        s = scorer(f.drop("attack_prob"))
+        s = s.withColumn("attack_prob", F.when(F.col("is_attack"), F.lit(1.0)).otherwise(F.col("attack_prob")))
+        det = detections(s, threshold).drop("attack_prob")
     v = spoof_verdict(det, None, poll, min_sources, min_flows)
     return v.select(
         *[c for c in META if c in v.columns], poll, "ip_proto",

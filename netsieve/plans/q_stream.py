@@ -1,6 +1,6 @@
 """Streaming queries: the detection stream (ST7 over S8) and streaming block
-episodes, each run to completion with ``availableNow`` over the derived
-flows written as one file set per poll; results equal the batch plans."""
+episodes, each run to completion with ``availableNow`` over the derived flows,
+a poll's rows spread over several files; results equal the batch plans."""
 
 from __future__ import annotations
 
@@ -8,21 +8,32 @@ import os
 
 from pyspark.sql import functions as F
 
-from netsieve.operators.aggregates import dst_aggregates_stream
+from netsieve.operators.aggregates import dst_aggregates
 from netsieve.plans import derived as D
 from netsieve.plans.catalog import register
-from netsieve.plans.q_core import _detect_sql
+from netsieve.operators.filters import eligible_flows
+from netsieve.plans.q_core import AGG_SQL, ELIGIBLE_SQL, _detect_sql
+from netsieve.plans.detection import detect_floods
 from netsieve.plans.q_logs import _scratch
 from netsieve.plans.q_stateful import BLOCKDET_CTE
-from netsieve.streaming.detection import block_stream, detection_stream, read_flow_stats
+from netsieve.sources.datasets import _fs
+from netsieve.streaming.detection import block_stream, detection_stream, for_each_poll, read_flow_stats
 
 
-def write_poll_files(spark, sf) -> str:
-    """The flow source as a poller would leave it: one folder per poll."""
+def write_poll_files(spark, sf, files_per_poll: int = 3) -> str:
+    """The flow source as a poller would leave it: a poll's replies spread over
+    several files, in the order of the polls, and at the end the heartbeat of a
+    later poll (a table-miss row, which F1 drops), so that the last poll is
+    known to be complete."""
     path = _scratch(spark, "flowstats")
     f = D.flows(spark, sf).withColumn("poll_ts", F.col("poll_ts").cast("timestamp"))
-    (f.withColumn("poll", F.date_format("poll_ts", "yyyyMMdd")).repartition("poll")
-      .write.partitionBy("poll").parquet(path))
+    f = f.withColumn("poll", F.date_format("poll_ts", "yyyyMMdd"))
+    f.repartition("poll", (F.col("event_id") % files_per_poll)).write.partitionBy("poll").parquet(path)
+    last = f.agg(F.max("poll_ts")).first()[0]
+    beat = (f.where(F.col("poll_ts") == F.lit(last)).limit(1)
+             .withColumns({"poll_ts": F.col("poll_ts") + F.expr("interval 1 day"), "priority": F.lit(0)})
+             .withColumn("poll", F.date_format("poll_ts", "yyyyMMdd")))
+    beat.write.mode("append").partitionBy("poll").parquet(path)
     return path
 
 
@@ -58,7 +69,9 @@ def st3_block_stream(spark, sf):
     from netsieve.functions.network import jitter_timeout
     out = _run_detection_stream(spark, sf)
     det_schema = spark.read.parquet(f"{out}/detections").schema
-    s = spark.readStream.schema(det_schema).option("maxFilesPerTrigger", 4).parquet(f"{out}/detections")
+    # a trigger takes whole epochs: episodes follow the order of time, and an
+    # epoch's files are in no order among themselves
+    s = spark.readStream.schema(det_schema).parquet(f"{out}/detections")
     key = F.concat_ws("|", "block_src", "dst_ip", F.col("ip_proto").cast("string"),
                       F.unix_micros(F.col("ts").cast("timestamp")).cast("string"))
     s = s.withColumn("timeout_sec", jitter_timeout(key, 300))
@@ -69,28 +82,56 @@ def st3_block_stream(spark, sf):
     return spark.read.parquet(res)
 
 
-@register("a1_dst_aggregates_stream")
+@register("a1_dst_aggregates_stream", D.with_views("SELECT dst_ip, poll_ts, flows_to_dst, unique_sources_to_dst FROM agg", "flows",
+                                                   extra={"eligible": ELIGIBLE_SQL, "agg": AGG_SQL}))
 def a1_dst_aggregates_stream(spark, sf):
-    """A1 on the stream: per (poll, destination) with the HyperLogLog source
-    estimate (exact distinct is refused on streams); rows-only check."""
+    """A1 on the stream, a poll spread over files and triggers: equal to the
+    batch result."""
     src = write_poll_files(spark, sf)
-    s = read_flow_stats(spark, src, streaming=True, max_files_per_trigger=4)
-    from netsieve.operators.filters import eligible_flows
-    agg = dst_aggregates_stream(eligible_flows(s).withWatermark("poll_ts", "2 seconds"), "poll_ts")
-    res = _scratch(spark, "agg-stream")
-    q = (agg.writeStream.format("parquet").outputMode("append").option("path", res)
-         .option("checkpointLocation", res + "_ckpt").trigger(availableNow=True).start())
+    s = read_flow_stats(spark, src, streaming=True, max_files_per_trigger=16)
+    out = _scratch(spark, "agg-stream")
+    q = for_each_poll(s, lambda polls: {"agg": dst_aggregates(eligible_flows(polls), "poll_ts")}, out, os.path.join(out, "_checkpoint"))
     q.awaitTermination()
-    return spark.read.parquet(res)
+    return spark.read.parquet(f"{out}/agg").drop("epoch").withColumn("poll_ts", F.col("poll_ts").cast("timestamp_ntz"))
+
+
+def _probability(f):
+    """A scorer that SQL can state: a logistic curve over the packet rate."""
+    return f.withColumn("attack_prob", 1 / (1 + F.exp(-(F.col("pps") - 2000) / 500)))
+
+
+@register("f3_scored_detections", D.with_views("""
+SELECT event_id, poll_ts, pps FROM (SELECT *, packet_count / greatest(cast(duration_sec AS double), 0.001) AS pps,
+    byte_count / greatest(cast(duration_sec AS double), 0.001) AS bps FROM eligible) x
+WHERE src_ip IS NOT NULL AND (pps > 10000 OR bps > 50000000 OR 1 / (1 + exp(-(pps - 2000) / 500)) >= 0.7)""", "flows", extra={"eligible": ELIGIBLE_SQL}))
+def f3_scored_detections(spark, sf):
+    """F3 behind the fast path: a probability of at least 0.7 and a known source."""
+    return detect_floods(D.flows(spark, sf), scorer=_probability).select("event_id", "poll_ts", "pps")
+
+
+@register("st7_scored_stream", None)
+def st7_scored_stream(spark, sf):
+    """ST7 with scoring, a poll spread over files and triggers."""
+    src, out = write_poll_files(spark, sf), _scratch(spark, "scored-stream")
+    q = detection_stream(spark, read_flow_stats(spark, src, streaming=True, max_files_per_trigger=16), out,
+                         os.path.join(out, "_checkpoint"), scorer=_probability)
+    q.awaitTermination()
+    r = spark.read.parquet(f"{out}/detections").select("event_id", "poll_ts", "pps")
+    return r.withColumn("poll_ts", F.col("poll_ts").cast("timestamp_ntz"))
 
 
 def _write_time_ordered(spark, df, name: str, slice_sec: int = 3 * 86400) -> str:
-    """Files as a live source leaves them: one folder per time slice, written
-    in time order (a stream takes files in arrival order)."""
+    """Files as a live source leaves them: a stream takes files in the order of
+    their times. One scan writes one folder per time slice; the files are then
+    given times in the order of the slices (no data passes the driver)."""
     path = _scratch(spark, name)
-    sl = df.withColumn("__slice", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (slice_sec * 1e6)))
-    for i, v in enumerate(sorted(r[0] for r in sl.select("__slice").distinct().collect())):  # slice ids only
-        sl.filter(F.col("__slice") == v).drop("__slice").write.parquet(os.path.join(path, f"slice={i:05d}"))
+    sl = df.withColumn("slice", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (slice_sec * 1e6)))
+    sl.repartition("slice").write.partitionBy("slice").parquet(path)
+    fs, root = _fs(spark, path)
+    folders = sorted((f.getPath() for f in fs.listStatus(root) if f.isDirectory()), key=lambda p: int(p.getName().split("=")[1]))
+    for k, folder in enumerate(folders):
+        for f in fs.listStatus(folder):
+            fs.setTimes(f.getPath(), 1_700_000_000_000 + 60_000 * k, -1)
     return path
 
 
@@ -133,6 +174,7 @@ def st6_breaker_stream(spark, sf):
 
 def _register_stream_oracles():
     from netsieve.plans.catalog import ORACLES
+    ORACLES["st7_scored_stream"] = _oracle("f3_scored_detections")
     ORACLES["st1_admit_stream"] = _oracle("st1_admit")
     ORACLES["st6_breaker_stream"] = _oracle("st6_breaker_states")
 

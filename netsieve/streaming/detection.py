@@ -3,22 +3,23 @@
 * ``read_flow_stats``: the flow-stat poll source; batch or ``readStream``
   with a fixed schema and a per-trigger file cap (rate control instead of the
   reference's queue overflow, so nothing is dropped).
-* ``detection_stream``: each micro-batch runs the batch detection slice
-  (F1 -> A1 -> J1 -> P2 -> M10 -> F3 -> J2 -> P17) in ``foreachBatch`` and
-  writes detections and the attack log under ``epoch=<id>`` with dynamic
-  partition overwrite, so a replayed epoch replaces its own output
-  (exactly-once). A poll must not straddle two micro-batches: the source
-  writes one file set per poll and the trigger cap is counted in files.
+* ``complete_polls``: rows wait in the state store until the watermark has
+  passed their poll, and come out poll by poll. The file cap, and how a poll is
+  spread over files, therefore change nothing about the results.
+* ``detection_stream``: the batch detection slice
+  (F1 -> A1 -> J1 -> P2 -> M10 -> F3 -> J2 -> P17) on complete polls; detections
+  and the attack log go to folders ``epoch=<id>``, which a replayed epoch writes
+  over (exactly-once).
 * ``block_stream``: block episodes over the detection stream with
-  ``applyInPandasWithState``; state per block key is (start, expiry).
-  Episodes follow arrival order, as the live controller does: the source
-  must deliver detections in time order (the detection stream writes them
-  epoch by epoch); rows later than the 2 s watermark are dropped.
+  ``applyInPandasWithState``; state per block key is (start, expiry). Episodes
+  follow the order of time: a trigger must not deliver detections older than
+  those of the triggers before it, which the detection stream's epochs, taken
+  whole, do not.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -55,25 +56,50 @@ def read_flow_stats(spark: SparkSession, path: str, streaming: bool = False,
     return spark.read.format(fmt).schema(FLOW_STREAM_SCHEMA).load(path)
 
 
-def detection_stream(spark: SparkSession, source: DataFrame, out_path: str, checkpoint: str,
-                     n_switches: int = 5, min_sources: int = 10, min_flows: int = 15,
-                     available_now: bool = True, processing_time: str | None = None):
-    """ST7: start the detection stream; returns the ``StreamingQuery``."""
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-
-    def run_batch(batch: DataFrame, epoch_id: int) -> None:
-        det = detect_floods(batch, "poll_ts", min_sources=min_sources, min_flows=min_flows)
-        det = det.withColumn("epoch", F.lit(epoch_id))
-        det.write.mode("overwrite").partitionBy("epoch").parquet(f"{out_path}/detections")
-        log = attack_log(det, n_switches).withColumn("epoch", F.lit(epoch_id))
-        log.write.mode("overwrite").partitionBy("epoch").option("header", True).csv(f"{out_path}/attack_log")
-
-    w = (source.withWatermark("poll_ts", "2 seconds").writeStream
-         .foreachBatch(run_batch).option("checkpointLocation", checkpoint))
+def complete_polls(source: DataFrame, poll: str = "poll_ts", row_id: str = "event_id",
+                   delay: str = "2 seconds") -> DataFrame:
+    """Rows of a stream, held until their poll is complete: until a row of a poll
+    more than ``delay`` later has been seen. All rows of a poll then come out
+    in one micro-batch, whatever files and triggers they arrived in; a row that
+    arrives twice comes out once. The rows of open polls wait in the state store;
+    rows of a poll that has come out are late and dropped."""
+    rows = F.struct(*[F.col(c) for c in source.columns])
+    held = source.withWatermark(poll, delay).groupBy(poll, row_id).agg(F.first(rows).alias("__row"))
+    return held.select("__row.*")
+
+
+def for_each_poll(source: DataFrame, run: Callable[[DataFrame], dict[str, DataFrame]], out_path: str, checkpoint: str,
+                  poll: str = "poll_ts", row_id: str = "event_id", available_now: bool = True, processing_time: str | None = None):
+    """Apply the batch plan ``run`` to complete polls and write each table it
+    returns under ``out_path``/name/epoch=N. A replayed epoch writes over its
+    own folder only. Returns the ``StreamingQuery``."""
+    def batch(df: DataFrame, epoch_id: int) -> None:
+        rows = df.persist()
+        try:
+            for name, table in run(rows).items():
+                table.write.mode("overwrite").parquet(f"{out_path}/{name}/epoch={epoch_id}")
+        finally:
+            rows.unpersist()
+
+    w = complete_polls(source, poll, row_id).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "3 seconds")
     return w.start()
 
 
+def detection_stream(spark: SparkSession, source: DataFrame, out_path: str, checkpoint: str,
+                     n_switches: int = 5, min_sources: int = 10, min_flows: int = 15,
+                     available_now: bool = True, processing_time: str | None = None, scorer=None):
+    """ST7: start the detection stream; returns the ``StreamingQuery``. Each poll
+    is worked on once it is complete; detections and their log entries are
+    written. ``scorer`` adds ``attack_prob`` to flows that the fast path did not
+    catch (F3 then applies)."""
+    def run(polls: DataFrame) -> dict[str, DataFrame]:
+        det = detect_floods(polls, "poll_ts", min_sources=min_sources, min_flows=min_flows, scorer=scorer)
+        return {"detections": det, "attack_log": attack_log(det, n_switches)}
+
+    return for_each_poll(source, run, out_path, checkpoint, available_now=available_now, processing_time=processing_time)
+
+
 BLOCK_STATE = "start_us LONG, exp_us LONG"
 BLOCK_OUT = T.StructType([
     T.StructField("event_id", T.LongType()),
