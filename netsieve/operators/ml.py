@@ -75,13 +75,52 @@ def _rank_in_class(df: DataFrame, id_col: str, seed: int, label: str) -> DataFra
              .drop("__h", "__rank", "__off"))
 
 
+def _hash_cuts(df: DataFrame, id_col: str, seed: int, label: str, wanted) -> DataFrame:
+    """Per class the keyed hash and id (``__ch``, ``__cid``) of the last row when
+    the rows with the smallest (hash, id) are taken. ``wanted`` gets (label,
+    ``__n_c``) and adds ``__want``, how many. Classes of which none are wanted
+    are left out.
+
+    The cut is found by refining a histogram: counts per upper half of the hash,
+    then per hash inside the half that holds the cut, then the ids of that one
+    hash. Only counts are shuffled; the table is neither sorted nor copied."""
+    keyed = df.select(F.col(label).alias("__l"), seeded_hash(id_col, seed).alias("__h"), F.col(id_col).alias("__id"))
+    upper = F.shiftright("__h", 16)
+
+    def step(counts: DataFrame, by: str) -> DataFrame:
+        """The value of ``by`` in which the wanted count is reached, per class."""
+        w = Window.partitionBy("__l").orderBy(by)  # at most 65536 rows a class
+        upto = counts.withColumn("__upto", F.sum("__n").over(w))
+        return upto.where("__upto >= __left and __upto - __n < __left").withColumn("__left", F.expr("__left - (__upto - __n)")).drop("__n", "__upto")
+
+    first = keyed.groupBy("__l", upper.alias("__u")).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = first.groupBy("__l").agg(F.sum("__n").alias("__n_c"))
+    want = wanted(sizes.withColumnRenamed("__l", label)).withColumnRenamed(label, "__l")
+    # one row per class from here on is what is broadcast
+    at = step(first.join(F.broadcast(want.select("__l", F.col("__want").cast("long").alias("__left"))), "__l"), "__u")
+    inside = keyed.join(F.broadcast(at), "__l").where(upper == F.col("__u"))
+    second = inside.groupBy("__l", "__h", "__left").agg(F.count(F.lit(1)).alias("__n"))
+    at = step(second, "__h").withColumnRenamed("__h", "__ch")
+    last = keyed.join(F.broadcast(at), "__l").where("__h = __ch")
+    place = F.row_number().over(Window.partitionBy("__l").orderBy("__id"))  # rows that share one 32-bit hash
+    return last.withColumn("__k", place).where("__k = __left").select(F.col("__l").alias(label), "__ch", F.col("__id").alias("__cid"))
+
+
+def _within_cut(df: DataFrame, cuts: DataFrame, id_col: str, seed: int, label: str, name: str) -> DataFrame:
+    h = seeded_hash(id_col, seed)
+    inside = (h < F.col("__ch")) | ((h == F.col("__ch")) & (F.col(id_col) <= F.col("__cid")))
+    x = df.where(F.col(label).isNotNull()).join(F.broadcast(cuts), label, "left")
+    return x.select(*df.columns, F.coalesce(inside, F.lit(False)).alias(name))
+
+
 def undersample(df: DataFrame, id_col: str, seed: int = 42, label: str = LABEL) -> DataFrame:
     """M4: every class cut to the minority size: the rows of each class with
     the smallest keyed hashes (exact counts; ``sampleBy`` is not exact)."""
-    r = _rank_in_class(df, id_col, seed, label)
-    n_min = r.select(label, "__n_c").distinct().agg(F.min("__n_c").alias("__nmin"))
-    return (r.crossJoin(F.broadcast(n_min)).filter(F.col("__crank") <= F.col("__nmin"))
-             .drop("__crank", "__n_c", "__nmin"))
+    def wanted(sizes):
+        return sizes.crossJoin(F.broadcast(sizes.agg(F.min("__n_c").alias("__want"))))
+
+    cuts = _hash_cuts(df.where(F.col(label).isNotNull()), id_col, seed, label, wanted)
+    return _within_cut(df, cuts, id_col, seed, label, "__in").where("__in").drop("__in")
 
 
 # --- M6, M7, M8 splits ----------------------------------------------------------
@@ -90,21 +129,26 @@ def stratified_split(df: DataFrame, id_col: str, train_frac: float = 0.75, seed:
                      label: str = LABEL) -> DataFrame:
     """M6: per class, the ``round(train_frac * n_c)`` rows with the smallest
     keyed hash go to train (half-even rounding). Adds ``split``."""
-    r = _rank_in_class(df, id_col, seed, label)
-    n_tr = F.bround(F.col("__n_c") * train_frac, 0)
-    return (r.withColumn("split", F.when(F.col("__crank") <= n_tr, "train").otherwise("test"))
-             .drop("__crank", "__n_c"))
+    def wanted(sizes):
+        return sizes.withColumn("__want", F.bround(F.col("__n_c") * train_frac, 0))
+
+    cuts = _hash_cuts(df.where(F.col(label).isNotNull()), id_col, seed, label, wanted)
+    return _within_cut(df, cuts, id_col, seed, label, "__in").withColumn("split", F.when(F.col("__in"), "train").otherwise("test")).drop("__in")
 
 
 def temporal_split(df: DataFrame, order: list[str], train_frac: float = 0.70) -> DataFrame:
     """M7: the first ``floor(train_frac * n)`` rows in ``order`` (which must
-    be total) are train. Exact cut by a distributed rank."""
-    r = global_rank(df, [F.col(c).asc() for c in order], "__rank")
-    n = r.agg(F.count(F.lit(1)).alias("__n"))
-    r = r.crossJoin(F.broadcast(n))
-    return (r.withColumn("split", F.when(F.col("__rank") <= F.floor(F.col("__n") * train_frac), "train")
-                         .otherwise("test"))
-             .drop("__rank", "__n"))
+    be total) are train. Only the order columns are ranked, to find the last
+    train row; the table itself is filtered against that one row."""
+    n = df.count()
+    last = int(n * train_frac)
+    cols = [F.col(c).alias(f"__o{i}") for i, c in enumerate(order)]
+    ranks = global_rank(df.select(*cols), [F.col(f"__o{i}").asc() for i in range(len(order))], "__rank")
+    cut = ranks.where(F.col("__rank") == last).select(F.struct(*[f"__o{i}" for i in range(len(order))]).alias("__cut"))
+    before = F.struct(*cols) <= F.col("__cut")
+    one = df.sparkSession.range(1).select(F.lit(0).alias("__one")).join(cut, F.lit(True), "left")  # one row, also without a train row
+    x = df.crossJoin(F.broadcast(one))
+    return x.withColumn("split", F.when(F.coalesce(before, F.lit(False)), "train").otherwise("test")).drop("__one", "__cut")
 
 
 def predefined_split(df: DataFrame) -> DataFrame:

@@ -87,3 +87,31 @@ def test_dataset_report_wants_both_labels(spark):
     df = spark.range(4).select(*[F.lit(-1.0 if n not in ("packet_count", "byte_count") else 1.0).alias(n) for n in FEATURE_NAMES], F.lit(0).alias("label"))
     got = {r["check"]: r["status"] for r in dataset_report(df).collect()}
     assert got["labels"] == "FAIL" and got["negatives"] == "PASS"
+
+
+def test_splits_equal_sorting(spark):
+    """Cuts by refined histograms against plain sorting, for uneven classes, with
+    one row, and without any; the wide table is not sorted."""
+    from decimal import ROUND_HALF_EVEN, Decimal
+
+    from pyspark.sql import functions as F
+
+    from netsieve.operators.ml import seeded_hash
+    df = spark.range(3000).select("id", F.when(F.col("id") % 10 == 0, 2).when(F.col("id") % 3 == 0, 1).when(F.col("id") == 7, 5).otherwise(0).alias("label"), F.lit("x").alias("wide"))
+    rows = df.withColumn("h", seeded_hash("id", 9)).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["label"], []).append((r["h"], r["id"]))
+    small = min(map(len, by.values()))
+    got = undersample(df, "id", 9)
+    assert {r["id"] for r in got.collect()} == {i for v in by.values() for _, i in sorted(v)[:small]} and got.columns == df.columns
+    for frac in (0.75, 0.1, 0.0, 1.0):
+        want = {i for v in by.values() for _, i in sorted(v)[:int(Decimal(len(v) * frac).quantize(0, ROUND_HALF_EVEN))]}
+        split = stratified_split(df, "id", frac, 9)
+        assert {r["id"] for r in split.where("split = 'train'").collect()} == want and split.count() == 3000
+        first = temporal_split(df, ["label", "id"], frac)
+        order = sorted((r["label"], r["id"]) for r in rows)
+        assert {r["id"] for r in first.where("split = 'train'").collect()} == {i for _, i in order[:int(3000 * frac)]}
+    assert stratified_split(df.limit(0), "id").collect() == [] and temporal_split(df.limit(0), ["id"]).collect() == []
+    plan = stratified_split(df, "id", 0.75, 9)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [" not in plan or "wide" not in plan.split("Sort [")[1].split("\n")[0]
