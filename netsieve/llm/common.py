@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +48,29 @@ def hash60(*parts: Column) -> Column:
     """A reproducible 60-bit number from md5, the same in any SQL engine."""
     text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("~")) for p in parts])
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+_kept: dict[str, tuple[int, object]] = {}
+
+
+def begin_task() -> int:
+    """Called first in every task. Python workers live on after a stage; what they
+    kept for another stage is let go, memory included. Returns the stage."""
+    context = TaskContext.get()
+    stage = context.stageId() if context else -1
+    if any(kept != stage for kept, _ in _kept.values()):
+        _kept.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+    return stage
+
+
+def kept_for_stage(name: str, make):
+    """What ``make`` returns, once for all tasks of a stage that a worker runs."""
+    stage = begin_task()
+    if name not in _kept:
+        _kept[name] = (stage, make())
+    return _kept[name][1]

@@ -100,10 +100,10 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, spaced: bool =
         enc = encoder(tokenizer, spaced)
         end = np.array([end_id], "<u4")
         for batch in batches:
-            texts, doc_ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for lo in range(0, len(texts), 2000):
+            for lo in range(0, batch.num_rows, 1000):
+                some = batch.slice(lo, 1000)
                 rows = ([], [], [], [], [], [])
-                for doc_id, ids in zip(doc_ids[lo:lo + 2000], enc.encode([t or "" for t in texts[lo:lo + 2000]])):
+                for doc_id, ids in zip(some.column(0).to_pylist(), enc.encode([t or "" for t in some.column(1).to_pylist()])):
                     ids = np.concatenate((ids, end))
                     for k, (s, n) in enumerate(cuts(len(ids), capacity)):
                         part = ids[s:s + n]

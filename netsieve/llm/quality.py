@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsieve.llm.common import held_out, read, with_workers
+from netsieve.llm.common import begin_task, held_out, read, with_workers
 from netsieve.llm.random_indexing import FEATURES, document_vectors, parts, pooled, word_vectors
 
 SAMPLE_ROWS = 20_000
@@ -120,6 +120,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     scorer = Scorer(docs, labels, sample_rows)
 
     def run(batches):
+        begin_task()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer(batch.column(1)))], names=["doc_id", "score"])
 
@@ -133,6 +134,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     at = docs.columns.index("text")
 
     def run(batches):
+        begin_task()
         for batch in batches:
             yield batch.filter(pa.array(scorer(batch.column(at)) >= threshold, pa.bool_()))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsieve.llm.common import with_workers
+from netsieve.llm.common import begin_task, with_workers
 from netsieve.llm.shingles import _stream, mix
 
 _U = np.uint64
@@ -28,7 +28,7 @@ DIM = 32
 NONZERO = 4  # entries of an index vector
 CORE_BUCKETS, SHAPE_BUCKETS = 1 << 14, 1 << 10
 WINDOW = 2  # units on either side
-PART_BYTES = 2_000_000
+PART_BYTES = 1_000_000
 RARE = 1e-3  # words more frequent than this weigh less in the mean
 
 FEATURES = 2 * DIM + 1
@@ -96,12 +96,13 @@ def units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def parts(column: pa.Array):
     """Texts of a column in lists of about ``PART_BYTES`` bytes."""
     part, size = [], 0
-    for t in column.to_pylist():
-        part.append((t or "").encode("utf-8", "surrogatepass"))
-        size += len(part[-1])
-        if size >= PART_BYTES:
-            yield part
-            part, size = [], 0
+    for lo in range(0, len(column), 256):
+        for t in column.slice(lo, 256).to_pylist():
+            part.append((t or "").encode("utf-8", "surrogatepass"))
+            size += len(part[-1])
+            if size >= PART_BYTES:
+                yield part
+                part, size = [], 0
     if part:
         yield part
 
@@ -140,6 +141,7 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     names = [f"v{i}" for i in range(DIM + 1)]
 
     def run(batches):
+        begin_task()
         seen = Contexts()
         for batch in batches:
             for part in parts(batch.column(0)):
@@ -182,6 +184,7 @@ def pooled(texts: list[bytes], core_vectors: np.ndarray, shape_vectors: np.ndarr
 def document_vectors(docs: DataFrame, vectors: tuple[np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
     """The columns ``keep`` and the pooled features of each document."""
     def run(batches):
+        begin_task()
         for batch in batches:
             x = np.concatenate([pooled(part, *vectors) for part in parts(batch.column(0))] or [np.zeros((0, FEATURES), np.float32)])
             values = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), FEATURES).cast(pa.list_(pa.float32()))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-PART_BYTES = 4_000_000  # bytes hashed at once
+PART_BYTES = 2_000_000  # bytes hashed at once
 
 _U = np.uint64
 

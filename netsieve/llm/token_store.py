@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from netsieve.llm.common import cut, read, with_workers
+from netsieve.llm.common import begin_task, cut, read, with_workers
 from netsieve.llm.tokens import encoder
 from netsieve.session import checkpoint_dir
 
@@ -92,17 +92,17 @@ def encoded(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, dictiona
             packer = zstandard.ZstdCompressor(dict_data=shared, write_content_size=True)
         end = np.array([end_id], "<u4")
         for batch in batches:
-            doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 2000):
+            for lo in range(0, batch.num_rows, 1000):
+                some = batch.slice(lo, 1000)
                 n, crc, frames = [], [], []
-                for ids in enc.encode([t or "" for t in texts[lo:lo + 2000]]):
+                for ids in enc.encode([t or "" for t in some.column(1).to_pylist()]):
                     ids = np.concatenate((ids, end))
                     raw = ids.astype(width).tobytes()
                     n.append(len(ids))
                     crc.append(zlib.crc32(ids.tobytes()))
                     frames.append(packer.compress(raw) if packer else raw)
                 yield pa.RecordBatch.from_arrays(
-                    [doc_ids.slice(lo, 2000), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(frames, pa.binary())],
+                    [some.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(frames, pa.binary())],
                     names=["doc_id", "n_tokens", "ids_crc32", "frame"])
 
     src = with_workers(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
@@ -149,6 +149,7 @@ class Shard:
 def shards_of(rows: DataFrame, digest: bytes, width: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Shards of the frames in each partition, in the partition's order."""
     def run(batches) -> Iterator[pa.RecordBatch]:
+        begin_task()
         part, seq = TaskContext.get().partitionId(), 0
         ids, n, frames, size = [], [], [], 0
 
@@ -201,6 +202,7 @@ def read_store(spark: SparkSession, path: str, doc_ids: list[int] | None = None,
     wanted = None if doc_ids is None else set(doc_ids)
 
     def run(batches):
+        begin_task()
         for batch in batches:
             for part, seq, blob in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 s = Shard(blob, dictionary)

@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 
-CACHE_ENTRIES = 1_000_000  # chunks kept per worker, those met first: about 200 MB
-PART_CHARS = 6_000_000  # characters handled at once, whatever an Arrow batch holds
+from netsieve.llm.common import kept_for_stage
+
+CACHE_ENTRIES = 800_000  # chunks kept per worker, those met first: about 160 MB
+PART_CHARS = 4_000_000  # characters handled at once, whatever an Arrow batch holds
 JOINED = 1_000  # chunks encoded in one call
 
 # white space other than single spaces and line ends between words: texts with
@@ -182,7 +183,6 @@ class Encoder:
         return out + (self._part(part) if part else [])
 
 
-@lru_cache(maxsize=2)
 def encoder(name: str, spaced: bool) -> Encoder:
-    """The worker's encoder: its chunks serve all tasks the worker runs."""
-    return Encoder(name, spaced)
+    """The worker's encoder: its chunks serve all tasks of a stage."""
+    return kept_for_stage(f"encoder {name} {spaced}", lambda: Encoder(name, spaced))
