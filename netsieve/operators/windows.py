@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netsieve.operators._split import DEFAULT_BUCKET_SEC, split_lag, split_running
+from netsieve.operators._split import DEFAULT_BUCKET_SEC, key_struct, split_lag, split_running, time_bucket
 
 FLOW_KEY = ["dpid", "src_ip", "dst_ip", "ip_proto"]
 
@@ -166,17 +166,36 @@ def previous_snapshot(df: DataFrame, key: list[str], ts: str = "ts", tie: str =
 def ttl_counter(df: DataFrame, key: list[str], ts: str = "ts", tie: str = "event_id",
                 ttl_sec: float = 300.0, bucket_sec: float = DEFAULT_BUCKET_SEC) -> DataFrame:
     """Per key a counter that increments on each event and restarts at 1
-    when the gap since the previous event is ``ttl_sec`` or more."""
-    x = split_lag(df, key, [ts, tie], [ts], 1, bucket_sec)
-    gap = (_us(ts) - F.unix_micros(F.col("prev1")[ts].cast("timestamp"))) / 1e6
-    x = x.withColumn("__reset", F.when(F.col("prev1").isNull() | (gap >= ttl_sec), 1).otherwise(0))
-    x = split_running(x, key, [ts, tie], sums={"__pos": F.lit(1), "session": F.col("__reset")},
-                      bucket_sec=bucket_sec)
-    x = split_running(x, key, [ts, tie],
-                      maxes={"__start": F.when(F.col("__reset") == 1, F.col("__pos"))},
-                      bucket_sec=bucket_sec)
-    return (x.withColumn("counter", (F.col("__pos") - F.col("__start") + 1).cast("bigint"))
-             .drop("prev1", "__reset", "__pos", "__start"))
+    when the gap since the previous event is ``ttl_sec`` or more. Adds
+    ``session`` (restarts so far) and ``counter``.
+
+    One pass per (key, bucket) counts since the last restart inside the bucket;
+    one row per bucket then says whether its first event restarts, and what
+    counter and session the bucket before ended with."""
+    us = _us(ts)
+    x = df.withColumns({"__kk": key_struct(key), "__b": time_bucket(ts, bucket_sec)})
+    w = Window.partitionBy("__kk", "__b").orderBy(ts, tie)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = x.select("*", us.alias("__us"), F.row_number().over(w).alias("__p"), F.lag(us).over(w).alias("__prev"))
+    x = x.withColumn("__r", F.when((F.col("__us") - F.col("__prev")) / 1e6 >= ttl_sec, F.col("__p")))
+    x = x.select("*", F.max("__r").over(upto).alias("__at"), F.count("__r").over(upto).alias("__rs"))
+
+    # one row per (key, bucket), in the partitions of the rows
+    s = x.groupBy("__kk", "__b").agg(F.count(F.lit(1)).alias("n"), F.min("__us").alias("first"), F.max("__us").alias("last"),
+                                     F.max("__at").alias("at"), F.max("__rs").alias("rs"))
+    k = Window.partitionBy("__kk").orderBy("__b")
+    s = s.withColumn("before", F.lag("last").over(k))
+    s = s.withColumn("opens", F.col("before").isNull() | ((F.col("first") - F.col("before")) / 1e6 >= ttl_sec))
+    sofar = k.rowsBetween(Window.unboundedPreceding, 0)
+    s = s.select("*", F.sum("n").over(sofar).alias("rows"), F.sum(F.col("rs") + F.col("opens").cast("long")).over(sofar).alias("resets"))
+    # events up to the last restart at or before the bucket's end
+    until = F.when(F.col("at").isNotNull(), F.col("rows") - F.col("n") + F.col("at") - 1).when(F.col("opens"), F.col("rows") - F.col("n"))
+    s = s.withColumn("base", F.last(until, ignorenulls=True).over(sofar))
+    s = s.select("__kk", "__b", "opens", F.lag(F.col("rows") - F.col("base")).over(k).alias("carried"), (F.col("resets") - F.col("rs")).alias("session0"))
+
+    j = x.join(s, ["__kk", "__b"])
+    since = F.when(F.col("__at").isNotNull(), F.col("__p") - F.col("__at") + 1).when(F.col("opens"), F.col("__p")).otherwise(F.col("__p") + F.col("carried"))
+    return j.select(*df.columns, (F.col("session0") + F.col("__rs")).alias("session"), since.cast("bigint").alias("counter"))
 
 
 def timeline(df: DataFrame, unit: str = "hour", ts: str = "ts") -> DataFrame:
