@@ -39,12 +39,11 @@ def write_block_snapshot(blocks: DataFrame, path: str, now, saved_at: str | None
 
     def docs(it):
         import pandas as pd
-        m = {}
-        for pdf in it:
-            m.update(zip(pdf["k"], pdf["v"].astype(float)))
-        if m:
-            yield pd.DataFrame({"value": [json.dumps({"version": 2, "saved_at": saved,
-                                                      "blocked_ips": m})]})
+        for pdf in it:  # one document for each Arrow batch: bounded, whatever a partition holds
+            if len(pdf):
+                m = dict(zip(pdf["k"], pdf["v"].astype(float)))
+                yield pd.DataFrame({"value": [json.dumps({"version": 2, "saved_at": saved,
+                                                          "blocked_ips": m})]})
 
     entries.mapInPandas(docs, "value STRING").write.mode("overwrite").text(path)
 
