@@ -41,6 +41,9 @@ CIC2019_TEXT = ["label", "source ip", "destination ip", "timestamp", "src ip", "
 # UNSW-NB15 address column candidates (lower-case headers).
 UNSW_DST = ["dstip", "dst_ip", "destination ip"]
 UNSW_SRC = ["srcip", "src_ip", "source ip"]
+# Column of the class label (P16); ``keep=[CLASS]`` puts it before the canonical ones.
+CLASS = "attack_class"
+# Label column candidates.
 LABEL_CANDIDATES = ["Label", " Label", "label"]
 
 
@@ -74,7 +77,7 @@ def cic_labels(df: DataFrame) -> tuple[Column, Column]:
     """P16 (CIC): binary = trimmed label != 'BENIGN', class = trimmed label."""
     col = pick(df, LABEL_CANDIDATES)
     if col is None:
-        raise ValueError(f"No label column found. Available columns: {df.columns[:10]}")
+        raise ValueError(f"none of {LABEL_CANDIDATES} is a column; the first columns are {df.columns[:10]}")
     cls = F.trim(F.col(col).cast("string"))
     return (cls != "BENIGN").cast("int"), cls
 
@@ -159,8 +162,8 @@ def map_cic2017(df: DataFrame, tie: str | None = "Flow ID", keep: list[str] | No
     by = F.coalesce(F.col("Total Length of Fwd Packets"), z) + F.coalesce(F.col("Total Length of Bwd Packets"), z)
     x = _base(x, F.coalesce(F.col("Flow Duration"), z) / 1e6, pk, by,
               F.coalesce(F.col("Protocol"), z).cast("int"))
-    binary, _ = cic_labels(x)
-    x = x.withColumn(LABEL, binary)
+    binary, cls = cic_labels(x)
+    x = x.withColumns({LABEL: binary, CLASS: cls})
     tie = tie if tie in df.columns else None
     return _finish(x, pick(x, ["Destination IP"]), pick(x, ["Source IP"]), pick(x, ["Timestamp"]),
                    tie or "Flow Duration", keep or [])
@@ -180,8 +183,8 @@ def map_cic2019(df: DataFrame, tie: str | None = "Flow ID", keep: list[str] | No
     get = lambda k: F.coalesce(F.col(col[k]).cast("double"), z) if col[k] else z
     x = _base(x, get("duration") / 1e6, get("fwd_pkts") + get("bwd_pkts"),
               get("fwd_len") + get("bwd_len"), get("proto").cast("int"))
-    binary, _ = cic_labels(x)
-    x = x.withColumn(LABEL, binary)
+    binary, cls = cic_labels(x)
+    x = x.withColumns({LABEL: binary, CLASS: cls})
     tie = tie if tie in df.columns else None
     return _finish(x, col["dst"], col["src"], col["ts"], tie or col["duration"], keep or [])
 
@@ -198,8 +201,8 @@ def map_unsw(df: DataFrame, tie: str | None = "id", keep: list[str] | None = Non
     get = lambda c: F.coalesce(F.col(c).cast("string").try_cast("double"), z) if c in x.columns else z
     proto = proto_number("proto") if "proto" in x.columns else F.lit(0)
     x = _base(x, get("dur"), get("spkts") + get("dpkts"), get("sbytes") + get("dbytes"), proto)
-    binary, _ = unsw_labels(x)
-    x = x.withColumn(LABEL, binary)
+    binary, cls = unsw_labels(x)
+    x = x.withColumns({LABEL: binary, CLASS: cls})
     if "stime" in x.columns:
         x = x.withColumn("__stime", F.timestamp_micros(
             (F.col("stime").cast("string").try_cast("double") * 1e6).cast("bigint")))

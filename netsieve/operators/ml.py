@@ -154,7 +154,7 @@ def temporal_split(df: DataFrame, order: list[str], train_frac: float = 0.70) ->
 def predefined_split(df: DataFrame) -> DataFrame:
     """M8: the ``_split`` marks of the loaded files."""
     if "_split" not in df.columns:
-        raise ValueError("No predefined split markers found")
+        raise ValueError("the table has no column _split: its files do not come in parts")
     return df.withColumn("split", F.col("_split"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from netsieve.functions.network import proto_number, sanitise_ip, valid_ipv4
 from netsieve.functions.timefmt import parse_ts
-from netsieve.operators.adapters import coerce_numeric
+from netsieve.operators.adapters import CLASS, coerce_numeric
 from netsieve.operators.aggregates import (
     class_distribution, class_feature_means, dataset_report, dst_aggregates_global,
     proto_distribution)
@@ -310,6 +310,21 @@ def a12_dataset_report(spark, sf):
     return dataset_report(mapped_cic2017(spark, sf).drop("flow_id"))
 
 
+@register("p16_class_labels", D.with_views("""
+SELECT 'cic-ids2017' AS dataset, CASE WHEN ip_proto = 1 THEN 'DoS Hulk' ELSE 'BENIGN' END AS attack_class, cast(ip_proto = 1 AS int) AS label, count(*) AS rows
+FROM flows WHERE dst_ip IS NOT NULL GROUP BY 2, 3
+UNION ALL SELECT 'cic-ddos2019', CASE WHEN ip_proto = 17 THEN 'DDoS-DNS' ELSE 'BENIGN' END, cast(ip_proto = 17 AS int), count(*)
+FROM flows WHERE dst_ip IS NOT NULL GROUP BY 2, 3
+UNION ALL SELECT 'unsw-nb15', CASE WHEN ip_proto = 1 THEN 'DoS' ELSE 'Normal' END, cast(ip_proto = 1 AS int), count(*)
+FROM flows WHERE dst_ip IS NOT NULL GROUP BY 2, 3""", "flows"))
+def p16_class_labels(spark, sf):
+    """Class and binary labels of the three mapped datasets."""
+    from functools import reduce
+    parts = [load_dataset(spark, name, path(spark, sf), keep=[CLASS]).groupBy(F.lit(name).alias("dataset"), CLASS, "label").agg(F.count(F.lit(1)).alias("rows"))
+             for name, path in (("cic-ids2017", cic2017_dir), ("cic-ddos2019", cic2019_dir), ("unsw-nb15", unsw_dir))]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @register("s1_read_canonical", CANON_CTE + "\nSELECT " + CANON + " FROM canon")
 def s1_read_canonical(spark, sf):
     """S12 append (valid rows) then S1 scan of the canonical CSV."""

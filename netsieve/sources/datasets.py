@@ -59,7 +59,7 @@ def _read_csv_dir(spark: SparkSession, path: str, lower: bool = False,
     warning; none -> error. All columns are read as text."""
     files = list_files(spark, f"{path.rstrip('/')}/{pattern}")
     if not files:
-        raise FileNotFoundError(f"No CSV files found in {path}")
+        raise FileNotFoundError(f"there is no CSV file under {path}")
     frames = []
     for f in files:  # one lazy scan per file: only headers are read here
         try:
@@ -68,7 +68,7 @@ def _read_csv_dir(spark: SparkSession, path: str, lower: bool = False,
         except Exception as e:  # noqa: BLE001
             warnings.warn(f"Skipping {f}: {e}")
     if not frames:
-        raise ValueError(f"No valid CSV files could be loaded from {path}")
+        raise ValueError(f"no CSV file under {path} could be read")
     out = frames[0]
     for d in frames[1:]:
         out = out.unionByName(d, allowMissingColumns=True)
@@ -118,7 +118,7 @@ def load_dataset(spark: SparkSession, name: str, path: str, **map_kw) -> DataFra
     if name not in DATASETS:
         raise ValueError(f"Unknown dataset {name!r}; choose from {sorted(DATASETS) + ['synthetic']}")
     if not path_exists(spark, path):
-        raise FileNotFoundError(f"Dataset directory not found: {path}")
+        raise FileNotFoundError(f"there is no dataset folder {path}")
     scan, mapper = DATASETS[name]
     return mapper(scan(spark, path), **map_kw)
 
@@ -128,7 +128,7 @@ def split_labelled(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     numeric, label in {0, 1}. Invalid rows carry ``reason``."""
     missing = [c for c in FEATURE_NAMES + [LABEL] if c not in df.columns]
     if missing:
-        raise ValueError(f"Expected 12 features + label, missing {missing}")
+        raise ValueError(f"labelled rows lack {missing}")
     bad_feat = F.array_compact(F.array(*[F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")),
                                                 F.lit(c)) for c in FEATURE_NAMES]))
     reason = (F.when(F.size(bad_feat) > 0, F.concat(F.lit("bad features: "), F.array_join(bad_feat, ",")))
