@@ -19,7 +19,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from netsieve.llm.common import cut, hash60, read, word_count
@@ -81,12 +81,19 @@ def virtual_times(sizes: DataFrame, targets: DataFrame, epochs: int = EPOCHS, ra
     return shifted.select("doc_id", "i.source", "size", "source_size", "target", *finish)
 
 
+def time_range(v: Column, n: Column) -> Column:
+    """Range of a virtual time when there are ``n`` of them to a unit. The budget
+    ends near time 1; what would finish after 4 shares the last range."""
+    return F.floor(F.least(v, F.lit(4.0)) * n)
+
+
 def budget_end(times: DataFrame, share: float, epochs: int = EPOCHS, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """One row: the last (virtual time, document, epoch) the budget pays for."""
+    """One row: ``mark``, the last (virtual time, document, epoch) that the budget
+    pays for in the range ``cut_range`` of ``n``; NULLs where nothing is cut."""
     served = times.select("doc_id", "size", F.posexplode(F.array(*[f"v{e + 1}" for e in range(epochs)])).alias("epoch", "v")).where("v is not null")
     # ranges of virtual time follow the number of documents; times end near 1
     n = times.agg(F.greatest(F.ceil(F.count("*") / range_rows), F.lit(1)).alias("n"), (share * F.sum("size")).alias("budget"))
-    ranged = served.crossJoin(F.broadcast(n)).withColumn("range", F.floor(F.least(F.col("v"), F.lit(4.0)) * F.col("n")))
+    ranged = served.crossJoin(F.broadcast(n)).withColumn("range", time_range(F.col("v"), F.col("n")))
     totals = ranged.groupBy("range", "budget").agg(F.sum("size").alias("words"))
     # a window without a key over one row per range
     upto = totals.withColumn("upto", F.sum("words").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, 0)))
@@ -99,8 +106,7 @@ def budget_end(times: DataFrame, share: float, epochs: int = EPOCHS, range_rows:
                   W.partitionBy("range").orderBy("v", "doc_id", "epoch").rowsBetween(W.unboundedPreceding, 0))))
     mark = inside.groupBy().agg(F.max(F.when(F.col("upto") <= F.col("budget"), F.struct("v", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "epoch"))).alias("mark"))
     # without a cut range the budget pays for everything; without a mark, for all ranges before the cut one
-    return (mark.crossJoin(spent.select("cut_range")).crossJoin(n.select("n"))
-            .select("mark", F.when(F.col("cut_range").isNotNull(), F.col("cut_range") / F.col("n")).alias("start")))
+    return mark.crossJoin(spent.select("cut_range")).crossJoin(n.select("n"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = 42,
@@ -111,8 +117,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
     times = cut(virtual_times(sizes, source_targets(sizes, weights, share, epochs), epochs, range_rows))
     end = budget_end(times, share, epochs, range_rows)
     paid = [F.when(F.col(f"v{e + 1}").isNull(), False)
-             .when(F.col("start").isNull(), True)
-             .when(F.col("mark").isNull(), F.col(f"v{e + 1}") < F.col("start"))
+             .when(F.col("cut_range").isNull(), True)
+             .when(F.col("mark").isNull(), time_range(F.col(f"v{e + 1}"), F.col("n")) < F.col("cut_range"))
              .otherwise(F.struct(F.col(f"v{e + 1}").alias("v"), F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.lit(e).alias("epoch")) <= F.col("mark"))
             for e in range(epochs)]
     copies = sum((p.cast("long") for p in paid[1:]), paid[0].cast("long"))
