@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from netsieve.llm.common import begin_task, cut, read, with_workers
+from netsieve.llm.common import cut, read, task, with_workers
 from netsieve.llm.hilbert import hilbert_index
 from netsieve.llm.shingles import _stream
 from netsieve.llm.vectors import gaussian, matrix, usable
@@ -100,8 +100,8 @@ def fit(good: DataFrame, curves: int, blocks: int, sample_rows: int) -> tuple[di
 def indexed(good: DataFrame, fitted: dict[int, Curves], curves: int) -> DataFrame:
     """vec_id, dim, v and per curve the key range as a row and as a query. Lengths
     that the fit has not seen have one range."""
+    @task
     def run(batches):
-        begin_task()
         for batch in batches:
             size = np.diff(batch.column(1).offsets.to_numpy())
             for d in np.unique(size).tolist():
@@ -184,8 +184,8 @@ def exact_neighbours(embeddings: DataFrame, queries: DataFrame, nearest: int = N
     for r in asked:
         by_dim.setdefault(len(r["v"]), []).append(r)
 
+    @task
     def run(batches):
-        begin_task()
         for batch in batches:
             size = np.diff(batch.column(1).offsets.to_numpy())
             for d in np.unique(size).tolist():

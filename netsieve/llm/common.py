@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
+import time
 
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +29,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BATCH_BYTES = 8 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def with_workers(df: DataFrame) -> DataFrame:
-    """``df``, with the package importable in the Python workers."""
-    ship_package(df.sparkSession)
+    """``df``, with the package importable in the Python workers, and texts sent
+    there in batches of at most ``BATCH_BYTES`` (a limit by rows would let long
+    texts fill an executor)."""
+    spark = df.sparkSession
+    ship_package(spark)
+    if int("".join(filter(str.isdigit, spark.conf.get(_LIMIT)))) > BATCH_BYTES:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
     return df
 
 
@@ -50,27 +60,55 @@ def hash60(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-_kept: dict[str, tuple[int, object]] = {}
+IDLE_SECONDS = 25
+_kept: dict[str, list] = {}  # name: when last used, what
+_used: set[str] = set()  # in the present task
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: idle workers count too."""
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
-def begin_task() -> int:
-    """Called first in every task. Python workers live on after a stage; what they
-    kept for another stage is let go, memory included. Returns the stage."""
-    context = TaskContext.get()
-    stage = context.stageId() if context else -1
-    if any(kept != stage for kept, _ in _kept.values()):
-        _kept.clear()
-        gc.collect()
+def _enter() -> None:
+    for name in [n for n, (at, _) in _kept.items() if time.monotonic() - at > IDLE_SECONDS]:
+        del _kept[name]
+
+
+def _leave() -> None:
+    for name in _used:
+        _kept[name][0] = time.monotonic()
+    _used.clear()
+    _give_back()
+
+
+def task(run):
+    """Wrap a function of ``mapInArrow``. Python workers live on after a task:
+    what they kept and have not used for ``IDLE_SECONDS`` is let go before, and
+    freed memory is given back after. (Closures travel by value: what they share
+    with the worker they reach through functions of this module.)"""
+    @functools.wraps(run)
+    def wrapped(batches):
+        _enter()
         try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # not glibc
-            pass
-    return stage
+            yield from run(batches)
+        finally:
+            _leave()
+
+    return wrapped
 
 
-def kept_for_stage(name: str, make):
-    """What ``make`` returns, once for all tasks of a stage that a worker runs."""
-    stage = begin_task()
+def kept(name: str, make):
+    """What ``make`` returns, once for all tasks that a worker runs in a row."""
     if name not in _kept:
-        _kept[name] = (stage, make())
+        _kept[name] = [0.0, make()]
+    _kept[name][0] = time.monotonic()
+    _used.add(name)
     return _kept[name][1]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsieve.llm.common import begin_task, cut, with_workers
+from netsieve.llm.common import cut, task, with_workers
 
 
 class UnionFind:
@@ -42,8 +42,8 @@ class UnionFind:
 
 
 def _forest(links: DataFrame) -> DataFrame:
+    @task
     def run(batches):
-        begin_task()
         sets = UnionFind()
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsieve.llm.common import begin_task, read, with_workers
+from netsieve.llm.common import read, task, with_workers
 from netsieve.llm.crf import Chain
 from netsieve.llm.html_blocks import Block, blocks
 
@@ -176,8 +176,8 @@ def extract(pages: DataFrame, labelled: DataFrame, sample_pages: int = SAMPLE_PA
     known = frozenset(n for n in chain.index if n[:2] in ("t:", "c:"))
     weight = {n: float(chain.w[i]) for n, i in chain.index.items()}
 
+    @task
     def run(batches):
-        begin_task()
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)

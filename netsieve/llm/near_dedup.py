@@ -30,7 +30,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from netsieve.llm.common import begin_task, cut, read, with_workers
+from netsieve.llm.common import cut, read, task, with_workers
 from netsieve.llm.components import UnionFind, components
 from netsieve.llm.shingles import mix, shingle_sets
 from netsieve.llm.superminhash import signatures
@@ -56,8 +56,8 @@ def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit fingerprint of the set, and the band keys."""
     m = _prime_from(bands * rows)
 
+    @task
     def run(batches):
-        begin_task()
         for batch in batches:
             texts = batch.column(1)
             for lo in range(0, len(texts), 2000):
@@ -82,8 +82,8 @@ def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
 
 def sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """node and full shingle set of the documents in ``ids`` (node)."""
+    @task
     def run(batches):
-        begin_task()
         for batch in batches:
             texts = batch.column(1)
             for lo in range(0, len(texts), 2000):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsieve.llm.common import cut, read, with_workers
+from netsieve.llm.common import cut, read, task, with_workers
 from netsieve.llm.tokens import encoder
 
 SEQUENCE = 2048  # tokens in a sequence
@@ -96,12 +96,13 @@ def cuts(n: int, capacity: int = SEQUENCE) -> list[tuple[int, int]]:
 def tokenised_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, spaced: bool = True, end_id: int = END_ID,
                      capacity: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and ids)."""
+    @task
     def encode(batches):
         enc = encoder(tokenizer, spaced)
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                some = batch.slice(lo, 1000)
+            for lo in range(0, batch.num_rows, 4000):
+                some = batch.slice(lo, 4000)
                 rows = ([], [], [], [], [], [])
                 for doc_id, ids in zip(some.column(0).to_pylist(), enc.encode([t or "" for t in some.column(1).to_pylist()])):
                     ids = np.concatenate((ids, end))

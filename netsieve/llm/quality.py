@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsieve.llm.common import begin_task, held_out, read, with_workers
+from netsieve.llm.common import held_out, read, task, with_workers
 from netsieve.llm.random_indexing import FEATURES, document_vectors, parts, pooled, word_vectors
 
 SAMPLE_ROWS = 20_000
@@ -119,8 +119,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """One row per document: doc_id, held_out, score, predicted."""
     scorer = Scorer(docs, labels, sample_rows)
 
+    @task
     def run(batches):
-        begin_task()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer(batch.column(1)))], names=["doc_id", "score"])
 
@@ -133,8 +133,8 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     scorer = Scorer(docs, labels, sample_rows)
     at = docs.columns.index("text")
 
+    @task
     def run(batches):
-        begin_task()
         for batch in batches:
             yield batch.filter(pa.array(scorer(batch.column(at)) >= threshold, pa.bool_()))
 

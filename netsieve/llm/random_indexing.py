@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsieve.llm.common import begin_task, with_workers
+from netsieve.llm.common import task, with_workers
 from netsieve.llm.shingles import _stream, mix
 
 _U = np.uint64
@@ -140,8 +140,8 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     row per bucket."""
     names = [f"v{i}" for i in range(DIM + 1)]
 
+    @task
     def run(batches):
-        begin_task()
         seen = Contexts()
         for batch in batches:
             for part in parts(batch.column(0)):
@@ -183,8 +183,8 @@ def pooled(texts: list[bytes], core_vectors: np.ndarray, shape_vectors: np.ndarr
 
 def document_vectors(docs: DataFrame, vectors: tuple[np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
     """The columns ``keep`` and the pooled features of each document."""
+    @task
     def run(batches):
-        begin_task()
         for batch in batches:
             x = np.concatenate([pooled(part, *vectors) for part in parts(batch.column(0))] or [np.zeros((0, FEATURES), np.float32)])
             values = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), FEATURES).cast(pa.list_(pa.float32()))

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from netsieve.llm.common import begin_task, cut, read, with_workers
+from netsieve.llm.common import cut, read, task, with_workers
 from netsieve.llm.tokens import encoder
 from netsieve.session import checkpoint_dir
 
@@ -80,6 +80,7 @@ def sample_arrays(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, sa
 def encoded(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, dictionary: bytes | None) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 and the compressed frame (without a
     dictionary: the serialised ids)."""
+    @task
     def run(batches):
         import zstandard
 
@@ -92,8 +93,8 @@ def encoded(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, dictiona
             packer = zstandard.ZstdCompressor(dict_data=shared, write_content_size=True)
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                some = batch.slice(lo, 1000)
+            for lo in range(0, batch.num_rows, 4000):
+                some = batch.slice(lo, 4000)
                 n, crc, frames = [], [], []
                 for ids in enc.encode([t or "" for t in some.column(1).to_pylist()]):
                     ids = np.concatenate((ids, end))
@@ -148,8 +149,8 @@ class Shard:
 
 def shards_of(rows: DataFrame, digest: bytes, width: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Shards of the frames in each partition, in the partition's order."""
+    @task
     def run(batches) -> Iterator[pa.RecordBatch]:
-        begin_task()
         part, seq = TaskContext.get().partitionId(), 0
         ids, n, frames, size = [], [], [], 0
 
@@ -201,8 +202,8 @@ def read_store(spark: SparkSession, path: str, doc_ids: list[int] | None = None,
     dictionary = _dictionary(spark, path)
     wanted = None if doc_ids is None else set(doc_ids)
 
+    @task
     def run(batches):
-        begin_task()
         for batch in batches:
             for part, seq, blob in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 s = Shard(blob, dictionary)

@@ -15,10 +15,10 @@ import re
 
 import numpy as np
 
-from netsieve.llm.common import kept_for_stage
+from netsieve.llm.common import kept
 
-CACHE_ENTRIES = 800_000  # chunks kept per worker, those met first: about 160 MB
-PART_CHARS = 4_000_000  # characters handled at once, whatever an Arrow batch holds
+CACHE_ENTRIES = 1_000_000  # chunks kept per worker, those met first: about 200 MB
+PART_CHARS = 8_000_000  # characters handled at once, whatever an Arrow batch holds
 JOINED = 1_000  # chunks encoded in one call
 
 # white space other than single spaces and line ends between words: texts with
@@ -184,5 +184,5 @@ class Encoder:
 
 
 def encoder(name: str, spaced: bool) -> Encoder:
-    """The worker's encoder: its chunks serve all tasks of a stage."""
-    return kept_for_stage(f"encoder {name} {spaced}", lambda: Encoder(name, spaced))
+    """The worker's encoder: its chunks serve all tasks it runs in a row."""
+    return kept(f"encoder {name} {spaced}", lambda: Encoder(name, spaced))

@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsieve.llm.common import begin_task, cut, held_out, read, with_workers
+from netsieve.llm.common import cut, held_out, read, task, with_workers
 from netsieve.llm.random_indexing import parts
 from netsieve.llm.shingles import _stream, mix
 
@@ -126,8 +126,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> Dat
 def described(sample: DataFrame) -> DataFrame:
     """doc_id, y, sketch (the least hash of three neighbouring words) and the
     text's distinct entries."""
+    @task
     def run(batches):
-        begin_task()
         for batch in batches:
             lo = 0
             for part in parts(batch.column(2)):
@@ -223,8 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
     lexicon, weight = learn_lexicon(rows)
     other = [learn_lexicon(rows.where(f"half = {1 - h}")) for h in (0, 1)]
 
+    @task
     def run(batches):
-        begin_task()
         for batch in batches:
             for h in (0, 1):
                 own, lo = batch.filter(pa.compute.equal(batch.column(3), h)), 0
@@ -253,8 +253,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     score (of ``toxic``), predicted (1: toxic), kept."""
     model = fit(docs, labels, sample_rows)
 
+    @task
     def run(batches):
-        begin_task()
         for batch in batches:
             p = _probabilities(batch.column(1), *model)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(len(CATEGORIES)))], names=["doc_id", *CATEGORIES])
@@ -271,8 +271,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     model = fit(docs, labels, sample_rows)
     at = docs.columns.index("text")
 
+    @task
     def run(batches):
-        begin_task()
         for batch in batches:
             yield batch.filter(pa.array(_probabilities(batch.column(at), *model)[:, -1] < threshold, pa.bool_()))
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsieve.llm.common import begin_task, cut, read, with_workers
+from netsieve.llm.common import cut, read, task, with_workers
 from netsieve.llm.components import UnionFind, components
 from netsieve.llm.vectors import gaussian, matrix, usable
 
@@ -69,8 +69,8 @@ def int8_codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def bucketed(nodes: DataFrame, planes: int, bands: int) -> DataFrame:
     """key, dim, node, copies, v for every bucket of every node."""
+    @task
     def run(batches):
-        begin_task()
         for batch in batches:
             size = np.diff(batch.column(2).offsets.to_numpy())
             for dim in np.unique(size):
