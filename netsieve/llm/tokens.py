@@ -18,7 +18,7 @@ import numpy as np
 from netsieve.llm.common import kept
 
 CACHE_ENTRIES = 1_000_000  # chunks kept per worker, those met first: about 200 MB
-PART_CHARS = 8_000_000  # characters handled at once, whatever an Arrow batch holds
+PART_CHARS = 5_000_000  # characters handled at once, whatever an Arrow batch holds
 JOINED = 1_000  # chunks encoded in one call
 
 # white space other than single spaces and line ends between words: texts with
