@@ -19,6 +19,11 @@ from pyspark.sql import functions as F
 _PART_SHIFT = 33  # monotonically_increasing_id puts the partition index in the upper bits
 
 
+def partition_of(mid: str) -> Column:
+    """The partition in which a ``monotonically_increasing_id`` was given."""
+    return F.shiftright(mid, _PART_SHIFT)
+
+
 def _materialise(df: DataFrame) -> DataFrame:
     from netsieve.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
@@ -30,7 +35,7 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     total order, e.g. ending with a unique id)."""
     s = (df.orderBy(*order)
            .withColumn("__mid", F.monotonically_increasing_id()))
-    s = s.withColumn("__pid", F.shiftright("__mid", _PART_SHIFT)) \
+    s = s.withColumn("__pid", partition_of("__mid")) \
          .withColumn("__loc", F.col("__mid") - F.shiftleft(F.col("__pid"), _PART_SHIFT))
     s = _materialise(s)
     counts = s.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
@@ -48,7 +53,7 @@ def global_running_sum(df: DataFrame, order: list[Column], value, name) -> DataF
     names = [name] if isinstance(name, str) else list(name)
     s = (df.orderBy(*order)
            .withColumn("__mid", F.monotonically_increasing_id()))
-    s = s.withColumn("__pid", F.shiftright("__mid", _PART_SHIFT))
+    s = s.withColumn("__pid", partition_of("__mid"))
     s = _materialise(s)
     tot = s.groupBy("__pid").agg(*[F.sum(v).alias(f"__t{i}") for i, v in enumerate(values)])
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition

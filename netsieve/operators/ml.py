@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsieve.functions.network import md5_bucket
-from netsieve.operators._prefix import global_rank
+from netsieve.operators._prefix import _materialise, global_rank, partition_of
 from netsieve.schema import FEATURE_NAMES, LABEL
 
 
@@ -75,42 +75,77 @@ def _rank_in_class(df: DataFrame, id_col: str, seed: int, label: str) -> DataFra
              .drop("__h", "__rank", "__off"))
 
 
+def _reached(counts: DataFrame, by: str) -> DataFrame:
+    """The row of ``counts`` (``__l``, ``__left``, ``by``, ``__n``) in which the
+    wanted count is reached, per class; ``__left`` is what it still has to give."""
+    upto = counts.withColumn("__upto", F.sum("__n").over(Window.partitionBy("__l").orderBy(by)))
+    return upto.where("__upto >= __left and __upto - __n < __left").withColumn("__left", F.expr("__left - (__upto - __n)")).drop("__upto")
+
+
 def _hash_cuts(df: DataFrame, id_col: str, seed: int, label: str, wanted) -> DataFrame:
     """Per class the keyed hash and id (``__ch``, ``__cid``) of the last row when
-    the rows with the smallest (hash, id) are taken. ``wanted`` gets (label,
+    the rows with the smallest (hash, id) are taken, and how many (``__left``) of
+    the ``__n`` rows with just that hash and id are. ``wanted`` gets (label,
     ``__n_c``) and adds ``__want``, how many. Classes of which none are wanted
     are left out.
 
     The cut is found by refining a histogram: counts per upper half of the hash,
-    then per hash inside the half that holds the cut, then the ids of that one
+    then per hash inside the half that holds the cut, then per id of that one
     hash. Only counts are shuffled; the table is neither sorted nor copied."""
     keyed = df.select(F.col(label).alias("__l"), seeded_hash(id_col, seed).alias("__h"), F.col(id_col).alias("__id"))
     upper = F.shiftright("__h", 16)
 
-    def step(counts: DataFrame, by: str) -> DataFrame:
-        """The value of ``by`` in which the wanted count is reached, per class."""
-        w = Window.partitionBy("__l").orderBy(by)  # at most 65536 rows a class
-        upto = counts.withColumn("__upto", F.sum("__n").over(w))
-        return upto.where("__upto >= __left and __upto - __n < __left").withColumn("__left", F.expr("__left - (__upto - __n)")).drop("__n", "__upto")
-
-    first = keyed.groupBy("__l", upper.alias("__u")).agg(F.count(F.lit(1)).alias("__n"))
+    first = keyed.groupBy("__l", upper.alias("__u")).agg(F.count(F.lit(1)).alias("__n"))  # at most 65536 rows a class
     sizes = first.groupBy("__l").agg(F.sum("__n").alias("__n_c"))
     want = wanted(sizes.withColumnRenamed("__l", label)).withColumnRenamed(label, "__l")
     # one row per class from here on is what is broadcast
-    at = step(first.join(F.broadcast(want.select("__l", F.col("__want").cast("long").alias("__left"))), "__l"), "__u")
+    at = _reached(first.join(F.broadcast(want.select("__l", F.col("__want").cast("long").alias("__left"))), "__l"), "__u").drop("__n")
     inside = keyed.join(F.broadcast(at), "__l").where(upper == F.col("__u"))
     second = inside.groupBy("__l", "__h", "__left").agg(F.count(F.lit(1)).alias("__n"))
-    at = step(second, "__h").withColumnRenamed("__h", "__ch")
+    at = _reached(second, "__h").withColumnRenamed("__h", "__ch").drop("__n")
     last = keyed.join(F.broadcast(at), "__l").where("__h = __ch")
-    place = F.row_number().over(Window.partitionBy("__l").orderBy("__id"))  # rows that share one 32-bit hash
-    return last.withColumn("__k", place).where("__k = __left").select(F.col("__l").alias(label), "__ch", F.col("__id").alias("__cid"))
-
-
-def _within_cut(df: DataFrame, cuts: DataFrame, id_col: str, seed: int, label: str, name: str) -> DataFrame:
+    ids = last.groupBy("__l", "__ch", "__left", "__id").agg(F.count(F.lit(1)).alias("__n"))  # ids that share one 32-bit hash
+    return _reached(ids, "__id").select(F.col("__l").alias(label), "__ch", F.col("__id").alias("__cid"), "__left", "__n")
+
+
+def _copies_within(shared: DataFrame, columns: list[str], label: str, name: str) -> DataFrame:
+    """Marks ``__left`` of each class's rows, which share hash and id: those with
+    the smallest hash of all columns, found by refined counts as above, and of the
+    rows alike in that too the first as they lie. The rows are checkpointed, so
+    that a lost task cannot number them anew; no task sees more of them than one
+    of their partitions."""
+    rows = _materialise(shared.select(*columns, "__left", F.xxhash64(*columns).alias("__k"), F.monotonically_increasing_id().alias("__mid")))
+    keyed = rows.select(F.col(label).alias("__l"), "__left", "__k")
+    upper = F.shiftright("__k", 48)
+    at = _reached(keyed.groupBy("__l", "__left", upper.alias("__u")).agg(F.count(F.lit(1)).alias("__n")), "__u").drop("__n")
+    inside = keyed.drop("__left").join(F.broadcast(at), "__l").where(upper == F.col("__u"))
+    at = _reached(inside.groupBy("__l", "__left", "__k").agg(F.count(F.lit(1)).alias("__n")), "__k")
+    at = _materialise(at.select(F.col("__l").alias(label), F.col("__k").alias("__ck"), "__left"))  # one row per class
+    x = rows.drop("__left").join(F.broadcast(at), label)
+    alike = x.where("__k = __ck").withColumn("__pid", partition_of("__mid"))
+    offs = alike.groupBy(label, "__pid").agg(F.count(F.lit(1)).alias("__n"))  # one row per class and partition
+    before = Window.partitionBy(label).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = offs.select(label, "__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    place = F.row_number().over(Window.partitionBy(label, "__pid").orderBy("__mid"))
+    alike = alike.withColumn("__loc", place).join(F.broadcast(offs), [label, "__pid"])
+    return (x.where("__k != __ck").select(*columns, F.expr("__k < __ck").alias(name))
+             .unionByName(alike.select(*columns, F.expr("__off + __loc <= __left").alias(name))))
+
+
+def _mark_first(df: DataFrame, id_col: str, seed: int, label: str, wanted, name: str) -> DataFrame:
+    """The rows with a label, and in ``name`` whether they are among the wanted
+    number of their class with the smallest (hash, id). The number is exact also
+    where rows share an id. The cuts, one row per class, are found at once."""
+    known = df.where(F.col(label).isNotNull())
+    cuts = _materialise(_hash_cuts(known, id_col, seed, label, wanted))
     h = seeded_hash(id_col, seed)
     inside = (h < F.col("__ch")) | ((h == F.col("__ch")) & (F.col(id_col) <= F.col("__cid")))
-    x = df.where(F.col(label).isNotNull()).join(F.broadcast(cuts), label, "left")
-    return x.select(*df.columns, F.coalesce(inside, F.lit(False)).alias(name))
+    x = known.join(F.broadcast(cuts), label, "left")
+    marked = F.coalesce(inside, F.lit(False)).alias(name)
+    if cuts.where("__left < __n").isEmpty():
+        return x.select(*df.columns, marked)
+    shared = F.coalesce((h == F.col("__ch")) & (F.col(id_col) == F.col("__cid")) & F.expr("__left < __n"), F.lit(False))
+    return x.where(~shared).select(*df.columns, marked).unionByName(_copies_within(x.where(shared), df.columns, label, name))
 
 
 def undersample(df: DataFrame, id_col: str, seed: int = 42, label: str = LABEL) -> DataFrame:
@@ -119,8 +154,7 @@ def undersample(df: DataFrame, id_col: str, seed: int = 42, label: str = LABEL)
     def wanted(sizes):
         return sizes.crossJoin(F.broadcast(sizes.agg(F.min("__n_c").alias("__want"))))
 
-    cuts = _hash_cuts(df.where(F.col(label).isNotNull()), id_col, seed, label, wanted)
-    return _within_cut(df, cuts, id_col, seed, label, "__in").where("__in").drop("__in")
+    return _mark_first(df, id_col, seed, label, wanted, "__in").where("__in").drop("__in")
 
 
 # --- M6, M7, M8 splits ----------------------------------------------------------
@@ -132,8 +166,7 @@ def stratified_split(df: DataFrame, id_col: str, train_frac: float = 0.75, seed:
     def wanted(sizes):
         return sizes.withColumn("__want", F.bround(F.col("__n_c") * train_frac, 0))
 
-    cuts = _hash_cuts(df.where(F.col(label).isNotNull()), id_col, seed, label, wanted)
-    return _within_cut(df, cuts, id_col, seed, label, "__in").withColumn("split", F.when(F.col("__in"), "train").otherwise("test")).drop("__in")
+    return _mark_first(df, id_col, seed, label, wanted, "__in").withColumn("split", F.when(F.col("__in"), "train").otherwise("test")).drop("__in")
 
 
 def temporal_split(df: DataFrame, order: list[str], train_frac: float = 0.70) -> DataFrame:

@@ -115,3 +115,26 @@ def test_splits_equal_sorting(spark):
     assert stratified_split(df.limit(0), "id").collect() == [] and temporal_split(df.limit(0), ["id"]).collect() == []
     plan = stratified_split(df, "id", 0.75, 9)._jdf.queryExecution().optimizedPlan().toString()
     assert "Sort [" not in plan or "wide" not in plan.split("Sort [")[1].split("\n")[0]
+
+
+def test_copies_at_the_cut_are_divided(spark):
+    """A third of a class shares one id, with other contents or as copies: counts
+    stay exact wherever the cut falls, and other partitions give the same rows."""
+    from pyspark.sql import functions as F
+
+    label = (F.col("id") % 2).cast("int").alias("label")
+    unique = spark.range(600).select("id", label, F.lit(0).alias("v"))
+    shared = spark.range(300).select((F.col("id") % 2 - 7).alias("id"), label, F.when(label == 0, F.col("id")).otherwise(1).cast("int").alias("v"))
+    df = unique.unionByName(shared).repartition(5)
+    divided = {}
+    for fifths in (1, 2, 3, 4):  # a third of the hashes' order is one id: one of these cuts it
+        s = stratified_split(df, "id", fifths / 5, 42).cache()
+        n = {(r["label"], r["split"]): r["count"] for r in s.groupBy("label", "split").count().collect()}
+        assert n == {(l, side): (90 if side == "train" else -90) * fifths + (0 if side == "train" else 450) for l in (0, 1) for side in ("train", "test")}
+        for r in s.where("id < 0").groupBy("label").agg(F.count_distinct("split").alias("sides")).where("sides = 2").collect():
+            divided.setdefault(r["label"], (fifths, s))
+    assert set(divided) == {0, 1}
+    for fifths, s in divided.values():
+        assert sorted(map(tuple, s.collect())) == sorted(map(tuple, stratified_split(df.repartition(3, "v"), "id", fifths / 5, 42).collect()))
+    fewer = undersample(df.where("label = 1 or id >= 300"), "id", 42).groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in fewer} == {0: 150, 1: 150}
