@@ -28,3 +28,14 @@ def test_grid_has_every_dataset(spark, monkeypatch):
     done = [r for r in rows if r["status"] == "ok"]
     assert len(rows) == 24 and [(r["dataset"], r["split"], r["balance"]) for r in done] == [("synthetic", "temporal", "undersample")]
     assert done[0]["accuracy"] > 0.5 and all(r["error"] for r in rows if r["status"] == "failed")
+
+
+def test_comparison_has_every_real_dataset(spark, monkeypatch):
+    def matrix(datasets):
+        return spark.createDataFrame([(a, b) for a in datasets for b in datasets], "train STRING, test STRING")
+
+    monkeypatch.setattr(q_models, "_datasets", lambda spark, sf: dict.fromkeys(DATASETS))
+    monkeypatch.setattr(q_models, "transfer_matrix", matrix)
+    rows = q_models.m16_synthetic_vs_real(spark, SF_SMALL).collect()
+    real = set(DATASETS) - {"synthetic"}
+    assert len(rows) == 9 and {tuple(r) for r in rows} == {p for d in real for p in (("synthetic", d), (d, "synthetic"), (d, d))}
