@@ -3,8 +3,8 @@
 A byte-level or word BPE never merges across the start of a word, so a text can
 be cut before a space, at a line end and before a closing comma or full stop, and
 each distinct chunk encoded once per worker. Cuts are made only where they cannot
-change the result; texts with runs of white space in which a cut would show are
-encoded whole. New chunks are encoded many at a time; where the ids of each begin
+change the result; texts with runs of white space in which a cut would show, or
+with the string of a special token, are encoded whole. New chunks are encoded many at a time; where the ids of each begin
 is read off the leading spaces, or off a special token put between them.
 """
 
@@ -35,16 +35,13 @@ def _plain(t: str) -> bool:
 _EXOTIC = re.compile("[^\x00-\u012f\u0131-\u0137\u0139-\u0148\u014a-\u017e]")
 
 
-def vocabulary(name: str, own_specials: bool = True):
-    """The tokenizer in a file: a path, or a name known to public_tokenizers.
-    With ``own_specials`` strings of special tokens are ordinary text."""
+def vocabulary(name: str):
+    """The tokenizer in a file: a path, or a name known to public_tokenizers."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    tok = Tokenizer.from_file(name if os.sep in name else public_tokenizers.path(name))
-    tok.encode_special_tokens = own_specials
-    return tok
+    return Tokenizer.from_file(name if os.sep in name else public_tokenizers.path(name))
 
 
 _CLOSE = ",."
@@ -73,10 +70,12 @@ class Encoder:
     which is left out."""
 
     def __init__(self, name: str, spaced: bool):
-        self.tok, self.marked, self.spaced = vocabulary(name), vocabulary(name, False), spaced
+        self.tok, self.spaced = vocabulary(name), spaced
         special = {i: t.content for i, t in self.tok.get_added_tokens_decoder().items() if t.special}
         self.mark_id, self.mark = max(special.items())
         self.specials = tuple(special.values())
+        self.special = re.compile("|".join(map(re.escape, self.specials)), re.IGNORECASE)
+        self.heads = {h for s in self.specials for h in (s[0].lower(), s[0].upper())}
         self.close = dict(zip(_CLOSE, self._single(list(_CLOSE))))
         # byte-level BPE writes a leading space as U+0120
         self.opens = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
@@ -98,7 +97,7 @@ class Encoder:
         else:
             if any(s[:2] in c for s in self.specials for c in chunks if s[:2] in c):
                 return self._single(chunks)
-            ids = np.asarray(self.marked.encode(self.mark.join(chunks), add_special_tokens=False).ids, "<u4")
+            ids = np.asarray(self.tok.encode(self.mark.join(chunks), add_special_tokens=False).ids, "<u4")
             marks = np.flatnonzero(ids == self.mark_id)
             starts, ends = np.concatenate(([0], marks + 1)), np.append(marks, len(ids))
         if len(starts) != len(chunks):  # a chunk that looks like two: one by one
@@ -147,11 +146,18 @@ class Encoder:
             self.ids = self.ids[:int(self.starts[-1] + self.lengths[-1])]
         self.codes.new.clear()
 
+    def _special(self, t: str) -> bool:
+        """Whether a special token is written out in the text, in any case: such
+        texts are encoded whole, since the tokenizer looks for them first."""
+        return any(h in t for h in self.heads) and bool(self.special.search(t))
+
     def _part(self, texts: list[str]) -> list[np.ndarray]:
         number = self.codes.__getitem__
         whole, codes = [], []
         for t in texts:
-            if not self.spaced:
+            if self._special(t):
+                chunks = []
+            elif not self.spaced:
                 chunks = (t if _EXOTIC.search(t) else t.lower()).replace("\n", " ").split(" ")
             elif _plain(t):
                 chunks = ("\r" + t).replace("\n", " \n").split(" ")

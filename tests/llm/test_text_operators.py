@@ -171,6 +171,21 @@ def test_cached_encoder_equals_the_tokenizer(name, spaced):
     assert [a.tolist() for a in Encoder(name, spaced).encode(texts)] == [e.ids for e in want]
 
 
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_special_tokens_written_in_a_text_get_their_ids(name, spaced):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng, tok = random.Random(8), Tokenizer.from_file(public_tokenizers.path(name))
+    special = [t.content for t in tok.get_added_tokens_decoder().values() if t.special]
+    bits = [*special, *(s.upper() for s in special), special[0][:2], special[0][-2:], "<", "Foo", "bar,", "b.", " ", " ", "\n", "\u00e9"]
+    texts = [*special, f"one {special[0]} two", f"One{special[0].upper()}two"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(2000)]
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert any(tok.token_to_id(special[0]) in ids for ids in want)
+    assert [a.tolist() for a in Encoder(name, spaced).encode(texts)] == want
+
+
 def test_cuts_leave_only_the_first_piece_short():
     assert cuts(1, 4) == [(0, 1)] and cuts(4, 4) == [(0, 4)]
     assert cuts(9, 4) == [(0, 1), (1, 4), (5, 4)]
