@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from netsieve.llm.ann import op9_hilbert_ann
+from netsieve.llm.centroids import op13_centroid_clusters
 from netsieve.llm.extraction import op8_html_text
 from netsieve.llm.mixing import OP10_SQL, op10_mix_sources
 from netsieve.llm.near_dedup import op1_minhash_near_dedup
 from netsieve.llm.packing import op5_best_fit_packing
+from netsieve.llm.periodic import op12_periodic_runs
+from netsieve.llm.pieces import op11_sentencepiece
 from netsieve.llm.quality import op4_quality
 from netsieve.llm.token_store import op7_token_store
 from netsieve.llm.toxicity import op6_toxicity
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_hilbert_ann": op9_hilbert_ann,
     "op10_mix_sources": op10_mix_sources,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 ORACLES = {
