@@ -9,13 +9,17 @@ step groups a component's members in one task.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from netsieve.llm.common import cut, task, with_workers
 
+MIN_SLOTS, SLOT_LINKS = 64, 100_000
+
 
 class UnionFind:
     """Sets of hashable nodes; a set's root is its least node."""
@@ -57,23 +61,31 @@ def _forest(links: DataFrame) -> DataFrame:
     return with_workers(links.select("a", "b")).mapInArrow(run, "a long, b long")
 
 
+def with_least(links: DataFrame, slots: int) -> DataFrame:
+    """``links`` (a, b) with ``m``, the least b of the node a. A node's links meet
+    in up to ``slots`` places, each with the node's least."""
+    dealt = links.withColumn("slot", F.pmod(F.xxhash64("b"), F.lit(slots)).cast("int"))
+    part = dealt.groupBy("a", "slot").agg(F.min("b").alias("m"))
+    least = part.withColumn("m", F.min("m").over(W.partitionBy("a")))  # at most a row per slot
+    return dealt.join(least, ["a", "slot"]).select("a", "b", "m")
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b: long) that has a link
     to another node and is not itself the least of its component; the least node
     stands for the component. NULL ends and self-links are ignored; repeated
     links change nothing; no links give an empty table."""
     edges = cut(_forest(links.where("a is not null and b is not null and a <> b")))
-    state = None
+    state, slots = None, MIN_SLOTS
     for _ in range(max_rounds):
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = large.join(least, F.col("a") == F.col("u"))
+        large = with_least(both, slots).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
+        small = with_least(large, slots)
         edges = cut(small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
                     .select("e.a", "e.b").where("a <> b").distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        state = now
+        # as many places for one node's links as there are heaps of SLOT_LINKS
+        state, slots = now, max(MIN_SLOTS, math.ceil(now[0] / SLOT_LINKS))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

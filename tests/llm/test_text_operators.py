@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netsieve.llm.components import UnionFind, components
+from netsieve.llm.components import UnionFind, components, with_least
 from netsieve.llm.mixing import mix, mixed
 from netsieve.llm.near_dedup import band_count, drop_near_duplicates, near_duplicates
 from netsieve.llm.packing import Capacities, best_fit, cuts, pack_documents, sequences
@@ -101,6 +101,42 @@ def test_bands_meet_the_promised_miss_rate():
         assert (1 - (t / 100) ** 7) ** band_count(t) <= 1e-6
 
 
+@pytest.mark.parametrize("threshold,n,common,pairs", [(80, 5, 4, 20_000), (80, 10, 8, 6_000), (80, 20, 16, 4_000), (85, 7, 6, 6_000), (85, 20, 17, 4_000)])
+def test_small_sets_at_the_threshold_share_a_band(threshold, n, common, pairs):
+    bands, rng, missed = band_count(threshold), np.random.default_rng(n), 0
+    for _ in range(pairs // 2000):
+        u = rng.integers(0, 2**63, (2000, n), dtype=np.uint64)
+        a, b = (signatures(list(s), bands * 7).reshape(-1, bands, 7) for s in (u, u[:, :common]))
+        missed += int((~(a == b).all(axis=2).any(axis=1)).sum())
+    assert missed == 0
+
+
+def test_whole_and_traced_shuffles_give_the_same_places(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 2**63, k, dtype=np.uint64) for k in (1, 5, 127, 128, 700)]
+    got = []
+    for small in (0, 128, 10**9):
+        monkeypatch.setattr("netsieve.llm.superminhash.SMALL", small)
+        got.append(signatures(sets, 203))
+    assert (got[0] == got[1]).all() and (got[1] == got[2]).all()
+
+
+def test_many_small_sets_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(1200):
+        if rows and rng.random() < 0.6:
+            w = rng.choice(rows)[1].split()
+            at = rng.randrange(len(w))
+            w[at:at + rng.randrange(2)] = [rng.choice("pqrst") for _ in range(rng.randrange(2))]
+        else:
+            w = [rng.choice("abcdefghij") for _ in range(rng.randrange(5, 26))]
+        rows.append((k, " ".join(w)))
+    want = brute_components(rows, 5, 80)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(want.values())) < 1000 and got == want
+
+
 def brute_components(rows, width, threshold):
     sets, uf = [(d, plain_shingles(t, width)) for d, t in rows], UnionFind()
     for i, (a, x) in enumerate(sets):
@@ -159,6 +195,20 @@ def test_components_equal_union_find(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_links_of_one_node_are_dealt_out(spark):
+    hub = spark.range(1, 20_001).select(F.lit(0).alias("a"), F.col("id").alias("b"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = with_least(hub, 64).groupBy(F.spark_partition_id()).count().collect()
+        parts = with_least(hub, 64).repartition(40, "a", F.pmod(F.xxhash64("b"), F.lit(64))).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(r["count"] for r in sizes) == 20_000 and max(r["count"] for r in parts) < 3000
+    got = with_least(hub, 64).agg(F.count("*"), F.min("m"), F.max("m")).first()
+    assert tuple(got) == (20_000, 1, 1)
+    assert components(hub).agg(F.count("*"), F.max("component")).first()[:] == (20_000, 0)
+
+
 # ---- tokens, packing, store ----
 
 @pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
