@@ -6,9 +6,11 @@ it. The order is cut into up to ``BLOCKS`` key ranges, and a query is compared w
 rows of its own and the two neighbouring ranges; the best of each window are merged
 over the curves and ranked by the exact measure on the original vectors.
 
-Nearness is the inner product. Rows get one more coordinate that brings all to the
-greatest norm, queries a zero, after which the nearest row on the sphere is the one
-with the largest product.
+Nearness is the inner product. Rows get one more coordinate that brings all to one
+norm, that of the ``LONG`` quantile, queries a zero, after which the nearest row on
+the sphere is the one with the largest product. The few rows that are longer still
+are compared with every query: one of them would otherwise press all others
+together at the sphere's pole.
 
 Ranges and scales are fitted on at most ``SAMPLE_ROWS`` vectors (those with the
 least id hashes); every row is indexed. Ranges are worked through in tiles of at
@@ -43,6 +45,7 @@ SPREAD = 2.5  # standard deviations that the grid covers on either side
 SAMPLE_ROWS = 16_384
 TILE = 2048
 NEAREST = 20
+LONG = 0.99  # share of the rows that the curves order
 
 
 def lifted(v: np.ndarray, greatest: float, query: bool) -> np.ndarray:
@@ -63,7 +66,8 @@ class Curves:
         dim = sample.shape[1] + 1
         self.maps = [gaussian(dim, DIMENSIONS, 500 + c) for c in range(curves)]
         shift = _stream(curves * DIMENSIONS, 77 << 32).astype(np.float64).reshape(curves, DIMENSIONS) / 2.0 ** 64 - 0.5
-        x = lifted(sample, greatest, False)
+        fits = ~self.too_long(sample)
+        x = lifted(sample[fits] if fits.any() else sample, greatest, False)
         self.scale = [(x @ m).std(axis=0) + 1e-12 for m in self.maps]
         self.centre = [(x @ m).mean(axis=0) + s * sc for m, s, sc in zip(self.maps, shift, self.scale)]
         keys = self._keys(x)
@@ -82,11 +86,14 @@ class Curves:
         keys = self._keys(lifted(v, self.greatest, query))
         return np.column_stack([np.searchsorted(b, k, side="left") for b, k in zip(self.bounds, keys.T)])
 
+    def too_long(self, v: np.ndarray) -> np.ndarray:
+        return np.linalg.norm(v, axis=1) > self.greatest * 1.001
+
 
 def fit(good: DataFrame, curves: int, blocks: int, sample_rows: int) -> tuple[dict[int, Curves], int]:
     """Curves by vector length, for the lengths that the sample holds, and the
     number of ranges."""
-    greatest, n = good.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))), F.count("*")).first()
+    greatest, n = good.agg(F.percentile_approx(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)), LONG, 10_000), F.count("*")).first()
     blocks = max(1, min(blocks, n // RANGE_ROWS))
     ids = good.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).distinct()
     t = good.join(F.broadcast(ids), "vec_id", "left_semi").limit(sample_rows).select("v").toArrow()
@@ -98,8 +105,10 @@ def fit(good: DataFrame, curves: int, blocks: int, sample_rows: int) -> tuple[di
 
 
 def indexed(good: DataFrame, fitted: dict[int, Curves], curves: int) -> DataFrame:
-    """vec_id, dim, v and per curve the key range as a row and as a query. Lengths
-    that the fit has not seen have one range."""
+    """vec_id, dim, v and per curve the key range as a row and as a query (-1: none).
+    The last place is no curve: all rows too long for the curves are its one range,
+    and every query asks there. Vectors of other dimensions than the fit has seen
+    have one range."""
     @task
     def run(batches):
         for batch in batches:
@@ -110,7 +119,10 @@ def indexed(good: DataFrame, fitted: dict[int, Curves], curves: int) -> DataFram
                     part = rows.slice(lo, 4000)
                     v = matrix(part.column(1))
                     both = [fitted[d].blocks(v, query) if d in fitted else np.zeros((len(v), curves), np.int64) for query in (False, True)]
-                    lists = [pa.FixedSizeListArray.from_arrays(pa.array(b.astype(np.int32).reshape(-1)), curves).cast(pa.list_(pa.int32())) for b in both]
+                    long = fitted[d].too_long(v) if d in fitted else np.zeros(len(v), bool)
+                    both[0][long] = -1
+                    both = [np.column_stack((b, last)) for b, last in zip(both, (np.where(long, 0, -1), np.zeros(len(v), np.int64)))]
+                    lists = [pa.FixedSizeListArray.from_arrays(pa.array(b.astype(np.int32).reshape(-1)), curves + 1).cast(pa.list_(pa.int32())) for b in both]
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([d] * len(v), pa.int32()), part.column(1), *lists], names=["vec_id", "dim", "v", "own", "ask"])
 
     kind = dict(good.dtypes)["v"]
@@ -142,7 +154,7 @@ def best_products(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
 def window_tops(index: DataFrame, is_query: Column, blocks: int, nearest: int, tile: int) -> DataFrame:
     """(query_id, vec_id, score): the best of every tile of every window."""
     key = ["dim", "curve", "block"]
-    rows = index.select("vec_id", "dim", "v", F.posexplode("own").alias("curve", "block"))
+    rows = index.select("vec_id", "dim", "v", F.posexplode("own").alias("curve", "block")).where("block >= 0")
     asks = index.where(is_query).select("vec_id", "dim", "v", F.posexplode("ask").alias("curve", "at"))
     near = F.filter(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1), lambda b: (b >= 0) & (b < blocks))
     asks = asks.select("vec_id", "dim", "v", "curve", F.explode(near).alias("block"))

@@ -1,11 +1,12 @@
 """Leaf blocks of an HTML page: runs of text between block-level tags, with the
-tags, classes and ids around them. Copes with unclosed, crossed and cut-off tags."""
+tags, classes and ids around them. Copes with unclosed, crossed and cut-off tags;
+every tag is handled in constant time, however many elements are open."""
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,6 +40,8 @@ def blocks(page: str | None, known: frozenset | None = None) -> list[Block]:
     and role words (``c:``) of all ancestors, as far as they are in ``known``."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack by tag
+    solid = [-1]  # places of the elements that are not inline
     depth: Counter = Counter()  # how many open elements give a name
     text: list[str] = []
     linked = size = links = 0
@@ -48,7 +51,7 @@ def blocks(page: str | None, known: frozenset | None = None) -> list[Block]:
         if text:
             words = " ".join(html.unescape("".join(text)).split())
             if words:
-                tag = next((t for t, _ in reversed(stack) if t not in INLINE), "")
+                tag = stack[solid[-1]][0] if len(solid) > 1 else ""
                 out.append(Block(words, tuple(sorted(n for n, k in depth.items() if k > 0)), tag, linked / max(size, 1)))
             text.clear()
         linked = size = 0
@@ -57,6 +60,9 @@ def blocks(page: str | None, known: frozenset | None = None) -> list[Block]:
         nonlocal links
         while len(stack) > at:
             tag, names = stack.pop()
+            opened[tag].pop()
+            if tag not in INLINE:
+                solid.pop()
             links -= tag == "a"
             for n in names:
                 depth[n] -= 1
@@ -65,18 +71,12 @@ def blocks(page: str | None, known: frozenset | None = None) -> list[Block]:
 
     def closes(tag: str) -> int | None:
         """Place in the stack of the open element that a start tag ends."""
-        if tag not in INLINE:
-            for at in range(len(stack) - 1, -1, -1):
-                if stack[at][0] == "p":
-                    return at
-                if stack[at][0] not in INLINE:
-                    break
-        if tag in REPEATS:
-            for at in range(len(stack) - 1, -1, -1):
-                if stack[at][0] == tag:
-                    return at
-                if stack[at][0] in REPEATS[tag]:
-                    break
+        if tag not in INLINE and len(solid) > 1 and stack[solid[-1]][0] == "p":
+            return solid[-1]
+        if tag in REPEATS and opened[tag]:
+            at = opened[tag][-1]
+            if all(not opened[t] or opened[t][-1] < at for t in REPEATS[tag]):
+                return at
         return None
 
     at = 0
@@ -101,13 +101,9 @@ def blocks(page: str | None, known: frozenset | None = None) -> list[Block]:
         else:
             flush()
         if end:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                # an inline end tag does not close the blocks around it
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            # an inline end tag does not close the blocks around it
+            if opened[tag] and (tag not in INLINE or opened[tag][-1] > solid[-1]):
+                pop_to(opened[tag][-1])
         elif tag not in VOID:
             k = closes(tag)
             if k is not None:
@@ -119,6 +115,9 @@ def blocks(page: str | None, known: frozenset | None = None) -> list[Block]:
             if known is not None:
                 names = [n for n in names if n in known]
             depth.update(names)
+            opened[tag].append(len(stack))
+            if tag not in INLINE:
+                solid.append(len(stack))
             stack.append((tag, tuple(names)))
             links += tag == "a"
     if at < len(page):

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -126,6 +127,77 @@ def test_crf_gradients_equal_enumeration():
             assert g[i] == pytest.approx((up - down) / 2e-5, abs=1e-6)
 
 
+def plain_blocks(page):
+    """The rules tag by tag, with the whole stack searched each time."""
+    from netsieve.llm import html_blocks as h
+    out, stack, text = [], [], []
+
+    def flush():
+        words = " ".join(h.html.unescape("".join(text)).split())
+        if words:
+            out.append((words, next((t for t in reversed(stack) if t not in h.INLINE), "")))
+        text.clear()
+
+    at = 0
+    for m in h._TOKEN.finditer(page):
+        text.append(page[at:m.start()])
+        at, tag = m.end(), (m[3] or m[6] or "").lower()
+        if not tag:
+            text.append(" " if m[0].startswith("<!") or m[1] else "")
+            continue
+        if tag in h.VOID and tag in h.INLINE:
+            text.append(" ")
+            continue
+        if tag not in h.INLINE:
+            flush()
+        if m[2] or m[5]:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k] == tag:
+                    del stack[k:]
+                    break
+                if tag in h.INLINE and stack[k] not in h.INLINE:
+                    break
+        elif tag not in h.VOID:
+            for k in range(len(stack) - 1, -1, -1):
+                if tag not in h.INLINE and stack[k] == "p":
+                    del stack[k:]
+                    break
+                if tag in h.INLINE or stack[k] not in h.INLINE:
+                    for j in range(len(stack) - 1, -1, -1):
+                        if tag in h.REPEATS and stack[j] == tag:
+                            del stack[j:]
+                            break
+                        if stack[j] in h.REPEATS.get(tag, stack):
+                            break
+                    break
+            stack.append(tag)
+    text.append(page[at:])
+    flush()
+    return out
+
+
+def test_blocks_equal_a_plain_walk_of_the_stack():
+    rng = random.Random(2)
+    tags = ["p", "div", "li", "ul", "ol", "table", "tr", "td", "b", "a", "i", "span", "br", "hr", "dl", "dt", "select", "option"]
+    for _ in range(3000):
+        page = "".join(rng.choice([f"<{rng.choice(tags)}>", f"</{rng.choice(tags)}>", "x ", "y"]) for _ in range(rng.randrange(30)))
+        assert [(b.text, b.tag) for b in blocks(page)] == plain_blocks(page), page
+
+
+@pytest.mark.parametrize("start,end", [("<b>x", "</i>y"), ("<div>x", "</p>y"), ("<li>x", "</td>y"), ("<b>", "<p>x"), ('<a ">x', "</a '>"), ("<p><b>", "</b x"), ("<!-", "->"), ("<a b=\"'>", "<"), ("&#x", ";")])
+def test_parsing_time_is_linear(start, end):
+    def seconds(n):
+        page, best = start * n + end * n, 9.9
+        for _ in range(3):
+            at = time.perf_counter()
+            blocks(page, frozenset())
+            best = min(best, time.perf_counter() - at)
+        return best
+
+    seconds(100)
+    assert seconds(40_000) < 25 * seconds(4_000) + 0.05 and seconds(40_000) < 3
+
+
 def test_extraction_of_pages_set_in_other_markup(spark):
     d = "/root/testdata/sf0.1"
     docs = [r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").where("length(text) between 300 and 4000").orderBy("doc_id").limit(400).collect()]
@@ -243,7 +315,20 @@ def test_recall_with_several_ranges(spark, monkeypatch):
     x = rng.normal(size=(1900, 24)) * rng.uniform(0.2, 3, size=(1900, 1))
     e = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)], "double")
     found = nearest_neighbours(e, F.col("vec_id") % 20 == 0, tile=100)
-    assert recall(found, exact_neighbours(e, e.where("vec_id % 20 = 0"))) >= 0.85
+    assert recall(found, exact_neighbours(e, e.where("vec_id % 20 = 0"))) >= 0.9
+
+
+@pytest.mark.parametrize("long", [[], [1000.0], [20.0] * 30])
+def test_recall_with_long_vectors_and_many_ranges(spark, monkeypatch, long):
+    import netsieve.llm.ann as ann
+    monkeypatch.setattr(ann, "RANGE_ROWS", 125)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:len(long)] *= np.array(long).reshape(-1, 1)
+    e = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)], "double")
+    asked = F.col("vec_id") % 40 == 0
+    assert recall(nearest_neighbours(e, asked), exact_neighbours(e, e.where(asked))) >= 0.9
 
 
 def test_neighbours_of_odd_rows(spark):
