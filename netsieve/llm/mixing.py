@@ -7,9 +7,10 @@ spent gives every source its share, whatever its document sizes are.
 
 Sources that must repeat queue their documents once per epoch. No step sees one
 source, or the global order, in one task: prefix sums run inside hash ranges of
-about ``RANGE_ROWS`` documents and are shifted by the totals of earlier ranges;
-the global order is cut by totals of virtual-time ranges, and only the range in
-which the budget ends is sorted.
+about ``RANGE_ROWS`` documents and are shifted by the totals of earlier ranges,
+themselves added up in heaps; rows alike are counted first and dealt out after; the
+global order is cut by totals of virtual-time ranges, divided again where the
+budget ends until few rows are left to sort.
 
 Defined results: NULL text has size 0; NULL source is a source of its own, last;
 documents of size 0 and sources without words take nothing; an empty table gives
@@ -19,6 +20,8 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -31,6 +34,7 @@ SHARE = 1.5
 EPOCHS = 2
 
 RANGE_ROWS = 1000  # documents in one range of a prefix sum
+FAN = 1000  # ranges added up in one heap
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -41,7 +45,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epoc
     Sources are ordered by the level at which they reach their cap, so the
     number of capped ones is where the level of the rest first fits under it.
     """
-    per = sizes.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size"))
+    per = sizes.groupBy("source").agg(F.sum("n").alias("rows"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
     # windows without a key see one row per source, not the documents
     ranked = per.withColumn("rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
@@ -64,65 +68,95 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epoc
         "source", "rows", "source_size", "weight", "target")
 
 
+def before(totals: DataFrame, keys: list[str]) -> DataFrame:
+    """``totals`` (keys, range, words) with ``before``, the words of the key's earlier
+    ranges: added up inside heaps of ``FAN`` ranges, then over the heaps."""
+    t = totals.withColumn("heap", F.floor(F.col("range") / FAN))
+    heap = t.groupBy(*keys, "heap").agg(F.sum("words").alias("all"))
+    earlier = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    heap = heap.withColumn("base", F.coalesce(F.sum("all").over(earlier(W.partitionBy(*keys, F.lit(1)).orderBy("heap"))), F.lit(0)))
+    t = t.withColumn("inner", F.coalesce(F.sum("words").over(earlier(W.partitionBy(*keys, "heap").orderBy("range"))), F.lit(0)))
+    same = " and ".join([f"t.{k} <=> h.{k}" for k in keys] + ["t.heap = h.heap"])
+    return t.alias("t").join(heap.alias("h"), F.expr(same)).select(*[f"t.{c}" for c in totals.columns], (F.col("base") + F.col("inner")).alias("before"))
+
+
 def virtual_times(sizes: DataFrame, targets: DataFrame, epochs: int = EPOCHS, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Each document with ``v1 .. v<epochs>``, its virtual finish times."""
+    """Each document with ``v1 .. v<epochs>``, its virtual finish times. ``sizes``:
+    doc_id, source, size, n (rows alike), key."""
     d = (sizes.alias("d").join(targets.alias("t"), F.expr("d.source <=> t.source"))
-         .select("d.doc_id", "d.source", "d.size", "d.key", "t.source_size", "t.target",
+         .select("d.doc_id", "d.source", "d.size", "d.n", "d.key", "t.source_size", "t.target",
                  F.floor(F.col("key") / float(1 << 60) * F.ceil(F.col("rows") / range_rows)).alias("range")))
-    totals = d.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    base = totals.select("source", "range", F.coalesce(F.sum("words").over(
-        W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    order = W.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    inside = d.withColumn("inside", F.sum("size").over(order))
+    base = before(d.groupBy("source", "range").agg(F.sum(F.col("size") * F.col("n")).alias("words")), ["source"]).withColumnRenamed("before", "base")
+    order = W.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = d.withColumn("inside", F.coalesce(F.sum(F.col("size") * F.col("n")).over(order), F.lit(0)))
     shifted = inside.alias("i").join(base.alias("b"), F.expr("i.source <=> b.source and i.range = b.range"))
-    cum = F.col("base") + F.col("inside")
+    # rows alike queue one after the other; their copies are dealt out in heaps
+    heaps = (shifted.select("doc_id", "i.source", "size", "source_size", "target", "n", (F.col("base") + F.col("inside")).alias("upto"),
+                            F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(range_rows).cast("long"))).alias("heap"))
+             .repartition(F.xxhash64("doc_id", "source", "size", "heap")))
+    each = heaps.withColumn("place", F.explode(F.sequence(F.col("heap") + 1, F.least(F.col("heap") + range_rows, "n"))))
+    cum = F.col("upto") + F.col("place") * F.col("size")
     finish = [F.when((F.col("size") > 0) & (F.col("target") > 0),
                      (e * F.col("source_size") + cum) / F.col("target")).alias(f"v{e + 1}") for e in range(epochs)]
-    return shifted.select("doc_id", "i.source", "size", "source_size", "target", *finish)
+    return each.select("doc_id", "source", "size", "source_size", "target", *finish)
 
 
-def time_range(v: Column, n: Column) -> Column:
-    """Range of a virtual time when there are ``n`` of them to a unit. The budget
-    ends near time 1; what would finish after 4 shares the last range."""
-    return F.floor(F.least(v, F.lit(4.0)) * n)
+def budget_end(times: DataFrame, share: float, epochs: int = EPOCHS, range_rows: int = RANGE_ROWS) -> tuple | None:
+    """(edge, mark): the budget pays for all that finishes before the time ``edge``
+    and, from then on, up to ``mark``, the last (virtual time, document, epoch) it
+    pays for (None: nothing more). None where nothing is cut.
 
-
-def budget_end(times: DataFrame, share: float, epochs: int = EPOCHS, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """One row: ``mark``, the last (virtual time, document, epoch) that the budget
-    pays for in the range ``cut_range`` of ``n``; NULLs where nothing is cut."""
+    The range in which the budget ends is divided into ranges again until it holds
+    few rows, however unevenly the times lie; what reaches the driver is one row a
+    turn."""
     served = times.select("doc_id", "size", F.posexplode(F.array(*[f"v{e + 1}" for e in range(epochs)])).alias("epoch", "v")).where("v is not null")
-    # ranges of virtual time follow the number of documents; times end near 1
-    n = times.agg(F.greatest(F.ceil(F.count("*") / range_rows), F.lit(1)).alias("n"), (share * F.sum("size")).alias("budget"))
-    ranged = served.crossJoin(F.broadcast(n)).withColumn("range", time_range(F.col("v"), F.col("n")))
-    totals = ranged.groupBy("range", "budget").agg(F.sum("size").alias("words"))
-    # a window without a key over one row per range
-    upto = totals.withColumn("upto", F.sum("words").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, 0)))
-    last = upto.agg(F.min(F.when(F.col("upto") > F.col("budget"), F.col("range"))).alias("cut_range"))
-    spent = upto.crossJoin(F.broadcast(last)).agg(
-        F.first("cut_range").alias("cut_range"),
-        F.coalesce(F.max(F.when(F.col("range") < F.col("cut_range"), F.col("upto"))), F.lit(0)).alias("spent"))
-    inside = (ranged.join(F.broadcast(spent), F.col("range") == F.col("cut_range"))
-              .withColumn("upto", F.col("spent") + F.sum("size").over(
-                  W.partitionBy("range").orderBy("v", "doc_id", "epoch").rowsBetween(W.unboundedPreceding, 0))))
-    mark = inside.groupBy().agg(F.max(F.when(F.col("upto") <= F.col("budget"), F.struct("v", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "epoch"))).alias("mark"))
-    # without a cut range the budget pays for everything; without a mark, for all ranges before the cut one
-    return mark.crossJoin(spent.select("cut_range")).crossJoin(n.select("n"))
+    rows, words = times.agg(F.count("*"), F.sum("size")).first()
+    budget, parts = share * (words or 0), max(math.ceil(rows / range_rows), 2)
+    lowest, highest, left = served.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if not left:
+        return None
+    spent, within = 0, served
+    while True:
+        width = highest - lowest
+        at = F.least(F.floor((F.col("v") - lowest) / width * parts), F.lit(parts - 1)) if width > 0 else F.lit(0)
+        totals = within.groupBy(at.cast("long").alias("range")).agg(F.sum("size").alias("words"), F.count("*").alias("rows"), F.min("v").alias("lowest"), F.max("v").alias("highest"))
+        totals = before(totals, []).withColumn("before", F.col("before") + spent).where(F.col("before") + F.col("words") > budget)
+        first = totals.agg(F.min(F.struct("range", "before", "rows", "lowest", "highest")).alias("r")).first()["r"]
+        if first is None:
+            return None
+        settled = first["rows"] == left
+        spent, left, lowest, highest = first["before"], first["rows"], first["lowest"], first["highest"]
+        within = served.where((F.col("v") >= lowest) & (F.col("v") <= highest))
+        if left <= range_rows or settled:
+            break
+    # few rows, or rows of one and the same time
+    upto = spent + F.sum("size").over(W.partitionBy(F.lit(1)).orderBy("v", "doc_id", "epoch").rowsBetween(W.unboundedPreceding, 0))
+    mark = within.withColumn("upto", upto).where(F.col("upto") <= budget).agg(F.max(F.struct("v", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "epoch"))).first()[0]
+    return lowest, mark
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = 42,
         range_rows: int = RANGE_ROWS) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken."""
-    sizes = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
-                            hash60(F.lit(seed), F.col("doc_id")).alias("key")))
+    sizes = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+                .withColumn("key", hash60(F.lit(seed), F.col("doc_id"))))
     times = cut(virtual_times(sizes, source_targets(sizes, weights, share, epochs), epochs, range_rows))
     end = budget_end(times, share, epochs, range_rows)
-    paid = [F.when(F.col(f"v{e + 1}").isNull(), False)
-             .when(F.col("cut_range").isNull(), True)
-             .when(F.col("mark").isNull(), time_range(F.col(f"v{e + 1}"), F.col("n")) < F.col("cut_range"))
-             .otherwise(F.struct(F.col(f"v{e + 1}").alias("v"), F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.lit(e).alias("epoch")) <= F.col("mark"))
-            for e in range(epochs)]
+
+    def pays(e: int) -> Column:
+        v = F.col(f"v{e + 1}")
+        if end is None:
+            return v.isNotNull()
+        edge, mark = end
+        paid = v < edge
+        if mark is not None:
+            last = F.struct(F.lit(mark["v"]).alias("v"), F.lit(mark["doc_id"]).cast("long").alias("doc_id"), F.lit(mark["epoch"]).alias("epoch"))
+            paid = paid | (F.struct(v.alias("v"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.lit(e).alias("epoch")) <= last)
+        return F.coalesce(v.isNotNull() & paid, F.lit(False))
+
+    paid = [pays(e) for e in range(epochs)]
     copies = sum((p.cast("long") for p in paid[1:]), paid[0].cast("long"))
-    return (times.crossJoin(F.broadcast(end)).withColumn("copies", copies)
+    return (times.withColumn("copies", copies)
             .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")))
 
 

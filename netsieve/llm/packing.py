@@ -5,7 +5,8 @@ sequence are cut. Pieces are then packed best-fit decreasing: the longest first,
 each into the open sequence with the least room that still holds it. A segment
 tree over remaining capacities finds that sequence in logarithmic time.
 
-Packing runs in hash groups of about ``GROUP_PIECES`` pieces, one task each; a
+Packing runs in hash groups of about ``GROUP_PIECES`` pieces, one task each (copies
+of one row go to different groups); a
 group wastes room in its last few sequences only, which at this size is less than
 one sequence in a thousand. Full pieces need no search and no company. Only ids
 and lengths are shuffled; token ids are counted and checksummed where the text is
@@ -127,9 +128,15 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE, group_pieces: int = GROUP_
         ids = t["group"].to_numpy() * (1 << 32) + bins
         return t.drop_columns(["group"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets))
 
+    row = [c.split()[0] for c in PIECES.split(", ")]
+    # repeated rows are counted, and their copies numbered and dealt out like others
+    counted = pieces.groupBy(*row).agg(F.count("*").alias("copies"))
+    heaps = counted.withColumn("heap", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(group_pieces).cast("long"))))
+    heaps = heaps.repartition(F.xxhash64(*row, "heap"))
+    upto = F.least(F.col("heap") + group_pieces, "copies") - 1
+    copies = heaps.select(*row, F.explode(F.sequence(F.col("heap"), upto)).alias("copy"))
     groups = pieces.agg(F.greatest(F.ceil(F.count("*") / group_pieces), F.lit(1)).alias("groups"))
-    keyed = (pieces.crossJoin(F.broadcast(groups))
-             .withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.col("groups"))).drop("groups"))
+    keyed = copies.crossJoin(F.broadcast(groups)).withColumn("group", F.pmod(F.xxhash64(*row, "copy"), F.col("groups"))).drop("groups", "copy")
     out = PIECES + ", sequence_id long, offset long"
     return keyed.groupBy("group").applyInArrow(place, out)
 

@@ -48,7 +48,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 DICTIONARY_BYTES = 64 * 1024
 SAMPLE_DOCS = 1000  # documents the dictionary is trained on
-SAMPLE_BYTES = 16 * 1024  # of each sampled document's ids
+SAMPLE_BYTES = 16 * 1024  # of each sampled document's ids, in SAMPLE_BLOCKS blocks
+SAMPLE_BLOCKS = 4
 SHARD_BYTES = 1 << 20
 LEVEL = 3
 
@@ -71,10 +72,17 @@ def train_dictionary(arrays: list[bytes], size: int = DICTIONARY_BYTES) -> bytes
 
 def sample_arrays(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, sample_docs: int = SAMPLE_DOCS) -> list[bytes]:
     """Serialised ids of the ``sample_docs`` documents with the least id hashes."""
-    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
+    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     texts = docs.join(F.broadcast(ids), "doc_id", "left_semi")
-    rows = encoded(texts, tokenizer, spaced, end_id, None).select("doc_id", F.substring("frame", 1, SAMPLE_BYTES).alias("ids")).limit(sample_docs)
-    return [bytes(r["ids"]) for r in rows.collect() if r["ids"]]
+    rows = encoded(texts, tokenizer, spaced, end_id, None)
+    # blocks from the whole array, at even distances
+    size, block = F.octet_length("frame"), SAMPLE_BYTES // SAMPLE_BLOCKS
+    at = lambda k: (F.floor((size - block) * k / (SAMPLE_BLOCKS - 1) / 4) * 4).cast("int") + 1
+    blocks = F.concat(*[F.substring(F.col("frame"), at(k), F.lit(block)) for k in range(SAMPLE_BLOCKS)])
+    some = F.when(size <= SAMPLE_BYTES, F.col("frame")).otherwise(blocks)
+    # of rows that share an id, one by its content
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("n_tokens", "ids_crc32", some.alias("ids"))).alias("r"))
+    return [bytes(r["ids"]) for r in one.orderBy("doc_id").select("r.ids").collect() if r["ids"]]
 
 
 def encoded(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, dictionary: bytes | None) -> DataFrame:

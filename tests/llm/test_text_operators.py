@@ -15,7 +15,7 @@ from netsieve.llm.packing import Capacities, best_fit, cuts, pack_documents, seq
 from netsieve.llm.quality import Network, keep_quality, score_quality
 from netsieve.llm.shingles import shingle_sets
 from netsieve.llm.superminhash import signatures
-from netsieve.llm.token_store import Shard, document_starts, pack_shard, read_store, train_dictionary, write_store
+from netsieve.llm.token_store import Shard, document_starts, pack_shard, read_store, sample_arrays, train_dictionary, write_store
 from netsieve.llm.tokens import Encoder, vocabulary
 from netsieve.llm.toxicity import Chain, keep_clean, score_toxicity
 
@@ -344,6 +344,67 @@ def test_mix_of_odd_rows(spark, empty):
     assert mix(empty).collect() == [] and mixed(empty).collect() == []
 
 
+def plain_mix(rows, budget_share=1.5):
+    """Fair queueing document by document, for sources given in order."""
+    import hashlib
+    import re
+    sizes = [(d, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for d, t, s in rows]
+    names = sorted({s for _, s, _ in sizes}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(z for _, t, z in sizes if t == s) for s in names}
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    budget, capped = budget_share * sum(total.values()), set()
+    while True:
+        rest = [s for s in names if s not in capped]
+        level = (budget - sum(2 * total[s] for s in capped)) / max(sum(weight[s] for s in rest), 1)
+        over = [s for s in rest if level * weight[s] > 2 * total[s]]
+        if not over:
+            break
+        capped.update(over)
+    target = {s: 2 * total[s] if s in capped else level * weight[s] for s in names}
+    key = lambda d: int(hashlib.md5(f"42|{'~' if d is None else d}".encode()).hexdigest()[:15], 16)
+    served = []
+    for s in names:
+        at = 0
+        for d, _, z in sorted((r for r in sizes if r[1] == s), key=lambda r: (key(r[0]), -1 if r[0] is None else r[0], r[2])):
+            at += z
+            served += [((e * total[s] + at) / target[s], -1 if d is None else d, e, s, z) for e in range(2) if z and target[s]]
+    taken, spent = Counter(), 0
+    for _, d, _, s, z in sorted(served, key=lambda r: r[:3]):
+        spent += z
+        if spent > budget:
+            break
+        taken[s] += z
+    return taken
+
+
+def test_mix_deals_out_repeated_rows(spark):
+    one = "word " * 7
+    rows = [(None, one, "a")] * 900 + [(5, one, "a")] * 700 + [(k, "x " * (1 + k % 40), "bcd"[k % 3]) for k in range(6, 600)] + [(9999, "long " * 60_000, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    want = plain_mix(rows)
+    for range_rows in (10, 1000):
+        got = mix(df, range_rows=range_rows)
+        assert got.count() == len(rows)
+        assert {r["source"]: r["t"] for r in got.groupBy("source").agg(F.sum("taken").alias("t")).collect() if r["t"]} == dict(want)
+
+
+def test_packing_deals_out_copies_of_one_row(spark):
+    rows = [(None, "same words here " * 9)] * 3000 + [(k, "w " * (k % 90)) for k in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pack_documents(df, group_pieces=200)
+    per = got.groupBy(F.shiftright("sequence_id", 32).alias("g")).count().collect()
+    assert got.count() == len(rows) and len(per) > 12 and max(r["count"] for r in per) < 400
+    ends = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("top"))
+    assert ends.where("n <> top or n > 2048").count() == 0
+
+
+def test_dictionary_does_not_depend_on_the_order_of_repeats(spark):
+    rows = [(k % 40, f"text {k} " * (k % 700)) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sample_arrays(d, "word_bpe_49k.json", False, 2, 30) for d in (df, df.orderBy(F.rand(1)).repartition(3))]
+    assert got[0] == got[1] and 20 < len(got[0]) <= 30 and max(map(len, got[0])) <= 16 * 1024
+
+
 def test_mix_targets_and_budget(spark):
     rng = random.Random(8)
     rows = [(k, "w " * rng.randint(1, 30), rng.choice(["a", "b", "b", "b", "c", "c", "d", None])) for k in range(3000)]
