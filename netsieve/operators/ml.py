@@ -157,6 +157,57 @@ def undersample(df: DataFrame, id_col: str, seed: int = 42, label: str = LABEL)
     return _mark_first(df, id_col, seed, label, wanted, "__in").where("__in").drop("__in")
 
 
+COPIES = 10_000  # synthetic rows of one row that are made in one task
+
+
+def smote(df: DataFrame, id_col: str, k: int = 5, seed: int = 42, label: str = LABEL, cols: list[str] | None = None) -> DataFrame:
+    """M5: every class brought to the size of the largest by synthetic rows
+    ``x + u * (neighbour - x)`` between a row and one of its ``k`` nearest rows of
+    its class.
+
+    Returns id, label, the features as doubles, ``base``, ``neighbour``, ``copy``
+    and ``u`` (NULL for the rows of ``df``, which all stay). A class that lacks m
+    rows takes ``m // n`` from each of its n rows and one more from those with the
+    smallest keyed hashes; which neighbour and which u are keyed hashes too, so the
+    counts are exact and a rerun gives the same rows. Rows with a feature that is
+    NULL or not finite stay but are not built upon; a class of one row repeats it.
+    Ids must be unique."""
+    from netsieve.operators.neighbours import nearest_rows
+
+    cols = cols or FEATURE_NAMES
+    features = [F.col(c).cast("double").alias(c) for c in cols]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("base", "string"), ("neighbour", "string"), ("copy", "bigint"), ("u", "double"))]
+    out = df.select(F.col(id_col).cast("string").alias(id_col), label, *features, *none)
+    whole = F.col(id_col).isNotNull()
+    for c in cols:
+        whole = whole & F.col(c).isNotNull() & (F.abs(F.col(c).cast("double")) < float("inf"))
+    known = df.where(F.col(label).isNotNull())
+    sizes = {r[label]: (r["n"], r["whole"]) for r in known.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(whole, 1)).alias("whole")).collect()}  # a row per class
+    most = max((n for n, _ in sizes.values()), default=0)
+    for value, (n, usable) in sorted(sizes.items()):
+        if n == most or not usable:
+            continue
+        each, rest = divmod(most - n, usable)
+        rows = known.where((F.col(label) == F.lit(value)) & whole).select(F.col(id_col).alias("base"), label, F.array(*features).alias("v"))
+        near = nearest_rows(known.where((F.col(label) == F.lit(value)) & whole), id_col, cols, k)
+        near = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour"))).alias("near"))
+        marked = _mark_first(rows, "base", seed, label, lambda s, w=rest: s.withColumn("__want", F.lit(w)), "__more") if rest else rows.withColumn("__more", F.lit(False))
+        made = marked.withColumn("n", F.lit(each) + F.col("__more").cast("int")).where("n > 0").join(near, F.col("base") == F.col("id"), "left")
+        # a row's copies are dealt out in heaps
+        heaps = made.withColumn("heap", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))))
+        heaps = heaps.repartition(F.xxhash64("base", "heap")) if each >= COPIES else heaps
+        one = heaps.withColumn("copy", F.explode(F.sequence(F.col("heap"), F.least(F.col("heap") + COPIES, "n") - 1)))
+        one = one.withColumn("key", F.concat_ws("|", F.col("base").cast("string"), F.col("copy").cast("string")))
+        pick = F.when(F.size("near") > 0, F.col("near")[(seeded_hash("key", seed) % F.size("near")).cast("int")]["neighbour"])
+        one = one.withColumns({"neighbour": pick, "u": seeded_uniform("key", seed, "u")})
+        other = rows.select(F.col("base").alias("o_id"), F.col("v").alias("w"))
+        one = one.join(other, F.col("neighbour") == F.col("o_id"), "left")
+        value_of = lambda i: F.col("v")[i] + F.coalesce(F.col("u") * (F.col("w")[i] - F.col("v")[i]), F.lit(0.0))
+        out = out.unionByName(one.select(F.concat(F.lit("synthetic|"), "key").alias(id_col), label, *[value_of(i).alias(c) for i, c in enumerate(cols)],
+                                         F.col("base").cast("string").alias("base"), F.col("neighbour").cast("string").alias("neighbour"), "copy", "u"))
+    return out
+
+
 # --- M6, M7, M8 splits ----------------------------------------------------------
 
 def stratified_split(df: DataFrame, id_col: str, train_frac: float = 0.75, seed: int = 42,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from netsieve.operators.metrics import (
     auc, binary_metrics, classification_report, ks_drift, roc_points)
 from netsieve.operators.ml import (
-    class_weights, fit_scaler, stratified_split, temporal_split, undersample)
+    class_weights, fit_scaler, smote, stratified_split, temporal_split, undersample)
 from netsieve.plans.catalog import register
 from netsieve.plans.q_adapters import CANON_CTE, canonical_flows
 from netsieve.schema import FEATURE_NAMES
@@ -46,6 +46,36 @@ def m4_undersample(spark, sf):
     return undersample(canonical_flows(spark, sf), "flow_id", 42).select("flow_id", "label")
 
 
+_D2 = " + ".join(f"(a.{c}::DOUBLE - b.{c}::DOUBLE) * (a.{c}::DOUBLE - b.{c}::DOUBLE)" for c in FEATURE_NAMES)
+NEAR_CTE = CANON_CTE + f""",
+small AS (SELECT * FROM canon WHERE label = (SELECT label FROM canon GROUP BY label ORDER BY count(*) LIMIT 1)),
+pairs AS (SELECT a.flow_id AS id, b.flow_id AS neighbour, {_D2} AS d FROM small a JOIN small b ON a.flow_id <> b.flow_id),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, neighbour) AS rank FROM pairs) x WHERE rank <= 5)"""
+
+
+@register("m5_nearest_rows", NEAR_CTE + "\nSELECT id, rank, neighbour, round(sqrt(d), 4) AS distance FROM near")
+def m5_nearest_rows(spark, sf):
+    """The five nearest flows of each flow of the smaller class, exactly."""
+    from netsieve.operators.neighbours import nearest_rows
+    c = canonical_flows(spark, sf)
+    small = c.groupBy("label").count().orderBy("count").limit(1).select("label")
+    return nearest_rows(c.join(F.broadcast(small), "label", "left_semi"), "flow_id", FEATURE_NAMES).select("id", "rank", "neighbour", F.round(F.sqrt("d"), 4).alias("distance"))
+
+
+@register("m5_smote", NEAR_CTE + f""",
+size AS (SELECT count(*) FILTER (WHERE label = (SELECT any_value(label) FROM small)) AS n, count(*) FILTER (WHERE label <> (SELECT any_value(label) FROM small)) AS m FROM canon),
+base AS (SELECT s.*, n, m, row_number() OVER (ORDER BY {HASH}, flow_id) AS rn FROM small s, size),
+copies AS (SELECT b.*, unnest(range((m - n) // n + CASE WHEN rn <= (m - n) % n THEN 1 ELSE 0 END)) AS copy FROM base b),
+keyed AS (SELECT c.*, ('0x' || substr(md5(concat(flow_id, '|', copy, '|42')), 1, 8))::BIGINT AS pick,
+  ('0x' || substr(md5(concat(flow_id, '|', copy, '|42|u')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM copies c)
+SELECT a.flow_id AS base, w.neighbour, a.copy, round(u, 9) AS u, {", ".join(f"round(a.{c}::DOUBLE + u * (b.{c}::DOUBLE - a.{c}::DOUBLE), 4) AS {c}" for c in FEATURE_NAMES)}
+FROM keyed a JOIN near w ON w.id = a.flow_id AND w.rank = 1 + pick % 5 JOIN small b ON b.flow_id = w.neighbour""")
+def m5_smote(spark, sf):
+    """The synthetic flows that bring the smaller class to the size of the larger."""
+    s = smote(canonical_flows(spark, sf), "flow_id").where("base is not null")
+    return s.select("base", "neighbour", "copy", F.round("u", 9).alias("u"), *[F.round(c, 4).alias(c) for c in FEATURE_NAMES])
+
+
 @register("m3_class_weights", CANON_CTE + """
 SELECT label, count(*) AS n_c, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS weight
 FROM canon GROUP BY label""")
