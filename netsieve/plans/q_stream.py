@@ -12,21 +12,23 @@ from netsieve.operators.aggregates import dst_aggregates
 from netsieve.plans import derived as D
 from netsieve.plans.catalog import register
 from netsieve.operators.filters import eligible_flows
-from netsieve.plans.q_core import AGG_SQL, ELIGIBLE_SQL, _detect_sql
+from netsieve.plans.q_adapters import _source_version
+from netsieve.plans.q_core import AGG_SQL, ELIGIBLE_SQL, JOINED_SQL
 from netsieve.plans.detection import detect_floods
 from netsieve.plans.q_logs import _scratch
 from netsieve.plans.q_stateful import BLOCKDET_CTE
 from netsieve.sources.datasets import _fs
-from netsieve.streaming.detection import block_stream, detection_stream, for_each_poll, read_flow_stats
+from netsieve.streaming.detection import block_stream, detection_stream, for_each_poll, model_scorer, read_flow_stats
 
 
-def write_poll_files(spark, sf, files_per_poll: int = 3) -> str:
+def write_poll_files(spark, sf, files_per_poll: int = 3, flows=None) -> str:
     """The flow source as a poller would leave it: a poll's replies spread over
     several files, in the order of the polls, and at the end the heartbeat of a
     later poll (a table-miss row, which F1 drops), so that the last poll is
     known to be complete."""
     path = _scratch(spark, "flowstats")
-    f = D.flows(spark, sf).withColumn("poll_ts", F.col("poll_ts").cast("timestamp"))
+    f = flows if flows is not None else D.flows(spark, sf)
+    f = f.withColumn("poll_ts", F.col("poll_ts").cast("timestamp"))
     f = f.withColumn("poll", F.date_format("poll_ts", "yyyyMMdd"))
     f.repartition("poll", (F.col("event_id") % files_per_poll)).write.partitionBy("poll").parquet(path)
     last = f.agg(F.max("poll_ts")).first()[0]
@@ -37,19 +39,107 @@ def write_poll_files(spark, sf, files_per_poll: int = 3) -> str:
     return path
 
 
-def _run_detection_stream(spark, sf) -> str:
-    src = write_poll_files(spark, sf)
-    out = _scratch(spark, "stream-out")
-    q = detection_stream(spark, read_flow_stats(spark, src, streaming=True, max_files_per_trigger=4),
-                         out, os.path.join(out, "_checkpoint"))
-    q.awaitTermination()
-    return out
+_RUNS: dict = {}
+
+
+def _run_detection_stream(spark, sf, name: str = "default", files: int = 16, **options) -> str:
+    """Folder with what the stream wrote; a run serves all queries on it."""
+    key = (spark.sparkContext.applicationId, _source_version(spark, sf), name)
+    if key not in _RUNS:
+        src = write_poll_files(spark, sf)
+        out = _scratch(spark, "stream-out")
+        q = detection_stream(spark, read_flow_stats(spark, src, streaming=True, max_files_per_trigger=files),
+                             out, os.path.join(out, "_checkpoint"), **options)
+        q.awaitTermination()
+        _RUNS[key] = out
+    return _RUNS[key]
+
+
+def _probability(f):
+    """A scorer that SQL can state: a logistic curve over the packet rate."""
+    return f.withColumn("attack_prob", 1 / (1 + F.exp(-(F.col("pps") - 2000) / 500)))
+
+
+# the derived polls are days apart: flows are remembered and blocks last for days
+WHOLE = dict(sample_n=40, sample_pps=15_000.0, ttl_sec=5 * 86400.0, block_sec=3 * 86400)
+RATED_SQL = """
+SELECT *, pps_now - lag(pps_now) OVER w AS dpps, bps_now - lag(bps_now) OVER w AS dbps, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS dt
+FROM (SELECT *, packet_count / greatest(cast(duration_sec AS double), 0.001) AS pps_now, byte_count / greatest(cast(duration_sec AS double), 0.001) AS bps_now FROM joined) x
+WINDOW w AS (PARTITION BY dpid, src_ip, dst_ip, ip_proto ORDER BY ts, event_id)"""
+SAMPLED_SQL = f"""
+SELECT *, coalesce(dt < {WHOLE['ttl_sec']}, false) AS live FROM (SELECT *, row_number() OVER (PARTITION BY poll_ts ORDER BY pps_now DESC, event_id) AS place, count(*) OVER (PARTITION BY poll_ts) AS n FROM rated) x
+WHERE n <= {WHOLE['sample_n']} OR place <= {WHOLE['sample_n']} OR pps_now >= {WHOLE['sample_pps']}"""
+CAUGHT_SQL = """
+SELECT event_id, ts, poll_ts, src_ip, dst_ip, ip_proto, pps_now AS pps,
+  CASE ip_proto WHEN 1 THEN 'ICMP Flood' WHEN 6 THEN 'SYN Flood' WHEN 17 THEN 'UDP Flood' ELSE concat('Unknown (proto=', cast(ip_proto AS varchar), ')') END AS attack_type,
+  CASE WHEN live THEN dpps ELSE 0.0 END AS pps_delta, CASE WHEN live THEN dpps / greatest(0.001, dt) ELSE 0.0 END AS pps_acceleration,
+  CASE WHEN pps_now > 10000 OR bps_now > 50000000 THEN 1.0 ELSE 1 / (1 + exp(-(pps_now - 2000) / 500)) END AS attack_prob,
+  CASE WHEN unique_sources_to_dst >= 10 AND flows_to_dst >= 15 THEN 'dst' ELSE 'src' END AS block_scope,
+  CASE WHEN unique_sources_to_dst >= 10 AND flows_to_dst >= 15 THEN '*' ELSE src_ip END AS block_src
+FROM sampled WHERE src_ip IS NOT NULL"""
+HITS_SQL = f"""
+SELECT *, {int(0.8 * WHOLE['block_sec'])} + (('0x' || substr(md5(concat_ws('|', block_src, dst_ip, cast(ip_proto AS varchar), cast(epoch_us(ts) AS varchar))), 1, 8))::BIGINT) % {int(0.4 * WHOLE['block_sec']) + 1} AS timeout_sec,
+  epoch_us(ts) AS us, row_number() OVER (PARTITION BY block_src, dst_ip, ip_proto ORDER BY ts, event_id) AS rn FROM caught WHERE attack_prob >= 0.7"""
+WHOLE_CTE = D.with_views("", "flows", extra={"eligible": ELIGIBLE_SQL, "agg": AGG_SQL, "joined": JOINED_SQL, "rated": RATED_SQL, "sampled": SAMPLED_SQL,
+                                             "caught": CAUGHT_SQL, "hits": HITS_SQL}).replace("WITH ", "WITH RECURSIVE ", 1) + """,
+ep(block_src, dst_ip, ip_proto, rn, event_id, start_us, exp_us, opens) AS (
+  SELECT block_src, dst_ip, ip_proto, rn, event_id, us, us + timeout_sec * 1000000, true FROM hits WHERE rn = 1
+  UNION ALL
+  SELECT e.block_src, e.dst_ip, e.ip_proto, e.rn, e.event_id, CASE WHEN e.us >= p.exp_us THEN e.us ELSE p.start_us END,
+    CASE WHEN e.us >= p.exp_us THEN e.us + e.timeout_sec * 1000000 ELSE p.exp_us END, e.us >= p.exp_us
+  FROM ep p JOIN hits e ON e.block_src = p.block_src AND e.dst_ip IS NOT DISTINCT FROM p.dst_ip AND e.ip_proto = p.ip_proto AND e.rn = p.rn + 1),
+placed AS (SELECT h.*, ep.opens, make_timestamp(ep.start_us) AS start_ts, make_timestamp(ep.exp_us) AS expiry_ts FROM hits h JOIN ep ON h.event_id = ep.event_id),
+sw(rule_dpid, install_order) AS (VALUES (1, 1), (2, 1), (3, 0), (4, 0), (5, 0))
+"""
+
+
+def _whole_run(spark, sf) -> str:
+    return _run_detection_stream(spark, sf, "whole", scorer=_probability, **WHOLE)
 
 
-@register("st7_detection_stream", _detect_sql(10, 15))
+@register("st7_detection_stream", WHOLE_CTE + """
+SELECT event_id, ts, poll_ts, src_ip, dst_ip, ip_proto, attack_type, pps, round(pps_delta, 6) AS pps_delta, round(pps_acceleration, 9) AS pps_acceleration,
+  round(attack_prob, 9) AS attack_prob, block_scope, block_src, cast(timeout_sec AS int) AS timeout_sec, opens, start_ts, expiry_ts FROM placed""")
 def st7_detection_stream(spark, sf):
-    out = _run_detection_stream(spark, sf)
-    return spark.read.parquet(f"{out}/detections").drop("epoch")
+    """Every detection of the whole stream with its rates of change and block."""
+    d = spark.read.parquet(f"{_whole_run(spark, sf)}/detections")
+    return d.select("event_id", "ts", F.col("poll_ts").cast("timestamp_ntz").alias("poll_ts"), "src_ip", "dst_ip", "ip_proto", "attack_type", "pps",
+                    F.round("pps_delta", 6).alias("pps_delta"), F.round("pps_acceleration", 9).alias("pps_acceleration"),
+                    F.round("attack_prob", 9).alias("attack_prob"), "block_scope", "block_src", "timeout_sec", "opens", "start_ts", "expiry_ts")
+
+
+@register("st7_rules_stream", WHOLE_CTE + """
+SELECT event_id, rule_dpid, install_order, CASE WHEN block_scope = 'src' THEN 57005 ELSE 48879 END AS cookie,
+  CASE WHEN block_scope = 'src' THEN src_ip END AS match_ipv4_src, dst_ip AS match_ipv4_dst, ip_proto AS match_ip_proto, cast(timeout_sec AS int) AS hard_timeout
+FROM placed, sw WHERE opens AND (block_scope = 'src' OR dst_ip IS NOT NULL)""")
+def st7_rules_stream(spark, sf):
+    """J3 on the stream: the drop rules of every block it opened."""
+    return spark.read.parquet(f"{_whole_run(spark, sf)}/rules").select(
+        "event_id", "rule_dpid", "install_order", "cookie", "match_ipv4_src", "match_ipv4_dst", "match_ip_proto", "hard_timeout")
+
+
+@register("st7_log_stream", WHOLE_CTE + """
+SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, src_ip, coalesce(dst_ip, 'INVALID') AS dst_ip, attack_type, printf('%.2f', pps) AS packet_rate, printf('%.3f', attack_prob) AS confidence,
+  'BLOCKED' AS action, 5::INT AS switches_blocked FROM placed WHERE opens""")
+def st7_log_stream(spark, sf):
+    """S11 on the stream: one row per opened block, none for absorbed detections."""
+    return spark.read.parquet(f"{_whole_run(spark, sf)}/attack_log").drop("epoch")
+
+
+@register("st7_model_stream")
+def st7_model_stream(spark, sf):
+    """ST7 with a trained model (M9): a small forest on the canonical flows."""
+    r = spark.read.parquet(f"{_run_detection_stream(spark, sf, 'model', scorer=trained_scorer(spark, sf), **WHOLE)}/detections")
+    return r.select("event_id", "pps", F.round("attack_prob", 6).alias("attack_prob"), "block_src", "opens")
+
+
+def trained_scorer(spark, sf, trees: int = 20, depth: int = 8):
+    """A forest trained on the training part of the canonical flows."""
+    from netsieve.operators.ml import apply_scaler, fit_scaler, train_forest, with_class_weights
+    from netsieve.plans.q_ml import split_canonical
+    train = split_canonical(spark, sf).where("split = 'train'")
+    stats = fit_scaler(train).persist()
+    return model_scorer(train_forest(with_class_weights(apply_scaler(train, stats)), "weight", trees, depth), stats)
 
 
 @register("st3_block_stream", BLOCKDET_CTE + """,
@@ -95,11 +185,6 @@ def a1_dst_aggregates_stream(spark, sf):
     return spark.read.parquet(f"{out}/agg").drop("epoch").withColumn("poll_ts", F.col("poll_ts").cast("timestamp_ntz"))
 
 
-def _probability(f):
-    """A scorer that SQL can state: a logistic curve over the packet rate."""
-    return f.withColumn("attack_prob", 1 / (1 + F.exp(-(F.col("pps") - 2000) / 500)))
-
-
 @register("f3_scored_detections", D.with_views("""
 SELECT event_id, poll_ts, pps FROM (SELECT *, packet_count / greatest(cast(duration_sec AS double), 0.001) AS pps,
     byte_count / greatest(cast(duration_sec AS double), 0.001) AS bps FROM eligible) x
@@ -112,10 +197,7 @@ def f3_scored_detections(spark, sf):
 @register("st7_scored_stream", None)
 def st7_scored_stream(spark, sf):
     """ST7 with scoring, a poll spread over files and triggers."""
-    src, out = write_poll_files(spark, sf), _scratch(spark, "scored-stream")
-    q = detection_stream(spark, read_flow_stats(spark, src, streaming=True, max_files_per_trigger=16), out,
-                         os.path.join(out, "_checkpoint"), scorer=_probability)
-    q.awaitTermination()
+    out = _run_detection_stream(spark, sf, "scored", scorer=_probability)
     r = spark.read.parquet(f"{out}/detections").select("event_id", "poll_ts", "pps")
     return r.withColumn("poll_ts", F.col("poll_ts").cast("timestamp_ntz"))
 

@@ -6,10 +6,13 @@
 * ``complete_polls``: rows wait in the state store until the watermark has
   passed their poll, and come out poll by poll. The file cap, and how a poll is
   spread over files, therefore change nothing about the results.
-* ``detection_stream``: the batch detection slice
-  (F1 -> A1 -> J1 -> P2 -> M10 -> F3 -> J2 -> P17) on complete polls; detections
-  and the attack log go to folders ``epoch=<id>``, which a replayed epoch writes
-  over (exactly-once).
+* ``detection_stream``: the whole batch plan ``detect_and_block`` (F1 -> W1 -> A1
+  -> J1 -> W3 -> P2 -> M10/M9 -> F3 -> J2 -> ST3 -> J3, S11) on complete polls.
+  Detections, rules and the attack log go to folders ``epoch=<id>``, which a replayed
+  epoch writes over (exactly-once). What later polls need of earlier ones, the
+  last rows of flows and the open blocks, are tables too: an epoch reads those of
+  the one before and writes its own, so no key's rows meet in one Python worker,
+  and rows that can no longer matter are not written on.
 * ``block_stream``: block episodes over the detection stream with
   ``applyInPandasWithState``; state per block key is (start, expiry). Episodes
   follow the order of time: a trigger must not deliver detections older than
@@ -26,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netsieve.plans.detection import detect_floods
-from netsieve.sources.logs import attack_log
+from netsieve.plans.detection import CARRIED, detect_and_block
+from netsieve.schema import switches_df
 
 FLOW_STREAM_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -68,36 +71,72 @@ def complete_polls(source: DataFrame, poll: str = "poll_ts", row_id: str = "even
     return held.select("__row.*")
 
 
-def for_each_poll(source: DataFrame, run: Callable[[DataFrame], dict[str, DataFrame]], out_path: str, checkpoint: str,
-                  poll: str = "poll_ts", row_id: str = "event_id", available_now: bool = True, processing_time: str | None = None):
+def for_each_poll(source: DataFrame, run: Callable[..., dict[str, DataFrame]], out_path: str, checkpoint: str,
+                  poll: str = "poll_ts", row_id: str = "event_id", available_now: bool = True, processing_time: str | None = None,
+                  carried: dict[str, str] | None = None):
     """Apply the batch plan ``run`` to complete polls and write each table it
     returns under ``out_path``/name/epoch=N. A replayed epoch writes over its
-    own folder only. Returns the ``StreamingQuery``."""
+    own folder only. ``carried`` names tables, with their schemas, that an epoch
+    hands to the next: ``run`` gets those of the epoch before as its second
+    argument; those of two epochs before are removed. Returns the
+    ``StreamingQuery``."""
+    from netsieve.sources.datasets import _fs
+
     def batch(df: DataFrame, epoch_id: int) -> None:
+        spark = df.sparkSession
+        before, kept = {}, []
+        if carried:
+            for name, kind in carried.items():
+                fs, path = _fs(spark, f"{out_path}/{name}/epoch={epoch_id - 1}")
+                before[name] = spark.read.schema(kind).parquet(path.toString()) if fs.exists(path) else spark.createDataFrame([], kind)
         rows = df.persist()
         try:
-            for name, table in run(rows).items():
+            if carried and rows.isEmpty():
+                tables = before
+            else:
+                tables = run(rows, before) if carried else run(rows)
+            for name, table in tables.items():
+                kept.append(table.persist() if name in (carried or {}) else table)
                 table.write.mode("overwrite").parquet(f"{out_path}/{name}/epoch={epoch_id}")
         finally:
-            rows.unpersist()
+            for table in [rows, *kept]:
+                table.unpersist()
+        for name in carried or {}:
+            fs, path = _fs(spark, f"{out_path}/{name}/epoch={epoch_id - 2}")
+            fs.delete(path, True)
 
     w = complete_polls(source, poll, row_id).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "3 seconds")
     return w.start()
 
 
-def detection_stream(spark: SparkSession, source: DataFrame, out_path: str, checkpoint: str,
-                     n_switches: int = 5, min_sources: int = 10, min_flows: int = 15,
-                     available_now: bool = True, processing_time: str | None = None, scorer=None):
+def detection_stream(spark: SparkSession, source: DataFrame, out_path: str, checkpoint: str, switches: DataFrame | None = None,
+                     available_now: bool = True, processing_time: str | None = None, **options):
     """ST7: start the detection stream; returns the ``StreamingQuery``. Each poll
-    is worked on once it is complete; detections and their log entries are
-    written. ``scorer`` adds ``attack_prob`` to flows that the fast path did not
-    catch (F3 then applies)."""
-    def run(polls: DataFrame) -> dict[str, DataFrame]:
-        det = detect_floods(polls, "poll_ts", min_sources=min_sources, min_flows=min_flows, scorer=scorer)
-        return {"detections": det, "attack_log": attack_log(det, n_switches)}
+    is worked on once it is complete. ``options`` are those of
+    ``detect_and_block``; a ``scorer`` such as ``model_scorer`` adds ``attack_prob``
+    to flows that the fast path did not catch (F3 then applies)."""
+    switches = switches if switches is not None else switches_df(spark)
+
+    def run(polls: DataFrame, before: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        return detect_and_block(polls, switches, before, **options)
+
+    return for_each_poll(source, run, out_path, checkpoint, available_now=available_now, processing_time=processing_time, carried=CARRIED)
+
 
-    return for_each_poll(source, run, out_path, checkpoint, available_now=available_now, processing_time=processing_time)
+def model_scorer(model, stats: DataFrame | None = None):
+    """M9 as a scorer: ``attack_prob`` from a fitted model over the (scaled) live
+    features; the features themselves stay as they are."""
+    from netsieve.operators.ml import apply_scaler, score
+    from netsieve.schema import FEATURE_NAMES
+
+    def scorer(f: DataFrame) -> DataFrame:
+        raw = F.struct(*[F.col(c) for c in FEATURE_NAMES])
+        x = f.withColumn("__raw", raw)
+        x = score(apply_scaler(x, stats) if stats is not None else x, model).drop("prediction")
+        return x.withColumns({c: F.col(f"__raw.{c}") for c in FEATURE_NAMES}).drop("__raw")
+
+    return scorer
 
 
 BLOCK_STATE = "start_us LONG, exp_us LONG"
@@ -112,8 +151,17 @@ BLOCK_OUT = T.StructType([
 ])
 
 
+def _end_at(state, us: int) -> None:
+    """Let a key's state end once the watermark has passed a time."""
+    state.setTimeoutTimestamp(max(us // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+
+
 def _episode_step(key, batches: Iterator[pd.DataFrame], state):
-    """ST3 step for one block key: the same rule as the batch walk."""
+    """ST3 step for one block key: the same rule as the batch walk. The state ends
+    with the block: what comes after its expiry opens a new one anyway."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     pdf = pd.concat(list(batches), ignore_index=True)
     pdf = pdf.sort_values(["__us", "event_id"], kind="mergesort")
     start, exp = (state.get if state.exists else (None, None))
@@ -127,6 +175,7 @@ def _episode_step(key, batches: Iterator[pd.DataFrame], state):
         out["start_us"].append(start)
         out["exp_us"].append(exp)
     state.update((start, exp))
+    _end_at(state, exp)
     res = pd.DataFrame({
         "event_id": out["event_id"], "block_src": key[0], "dst_ip": key[1], "ip_proto": key[2],
         "opens": out["opens"],
@@ -147,7 +196,7 @@ def block_stream(detections: DataFrame) -> DataFrame:
                   .withColumn("__wts", F.col("ts").cast("timestamp")) \
                   .withWatermark("__wts", "2 seconds")
     return (d.groupBy("block_src", "dst_ip", "ip_proto")
-             .applyInPandasWithState(_episode_step, BLOCK_OUT, BLOCK_STATE, "append", "NoTimeout"))
+             .applyInPandasWithState(_episode_step, BLOCK_OUT, BLOCK_STATE, "append", "EventTimeTimeout"))
 
 
 # --- streaming forms of the keyed chains (ST1, ST6) --------------------------
@@ -168,6 +217,9 @@ def admit_stream(events: DataFrame, key: str, limit: int = 100, window_sec: floa
                         T.StructField("window_start", T.TimestampNTZType())])
 
     def step(k, batches, state):
+        if state.hasTimedOut:
+            state.remove()  # the next event would start a new window
+            return
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["__us", tie], kind="mergesort")
         start, cnt = state.get if state.exists else (None, 0)
         adm, wst = [], []
@@ -180,12 +232,13 @@ def admit_stream(events: DataFrame, key: str, limit: int = 100, window_sec: floa
             adm.append(ok)
             wst.append(start)
         state.update((start, cnt))
+        _end_at(state, start + w_us)
         yield pd.DataFrame({key: k[0], tie: pdf[tie].astype("int64").to_numpy(), "admitted": adm,
                             "window_start": pd.to_datetime(wst, unit="us")})
 
     d = (events.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
                .withColumn("__wts", F.col(ts).cast("timestamp")).withWatermark("__wts", "2 seconds"))
-    return d.groupBy(key).applyInPandasWithState(step, out, ADMIT_STATE, "append", "NoTimeout")
+    return d.groupBy(key).applyInPandasWithState(step, out, ADMIT_STATE, "append", "EventTimeTimeout")
 
 
 BREAKER_STATE = "mode STRING, val LONG, tot_f LONG, tot_fb LONG"
@@ -195,7 +248,8 @@ def breaker_stream(outcomes: DataFrame, model_key: str = "model", ok: str = "ok"
                    tie: str = "event_id", fail_max: int = 5, reset_sec: float = 30.0,
                    success_threshold: int = 2) -> DataFrame:
     """Streaming ST6: the breaker replay per model with its state machine and
-    totals in streaming state (same transition function as the batch forms)."""
+    totals in streaming state (same transition function as the batch forms). The
+    totals count from a model's first call on: a state per model stays."""
     from netsieve.operators._chain import _breaker_step
     from netsieve.session import ship_package
     ship_package(outcomes.sparkSession)
