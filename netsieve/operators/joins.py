@@ -108,6 +108,10 @@ def asof_lookup(probes: DataFrame, facts: DataFrame, keys: list[str], ts: str,
     newest fact of all *earlier* buckets comes from a small per-(key, bucket)
     table (one row per bucket, scanned by key) and fills probes whose own
     bucket has no earlier fact. Exact for any bucket width.
+
+    Of facts of one key and time the one with the greatest values counts, compared
+    in the order of ``value_cols`` (put a row id first to let it decide), however
+    the input is partitioned.
     """
     bsec = float(bucket_sec or tolerance_sec or 3600.0)
     epoch = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
@@ -120,7 +124,7 @@ def asof_lookup(probes: DataFrame, facts: DataFrame, keys: list[str], ts: str,
     u = f.unionByName(p, allowMissingColumns=True)
 
     # newest fact per (key, bucket), carried to later buckets of the key
-    per_b = (f.groupBy("__kk", "__b").agg(F.max_by("__fact", "__t").alias("__bl"))
+    per_b = (f.groupBy("__kk", "__b").agg(F.max("__fact").alias("__bl"))
                .unionByName(p.select("__kk", "__b").distinct()
                              .withColumn("__bl", F.lit(None).cast(f.schema["__fact"].dataType))))
     wb = Window.partitionBy("__kk").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -128,7 +132,7 @@ def asof_lookup(probes: DataFrame, facts: DataFrame, keys: list[str], ts: str,
                   .withColumn("__carry", F.last("__bl", ignorenulls=True).over(wb))
                   .select("__kk", "__b", "__carry"))
 
-    w = (Window.partitionBy("__kk", "__b").orderBy("__t", "__kind")
+    w = (Window.partitionBy("__kk", "__b").orderBy("__t", "__kind", "__fact")
                .rowsBetween(Window.unboundedPreceding, 0))
     scanned = (u.withColumn("__in", F.last("__fact", ignorenulls=True).over(w))
                 .filter(F.col("__kind") == 1))
@@ -183,11 +187,15 @@ def antispoof(events: DataFrame, allow: DataFrame, src: str = "src_ip",
 
 def suppressed_by(det: DataFrame, blocks: DataFrame, keys: list[str], ts: str = "ts",
                   start: str = "start_ts", expiry: str = "expiry_ts") -> DataFrame:
-    """Rows that fall inside an open block episode of their key
-    (``start <= ts < expiry``). Episodes of a key are disjoint, so the only
-    candidate is the newest episode started at or before ``ts``: an as-of
-    lookup, then the expiry test — no (row x episode) pairs are formed."""
-    b = blocks.select(*keys, F.col(start).alias(ts), F.col(expiry).alias("__exp"))
+    """Rows that fall inside an open block of their key (``start <= ts <
+    expiry``). Blocks of a key may overlap, as restored ones do. Every block is
+    given the latest expiry of the key's blocks that start no later; a row is
+    inside some block just when it lies before that of the newest block started at
+    or before it: an as-of lookup, then one test — no (row x block) pairs are
+    formed. Blocks without a start or an expiry suppress nothing."""
+    from netsieve.operators._split import split_running
+    b = blocks.select(*keys, F.col(start).alias(ts), F.col(expiry).alias("__own")).where(F.col(ts).isNotNull() & F.col("__own").isNotNull())
+    b = split_running(b, keys, [ts, "__own"], maxes={"__exp": F.col("__own")}, bucket_sec=86400.0)
     x = asof_lookup(det, b, keys, ts, ["__exp"])
     return x.filter(F.col("__exp").isNotNull() & (F.col(ts) < F.col("__exp"))) \
             .drop("__exp", "fact_ts", "age_sec")

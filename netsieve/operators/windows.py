@@ -217,14 +217,15 @@ def timeline(df: DataFrame, unit: str = "hour", ts: str = "ts") -> DataFrame:
 
 
 def table_state(df: DataFrame, at, ttl_sec: float = 300.0, ts: str = "ts",
-                key: list[str] | None = None, port: str = "in_port") -> DataFrame:
+                key: list[str] | None = None, port: str = "in_port", tie: str = "event_id") -> DataFrame:
     """Address-table state at time ``at``: newest (port, time) per
     (switch, MAC) learnt at or before ``at``; entries older than ``ttl_sec``
     are aged out (``evicted``)."""
     key = key or ["dpid", "eth_src"]
     x = df.filter(F.col(ts) <= F.lit(at))
-    newest = x.groupBy(*key).agg(F.max_by(F.struct(F.col(ts).alias("learnt_ts"), F.col(port).alias("port")),
-                                          F.col(ts)).alias("e"))
+    # of entries of one time the greatest row id (else port) counts, however the rows lie
+    rank = [F.col(ts).alias("learnt_ts"), *([F.col(tie).alias("tie")] if tie in df.columns else []), F.col(port).alias("port")]
+    newest = x.groupBy(*key).agg(F.max(F.struct(*rank)).alias("e"))
     age = (F.unix_micros(F.lit(at).cast("timestamp")) - F.unix_micros(F.col("e.learnt_ts").cast("timestamp"))) / 1e6
     return newest.select(*key, F.col("e.port").alias("port"), F.col("e.learnt_ts").alias("learnt_ts"),
                          age.alias("age_sec"), (age > ttl_sec).alias("evicted"))

@@ -93,6 +93,23 @@ def j7_suppressed_by_any(spark, sf):
     return by_src.select("event_id", "src_ip", "dst_ip", "ip_proto").unionByName(by_dst.select("event_id", "src_ip", "dst_ip", "ip_proto")).distinct()
 
 
+@register("j7_suppressed_by_restored", EPISODES_SQL + """,
+every AS (SELECT src_ip, dst_ip, ip_proto, block_scope, start_ts, expiry_ts FROM blocks
+  UNION ALL SELECT src_ip, dst_ip, ip_proto, block_scope, start_ts - INTERVAL 2 DAY, start_ts + to_days(CAST(1 + day(start_ts) % 6 AS INTEGER)) FROM blocks)
+SELECT e.event_id, e.src_ip, e.dst_ip, e.ip_proto FROM eligible e
+WHERE EXISTS (SELECT 1 FROM every b WHERE b.block_scope = 'src' AND b.src_ip = e.src_ip
+  AND b.dst_ip IS NOT DISTINCT FROM e.dst_ip AND b.ip_proto = e.ip_proto AND e.ts >= b.start_ts AND e.ts < b.expiry_ts)""")
+def j7_suppressed_by_restored(spark, sf):
+    """J7 where restored blocks, which last for days, overlap the newer ones."""
+    cols = ["src_ip", "dst_ip", "ip_proto", "block_scope", "start_ts", "expiry_ts"]
+    b = blocks(spark, sf)
+    days = F.make_dt_interval((1 + F.dayofmonth("start_ts") % 6).cast("int"))
+    restored = b.withColumns({"expiry_ts": F.col("start_ts") + days, "start_ts": F.col("start_ts") - F.expr("interval 2 days")})
+    every = b.select(cols).unionByName(restored.select(cols)).where("block_scope = 'src'")
+    f = eligible_flows(D.flows(spark, sf)).select("event_id", "ts", "src_ip", "dst_ip", "ip_proto")
+    return suppressed_by(f, every, ["src_ip", "dst_ip", "ip_proto"]).select("event_id", "src_ip", "dst_ip", "ip_proto")
+
+
 UNBLOCK_DST_SQL = "SELECT DISTINCT dst_ip AS ip FROM flows WHERE event_id % 10 = 3 AND dst_ip IS NOT NULL AND dst_ip <> '10.0.0.4'"
 
 

@@ -51,3 +51,32 @@ def test_suppressed_by_interval(spark):
                                  (3, "a", T0 + dt.timedelta(seconds=300)), (4, "b", T0)],
                                 "id LONG, k STRING, ts TIMESTAMP")
     assert sorted(r["id"] for r in suppressed_by(det, blocks, ["k"]).collect()) == [1, 2]
+
+
+def test_asof_ties_do_not_depend_on_the_order_of_the_input(spark):
+    from pyspark.sql import functions as F
+
+    from netsieve.operators.joins import asof_lookup
+    facts = spark.createDataFrame([("k", k) for k in range(40)], "key string, port int").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    probe = spark.createDataFrame([("k", 1)], "key string, event_id int").withColumn("ts", F.lit("2024-01-01 00:00:05").cast("timestamp_ntz"))
+    for bucket in (2.0, 3600.0):
+        for parts in (1, 7):
+            f = facts.repartition(parts, F.rand(parts))
+            assert asof_lookup(probe, f, ["key"], "ts", ["port"], bucket_sec=bucket).first()["port"] == 39
+
+
+def test_overlapping_blocks_suppress_alike(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from netsieve.operators.joins import suppressed_by
+    rng = random.Random(4)
+    at = lambda c: F.timestamp_seconds(F.lit(1_700_000_000) + F.col(c)).cast("timestamp_ntz")
+    blocks = [(rng.choice("ab"), s, s + rng.choice([5, 50, 90_000])) for s in (rng.randrange(400_000) for _ in range(60))] + [("a", 7, None), (None, 0, 10)]
+    rows = [(k, rng.choice("abc"), rng.randrange(500_000)) for k in range(400)]
+    b = spark.createDataFrame(blocks, "src string, s long, e long").select("src", at("s").alias("start_ts"), at("e").alias("expiry_ts"))
+    d = spark.createDataFrame(rows, "id long, src string, t long").select("id", "src", at("t").alias("ts"))
+    got = {r["id"] for r in suppressed_by(d, b, ["src"]).collect()}
+    want = {k for k, src, t in rows if any(x == src and s <= t < e for x, s, e in blocks if e is not None)}
+    assert got == want and 20 < len(want) < 380
