@@ -274,29 +274,41 @@ def eviction_candidates(entries: DataFrame, usage: DataFrame,
 
 
 def health(polls: DataFrame, blocks: DataFrame, bucket_sec: int = 86400,
-           poll_ts: str = "ts", model_ok: bool = True) -> DataFrame:
-    """Per cycle bucket: switches that answered, blocks in force at the
-    bucket's end, and the model flag.
+           poll_ts: str = "ts", model_ok: bool = True, models: DataFrame | None = None) -> DataFrame:
+    """Per cycle bucket with a poll: switches that answered, blocks in force
+    at the bucket's end, and the model flag.
+
+    A block is in force at boundary E when start < E < expiry. A block adds one at
+    the first boundary after its start and takes it away at the first at or after
+    its expiry; the running sum of both over time is the count, so a block costs two
+    rows however many buckets it spans. Blocks without a start or an expiry are never
+    in force. ``models`` (``ts``, ``event_id``, ``loaded``) holds the states of the
+    model: the flag is the newest at or before the boundary (the greatest event_id of
+    one time), false before the first. Without the table it is ``model_ok``."""
+    from netsieve.operators._split import split_running
+    from netsieve.operators.joins import asof_lookup
 
-    A block is in force at boundary E when start < E < expiry. Each block is
-    expanded to the boundaries it spans (bounded by its timeout / bucket),
-    so the count is an aggregate and the fill an equi-join on the bucket."""
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     b_us = bucket_sec * 1_000_000
     p = (polls.select(F.floor(us(poll_ts) / b_us).cast("bigint").alias("bucket"), "dpid")
-              .groupBy("bucket").agg(F.countDistinct("dpid").alias("switches_seen")))
-    first_b = F.floor(us("start_ts") / b_us).cast("bigint") + 1
-    last_b = F.floor((us("expiry_ts") - 1) / b_us).cast("bigint")
-    spans = (blocks.select(first_b.alias("f"), last_b.alias("l"), us("expiry_ts").alias("e"))
-                   .filter(F.col("l") >= F.col("f"))
-                   .select(F.explode(F.sequence("f", "l")).alias("boundary"), "e")
-                   .filter(F.col("e") > F.col("boundary") * b_us)
-                   .groupBy((F.col("boundary") - 1).alias("bucket"))
-                   .agg(F.count(F.lit(1)).alias("active_blocks")))
-    return (p.join(spans, "bucket", "left")
-             .select(F.timestamp_micros(F.col("bucket") * b_us).alias("bucket_start"),
-                     "switches_seen", F.coalesce("active_blocks", F.lit(0)).cast("bigint").alias("active_blocks"),
-                     F.lit(model_ok).alias("model_loaded")))
+              .groupBy("bucket").agg(F.countDistinct("dpid").alias("switches_seen")).where("bucket IS NOT NULL"))
+    # the bucket that ends at boundary n is bucket n - 1
+    opens = F.floor(us("start_ts") / b_us).cast("bigint")
+    closes = F.ceil(us("expiry_ts") / b_us).cast("bigint") - 1
+    steps = (blocks.select(opens.alias("f"), closes.alias("l")).where("l > f")
+                   .select(F.explode(F.array(F.struct(F.col("f").alias("bucket"), F.lit(1).alias("step")),
+                                             F.struct(F.col("l").alias("bucket"), F.lit(-1).alias("step")))).alias("x"))
+                   .groupBy("x.bucket").agg(F.sum("x.step").alias("step")))
+    line = p.join(steps, "bucket", "full").select("*", F.timestamp_micros(F.col("bucket") * b_us).alias("bucket_start"), F.lit(0).alias("__line"))
+    line = split_running(line, ["__line"], ["bucket_start"], sums={"active_blocks": F.coalesce("step", F.lit(0))},
+                         bucket_sec=max(bucket_sec, 86400))
+    out = line.where(F.col("switches_seen").isNotNull()).select("bucket_start", "switches_seen", F.col("active_blocks").cast("bigint").alias("active_blocks"))
+    if models is None:
+        return out.withColumn("model_loaded", F.lit(model_ok))
+    ends = out.select("*", F.lit(0).alias("__line"), (F.unix_micros("bucket_start") + b_us).alias("__us")).withColumn("__end", F.timestamp_micros("__us"))
+    states = models.select(F.lit(0).alias("__line"), F.col("ts").cast("timestamp").alias("__end"), "event_id", "loaded").where("__end IS NOT NULL")
+    x = asof_lookup(ends, states, ["__line"], "__end", ["event_id", "loaded"])
+    return x.select(*out.columns, F.coalesce("loaded", F.lit(False)).alias("model_loaded"))
 
 
 def drift_signal(df: DataFrame, poll: str = "poll_ts", prob: str = "attack_prob") -> DataFrame:

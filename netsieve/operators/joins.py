@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsieve.functions.network import ip_to_long, valid_ipv4
-from netsieve.operators._split import key_struct
+from netsieve.operators._split import key_struct, with_buckets
 
 # Block rule constants of the reference topology.
 PRIORITY_BLOCK = 100
@@ -97,7 +97,7 @@ def drop_rules(blocks: DataFrame, switches: DataFrame) -> DataFrame:
 
 def asof_lookup(probes: DataFrame, facts: DataFrame, keys: list[str], ts: str,
                 value_cols: list[str], tolerance_sec: float | None = None,
-                bucket_sec: float | None = None) -> DataFrame:
+                bucket_sec: float | None = None, part_rows: int | None = None) -> DataFrame:
     """For each probe, the newest fact of the same key at or before the
     probe time (facts win ties); a miss when that fact is older than
     ``tolerance_sec``. Adds ``fact_ts``, ``age_sec`` and the ``value_cols``.
@@ -114,23 +114,17 @@ def asof_lookup(probes: DataFrame, facts: DataFrame, keys: list[str], ts: str,
     the input is partitioned.
     """
     bsec = float(bucket_sec or tolerance_sec or 3600.0)
-    epoch = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    bucket = F.floor(epoch(ts) / (bsec * 1e6)).cast("bigint")
     fact_struct = F.struct(F.col(ts).alias("fact_ts"), *[F.col(c) for c in value_cols])
-    f = facts.select(key_struct(keys).alias("__kk"), F.col(ts).alias("__t"), bucket.alias("__b"),
-                     F.lit(0).alias("__kind"), fact_struct.alias("__fact"))
-    p = probes.select(key_struct(keys).alias("__kk"), F.col(ts).alias("__t"), bucket.alias("__b"),
-                      F.lit(1).alias("__kind"), F.struct(*[F.col(c) for c in probes.columns]).alias("__probe"))
-    u = f.unionByName(p, allowMissingColumns=True)
+    f = facts.select(key_struct(keys).alias("__kk"), F.col(ts).alias("__t"), F.lit(0).alias("__kind"), fact_struct.alias("__fact"))
+    p = probes.select(key_struct(keys).alias("__kk"), F.col(ts).alias("__t"), F.lit(1).alias("__kind"),
+                      F.struct(*[F.col(c) for c in probes.columns]).alias("__probe"))
+    u = with_buckets(f.unionByName(p, allowMissingColumns=True), "__t", bsec, part_rows)
 
     # newest fact per (key, bucket), carried to later buckets of the key
-    per_b = (f.groupBy("__kk", "__b").agg(F.max("__fact").alias("__bl"))
-               .unionByName(p.select("__kk", "__b").distinct()
-                             .withColumn("__bl", F.lit(None).cast(f.schema["__fact"].dataType))))
     wb = Window.partitionBy("__kk").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (per_b.groupBy("__kk", "__b").agg(F.max("__bl").alias("__bl"))
-                  .withColumn("__carry", F.last("__bl", ignorenulls=True).over(wb))
-                  .select("__kk", "__b", "__carry"))
+    carry = (u.groupBy("__kk", "__b").agg(F.max("__fact").alias("__bl"))
+              .withColumn("__carry", F.last("__bl", ignorenulls=True).over(wb))
+              .select("__kk", "__b", "__carry"))
 
     w = (Window.partitionBy("__kk", "__b").orderBy("__t", "__kind", "__fact")
                .rowsBetween(Window.unboundedPreceding, 0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netsieve.operators._split import DEFAULT_BUCKET_SEC, key_struct, split_lag, split_running, time_bucket
+from netsieve.operators._split import DEFAULT_BUCKET_SEC, key_struct, split_lag, split_running, with_buckets
 
 FLOW_KEY = ["dpid", "src_ip", "dst_ip", "ip_proto"]
 
@@ -164,7 +164,7 @@ def previous_snapshot(df: DataFrame, key: list[str], ts: str = "ts", tie: str =
 
 
 def ttl_counter(df: DataFrame, key: list[str], ts: str = "ts", tie: str = "event_id",
-                ttl_sec: float = 300.0, bucket_sec: float = DEFAULT_BUCKET_SEC) -> DataFrame:
+                ttl_sec: float = 300.0, bucket_sec: float = DEFAULT_BUCKET_SEC, part_rows: int | None = None) -> DataFrame:
     """Per key a counter that increments on each event and restarts at 1
     when the gap since the previous event is ``ttl_sec`` or more. Adds
     ``session`` (restarts so far) and ``counter``.
@@ -173,7 +173,7 @@ def ttl_counter(df: DataFrame, key: list[str], ts: str = "ts", tie: str = "event
     one row per bucket then says whether its first event restarts, and what
     counter and session the bucket before ended with."""
     us = _us(ts)
-    x = df.withColumns({"__kk": key_struct(key), "__b": time_bucket(ts, bucket_sec)})
+    x = with_buckets(df.withColumn("__kk", key_struct(key)), ts, bucket_sec, part_rows)
     w = Window.partitionBy("__kk", "__b").orderBy(ts, tie)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     x = x.select("*", us.alias("__us"), F.row_number().over(w).alias("__p"), F.lag(us).over(w).alias("__prev"))

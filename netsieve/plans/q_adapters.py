@@ -333,6 +333,16 @@ def s1_read_canonical(spark, sf):
     return read_canonical(spark, path)
 
 
+@register("s12_append_once", CANON_CTE + "\nSELECT " + CANON + " FROM canon")
+def s12_append_once(spark, sf):
+    """S12 by job id: the same job run twice appends its rows once."""
+    path = _scratch(spark, "append-once")
+    rows = mapped_cic2017(spark, sf).drop("flow_id")
+    for _ in range(2):
+        append_labelled(rows, path, job_id="batch-1")
+    return read_canonical(spark, path)
+
+
 @register("s12_split_labelled", D.with_views("""
 SELECT event_id, CASE WHEN ip_proto = 47 THEN 'label not in {0,1}' END AS reason
 FROM flows""", "flows"))

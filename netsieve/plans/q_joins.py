@@ -231,6 +231,25 @@ def a15_health(spark, sf):
     return h.withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz"))
 
 
+CYCLE_SEC = 5
+
+
+@register("a15_health_cycles", EPISODES_SQL + f""",
+p AS (SELECT floor(epoch_us(ts) / {CYCLE_SEC}000000)::BIGINT AS bucket, count(DISTINCT dpid) AS switches_seen FROM flows GROUP BY 1),
+e AS (SELECT *, make_timestamp((bucket + 1) * {CYCLE_SEC}000000) AS end_ts FROM p),
+bb AS (SELECT e.bucket, count(*) AS active_blocks FROM e JOIN blocks b ON b.start_ts < e.end_ts AND b.expiry_ts > e.end_ts GROUP BY 1),
+m AS (SELECT ts, max_by(cast(regexp_extract(props, '([0-9]+)', 1) AS int) < 90, event_id) AS loaded FROM events GROUP BY ts)
+SELECT make_timestamp(e.bucket * {CYCLE_SEC}000000) AS bucket_start, e.switches_seen,
+  coalesce(bb.active_blocks, 0) AS active_blocks, coalesce(m.loaded, false) AS model_loaded
+FROM e ASOF LEFT JOIN m ON e.end_ts >= m.ts LEFT JOIN bb ON e.bucket = bb.bucket""")
+def a15_health_cycles(spark, sf):
+    """A15 at the controller's cycle of 5 s, where a block spans many buckets; the
+    model counts as loaded while the monitor's last sample is below 900 flows."""
+    models = D.perf_samples(spark, sf).select("ts", "event_id", (F.col("active_flows") < 900).alias("loaded"))
+    h = health(D.flows(spark, sf), blocks(spark, sf), CYCLE_SEC, "ts", models=models)
+    return h.withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz"))
+
+
 @register("f2_classify_frames", D.with_views("""
 SELECT event_id, CASE WHEN ethertype = 2054 THEN 'arp' WHEN ethertype = 2048 THEN 'ipv4' ELSE 'other' END AS frame_kind
 FROM arrivals WHERE ethertype <> 35020""", "arrivals"))

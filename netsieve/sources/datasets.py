@@ -52,23 +52,76 @@ def read_canonical(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[number(f) for f in CANONICAL.fields]).na.drop(how="any")
 
 
+CHUNK_BYTES = 4 << 20
+
+
+def _open_stream(uri: str):
+    """A file as an Arrow input stream, inside a task."""
+    from pyarrow import fs
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem().open_input_stream("/" + uri[len("file:"):].lstrip("/"), compression=None)
+    store, path = fs.FileSystem.from_uri(uri)
+    return store.open_input_stream(path, compression=None)
+
+
+def _per_file(spark: SparkSession, files: list[str], fn, schema: str) -> DataFrame:
+    """``fn`` (uri -> tuple) on every file, each read by one task."""
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            for uri in pdf["uri"]:
+                yield pd.DataFrame([fn(uri)], columns=names)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    tasks = max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism))
+    listed = spark.createDataFrame([(i, f) for i, f in enumerate(files)], "n LONG, uri STRING")
+    return listed.repartitionByRange(tasks, "n").mapInPandas(run, schema)
+
+
+def first_lines(spark: SparkSession, files: list[str]) -> dict[str, tuple[str | None, str | None]]:
+    """Header line and error (one is NULL) of every file, read by tasks: what
+    comes back to the driver is one line a file, as the list of files does."""
+
+    def head(uri):
+        try:
+            got = b""
+            with _open_stream(uri) as f:
+                while b"\n" not in got and len(got) < CHUNK_BYTES:
+                    more = f.read(16 << 10)
+                    if not more:
+                        break
+                    got += more
+            line = got.split(b"\n", 1)[0].decode("utf-8", "replace").lstrip("\ufeff").rstrip("\r")
+            return (uri, line, None) if line.strip() else (uri, None, "the file has no header")
+        except Exception as e:  # noqa: BLE001
+            return uri, None, str(e)[:200]
+
+    got = _per_file(spark, files, head, "uri STRING, line STRING, error STRING").collect()
+    return {r["uri"]: (r["line"], r["error"]) for r in got}
+
+
 def _read_csv_dir(spark: SparkSession, path: str, lower: bool = False,
                   pattern: str = "*.csv") -> DataFrame:
     """Every CSV under ``path``: header names trimmed, files of different
     headers unioned by name; a file that cannot be read is skipped with a
-    warning; none -> error. All columns are read as text."""
+    warning; none -> error. All columns are read as text. Files of one header are
+    one scan, so the plan grows with the headers, not with the files."""
     files = list_files(spark, f"{path.rstrip('/')}/{pattern}")
     if not files:
         raise FileNotFoundError(f"there is no CSV file under {path}")
-    frames = []
-    for f in files:  # one lazy scan per file: only headers are read here
-        try:
-            df = spark.read.option("header", True).option("inferSchema", False).csv(f)
-            frames.append(normalise_header(df, lower))
-        except Exception as e:  # noqa: BLE001
-            warnings.warn(f"Skipping {f}: {e}")
-    if not frames:
+    groups: dict[str, list[str]] = {}
+    heads = first_lines(spark, files)
+    for f in files:
+        line, error = heads[f]
+        if error:
+            warnings.warn(f"Skipping {f}: {error}")
+        else:
+            groups.setdefault(line, []).append(f)
+    if not groups:
         raise ValueError(f"no CSV file under {path} could be read")
+    frames = [normalise_header(spark.read.option("header", True).option("inferSchema", False).csv(same), lower)
+              for same in groups.values()]
     out = frames[0]
     for d in frames[1:]:
         out = out.unionByName(d, allowMissingColumns=True)
@@ -138,20 +191,57 @@ def split_labelled(df: DataFrame) -> tuple[DataFrame, DataFrame]:
             x.filter(F.col("reason").isNotNull()))
 
 
-def append_labelled(df: DataFrame, path: str, quarantine: str | None = None) -> None:
+def append_labelled(df: DataFrame, path: str, quarantine: str | None = None, job_id: str | None = None) -> bool:
     """Append valid rows to the canonical CSV dataset (header in every
-    part); invalid rows go to ``quarantine`` when given, else are rejected."""
+    part); invalid rows go to ``quarantine`` when given, else are rejected.
+
+    With a ``job_id`` (letters, digits, ``-``) the rows are appended once, however
+    often the job is run: they are written aside, moved in under names that hold the
+    id, and a marker ends the job. A run that finds the marker returns False; one that
+    finds an unfinished run removes what that left and starts anew. Two runs of one id
+    at the same time are not guarded against."""
+    spark = df.sparkSession
     valid, invalid = split_labelled(df)
-    if path_exists(df.sparkSession, path):
+    if path_exists(spark, path) and list_files(spark, f"{path.rstrip('/')}/*.csv"):
         # an existing dataset with another header is appended to anyway, with a warning
-        head = df.sparkSession.read.option("header", True).csv(path).columns
+        head = spark.read.option("header", True).csv(path).columns
         want = [f.name for f in CANONICAL.fields]
         if head and head != want:
             warnings.warn(f"Header mismatch in {path}: {head} != {want}")
-    valid.select(*[F.col(f.name).cast(f.dataType) for f in CANONICAL.fields]) \
-        .write.mode("append").option("header", True).csv(path)
+    rows = valid.select(*[F.col(f.name).cast(f.dataType) for f in CANONICAL.fields])
+    if job_id is None:
+        rows.write.mode("append").option("header", True).csv(path)
+        if quarantine:
+            invalid.write.mode("append").json(quarantine)
+        return True
+    if not job_id.replace("-", "").isalnum():
+        raise ValueError(f"a job id has letters, digits and '-' only: {job_id!r}")
+    parts = [(path, rows.write.option("header", True), "csv")]
     if quarantine:
-        invalid.write.mode("append").json(quarantine)
+        parts.append((quarantine, invalid.write, "json"))
+    return _commit_once(spark, parts, f"{path.rstrip('/')}/_done.{job_id}", job_id)
+
+
+def _commit_once(spark: SparkSession, parts: list, marker: str, job_id: str) -> bool:
+    """Write each (folder, writer, format) aside and move its files in; then the
+    marker. Names that begin with ``_`` are not read as data."""
+    if path_exists(spark, marker):
+        return False
+    for folder, writer, fmt in parts:
+        base = folder.rstrip("/")
+        aside = f"{base}/_aside.{job_id}"
+        fs, target = _fs(spark, base)
+        path_of = lambda name: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        for left in list_files(spark, f"{base}/job.{job_id}.*"):
+            fs.delete(path_of(left), False)
+        writer.mode("overwrite").format(fmt).save(aside)
+        for n, f in enumerate(list_files(spark, f"{aside}/part-*")):
+            if not fs.rename(path_of(f), path_of(f"{base}/job.{job_id}.{n:05d}.{fmt}")):
+                raise OSError(f"could not move {f} into {base}")
+        fs.delete(path_of(aside), True)
+    fs, p = _fs(spark, marker)
+    fs.create(p, True).close()
+    return True
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "csv") -> None:
@@ -163,10 +253,20 @@ def write_results(df: DataFrame, path: str, fmt: str = "csv") -> None:
 def verify_files(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
     """Per CSV file size, SHA-256 and status against ``expected``
     (name, sha256): ok / mismatch / unexpected; plus rows for expected files
-    that are missing (J9, U3). One file must fit a row (binaryFile limit)."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-                  .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"),
-                          F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")))
+    that are missing (J9, U3). A task hashes a file in chunks of ``CHUNK_BYTES``,
+    so files may have any size."""
+
+    def digest(uri):
+        import hashlib
+        h, size = hashlib.sha256(), 0
+        with _open_stream(uri) as f:
+            while chunk := f.read(CHUNK_BYTES):
+                h.update(chunk)
+                size += len(chunk)
+        return uri.rsplit("/", 1)[-1], size, h.hexdigest()
+
+    listed = list_files(spark, f"{path.rstrip('/')}/*.csv")
+    files = _per_file(spark, listed, digest, "name STRING, size LONG, sha256 STRING")
     e = expected.select("name", F.col("sha256").alias("expected_sha256"))
     found = (files.join(e, "name", "left")
                   .withColumn("status", F.when(F.col("expected_sha256").isNull(), "unexpected")

@@ -5,6 +5,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from netsieve.sources.datasets import load_dataset, read_canonical, read_cic2017, read_unsw, verify_files
 from netsieve.sources.logs import read_attack_history, read_attack_log
@@ -109,3 +110,52 @@ def test_canonical_reads_by_name(spark, tmp_path):
     (tmp_path / "b.csv").write_text(",".join(["other", *names[1:]]) + "\n")
     with pytest.raises(ValueError):
         read_canonical(spark, str(tmp_path / "b.csv"))
+
+
+def test_files_of_one_header_are_one_scan(spark, tmp_path):
+    heads = ["a,b", "b, c", "a"]
+    for i in range(60):
+        h = heads[i % 3]
+        (tmp_path / f"f{i:03d}.csv").write_text(h + "\n" + ",".join([str(i)] * len(h.split(","))) + "\n")
+    (tmp_path / "empty.csv").write_text("")
+    with pytest.warns(UserWarning, match="empty.csv"):
+        df = read_cic2017(spark, str(tmp_path))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 3
+    rows = {(r["a"], r["b"], r["c"]) for r in df.collect()}
+    want = {(str(i), str(i), None) if i % 3 == 0 else (None, str(i), str(i)) if i % 3 == 1 else (str(i), None, None) for i in range(60)}
+    assert rows == want
+
+
+def test_append_by_job_id_is_once(spark, tmp_path):
+    from netsieve.schema import CANONICAL
+    from netsieve.sources.datasets import append_labelled
+    cols = [f.name for f in CANONICAL.fields]
+    rows = spark.range(100).select(*[(F.lit(0) if c == "label" else F.col("id")).cast(CANONICAL[c].dataType).alias(c) for c in cols])
+    bad = rows.limit(3).withColumn("label", F.lit(5).cast(CANONICAL["label"].dataType))
+    path, aside = str(tmp_path / "d"), str(tmp_path / "q")
+    both = rows.unionByName(bad)
+    assert append_labelled(both, path, aside, job_id="j1")
+    assert not append_labelled(both, path, aside, job_id="j1")
+    assert append_labelled(both, path, aside, job_id="j2")
+    assert read_canonical(spark, path).count() == 200 and spark.read.json(aside).count() == 6
+    # a run that died between moving its files and the marker
+    (tmp_path / "d" / "_done.j2").unlink()
+    assert append_labelled(both, path, aside, job_id="j2")
+    assert read_canonical(spark, path).count() == 200 and spark.read.json(aside).count() == 6
+    with pytest.raises(ValueError):
+        append_labelled(both, path, job_id="../x")
+
+
+def test_manifest_hashes_in_chunks(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from netsieve.sources import datasets
+    monkeypatch.setattr(datasets, "CHUNK_BYTES", 1000)
+    want = {}
+    for i, n in enumerate((0, 999, 1000, 1001, 5_000_000)):
+        data = bytes((i + j) % 251 for j in range(n))
+        (tmp_path / f"f {i}.csv").write_bytes(data)
+        want[f"f {i}.csv"] = (n, hashlib.sha256(data).hexdigest())
+    got = verify_files(spark, str(tmp_path), spark.createDataFrame([], "name STRING, sha256 STRING")).collect()
+    assert {r["name"]: (r["size"], r["sha256"]) for r in got} == want
+    assert verify_files(spark, str(tmp_path / "none"), spark.createDataFrame([("x.csv", "0")], "name STRING, sha256 STRING")).first()["status"] == "missing"
