@@ -1,7 +1,7 @@
 """The run grid and the comparison cover every dataset."""
 from netsieve.operators.ml import train_forest
 from netsieve.plans import q_models
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_CHECK, SF_SMALL
 
 DATASETS = ("cic-ids2017", "cic-ddos2019", "unsw-nb15", "synthetic")
 
@@ -39,3 +39,25 @@ def test_comparison_has_every_real_dataset(spark, monkeypatch):
     rows = q_models.m16_synthetic_vs_real(spark, SF_SMALL).collect()
     real = set(DATASETS) - {"synthetic"}
     assert len(rows) == 9 and {tuple(r) for r in rows} == {p for d in real for p in (("synthetic", d), (d, "synthetic"), (d, d))}
+
+
+def test_guarded_scores_of_the_model(spark, monkeypatch):
+    """Closed breaker: the forest's probability; open: the thresholds' one; open just
+    where the plain query has it."""
+    monkeypatch.setattr(q_models, "train_forest", lambda tr, weight_col=None: train_forest(tr, weight_col=weight_col, num_trees=3, max_depth=4))
+    monkeypatch.setattr(q_models, "_MODELS", {})
+    from netsieve.plans.q_stateful import m12_score_guarded
+    rows = q_models.m12_score_model(spark, SF_CHECK).collect()
+    model = {str(r["flow_id"]): r["attack_prob"] for r in q_models.m9_score(spark, SF_CHECK).collect()}
+    plain = {str(r["event_id"]): r["used_fallback"] for r in m12_score_guarded(spark, SF_CHECK).collect()}
+    assert len(rows) == len(model) > 100
+    opened = [r for r in rows if r["used_fallback"]]
+    assert 0 < len(opened) < len(rows) and all(r["final_prob"] in (0.1, 0.5) for r in opened)
+    assert all(r["final_prob"] == model[r["flow_id"]] for r in rows if not r["used_fallback"])
+    assert all(plain[r["flow_id"]] == r["used_fallback"] for r in rows if r["flow_id"] in plain)
+
+
+def test_folds_beside_each_other(spark, monkeypatch):
+    monkeypatch.setattr(q_models, "train_forest", lambda tr, weight_col=None: train_forest(tr, weight_col=weight_col, num_trees=2, max_depth=3))
+    r = q_models.m23_cross_validate(spark, SF_SMALL).first()
+    assert r["folds"] == 5 and 0.5 < r["accuracy_mean"] <= 1.0 and r["accuracy_std"] < 0.2
