@@ -21,9 +21,8 @@ def threshold_detect(df: DataFrame, pps_threshold: float = PPS_THRESHOLD,
                            "attack_prob": F.when(hit, F.lit(0.5)).otherwise(F.lit(0.1))})
 
 
-def fast_path(df: DataFrame, pps_threshold: float = PPS_THRESHOLD,
-              bps_threshold: float = BPS_THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Rows the thresholds already catch skip model scoring.
-    Returns (caught, rest); both are filters over the same input."""
+def fast_path(df: DataFrame, pps_threshold: float = PPS_THRESHOLD, bps_threshold: float = BPS_THRESHOLD) -> DataFrame:
+    """Rows the thresholds already catch skip model scoring. Adds ``caught``,
+    so that both kinds come from one pass over the input."""
     t = threshold_detect(df, pps_threshold, bps_threshold)
-    return t.filter(F.col("is_attack")), t.filter(~F.col("is_attack")).drop("is_attack", "attack_prob")
+    return t.withColumnRenamed("is_attack", "caught").drop("attack_prob")

@@ -42,7 +42,7 @@ def _method(method: str) -> bool:
 
 def admit(df: DataFrame, key: list[str], ts: str = "ts", tie: str = "event_id",
           limit: int = 100, window_sec: float = 1.0, method: str = "split",
-          bucket_sec: float | None = None) -> DataFrame:
+          bucket_sec: float | None = None, weight: str | None = None) -> DataFrame:
     """ST1: a key's window opens at its first event and closes when the
     elapsed time reaches ``window_sec``; the next event opens a new one.
     Events are admitted while fewer than ``limit`` were admitted in the
@@ -51,7 +51,8 @@ def admit(df: DataFrame, key: list[str], ts: str = "ts", tie: str = "event_id",
     Window openers come from the bucketed episode chain
     (parallel inside a key, e.g. one switch), then the position inside the
     window from split running sums. ``method="walk"``: one sorted walk per
-    key."""
+    key. ``weight`` (split only) names a column that says for how many arrivals
+    a row stands: a stream's open window is carried as one row."""
     w_us = int(round(window_sec * 1e6))
     if _method(method):
         from netsieve.operators._chain import episode_openers
@@ -60,11 +61,12 @@ def admit(df: DataFrame, key: list[str], ts: str = "ts", tie: str = "event_id",
         o = episode_openers(df.withColumn("__dur", F.lit(w_us).cast("long")), key, ts, tie, "__dur",
                             b, window_sec).drop("__dur")
         us = F.unix_micros(F.col(ts).cast("timestamp"))
-        r = split_running(o, key, [ts, tie], sums={"__pos": F.lit(1).cast("long")}, bucket_sec=b)
-        r = split_running(r, key, [ts, tie], maxes={"__start_pos": F.when(F.col("opens"), F.col("__pos")),
+        n = (F.col(weight) if weight else F.lit(1)).cast("long")
+        r = split_running(o, key, [ts, tie], sums={"__pos": n}, bucket_sec=b)
+        r = split_running(r, key, [ts, tie], maxes={"__before": F.when(F.col("opens"), F.col("__pos") - n),
                                                     "__start_us": F.when(F.col("opens"), us)}, bucket_sec=b)
         return r.select(*df.columns,
-                        (F.col("__pos") - F.col("__start_pos") + 1 <= limit).alias("admitted"),
+                        (F.col("__pos") - F.col("__before") <= limit).alias("admitted"),
                         F.timestamp_micros("__start_us").cast("timestamp_ntz").alias("window_start"))
 
     def step(st, c, s, e, out):

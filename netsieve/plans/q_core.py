@@ -149,10 +149,8 @@ def m10_threshold_detect(spark, sf):
     "SELECT event_id, is_attack AS caught FROM scored", "flows", extra=_views()))
 def m11_fast_path(spark, sf):
     f = featurize(D.flows(spark, sf), "poll_ts")
-    caught, rest = fast_path(f.withColumn("packet_count_per_second", F.col("pps"))
-                              .withColumn("byte_count_per_second", F.col("bps")))
-    return (caught.select("event_id", F.lit(True).alias("caught"))
-                  .unionByName(rest.select("event_id", F.lit(False).alias("caught"))))
+    rated = f.withColumns({"packet_count_per_second": F.col("pps"), "byte_count_per_second": F.col("bps")})
+    return fast_path(rated).select("event_id", "caught")
 
 
 def _detect_sql(min_sources: int, min_flows: int) -> str:

@@ -19,6 +19,7 @@ from netsieve.plans.q_logs import _scratch
 from netsieve.plans.q_stateful import BLOCKDET_CTE
 from netsieve.sources.datasets import _fs
 from netsieve.streaming.detection import block_stream, detection_stream, for_each_poll, model_scorer, read_flow_stats
+from netsieve.streaming.keyed import suppress_stream, ttl_stream
 
 
 def write_poll_files(spark, sf, files_per_poll: int = 3, flows=None) -> str:
@@ -254,10 +255,46 @@ def st6_breaker_stream(spark, sf):
     return r.select("event_id", "state", "use_fallback", "total_failures", "total_fallbacks")
 
 
+def _with_heartbeat(spark, path: str, rows, beat) -> None:
+    """A last row, a day after all others, so that those come out."""
+    last = rows.agg(F.max("ts")).first()[0]
+    one = rows.where(F.col("ts") == F.lit(last)).limit(1).withColumns({"ts": F.col("ts") + F.expr("interval 1 day"), "event_id": F.lit(beat).cast("long")})
+    one.withColumn("slice", F.lit("9999999999").cast("long")).write.mode("append").partitionBy("slice").parquet(path)
+
+
+@register("st2_suppress_stream", None)
+def st2_suppress_stream(spark, sf):
+    """ST2 on the stream of switch arrivals, one file a trigger: the limiter, and
+    the suppression behind it (same limits as ``st2_suppress_floods``)."""
+    from netsieve.plans.q_stateful import ST2_DEDUP, ST2_LIMIT, ST2_WINDOW
+    a = D.arrivals(spark, sf).select("event_id", "ts", "dpid", "eth_src", "eth_dst", "ethertype")
+    path = _write_time_ordered(spark, a, "floods-stream", 10 * 86400)
+    _with_heartbeat(spark, path, a, -1)
+    out = _scratch(spark, "floods-out")
+    s = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    suppress_stream(s, out, os.path.join(out, "_checkpoint"), limit=ST2_LIMIT, window_sec=ST2_WINDOW, dedup_sec=ST2_DEDUP).awaitTermination()
+    return spark.read.parquet(f"{out}/decisions").select("event_id", "suppressed")
+
+
+@register("w7_ttl_stream", None)
+def w7_ttl_stream(spark, sf):
+    """W7 on the stream of flow rows, one file a trigger (as ``w7_ttl_counter``)."""
+    f = D.flows(spark, sf).select("event_id", "ts", "dpid")
+    path = _write_time_ordered(spark, f, "ttl-stream", 10 * 86400)
+    _with_heartbeat(spark, path, f, -1)
+    out = _scratch(spark, "ttl-out")
+    s = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    ttl_stream(s, ["dpid"], out, os.path.join(out, "_checkpoint"), ttl_sec=300.0).awaitTermination()
+    return spark.read.parquet(f"{out}/counts").select("event_id", "counter")
+
+
 def _register_stream_oracles():
+    from netsieve.plans import q_windows  # noqa: F401
     from netsieve.plans.catalog import ORACLES
+    ORACLES["w7_ttl_stream"] = "SELECT event_id, counter FROM (" + _oracle("w7_ttl_counter") + ") x"
     ORACLES["st7_scored_stream"] = _oracle("f3_scored_detections")
     ORACLES["st1_admit_stream"] = _oracle("st1_admit")
+    ORACLES["st2_suppress_stream"] = _oracle("st2_suppress_floods")
     ORACLES["st6_breaker_stream"] = _oracle("st6_breaker_states")
 
 

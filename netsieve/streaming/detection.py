@@ -73,7 +73,7 @@ def complete_polls(source: DataFrame, poll: str = "poll_ts", row_id: str = "even
 
 def for_each_poll(source: DataFrame, run: Callable[..., dict[str, DataFrame]], out_path: str, checkpoint: str,
                   poll: str = "poll_ts", row_id: str = "event_id", available_now: bool = True, processing_time: str | None = None,
-                  carried: dict[str, str] | None = None):
+                  carried: dict[str, str] | None = None, delay: str = "2 seconds"):
     """Apply the batch plan ``run`` to complete polls and write each table it
     returns under ``out_path``/name/epoch=N. A replayed epoch writes over its
     own folder only. ``carried`` names tables, with their schemas, that an epoch
@@ -105,7 +105,7 @@ def for_each_poll(source: DataFrame, run: Callable[..., dict[str, DataFrame]], o
             fs, path = _fs(spark, f"{out_path}/{name}/epoch={epoch_id - 2}")
             fs.delete(path, True)
 
-    w = complete_polls(source, poll, row_id).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    w = complete_polls(source, poll, row_id, delay).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "3 seconds")
     return w.start()
 

@@ -31,14 +31,20 @@ def test_grid_has_every_dataset(spark, monkeypatch):
 
 
 def test_comparison_has_every_real_dataset(spark, monkeypatch):
+    asked = []
+
     def matrix(datasets):
+        asked.append(list(datasets))
         return spark.createDataFrame([(a, b) for a in datasets for b in datasets], "train STRING, test STRING")
 
     monkeypatch.setattr(q_models, "_datasets", lambda spark, sf: dict.fromkeys(DATASETS))
     monkeypatch.setattr(q_models, "transfer_matrix", matrix)
+    monkeypatch.setattr(q_models, "_MAPPED_TABLES", {})
+    assert q_models.m15_transfer_matrix(spark, SF_SMALL).count() == len(DATASETS) ** 2
     rows = q_models.m16_synthetic_vs_real(spark, SF_SMALL).collect()
     real = set(DATASETS) - {"synthetic"}
     assert len(rows) == 9 and {tuple(r) for r in rows} == {p for d in real for p in (("synthetic", d), (d, "synthetic"), (d, d))}
+    assert len(asked) == 1  # the forests are trained once for both queries
 
 
 def test_guarded_scores_of_the_model(spark, monkeypatch):
