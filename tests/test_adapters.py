@@ -58,3 +58,32 @@ def test_creation_rate_per_row_bad_timestamp(spark):
     assert r["3"]["flow_creation_rate"] == 0.0            # unparseable: this row only (Q24)
     assert abs(r["4"]["flow_creation_rate"] - (0.5 + 0.25) / 2) < 1e-12   # mean of 1/2 and 1/4
     assert r["1"]["flows_to_dst"] == 4 and r["1"]["unique_sources_to_dst"] == 4
+
+
+def test_raw_files_grow_with_the_rows(spark, monkeypatch):
+    """No raw file holds more than its share of rows, so no task writes or hashes half of them."""
+    from netsieve.plans import q_adapters
+    from netsieve.sources.datasets import list_files
+    from tests.conftest import SF_SMALL
+    rows = q_adapters.D.read_table(spark, SF_SMALL, "events").count()
+    monkeypatch.setattr(q_adapters, "FILE_ROWS", 100)
+    for folder, names in ((q_adapters.cic2017_dir, 2), (q_adapters.cic2019_dir, 3)):
+        files = list_files(spark, f"{folder(spark, SF_SMALL)}/*.csv")
+        counts = [spark.read.option("header", True).csv(f).count() for f in files]
+        assert len(files) == max(names, -(-rows // 100)) and sum(counts) == rows and max(counts) < 200
+
+
+def test_rate_and_timestamps_are_worked_out_once(spark):
+    """The filter on missing values holds no copies of the rate's formula, and no
+    pass after the raw text's first parses a timestamp again."""
+    from netsieve.operators.adapters import map_cic2017, map_cic2019
+    num = ["Flow Duration", "Total Fwd Packets", "Total Backward Packets", "Total Length of Fwd Packets", "Total Length of Bwd Packets", "Protocol"]
+    raw = spark.createDataFrame([(*["1"] * 6, "10.0.0.1", "10.0.0.2", t, "BENIGN", str(i)) for i, t in enumerate(["03/07/2017 09:00:00", "03/07/2017 09:00:01", "never", None])],
+                                ", ".join(f"`{c}` STRING" for c in [*num, "Source IP", "Destination IP", "Timestamp", "Label", "Flow ID"]))
+    for mapper in (map_cic2017, map_cic2019):
+        out = mapper(raw, keep=["Flow ID"])
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        filters = [line for line in plan.split("\n") if "Filter" in line and "atleastnnonnulls" in line.lower()]
+        assert filters and not any("1000000" in line or "prev" in line for line in filters)
+        assert "gettimestamp" not in plan.lower() and "trytotimestamp" not in plan.lower() and "dd/MM/yyyy" not in plan
+        assert {r["Flow ID"]: r["flow_creation_rate"] for r in out.collect()} == {"0": 0.0, "1": 1.0, "2": 0.0, "3": 0.0}
