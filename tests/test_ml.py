@@ -3,6 +3,8 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from netsieve.operators.metrics import auc, binary_metrics, ks_drift, roc_points
 from netsieve.operators.ml import stratified_split, temporal_split, undersample
 
@@ -138,3 +140,25 @@ def test_copies_at_the_cut_are_divided(spark):
         assert sorted(map(tuple, s.collect())) == sorted(map(tuple, stratified_split(df.repartition(3, "v"), "id", fifths / 5, 42).collect()))
     fewer = undersample(df.where("label = 1 or id >= 300"), "id", 42).groupBy("label").count().collect()
     assert {r["label"]: r["count"] for r in fewer} == {0: 150, 1: 150}
+
+
+def test_one_row_tables_are_worked_out_once(spark):
+    """Scaler, class weights and ranges are read from their checkpoint by each pass
+    over the rows they are joined to, and hold no plan of the rows."""
+    from netsieve.operators.ml import apply_scaler, feature_ranges, fit_scaler, with_class_weights
+    df = spark.range(40).select(F.col("id").cast("double").alias("a"), (F.col("id") % 4 == 0).cast("int").alias("label"))
+    scaled = apply_scaler(df, fit_scaler(df, ["a"]), ["a"])
+    for x in (fit_scaler(df, ["a"]), feature_ranges(df, ["a"]), scaled, with_class_weights(scaled)):
+        assert "Aggregate" not in x._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["label"], r["weight"]) for r in with_class_weights(df).collect()} == {(1, 2.0), (0, 40 / 60)}
+    assert feature_ranges(df, ["a"]).first()[0] == 39.0 and abs(scaled.agg(F.avg("a")).first()[0]) < 1e-9
+
+
+def test_training_partitions_grow_with_the_rows(spark, monkeypatch):
+    from netsieve.operators import ml
+    df = spark.range(1000).coalesce(1)
+    assert ml._fit_partitions(df).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(ml, "FIT_ROWS", 100)
+    cut = ml._fit_partitions(df)
+    assert max(cut.rdd.glom().map(len).collect()) <= 100 and cut.distinct().count() == 1000
+    assert ml._fit_partitions(spark.range(0)).count() == 0
