@@ -67,3 +67,24 @@ def test_folds_beside_each_other(spark, monkeypatch):
     monkeypatch.setattr(q_models, "train_forest", lambda tr, weight_col=None: train_forest(tr, weight_col=weight_col, num_trees=2, max_depth=3))
     r = q_models.m23_cross_validate(spark, SF_SMALL).first()
     assert r["folds"] == 5 and 0.5 < r["accuracy_mean"] <= 1.0 and r["accuracy_std"] < 0.2
+
+
+def test_a_pair_of_the_matrix_is_scored_once(spark, monkeypatch, tmp_path):
+    """Both kinds of figures of a pair come from one pass of the forest over its rows."""
+    from pyspark.sql import functions as F
+
+    from netsieve.operators.ml import score
+    from netsieve.operators.synthetic import synthetic_flows
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(df, model):
+        kept = score(df, model)
+        mark = F.udf(lambda y: seen.add(1) or y, "double")
+        return kept.withColumn("label", mark("label"))
+
+    monkeypatch.setattr(q_models, "train_forest", lambda tr, weight_col=None: train_forest(tr, weight_col=weight_col, num_trees=2, max_depth=3))
+    monkeypatch.setattr(q_models, "score", counted)
+    data = {n: synthetic_flows(spark, 400, seed).drop("id", "subtype", "shuffle_key").checkpoint() for n, seed in (("a", 1), ("b", 2))}
+    rows = q_models.transfer_matrix(data).collect()
+    assert [(r["train"], r["test"]) for r in rows] == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "b")]
+    assert seen.value == 4 * 100
