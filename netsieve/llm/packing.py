@@ -33,6 +33,9 @@ SEQUENCE = 2048  # tokens in a sequence
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 GROUP_PIECES = 20_000
+# what a worker holds while it tokenises: chunks kept, and documents handled at once
+CHUNKS_KEPT = 400_000
+BATCH_DOCS = 1000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -99,11 +102,11 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, spaced: bool =
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and ids)."""
     @task
     def encode(batches):
-        enc = encoder(tokenizer, spaced)
+        enc = encoder(tokenizer, spaced, CHUNKS_KEPT)
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4000):
-                some = batch.slice(lo, 4000)
+            for lo in range(0, batch.num_rows, BATCH_DOCS):
+                some = batch.slice(lo, BATCH_DOCS)
                 rows = ([], [], [], [], [], [])
                 for doc_id, ids in zip(some.column(0).to_pylist(), enc.encode([t or "" for t in some.column(1).to_pylist()])):
                     ids = np.concatenate((ids, end))

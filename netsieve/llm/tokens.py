@@ -18,7 +18,7 @@ import numpy as np
 from netsieve.llm.common import kept
 
 CACHE_ENTRIES = 1_000_000  # chunks kept per worker, those met first: about 200 MB
-PART_CHARS = 5_000_000  # characters handled at once, whatever an Arrow batch holds
+PART_CHARS = 1_000_000  # characters handled at once, whatever an Arrow batch holds
 JOINED = 1_000  # chunks encoded in one call
 
 # white space other than single spaces and line ends between words: texts with
@@ -69,8 +69,8 @@ class Encoder:
     for the start of the text (no text that is cut contains one), else a space,
     which is left out."""
 
-    def __init__(self, name: str, spaced: bool):
-        self.tok, self.spaced = vocabulary(name), spaced
+    def __init__(self, name: str, spaced: bool, entries: int = CACHE_ENTRIES):
+        self.tok, self.spaced, self.entries = vocabulary(name), spaced, entries
         special = {i: t.content for i, t in self.tok.get_added_tokens_decoder().items() if t.special}
         self.mark_id, self.mark = max(special.items())
         self.specials = tuple(special.values())
@@ -138,11 +138,11 @@ class Encoder:
 
     def _forget(self) -> None:
         """Keep the chunks that were met first."""
-        if len(self.codes) > CACHE_ENTRIES:
-            over = len(self.codes) - CACHE_ENTRIES
-            for c in self.codes.new[-over:] if over <= len(self.codes.new) else list(self.codes)[CACHE_ENTRIES:]:
+        if len(self.codes) > self.entries:
+            over = len(self.codes) - self.entries
+            for c in self.codes.new[-over:] if over <= len(self.codes.new) else list(self.codes)[self.entries:]:
                 del self.codes[c]
-            self.starts, self.lengths = self.starts[:CACHE_ENTRIES], self.lengths[:CACHE_ENTRIES]
+            self.starts, self.lengths = self.starts[:self.entries], self.lengths[:self.entries]
             self.ids = self.ids[:int(self.starts[-1] + self.lengths[-1])]
         self.codes.new.clear()
 
@@ -189,6 +189,7 @@ class Encoder:
         return out + (self._part(part) if part else [])
 
 
-def encoder(name: str, spaced: bool) -> Encoder:
-    """The worker's encoder: its chunks serve all tasks it runs in a row."""
-    return kept(f"encoder {name} {spaced}", lambda: Encoder(name, spaced))
+def encoder(name: str, spaced: bool, entries: int = CACHE_ENTRIES) -> Encoder:
+    """The worker's encoder: its chunks, ``entries`` at most between parts, serve all
+    tasks it runs in a row."""
+    return kept(f"encoder {name} {spaced} {entries}", lambda: Encoder(name, spaced, entries))

@@ -236,6 +236,16 @@ def test_special_tokens_written_in_a_text_get_their_ids(name, spaced):
     assert [a.tolist() for a in Encoder(name, spaced).encode(texts)] == want
 
 
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_an_encoder_keeps_no_more_chunks_than_it_may(name, spaced):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randint(0, 900)}" + rng.choice(["", ",", "."]) for _ in range(40)) for _ in range(60)]
+    want = [e.ids for e in vocabulary(name).encode_batch(texts, add_special_tokens=False)]
+    enc = Encoder(name, spaced, entries=50)
+    for t, ids in zip(texts, want):
+        assert enc.encode([t])[0].tolist() == ids and len(enc.codes) <= 50
+
+
 def test_cuts_leave_only_the_first_piece_short():
     assert cuts(1, 4) == [(0, 1)] and cuts(4, 4) == [(0, 4)]
     assert cuts(9, 4) == [(0, 1), (1, 4), (5, 4)]
