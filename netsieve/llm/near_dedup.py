@@ -157,9 +157,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
 
     # buckets with more than one member, each member with the bucket's centre
     entries = classes.select("node", F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), F.col("node").alias("centre"))).alias("c"),
-                                        F.count("*").alias("n")).where("n > 1").select("key", "c.centre")
-    buckets = cut(entries.join(shared, "key"))
+    # most keys are of one member: they are counted only, and centres chosen among the rest
+    shared = cut(entries.join(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"))
+    centres = shared.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), F.col("node").alias("centre"))).alias("c")).select("key", "c.centre")
+    buckets = cut(shared.join(centres, "key"))
     pairs = buckets.where("centre <> node").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     sets = cut(sets_of(docs, buckets.select("node").distinct(), shingle))
     comp = components(confirmed(pairs, sets, threshold))
@@ -178,7 +179,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
                                                (F.col("n_members") - F.col("top.n")).alias("n_queries"), "n_members")
     more = tile_links(member.join(sets, "node"), threshold, tile)
 
-    final = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
+    # the links found last are between components
+    joined = components(more)
+    root = joined.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    final = comp.join(root, "component", "left").select("node", F.coalesce("root", "component").alias("component")).unionAll(joined)
     named = sig.drop("bands").join(classes.drop("bands"), ["n_shingles", "print1", "print2"], "left")
     named = named.join(final, "node", "left")
     class_id = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("node", "doc_id"))

@@ -209,6 +209,28 @@ def test_links_of_one_node_are_dealt_out(spark):
     assert components(hub).agg(F.count("*"), F.max("component")).first()[:] == (20_000, 0)
 
 
+def test_components_stop_as_soon_as_only_stars_are_left(spark, monkeypatch):
+    from netsieve.llm import components as module
+
+    cuts_made = []
+    monkeypatch.setattr(module, "cut", lambda df, cut=module.cut: cuts_made.append(1) or cut(df))
+    stars = [(c, c + k) for c in (100, 200) for k in (1, 2, 3)]
+    got = components(spark.createDataFrame(stars, "a long, b long").coalesce(1)).collect()
+    assert sorted(map(tuple, got)) == [(c + k, c) for c in (100, 200) for k in (1, 2, 3)]
+    assert len(cuts_made) == 1  # no round but the forest of each task
+
+
+def test_links_of_the_last_tiles_join_whole_components(spark):
+    # exact copies, a chain of near copies and a text of its own, in any order of ids
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words), " ".join(words[:58] + ["x", "y"]), " ".join(words[:56] + ["x", "y", "z", "v"]), " ".join(words), "other words that stand alone here"]
+    rows = [(k, t) for k, t in zip((9, 4, 7, 2, 5), texts)]
+    want = brute_components(rows, 5, 80)
+    for tile in (1, 256):
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile).collect()}
+        assert got == want
+
+
 # ---- tokens, packing, store ----
 
 @pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
