@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,12 +38,38 @@ def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances, added up in the order of the columns: a pair gives the
     same number wherever it is met."""
     out = np.zeros((len(a), len(b)))
+    d = np.empty_like(out)
     for x, y in zip(a.T, b.T):
-        d = x[:, None] - y[None, :]
-        out += d * d
+        np.subtract(x[:, None], y[None, :], out=d)
+        np.multiply(d, d, out=d)
+        out += d
     return out
 
 
+def _tops(node: np.ndarray, v: np.ndarray, asks: np.ndarray, lists: pa.ListArray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest rows of each row that asks among the others, whose ids are in
+    ``lists``: its place, the squared distance, the place in the flattened lists.
+    Ties go by id; rows of the same number in ``node`` are left out."""
+    n = lists.value_lengths().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(n) - n
+    order = pc.rank(lists.flatten(), sort_keys="ascending", tiebreaker="dense").to_numpy(zero_copy_only=False)
+    asking, mv, mn = np.flatnonzero(asks), v[~asks], node[~asks]
+    last = min(k, len(mv)) - 1
+    out = []
+    for lo in range(0, len(asking), 256):
+        mine = asking[lo:lo + 256]
+        d = squares(v[mine], mv)
+        d[node[mine][:, None] == mn[None, :]] = np.inf
+        row, col = np.nonzero((d <= np.partition(d, last, axis=1)[:, last:last + 1]) & (d < np.inf))
+        each = n[col]
+        at = np.arange(each.sum()) + np.repeat(starts[col] - (np.cumsum(each) - each), each)
+        row, far = np.repeat(row, each), np.repeat(d[row, col], each)
+        by = np.lexsort((order[at], far, row))
+        by = by[np.arange(len(by)) - np.searchsorted(row, row) < k]  # the rows are in order before and after
+        out.append((mine[row[by]], far[by], at[by]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def _nodes(df: DataFrame, id_col: str, cols: list[str], k: int) -> DataFrame:
     """v, node (its smallest id), n (its rows), ids (the k + 1 smallest)."""
     v = F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in cols])
@@ -80,23 +107,13 @@ def _tile_tops(queries: DataFrame, members: DataFrame, k: int, id_type: str, til
     m = members.join(F.broadcast(tiles), "cell").select("cell", "node", "v", "ids", every("qt").alias("q"), slot("mt").alias("m"))
 
     def run(t: pa.Table) -> pa.Table:
-        node, v = t["node"].to_numpy(zero_copy_only=False), _matrix(t["v"])
-        own = t["ids"].combine_chunks()
+        node, own = t["node"].combine_chunks(), t["ids"].combine_chunks()
         asks = np.asarray(own.is_null())
         if asks.all() or not asks.any():
-            return pa.table({"node": t["node"].slice(0, 0), "d": pa.array([], pa.float64()), "id": t["node"].slice(0, 0)})
-        ids, qv, mv, qn, mn = own.filter(pa.array(~asks)).to_pylist(), v[asks], v[~asks], node[asks], node[~asks]
-        out = ([], [], [])
-        for lo in range(0, len(qv), 256):
-            d = squares(qv[lo:lo + 256], mv)
-            for line, name in zip(d, qn[lo:lo + 256]):
-                line[mn == name] = np.inf
-                near = np.flatnonzero(line <= np.partition(line, min(k, len(line)) - 1)[min(k, len(line)) - 1])
-                rows = sorted((line[j], i) for j in near.tolist() if line[j] < np.inf for i in ids[j])[:k]
-                for c, x in zip(out, ([name] * len(rows), [r[0] for r in rows], [r[1] for r in rows])):
-                    c.extend(x)
-        kind = t["node"].type
-        return pa.table({"node": pa.array(out[0], kind), "d": pa.array(out[1], pa.float64()), "id": pa.array(out[2], kind)})
+            return pa.table({"node": node.slice(0, 0), "d": pa.array([], pa.float64()), "id": node.slice(0, 0)})
+        lists = own.filter(pa.array(~asks))
+        at, d, which = _tops(node.dictionary_encode().indices.to_numpy(), _matrix(t["v"]), asks, lists, k)
+        return pa.table({"node": node.take(pa.array(at)), "d": pa.array(d), "id": lists.flatten().take(pa.array(which))})
 
     return q.unionByName(m).groupBy("cell", "q", "m").applyInArrow(run, f"node {id_type}, d double, id {id_type}")
 

@@ -1,11 +1,12 @@
 """M5: exact nearest rows and synthetic minority rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from netsieve.operators.ml import smote
-from netsieve.operators.neighbours import nearest_rows
+from netsieve.operators.neighbours import _tops, nearest_rows
 
 
 def plain(rows, k):
@@ -77,3 +78,19 @@ def test_smote_brings_classes_to_one_size(spark):
     assert set(per.values()) == {6, 7} and len({r["id"] for r in out}) == len(out)
     again = smote(df.repartition(7, F.rand(3)), "id", cols=["p", "q"]).collect()
     assert sorted(map(str, again)) == sorted(map(str, out))
+
+
+def test_tops_of_a_tile_equal_plain_sorting():
+    rng = np.random.default_rng(3)
+    v = rng.integers(0, 3, (700, 2)).astype(float)  # many ties
+    asks = np.arange(700) < 300
+    node = np.concatenate((np.arange(300), np.arange(100, 500)))  # some ask and are asked
+    lists = [[f"{i}", f"{i}b"][: 1 + i % 2] for i in range(100, 500)]
+    flat = [i for ids in lists for i in ids]
+    at, d, which = _tops(node, v, asks, pa.array(lists), 5)
+    got = {}
+    for a, x, w in zip(at.tolist(), d.tolist(), which.tolist()):
+        got.setdefault(a, []).append((x, flat[w]))
+    for a in range(300):
+        rows = [(float(((v[a] - v[300 + j]) ** 2).sum()), i) for j, ids in enumerate(lists) if node[300 + j] != node[a] for i in ids]
+        assert got[a] == sorted(rows)[:5]
