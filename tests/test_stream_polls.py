@@ -72,6 +72,22 @@ def test_whole_stream_equals_its_batch_plan(spark, tmp_path, files_per_trigger,
     assert len(epochs) <= 2
 
 
+def test_an_epoch_is_planned_with_aqe(spark, tmp_path):
+    """The batch plan of an epoch sees its rows as a table of the caller's session,
+    without the plan of the state store; nothing is left of it."""
+    polls, out, seen = _first_polls(spark, 2), str(tmp_path / "out"), []
+
+    def run(rows):
+        seen.append((rows.sparkSession.conf.get("spark.sql.adaptive.enabled"), rows._jdf.queryExecution().toString()))
+        return {"rows": rows}
+
+    s = read_flow_stats(spark, write_poll_files(spark, SF_SMALL, flows=polls), streaming=True, max_files_per_trigger=1000)
+    for_each_poll(s, run, out, os.path.join(out, "ckpt")).awaitTermination()
+    assert seen and all(aqe == "true" and "StateStore" not in plan for aqe, plan in seen)
+    assert spark.read.parquet(f"{out}/rows").count() == polls.count()
+    assert os.listdir(f"{out}/_rows") == []
+
+
 def _flood(spark, start: str, sources: int, polls: int, at: int = 0):
     ids = spark.range(sources * polls)
     poll = F.expr(f"timestamp '{start}' + make_dt_interval(0, 0, 0, 5 * cast(id div {sources} as int))")
