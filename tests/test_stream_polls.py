@@ -88,6 +88,22 @@ def test_an_epoch_is_planned_with_aqe(spark, tmp_path):
     assert os.listdir(f"{out}/_rows") == []
 
 
+def test_slices_are_cut_by_rows(spark, monkeypatch):
+    """A trigger's file holds about so many rows at most, however many there are; the
+    decisions stay."""
+    from netsieve.plans import q_stream
+    from netsieve.plans.q_stateful import ST2_DEDUP, ST2_LIMIT, ST2_WINDOW
+    from netsieve.operators.stateful import suppress_floods
+    a = D.arrivals(spark, SF_SMALL).select("event_id", "ts", "dpid", "eth_src", "eth_dst", "ethertype")
+    n = a.count()
+    monkeypatch.setattr(q_stream, "SLICE_ROWS", n // 5)
+    files = spark.read.parquet(q_stream._write_time_ordered(spark, a, "cut", 10 * 86400)).groupBy("slice").count()
+    assert max(r["count"] for r in files.collect()) < n // 4 and files.agg(F.sum("count")).first()[0] == n
+    got = q_stream.st2_suppress_stream(spark, SF_SMALL).where("event_id >= 0")
+    want = suppress_floods(a, limit=ST2_LIMIT, window_sec=ST2_WINDOW, dedup_sec=ST2_DEDUP).select("event_id", "suppressed")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def _flood(spark, start: str, sources: int, polls: int, at: int = 0):
     ids = spark.range(sources * polls)
     poll = F.expr(f"timestamp '{start}' + make_dt_interval(0, 0, 0, 5 * cast(id div {sources} as int))")
