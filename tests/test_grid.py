@@ -1,4 +1,6 @@
 """The run grid and the comparison cover every dataset."""
+from pyspark.sql import functions as F
+
 from netsieve.operators.ml import train_forest
 from netsieve.plans import q_models
 from tests.conftest import SF_CHECK, SF_SMALL
@@ -88,3 +90,35 @@ def test_a_pair_of_the_matrix_is_scored_once(spark, monkeypatch, tmp_path):
     rows = q_models.transfer_matrix(data).collect()
     assert [(r["train"], r["test"]) for r in rows] == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "b")]
     assert seen.value == 4 * 100
+
+
+def test_runs_beside_each_other_map_a_dataset_once(spark, monkeypatch):
+    from netsieve.plans import q_adapters, q_logs
+    real, written = q_logs._scratch, []
+
+    def scratch(spark, name):
+        written.append(name)
+        return real(spark, name)
+
+    monkeypatch.setattr(q_logs, "_scratch", scratch)
+    monkeypatch.setattr(q_adapters, "_scratch", scratch)
+    monkeypatch.setattr(q_models, "_MAPPED_TABLES", {})
+    monkeypatch.setattr(q_adapters, "_CANONICAL_TABLES", {})
+    for name in ("synthetic", "cic-ids2017"):
+        sizes = q_models._at_once(spark, lambda _, name=name: q_models._dataset(spark, SF_SMALL, name).count(), [0, 1, 2, 3])
+        assert len(set(sizes)) == 1 and sizes[0] > 0
+    assert sorted(written) == ["canonical-table", "mapped-table"]
+
+
+def test_forest_keeps_the_nodes_of_its_rows(spark):
+    """The same trees as a forest that goes down from the root for every level."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from netsieve.operators.ml import FEATURE_NAMES
+    from netsieve.operators.synthetic import synthetic_flows
+    rows = synthetic_flows(spark, 2000, 7).withColumn("label", F.col("label").cast("double")).select(*FEATURE_NAMES, "label").checkpoint()
+    model = train_forest(rows, num_trees=4, max_depth=12).stages[-1]
+    assert model.getCacheNodeIds()
+    plain = RandomForestClassifier(featuresCol="v", labelCol="label", numTrees=4, maxDepth=12, seed=42, maxBins=64).fit(VectorAssembler(inputCols=FEATURE_NAMES, outputCol="v").transform(rows))
+    assert [t.toDebugString.split("\n", 1)[1] for t in model.trees] == [t.toDebugString.split("\n", 1)[1] for t in plain.trees]
