@@ -152,3 +152,17 @@ def test_streaming_state_ends(spark, tmp_path, chain):
     seen = _last_state_rows(q)
     assert max(seen) >= 600 and seen[-1] <= 1, seen
     assert spark.read.parquet(str(tmp_path / "out")).count() == 601
+
+
+def test_the_model_scores_every_flow(spark, tmp_path, monkeypatch):
+    """Polls of more flows than the other streams sample: with a model that calls every
+    flow an attack, every eligible flow with a known source is a detection."""
+    from netsieve.plans import q_stream
+    at = F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(cast(id % 2 as int), 0, 0, cast(id as int))")
+    spark.range(1, 201).select(F.col("id").alias("event_id"), at.alias("ts"), (F.col("id") % 7).alias("user_id"), F.lit("view").alias("event_type"),
+                               F.when(F.col("id") % 50 != 0, F.col("id") / 20).alias("value"), F.lit('{"k": 5}').alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(q_stream, "trained_scorer", lambda spark, sf: lambda f: f.withColumn("attack_prob", F.lit(0.9)))
+    got = [r["event_id"] for r in q_stream.st7_model_stream(spark, str(tmp_path)).collect()]
+    flows = eligible_flows(D.flows(spark, str(tmp_path))).where("src_ip is not null")
+    assert flows.groupBy("poll_ts").count().agg(F.min("count")).first()[0] > 2 * WHOLE["sample_n"]
+    assert sorted(got) == sorted(r["event_id"] for r in flows.select("event_id").collect())
